@@ -109,10 +109,12 @@ def spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
 class Words:
     """The words of every row of a string column: spans, hashes, row bounds."""
 
+    inside = _IS_WORD
+
     def __init__(self, column: pa.Array, lower: bool = True):
         self.raw, self.offsets = raw_bytes(column)
         self.buf = _LOWER[self.raw] if lower else self.raw
-        self.starts, self.ends = spans(self.buf, self.offsets, _IS_WORD[self.buf])
+        self.starts, self.ends = spans(self.buf, self.offsets, self.inside[self.buf])
         self.bounds = np.searchsorted(self.starts, self.offsets).astype(np.int64)
         self.counts = np.diff(self.bounds)
         self._hashes: np.ndarray | None = None
