@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparksieve.llm.durable import written
+from sparksieve.llm.decontam import decontaminated
+from sparksieve.llm.durable import checked_broadcast, written
+from sparksieve.llm.jaccard import jaccard_components
 from sparksieve.llm.linededup import line_dedup
 from sparksieve.llm.quality import quality_rules
+from sparksieve.llm.queries import segmented, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,9 +27,32 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    found = jaccard_components(docs.select("doc_id", "text"))
+    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "copies")
+    return docs.join(checked_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
 
-#: SQL can't express the later stages.
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of what is left, decoded and compared."""
+    return segmented(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard_join", jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("segmentation", segmentation_stage),
+]
+
+#: SQL can express neither the SimHash windows nor the sampled segmentations.
 ORACLE_SQL = None
 
 

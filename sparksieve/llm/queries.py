@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import with_hits
+from .durable import remove, scratch_path
 from .jaccard import jaccard_components
+from .licenses import license_scan
 from .linededup import line_dedup
 from .lm import lm_scores
 from .quality import quality_rules
+from .segment import decode_ids, sample_segmentations
 from .tokens import with_token_counts
+from .toxicity import toxicity
+from .warc import captures, deduplicate_archive, write_archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +43,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.lit(True).alias("contaminated"), F.array_sort(F.array_distinct("hits.item_id")).alias("item_ids"), F.array_max("hits.similarity").alias("similarity"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, clean = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc")
+    write_archive(captures(table(spark, sf_dir, "pages")), raw)
+    headers = deduplicate_archive(spark, raw, clean)
+    remove(spark, raw)
+    return headers.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
+
+
+#: Samples of each text in op4 and the pipeline.
+SAMPLES = 2
+
+
+def segmented(docs: DataFrame) -> DataFrame:
+    """Digest of SAMPLES sampled segmentations of each whole text, decoded again and compared."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    drawn = sample_segmentations(docs.select("doc_id", "text"), model, k=SAMPLES)
+    back = decode_ids(drawn, model)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "key", "log_inclusion", same.alias("round_trip"))
+
+
+def op4_segmentation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmented(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_token_counts(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -47,6 +77,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: eight a directory, the first of which is its licence file."""
+    n = F.coalesce("doc_id", F.lit(0))
+    name = F.when(F.pmod(n, F.lit(8)) == 0, F.lit("LICENSE")).otherwise(F.concat(n.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 64).cast("string"), F.floor(n / 8).cast("string"), name)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return license_scan(docs).select("doc_id", "path", "license", "license_score", "license_from")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,8 +103,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_warc_revisits": op3_warc_revisits,
+    "op4_segmentation_samples": op4_segmentation_samples,
     "op5_token_counts": op5_token_counts,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_license_scan": op7_license_scan,
+    "op8_toxicity": op8_toxicity,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -95,6 +143,23 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE length(coalesce(k.body,
        CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(k.body, '')) END AS text_md5,
        coalesce(k.n_removed_lines, 0) AS n_removed_lines
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op3_warc_revisits": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex,
+         regexp_replace(coalesce(url, 'urn:page:' || coalesce(page_id::VARCHAR, '')), '[\x00-\x20\x7f]', '%20', 'g') AS uri
+  FROM pages),
+d AS (
+  SELECT page_id, uri, strlen(body) AS payload_bytes,
+         array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest
+  FROM p),
+o AS (SELECT payload_digest, min(page_id) AS first_page FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, uri,
+       CASE WHEN first_page IS NULL OR page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_page IS NULL OR page_id = first_page THEN NULL ELSE first_page END AS refers_to
+FROM d JOIN o ON o.payload_digest = d.payload_digest
 """,
     "op10_quality_rules": rf"""
 WITH {_LINES},
