@@ -1,0 +1,16 @@
+"""The registered queries, family by family."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+FAMILIES = ["stage1_queries", "cleaning_queries"]
+
+
+def all_queries() -> tuple[dict, dict]:
+    """(queries, SQL) of every family."""
+    from .. import registry
+
+    for name in FAMILIES:
+        import_module(f"{__name__}.{name}")
+    return dict(registry.QUERIES), dict(registry.ORACLE_SQL)
