@@ -4,10 +4,14 @@ A document's set holds its distinct word shingles.  Documents with equal sets
 are one class; classes with the same prefix and size are one group, and only
 groups enter the inverted index.  With the shingles in one global order, two
 sets of similarity t share a shingle within their first |x| - ceil(t|x|) + 1
-(the prefix), so:
-
-1.  Index the prefixes of the groups (order: the hash value), count each
-    shingle, and expand the groups that share one into their members.
+(the prefix).  The order here is: shingles that are known to be common last,
+otherwise by hash.  Any order gives the same result; this one keeps passages
+that many documents share out of their prefixes.
+
+1.  Count the shingles among the smallest 3/10 hashes of each document, and take
+    those with ``HEAVY`` documents or more (at most ``COMMON``, the commonest) as
+    the common ones.  Index the prefixes of the groups, count each shingle, and
+    expand the groups that share one into their members.
 2.  Star: verify each member against one pivot of each shared shingle, and join
     what links into components.  Within a large group of near copies this
     takes a linear number of pairs.
@@ -48,6 +52,8 @@ from .textkit import Words, list_array, mix64, shingle_sets, signed, slices
 
 #: Members from which a shingle counts as heavy.  It decides how pairs are found, never which.
 HEAVY = 64
+#: Common shingles that are broadcast (8 bytes each).
+COMMON = 1_000_000
 #: Members of one pivot that a verifying task takes.
 SALT_ROWS = 500
 
@@ -67,8 +73,37 @@ def _segments(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _ordered(values: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The sets with their common shingles last; values are sorted within rows."""
+    if not len(common) or not len(values):
+        return values
+    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+    late = common[at] == values
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return values[np.argsort(2 * row + late, kind="stable")]
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that many documents have, as far as the smallest hashes show."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                values, bounds = shingle_sets(Words(part.column("text")), width)
+                n = np.diff(bounds)
+                token, times = np.unique(values[_segments(bounds[:-1], np.where(n > 0, 3 * n // 10 + 1, 0))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(times.astype(np.int64))], names=["token", "c"])
+
+    counts = docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    heavy = written(counts.where(F.col("c") >= HEAVY), "common")
+    if heavy.count() > COMMON:
+        heavy = heavy.orderBy(F.desc("c"), "token").limit(COMMON)
+    return np.sort(heavy.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
     """(id, n, gid, pg, prefix) of (id, text): set size, class, group, prefix; gid is null for an empty set."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +111,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 values, bounds = shingle_sets(Words(part.column("text")), width)
                 n = np.diff(bounds)
                 p = np.where(n > 0, _prefix_length(n, percent), 0)
-                prefix = values[_segments(bounds[:-1], p)]
+                prefix = _ordered(values, bounds, shared.value)[_segments(bounds[:-1], p)]
                 pb = np.concatenate([[0], np.cumsum(p)])
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
@@ -102,13 +137,14 @@ def class_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; texts (gid, text) is a written table.
+    """The pairs (a, b) whose sets link; texts is (gid, text).
 
     b is the pivot: its text goes once to each of its salted tasks, where the
     texts of its partners stream past it.
     """
     load = pairs.groupBy("b").agg((F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
     keyed = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts") + 1).alias("salt"))
+    texts = written(texts, "texts")
     left = keyed.join(texts, keyed["a"] == texts["gid"]).select("b", "salt", F.lit(1).alias("side"), F.col("a").alias("id"), "text")
     pivots = load.select(F.col("b"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
     right = pivots.join(texts, pivots["b"] == texts["gid"]).select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("id"), "text")
@@ -211,7 +247,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     """(classes, roots): (id, n, gid) of every document of (id, text), and (node, root) of the linked classes."""
     from pyspark.sql import Window
 
-    known = written(signatures(docs, width, percent), "signatures")
+    known = written(signatures(docs, width, percent, common_shingles(docs, width)), "signatures")
     full = known.where("gid is not null")
     members = written(full.groupBy("gid", "n", "pg").agg(F.count(F.lit(1)).alias("copies")), "members")
     groups = written(full.groupBy("pg").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1"), "groups")
@@ -225,24 +261,26 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     shared = written(shared.select("token", "df", "gid", "n", F.col("pos").cast("long").alias("pos"), "pg", "ppg"), "shared")
 
     lead = members.groupBy(F.col("pg").alias("lpg")).agg(F.min(F.struct("gid", "n")).alias("lead"))
-    to = shared.select("gid", "n", F.explode(F.array("ppg", "pg")).alias("lpg")).distinct().join(lead, "lpg")
-    pairs = to.where((F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))).select(F.col("gid").alias("a"), F.col("lead.gid").alias("b"))
+    to = shared.select("gid", "n", "pos", F.explode(F.array("ppg", "pg")).alias("lpg")).groupBy("gid", "n", "lpg").agg(F.min("pos").alias("pos")).join(lead, "lpg")
+    sizes = (F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
+    reach = (F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("lead.n"))
+    pairs = to.where(sizes & reach).select(F.col("gid").alias("a"), F.col("lead.gid").alias("b"))
     pairs = written(pairs.distinct(), "star-pairs")
-    texts = written(class_texts(docs, written(shared.select("gid").distinct(), "wanted"), width), "texts")
-    found = written(verified(pairs, texts, width, percent), "star-links")
+    both = lambda p: p.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+    found = written(verified(pairs, class_texts(docs, written(both(pairs), "wanted"), width), width, percent), "star-links")
     roots = written(components(found), "star-roots")
 
-    by_doc = Window.partitionBy("gid").orderBy("token")
+    by_doc = Window.partitionBy("gid").orderBy("pos")
     previous = [F.lag("token", k).over(by_doc).alias(f"prev{k}") for k in (1, 2, 3, 4)]
     light = shared.select("token", "df", "gid", "n", "pos", *previous).where(F.col("df") < HEAVY)
     more = _light_pairs(light, roots, percent)
 
     heavy = written(shared.where(F.col("df") >= HEAVY).select("gid").distinct(), "heavy-docs")
-    again = written(_rare_first(texts.join(checked_broadcast(heavy), "gid", "left_semi"), width, percent), "rare-first")
+    again = written(_rare_first(class_texts(docs, heavy, width), width, percent), "rare-first")
     more = more.union(_light_pairs(again.where(F.col("df") < HEAVY), roots, percent)).union(_heavy_pairs(again.where(F.col("df") >= HEAVY), roots, percent)).distinct()
     flipped = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(flipped, ["a", "b"], "left_anti"), "more-pairs")
-    second = written(verified(more, texts, width, percent), "more-links")
+    second = written(verified(more, class_texts(docs, written(both(more), "wanted"), width), width, percent), "more-links")
     if second.limit(1).count():
         roots = written(components(found.union(second)), "roots")
     return known.select("id", "n", "gid"), roots
