@@ -46,8 +46,8 @@ def stratified_folds(df: DataFrame, cls: Column, order: list[Column], k: int) ->
 
 def fold_check(df: DataFrame, cls: str, least: int = 1) -> DataFrame:
     """(fold, classes, smallest, valid): rows of the rarest class in every fold."""
-    c = df.groupBy("fold", cls).agg(F.count(F.lit(1)).alias("c"))
-    return c.groupBy("fold").agg(F.count(F.lit(1)).alias("classes"), F.min("c").alias("smallest"), (F.min("c") >= least).alias("valid"))
+    per = df.groupBy("fold", F.col(cls).alias("__cls")).agg(F.count(F.lit(1)).alias("__c"))
+    return per.groupBy("fold").agg(F.count(F.lit(1)).alias("classes"), F.min("__c").alias("smallest"), (F.min("__c") >= least).alias("valid"))
 
 
 # ---- metrics ---------------------------------------------------------------
@@ -188,11 +188,11 @@ def paired_t(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 def wilcoxon(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """W+, tie-corrected z, p and rank-biserial of paired values; zero differences are left out."""
-    d = pairs.select(*by, (F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.round(F.abs("d"), 9))
-    c = d.groupBy(*by, "m").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("plus"))
-    run = F.sum("c").over(Window.partitionBy(*by).orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = c.withColumn("rank", run - F.col("c") + (F.col("c") + 1) / 2)
-    s = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.col("plus") * F.col("rank")).alias("w_plus"), F.sum(F.pow("c", F.lit(3)) - F.col("c")).alias("ties"))
+    d = pairs.select(*by, (F.col(a) - F.col(b)).alias("__d")).where("__d <> 0").withColumn("__m", F.round(F.abs("__d"), 9))
+    c = d.groupBy(*by, "__m").agg(F.count(F.lit(1)).alias("__c"), F.count_if(F.col("__d") > 0).alias("__plus"))
+    run = F.sum("__c").over(Window.partitionBy(*by).orderBy("__m").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = c.withColumn("__rank", run - F.col("__c") + (F.col("__c") + 1) / 2)
+    s = ranked.groupBy(*by).agg(F.sum("__c").alias("n"), F.sum(F.col("__plus") * F.col("__rank")).alias("w_plus"), F.sum(F.pow("__c", F.lit(3)) - F.col("__c")).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)).otherwise(0.0)
