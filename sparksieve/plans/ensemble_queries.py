@@ -121,16 +121,16 @@ def top_trees(spark, d):
     return ranked.withColumn("best", F.round("best", 4)).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"WITH {RAW} SELECT depth, count(*) AS visits, count(DISTINCT tree_id) AS trees, round(avg(performance), 6) AS mean FROM raw GROUP BY 1")
+@query(f"WITH {RAW} SELECT depth, count(*) AS visits, count(DISTINCT tree_id) AS trees, round(avg(performance) + 1e-9, 6) AS mean FROM raw GROUP BY 1")
 def tree_statistics(spark, d):
-    return r6("mean", of=raw_votes(spark, d).groupBy("depth").agg(F.count(F.lit(1)).alias("visits"), F.countDistinct("tree_id").alias("trees"), F.avg("performance").alias("mean")))
+    return r6("mean", of=raw_votes(spark, d).groupBy("depth").agg(F.count(F.lit(1)).alias("visits"), F.countDistinct("tree_id").alias("trees"), (F.avg("performance") + 1e-9).alias("mean")))
 
 
-@query(f"WITH {RAW} SELECT feature_id, count(*) AS total, count(DISTINCT tree_id) AS trees, round(avg(performance), 6) AS score, round(count(DISTINCT tree_id) / (SELECT count(DISTINCT tree_id) FROM raw), 6) AS share FROM raw GROUP BY 1")
+@query(f"WITH {RAW} SELECT feature_id, count(*) AS total, count(DISTINCT tree_id) AS trees, round(avg(performance) + 1e-9, 6) AS score, round(count(DISTINCT tree_id) / (SELECT count(DISTINCT tree_id) FROM raw), 6) AS share FROM raw GROUP BY 1")
 def feature_heat_map(spark, d):
     v = raw_votes(spark, d)
     n = F.broadcast(v.agg(F.countDistinct("tree_id").alias("n")))
-    out = v.groupBy("feature_id").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("tree_id").alias("trees"), F.avg("performance").alias("score")).crossJoin(n)
+    out = v.groupBy("feature_id").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("tree_id").alias("trees"), (F.avg("performance") + 1e-9).alias("score")).crossJoin(n)
     return r6("score", "share", of=out.withColumn("share", F.col("trees") / F.col("n")).drop("n"))
 
 
