@@ -1,6 +1,7 @@
 """Line dedup by overlapping three-line windows (operator 1).
 
-Every run of three consecutive non-blank lines is hashed; windows found more
+Every run of three consecutive non-blank lines is hashed, twice and independently,
+to 128 bits; windows found more
 than once in the corpus are resolved globally: the first occurrence by
 (document id, position) stays, and the lines that any later occurrence covers
 are removed, overlapping occurrences being merged.
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from .durable import written
 from .rows import need
-from .textkit import _IS_WORD, combine, hash_spans, mix64, raw_bytes, signed, slices, spans
+from .textkit import _IS_WORD, combine, hash_spans, raw_bytes, signed, slices, spans
 
 _WINDOWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("pos", T.IntegerType())])
 
@@ -43,10 +44,7 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     starts, ends = starts[full], ends[full]
     row = np.searchsorted(offsets, starts, side="right") - 1
     number = np.arange(len(row)) - np.searchsorted(row, row)
-    h = hash_spans(buf, starts, ends)
-    with np.errstate(over="ignore"):
-        g = mix64(h * np.uint64(0xC2B2AE3D27D4EB4F) + (ends - starts).astype(np.uint64))
-    return row, number, h, g
+    return row, number, hash_spans(buf, starts, ends), hash_spans(buf, starts, ends, 1)
 
 
 def windows(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -17,13 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd multipliers of two independent rolling hashes.
+_BASES = (0x9E3779B97F4A7C15, 0xC6BC279692B5C323)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,27 +36,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", _INV)):
-                p = np.full(size, base, dtype=np.uint64)
-                p[0] = 1
-                _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse modulo 2**64, n of each at least."""
+    have = _POWERS.get(which)
+    if have is None or len(have[0]) < n:
+        size, out = max(n, SLICE_BYTES + 1), []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            p = np.full(size, base, dtype=np.uint64)
+            p[0] = 1
+            with np.errstate(over="ignore"):
+                out.append(np.multiply.accumulate(p))
+        have = _POWERS[which] = (out[0], out[1])
+    return have
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; works through the spans in bounded blocks."""
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span, the first or the second; works through the spans in bounded blocks."""
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
     while at < len(starts):
         lo = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, side="right")))
         hi = int(ends[to - 1])
-        up, down = _powers(hi - lo + 1)
+        up, down = _powers(hi - lo + 1, which)
         with np.errstate(over="ignore"):
             sums = np.zeros(hi - lo + 1, dtype=np.uint64)
             np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
@@ -80,6 +82,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of about ``limit`` text bytes, small batches put together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= limit:
+            yield from slices(pa.Table.from_batches(held).combine_chunks().to_batches()[0], column, limit)
+            held, size = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield from slices(rest[0], column, limit)
+
+
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them; null is empty."""
     if column.null_count:
