@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import need
-from .textkit import _powers, list_array, mix64, slices
+from .textkit import _powers, list_array, mix64, slices, tidy
 
 #: Text bytes of the rows that are segmented together.
-SLICE = 1 << 20
+SLICE = 3 << 18
 #: Bytes of distinct chunks whose lattices are built at once.
 BLOCK = 96 << 10
 SAMPLE = T.StructType(
@@ -59,6 +59,13 @@ def slots_of(h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.intp)
 
 
+def head_codes(buf: np.ndarray) -> np.ndarray:
+    """A 16-bit code of the three bytes from each place on (zeros beyond the end)."""
+    b = np.zeros(len(buf) + 2, dtype=np.uint32)
+    b[: len(buf)] = buf
+    return ((b[:-2] * 40503 + b[1:-1] * 31153 + b[2:] * 24821) >> 3 & 0xFFFF).astype(np.uint16)
+
+
 class Pieces:
     """A vocabulary by byte length and hash, spaces standing for U+2581."""
 
@@ -92,8 +99,10 @@ class Pieces:
                 order = np.argsort(slot, kind="stable")
                 begin = np.full(65537, -1, dtype=np.int32)
                 begin[slot[order][::-1]] = np.arange(len(order), dtype=np.int32)[::-1]
+                gate = np.full(65536, size < 3)
+                gate[head_codes(raw.reshape(-1))[::size]] = True
                 # one entry more, of no piece, ends the last slot
-                self.by_length[size] = (np.append(h[order], [np.uint64(0)]), np.append(slot[order], [65536]), np.array([plain[k] for k in members], dtype=np.int32)[order], theta * score[members][order], begin)
+                self.by_length[size] = (np.append(h[order], [np.uint64(0)]), np.append(slot[order], [65536]), np.array([plain[k] for k in members], dtype=np.int32)[order], theta * score[members][order], begin, gate)
         out = [b""] * n
         for i, t in zip(plain, text):
             out[i] = t
@@ -147,11 +156,12 @@ class Lattices:
         found = []
         with np.errstate(over="ignore"):
             np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
-            idx = np.flatnonzero(lead)
-            for size, (h, slots, ids, score, begin) in vocabulary.by_length.items():
-                idx = idx[left[idx] >= size]
-                if not len(idx):
+            every, codes = np.flatnonzero(lead), head_codes(buf)
+            for size, (h, slots, ids, score, begin, gate) in vocabulary.by_length.items():
+                every = every[left[every] >= size]
+                if not len(every):
                     break
+                idx = every[gate[codes[every]]]
                 v = (sums[idx + size] - sums[idx]) * down[idx]
                 slot = slots_of(v)
                 k = begin[slot]
@@ -169,12 +179,15 @@ class Lattices:
             known[place[size == width[place]]] = True
         bare = np.flatnonzero(lead & ~known)
         found.append((bare, np.minimum(width[bare], left[bare]), np.full(len(bare), -1, dtype=np.int32), vocabulary.byte_cost * np.minimum(width[bare], left[bare])))
-        place, size, piece, score = (np.concatenate(x) for x in zip(*found))
+        # longest pieces, mostly the likely ones, come first within a place
+        place, size, piece, score = (np.concatenate(x) for x in zip(*found[::-1]))
         order = np.argsort(place, kind="stable")
         place, size, piece, score = place[order], size[order], piece[order], score[order]
         state = place + chunk[place]
         beta = np.zeros(len(buf) + len(n))
         togo = left[place]
+        if len(togo) and togo.max() < 1 << 16:
+            togo = togo.astype(np.uint16)  # a radix sort
         by = np.argsort(togo, kind="stable")
         cuts = np.searchsorted(togo[by], np.arange(1, int(togo.max(initial=0)) + 2))
         for d in range(len(cuts) - 1):
@@ -188,8 +201,6 @@ class Lattices:
             runs = np.diff(np.r_[begin, len(s)])
             beta[s[begin]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, runs)), begin))
         q = np.minimum(np.exp(score + beta[state + size] - beta[state]), 1.0)
-        order = np.lexsort((-q, state))  # the likely arcs of a state first
-        state, size, piece, place, q = state[order], size[order], piece[order], place[order], q[order]
         cdf = np.cumsum(q)
         if len(state):
             begin = np.flatnonzero(np.r_[True, state[1:] != state[:-1]])
@@ -377,17 +388,20 @@ def samples(texts: list[str], seeds: np.ndarray, k: int, vocabulary: Pieces) ->
         yield have, ids.astype(np.int32), cuts, logp[have], key[have], inclusion
 
 
-def sample_segmentations(df: DataFrame, model: str, k: int = 3, id: str = "doc_id", text: str = "text", theta: float = 1.0, seed: int = 0) -> DataFrame:
+def sample_segmentations(df: DataFrame, model: str, k: int = 3, id: str = "doc_id", text: str = "text", theta: float = 1.0, seed: int = 0, check: bool = False) -> DataFrame:
     """df, a row for each of its up to k distinct samples, with the columns of SAMPLE.
 
     ``model`` is the path of a SentencePiece file, which the executors read;
-    ``theta`` sharpens (above 1) or flattens the distribution.
+    ``theta`` sharpens (above 1) or flattens the distribution; ``check`` adds
+    ``round_trip``: do the ids decode to the text.
     """
     need(df, id, text)
-    kept = [c for c in df.columns if c not in SAMPLE.names]
+    names = [*SAMPLE.names, *["round_trip"] * check]
+    kept = [c for c in df.columns if c not in names]
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("0")), F.lit(seed)).alias("__seed"), F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *SAMPLE.fields])
+    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *SAMPLE.fields, *[T.StructField("round_trip", T.BooleanType())] * check])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model, theta)
         for batch in batches:
@@ -397,11 +411,22 @@ def sample_segmentations(df: DataFrame, model: str, k: int = 3, id: str = "doc_i
                 for n, (rows, ids, cuts, logp, key, inclusion) in enumerate(samples(texts, seeds, k, vocabulary)):
                     take = pa.array(rows)
                     own = [part.column(i).take(take) for i in range(len(kept))]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(rows), n + 1, dtype=np.int32)), list_array(ids, cuts, pa.int32()), pa.array(logp), pa.array(key), pa.array(inclusion)], names=[*kept, *SAMPLE.names])
+                    columns = [pa.array(np.full(len(rows), n + 1, dtype=np.int32)), list_array(ids, cuts, pa.int32()), pa.array(logp), pa.array(key), pa.array(inclusion)]
+                    if check:
+                        back = decoded_texts(vocabulary, ids, cuts)
+                        columns.append(pa.array([b == texts[r].replace("▁", " ") for b, r in zip(back, rows)], type=pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([*own, *columns], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
 
 
+def decoded_texts(vocabulary: Pieces, ids: np.ndarray, cuts: np.ndarray) -> Iterator[str]:
+    """The text of each run of ids between the cuts, without the space that encoding puts first."""
+    data, places = vocabulary.decode(ids)
+    raw, at = data.tobytes(), places[cuts]
+    return (raw[a:b].decode("utf-8", "replace")[1:] for a, b in zip(at[:-1], at[1:]))
+
+
 def decode_ids(df: DataFrame, model: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """df and the text that the ids stand for, without the space that encoding puts first."""
     need(df, ids)
@@ -409,6 +434,7 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", output: str = "decod
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField(output, T.StringType())])
     at = kept.index(ids)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for batch in batches:
@@ -416,10 +442,8 @@ def decode_ids(df: DataFrame, model: str, ids: str = "ids", output: str = "decod
                 part = batch.slice(lo, 256)
                 lists = part.column(at)
                 flat = lists.flatten()
-                data, places = vocabulary.decode(flat.to_numpy(zero_copy_only=False))
-                cuts = places[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])]
-                raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace")[1:] for a, b in zip(cuts[:-1], cuts[1:])]
+                cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                texts = list(decoded_texts(vocabulary, flat.to_numpy(zero_copy_only=False), cuts))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(texts, mask=lists.is_null().to_numpy(zero_copy_only=False), type=pa.string())], names=[*kept, output])
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
