@@ -14,7 +14,7 @@ from .licenses import license_scan
 from .linededup import line_dedup
 from .lm import lm_scores
 from .quality import quality_rules
-from .segment import decode_ids, sample_segmentations
+from .segment import sample_segmentations
 from .tokens import with_token_counts
 from .toxicity import toxicity
 from .warc import captures, deduplicate_archive, write_archive
@@ -57,11 +57,8 @@ SAMPLES = 2
 
 def segmented(docs: DataFrame) -> DataFrame:
     """Digest of SAMPLES sampled segmentations of each whole text, decoded again and compared."""
-    model = tokenizer_path("piece_bpe_32k.model")
-    drawn = sample_segmentations(docs.select("doc_id", "text"), model, k=SAMPLES)
-    back = decode_ids(drawn, model)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
-    return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "key", "log_inclusion", same.alias("round_trip"))
+    drawn = sample_segmentations(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), k=SAMPLES, check=True)
+    return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "key", "log_inclusion", "round_trip")
 
 
 def op4_segmentation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +157,22 @@ SELECT page_id, payload_bytes, d.payload_digest, uri,
        CASE WHEN first_page IS NULL OR page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first_page IS NULL OR page_id = first_page THEN NULL ELSE first_page END AS refers_to
 FROM d JOIN o ON o.payload_digest = d.payload_digest
+""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE ws AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM ws),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id
 """,
     "op10_quality_rules": rf"""
 WITH {_LINES},
