@@ -16,8 +16,9 @@ that many documents share out of their prefixes.
     what links into components.  Within a large group of near copies this
     takes a linear number of pairs.
 3.  Light shingles (fewer than ``HEAVY`` members): verify the pairs from different
-    components, each at the first shingle that it shares, behind the size
-    and the positional filter.
+    components, each at the first shingle that it shares, behind the size and
+    the positional filter and a parity sketch: of 256 bits, each shingle of a set
+    flips one, so two sketches differ in no more bits than the sets in members.
 4.  Heavy shingles: their members are indexed again with the shingles in order of
     their exact frequency, rare ones first, which leaves a common passage
     outside of almost all prefixes and makes the positional filter sharp; then
@@ -48,12 +49,13 @@ from pyspark.sql import functions as F
 from .components import components
 from .durable import checked_broadcast, written
 from .rows import need
-from .textkit import Words, list_array, mix64, shingle_sets, signed, slices
+from .textkit import Words, list_array, mix64, shingle_sets, signed, slices, tidy
 
 #: Members from which a shingle counts as heavy.  It decides how pairs are found, never which.
 HEAVY = 64
 #: Common shingles that are broadcast (8 bytes each).
 COMMON = 1_000_000
+SKETCH = ["s0", "s1", "s2", "s3"]
 #: Members of one pivot that a verifying task takes.
 SALT_ROWS = 500
 
@@ -64,6 +66,14 @@ def _set_hash(values: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarr
         return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+def _sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of four words for every set: bit k is the parity of the members whose hash picks k."""
+    rows = len(bounds) - 1
+    row = np.repeat(np.arange(rows), np.diff(bounds))
+    odd = np.bincount(row * 256 + ((values >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=rows * 256) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(rows, 4)
+
+
 def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-percent * n) // 100 + 1
 
@@ -86,6 +96,7 @@ def _ordered(values: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> np.n
 def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
     """Sorted hashes of shingles that many documents have, as far as the smallest hashes show."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -102,9 +113,10 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(id, n, gid, pg, prefix) of (id, text): set size, class, group, prefix; gid is null for an empty set."""
+    """(id, n, gid, pg, prefix, s0..s3) of (id, text): set size, class, group, prefix, sketch; gid is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -115,16 +127,17 @@ def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 pb = np.concatenate([[0], np.cumsum(p)])
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(_set_hash(values, bounds, n)), mask=empty), pa.array(signed(_set_hash(prefix, pb, n)), mask=empty), list_array(signed(prefix), pb, pa.int64())],
-                    names=["id", "n", "gid", "pg", "prefix"],
+                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(_set_hash(values, bounds, n)), mask=empty), pa.array(signed(_set_hash(prefix, pb, n)), mask=empty), list_array(signed(prefix), pb, pa.int64()), *[pa.array(signed(x)) for x in _sketches(values, bounds).T]],
+                    names=["id", "n", "gid", "pg", "prefix", *SKETCH],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(gid, text) of one document for each class in ``wanted`` (gid)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -149,6 +162,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     pivots = load.select(F.col("b"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
     right = pivots.join(texts, pivots["b"] == texts["gid"]).select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("id"), "text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, np.empty(0, np.uint64)
         for batch in batches:
@@ -173,14 +187,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _candidate_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of (members: array of (gid, n, pos, root, prev)): pairs of a light shingle."""
+    """(a, b) of (members: array of (gid, n, pos, root, prev, sketch)): pairs of a light shingle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             gid, n, pos, root = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             prev = np.stack([flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(4, 8)], axis=1)
+            sketch = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(8, 12)], axis=1).view(np.uint64)
             none = np.stack([flat.field(k).is_null().to_numpy(zero_copy_only=False) for k in range(4, 8)], axis=1)
             out_a, out_b = [], []
             for i in range(len(bounds) - 1):
@@ -189,6 +205,8 @@ def _candidate_pairs(buckets: DataFrame, percent: int) -> DataFrame:
                 x, y = x + lo, y + lo
                 least = -(-percent * (n[x] + n[y]) // (100 + percent))
                 ok = (root[x] != root[y]) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                x, y, least = x[ok], y[ok], least[ok]
+                ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * least
                 x, y = x[ok], y[ok]
                 if len(x):
                     shared = ((prev[x][:, :, None] == prev[y][:, None, :]) & ~none[x][:, :, None] & ~none[y][:, None, :]).any(axis=(1, 2))
@@ -201,31 +219,33 @@ def _candidate_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.select("members").mapInArrow(run, "a long, b long")
 
 
-def _light_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _light_pairs(postings: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
     """Pairs at light shingles of (token, gid, n, pos, prev1..prev4), where components differ."""
-    labelled = postings.join(roots, postings["gid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "gid"))
-    member = F.struct("gid", "n", "pos", "root", "prev1", "prev2", "prev3", "prev4")
-    buckets = labelled.groupBy("token").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    member = F.struct("gid", "n", "pos", "root", "prev1", "prev2", "prev3", "prev4", *SKETCH)
+    buckets = postings.join(attributes, "gid").groupBy("token").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     return _candidate_pairs(buckets, percent).distinct()
 
 
-def _heavy_pairs(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _heavy_pairs(postings: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
     """Pairs at heavy shingles: members outside the main component against all members."""
-    labelled = written(postings.join(roots, postings["gid"] == roots["node"], "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("root")), "heavy")
+    columns = ["gid", "n", "pos", "root", *SKETCH]
+    labelled = written(postings.join(attributes, "gid").select("token", *columns), "heavy")
     sizes = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
     main = written(sizes.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main"), "main")
     every = labelled.join(main, "token")
-    x = every.where("root <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "pos", "root")])
-    y = every.select("token", "main", *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "pos", "root")])
+    x = every.where("root <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = every.select("token", "main", *[F.col(c).alias(f"{c}_y") for c in columns])
     least = F.expr(f"(-1) * floor(-{percent} * (n_x + n_y) / {100 + percent}.0D)")
     near = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("gid_x") < F.col("gid_y")))
     fits = (F.col("n_x") - F.col("pos_x") >= least) & (F.col("n_y") - F.col("pos_y") >= least) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    return x.join(y, "token").where(near & fits).select(F.least("gid_x", "gid_y").alias("a"), F.greatest("gid_x", "gid_y").alias("b")).distinct()
+    differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH), F.lit(0))
+    return x.join(y, "token").where(near & fits & (differ <= F.col("n_x") + F.col("n_y") - 2 * least)).select(F.least("gid_x", "gid_y").alias("a"), F.greatest("gid_x", "gid_y").alias("b")).distinct()
 
 
 def _rare_first(docs_of: DataFrame, width: int, percent: int) -> DataFrame:
     """(token, df, gid, n, pos, prev1..4) of (gid, text): prefixes with rare shingles first."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -270,14 +290,17 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     found = written(verified(pairs, class_texts(docs, written(both(pairs), "wanted"), width), width, percent), "star-links")
     roots = written(components(found), "star-roots")
 
+    sketches = full.groupBy("gid").agg(*[F.first(c).alias(c) for c in SKETCH])
+    attributes = written(sketches.join(roots, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("root", "gid").alias("root"), *SKETCH), "attributes")
+
     by_doc = Window.partitionBy("gid").orderBy("pos")
     previous = [F.lag("token", k).over(by_doc).alias(f"prev{k}") for k in (1, 2, 3, 4)]
     light = shared.select("token", "df", "gid", "n", "pos", *previous).where(F.col("df") < HEAVY)
-    more = _light_pairs(light, roots, percent)
+    more = _light_pairs(light, attributes, percent)
 
     heavy = written(shared.where(F.col("df") >= HEAVY).select("gid").distinct(), "heavy-docs")
     again = written(_rare_first(class_texts(docs, heavy, width), width, percent), "rare-first")
-    more = more.union(_light_pairs(again.where(F.col("df") < HEAVY), roots, percent)).union(_heavy_pairs(again.where(F.col("df") >= HEAVY), roots, percent)).distinct()
+    more = more.union(_light_pairs(again.where(F.col("df") < HEAVY), attributes, percent)).union(_heavy_pairs(again.where(F.col("df") >= HEAVY), attributes, percent)).distinct()
     flipped = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(flipped, ["a", "b"], "left_anti"), "more-pairs")
     second = written(verified(more, class_texts(docs, written(both(more), "wanted"), width), width, percent), "more-links")
