@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import need
-from .textkit import Words, combine, slices
+from .textkit import Words, combine, slices, tidy
 
 #: Text bytes of the items that are broadcast at once.
 BLOCK_BYTES = 8 << 20
@@ -181,6 +181,7 @@ def _pass(df: DataFrame, columns: list[str], text: str, items: Items, percent: i
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in columns]).schema.fields, T.StructField("hits", HITS)])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("similarity", pa.float64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):

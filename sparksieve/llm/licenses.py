@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .decontam import LooseWords
 from .durable import checked_broadcast, written
 from .rows import need
-from .textkit import signed, slices
+from .textkit import signed, slices, tidy
 
 BLOCK_LINES = 12
 #: The notices that the licences' own texts ask for, and their short forms.
@@ -120,6 +120,7 @@ def document_frequencies(docs: DataFrame) -> Matcher:
     order = np.argsort(hashes)
     keys = hashes[order]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(len(keys), dtype=np.int64), 0
         for batch in batches:
@@ -142,6 +143,7 @@ def own_licenses(df: DataFrame, text: str, is_file: str, matcher: Matcher, least
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField("license", T.StringType()), T.StructField("license_score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(matcher)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("__text")

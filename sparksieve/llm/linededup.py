@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .durable import written
 from .rows import need
-from .textkit import _IS_WORD, combine, hash_spans, raw_bytes, signed, slices, spans
+from .textkit import combine, hash_spans, raw_bytes, signed, slices, spans, tidy, _IS_WORD
 
 _WINDOWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("pos", T.IntegerType())])
 
@@ -50,6 +50,7 @@ def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def windows(docs: DataFrame, width: int = 3) -> DataFrame:
     """(id, row, h, g, pos) of every window of (id, row, text); (h, g) stand for its lines."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -105,6 +106,7 @@ def line_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in out]).schema.fields, T.StructField("n_removed_lines", T.LongType())])
     at = out.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(len(out))]

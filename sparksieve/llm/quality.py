@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .durable import BROADCAST_ROWS, written
 from .rows import need
-from .textkit import Words, hash_spans, mix64, slices, spans
+from .textkit import Words, hash_spans, mix64, slices, spans, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The characters that count as symbols.
@@ -83,6 +83,7 @@ def with_rule_counts(df: DataFrame, text: str = "text") -> DataFrame:
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = df.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):

@@ -1,11 +1,18 @@
-"""Checks that operators make on their input's columns."""
+"""Checks that operators make on their input's columns, and the size of Arrow batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Rows of an Arrow batch: with Spark's default of 10,000, documents would fill hundreds of MB.
+BATCH_ROWS = 512
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def need(df: DataFrame, *names: str) -> None:
-    """Raise a ValueError that names the columns which df lacks."""
+    """Raise a ValueError that names the columns which df lacks; hold the session's Arrow batches to BATCH_ROWS."""
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"input lacks the columns {missing}; it has {df.columns}")
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_SETTING)) <= BATCH_ROWS:
+        conf.set(_SETTING, str(BATCH_ROWS))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import need
-from .textkit import slices
+from .textkit import regrouped, tidy
 
 #: Distinct segments a worker remembers (the first it meets, so the frequent ones); about 100 MB.
 MEMO = 600_000
@@ -133,13 +133,13 @@ def with_token_counts(df: DataFrame, tokenizer: str, text: str = "text", split:
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("over_limit")).schema
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer, split)
-        for batch in batches:
-            for part in slices(batch, "__text", SLICE):
-                texts = part.column("__text")
-                tokens = counter(texts)
-                size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], size, pa.array(tokens), pa.array(tokens > over)], names=[*kept, "n_bytes", "n_tokens", "over_limit"])
+        for part in regrouped(batches, "__text", SLICE):
+            texts = part.column("__text")
+            tokens = counter(texts)
+            size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], size, pa.array(tokens), pa.array(tokens > over)], names=[*kept, "n_bytes", "n_tokens", "over_limit"])
 
     return source.mapInArrow(run, schema)

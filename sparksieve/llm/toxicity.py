@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .decontam import LooseWords
 from .durable import checked_broadcast, written
 from .rows import need
-from .textkit import list_array, signed, slices
+from .textkit import list_array, regrouped, signed, slices, tidy
 
 FEATURES = 2048
 SAMPLE_ROWS = 20_000
@@ -108,23 +108,23 @@ def fit(row: np.ndarray, term: np.ndarray, value: np.ndarray, grade: np.ndarray,
 def term_table(labelled: DataFrame) -> DataFrame:
     """(term, bad, good): labelled documents of either kind that have each term; input (text, toxic)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                found = []
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False)
-                at = 0
-                for s in slices(part, "text"):
-                    w = LooseWords(s.column("text"))
-                    order = np.lexsort((w.hashes, w.rows))
-                    h, r = w.hashes[order], w.rows[order]
-                    new = np.ones(len(h), dtype=bool)
-                    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                    found.append((h[new], toxic[at + r[new]]))
-                    at += s.num_rows
-                h, bad = (np.concatenate(x) for x in zip(*found))
-                term, place = np.unique(h, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(np.bincount(place, bad, len(term)).astype(np.int64)), pa.array(np.bincount(place, 1 - bad, len(term)).astype(np.int64))], names=["term", "bad", "good"])
+        for part in regrouped(batches, "text", 4 << 20):
+            found = []
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False)
+            at = 0
+            for s in slices(part, "text"):
+                w = LooseWords(s.column("text"))
+                order = np.lexsort((w.hashes, w.rows))
+                h, r = w.hashes[order], w.rows[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+                found.append((h[new], toxic[at + r[new]]))
+                at += s.num_rows
+            h, bad = (np.concatenate(x) for x in zip(*found))
+            term, place = np.unique(h, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(np.bincount(place, bad, len(term)).astype(np.int64)), pa.array(np.bincount(place, 1 - bad, len(term)).astype(np.int64))], names=["term", "bad", "good"])
 
     return labelled.mapInArrow(run, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
@@ -147,6 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> Se
     picked = joined.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, max_rows / max(1, n)) * 1_000_000))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -177,6 +178,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *[T.StructField(k, t) for k, t in OUTPUTS.items()]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .durable import checked_broadcast, written
+from .textkit import tidy
 
 CRLF = "\r\n"
 #: The profile that the WARC standard names for payloads equal by digest.
@@ -131,6 +132,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     names = schema.names
     arrow = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema.fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
