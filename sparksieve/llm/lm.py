@@ -1,56 +1,53 @@
-"""Scoring with a backoff n-gram model as a weighted automaton (operator 9).
+"""Scoring with a backoff n-gram model of all repeated n-grams (operator 9).
 
 Training counts words and n-grams of all training texts with map-side partial
-sums and ordinary shuffles.  The model keeps every word's count in a table
-that grows with the corpus, and in memory (a documented bound) the
-``HEAD_WORDS`` most frequent words and the ``KEPT`` most frequent n-grams of each
-higher order over the ``NGRAM_WORDS`` most frequent words; cuts are by count, so
-all n-grams of a count stay or go together.  Higher orders use absolute
-discounting, D = n1 / (n1 + 2 n2), and backoff weights that make each
+sums and ordinary shuffles.  The model keeps every word and every n-gram of a
+higher order that occurs ``LEAST`` times or more, in written tables that grow with the
+corpus.  Higher orders use absolute discounting, D = n1 / (n1 + 2 n2), counted over
+the n-grams whose two (n-1)-grams are kept, and backoff weights that make each
 distribution sum to one; the lowest order is the add-one estimate
 (c + 1) / (N + V + 1), whose spare unit is the unknown word's.
 
-The automaton has a state for each kept context, an arc for each kept n-gram and
-a failure arc from each state to its longest proper suffix that is a state.
-Scoring walks each text once from left to right: the state is carried from
-token to token, and a word that has no arc costs the backoff weights of the
-failure arcs to a state that has one.  Pieces of 512 tokens walk in lockstep;
-each begins with the tokens before it that the model's memory spans, so the
-pieces' sum is exactly the text's score.  Words outside of the head leave the
-automaton at its root, so their log-probabilities are a separate sum, which a
-join with the table of counts adds.
+A backoff score is a sum over the n-grams of a text: log p of each word and the
+backoff weight of each context, and for each kept n-gram what its own
+probability is above that of its backoff.  So the model is one table of weights
+by n-gram, and a text's score is the sum of a join with it.  The ``HEAD_WORDS``
+most frequent rows are looked up in memory instead, and a bit filter of the
+table's keys (at most ``FILTER_BITS``) leaves n-grams that it cannot hold out of the
+shuffle; both decide how a weight is found, never whether.
 
 Defined results: a null or empty text is one end token; a null id counts as the
 empty string for the split; repeated rows are scored each; with no training
 text every word is unknown; an empty table gives an empty result; other columns
-are not carried.
+are not carried.  N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import checked_broadcast, written
 from .rows import need
-from .textkit import Words, list_array, regrouped, signed, slices, tidy
+from .textkit import Words, list_array, mix64, regrouped, signed, slices, tidy
 
-#: Words whose counts are held in memory (24 bytes each).
+#: Rows of the weights that are held in memory (24 bytes each), the most frequent.
 HEAD_WORDS = 400_000
-#: Words that n-grams are made of; below 2**20.
-NGRAM_WORDS = 1 << 15
-#: N-grams kept of each order above the first (about 32 bytes each).
-KEPT = 500_000
+#: A smaller model on request: n-grams of so many words only, and so many n-grams of each order; None: all.
+NGRAM_WORDS: int | None = None
+KEPT: int | None = None
+#: Count from which an n-gram is kept.
+LEAST = 2
 ORDER = 3
-#: Tokens of a piece of a walk.
+#: Lookups of one row of the table that is joined; longer texts have several.
 PIECE = 512
-_BITS = 20
-_MASK = (1 << _BITS) - 1
+#: Most bits of the filter (64 MB); eight a key while they last.
+FILTER_BITS = 1 << 29
 
 
 def held_out(id: Column) -> Column:
@@ -69,53 +66,31 @@ def _cut(table: DataFrame, count: str, most: int, least: int) -> int:
     return cut if cut is not None else np.iinfo(np.int64).max
 
 
-@dataclass
-class Model:
-    """Head words, automaton and totals; what is broadcast."""
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of the n-gram whose first n-1 words have the key a and last n-1 words b."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64(a * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)) + b)
 
-    words: np.ndarray  # sorted hashes
-    counts: np.ndarray  # of words; the last entry is the end token's
-    gram: np.ndarray  # index among the n-gram words, or -1
-    total: int
-    distinct: int
-    uni_next: np.ndarray = field(default=None)
-    arcs: np.ndarray = field(default=None)  # sorted state << 20 | word
-    arc_logp: np.ndarray = field(default=None)
-    arc_next: np.ndarray = field(default=None)
-    fail: np.ndarray = field(default=None)
-    backoff: np.ndarray = field(default=None)
-
-    @property
-    def uni(self) -> np.ndarray:
-        return np.log10((self.counts + 1.0) / (self.total + self.distinct + 1.0))
-
-    def index(self, hashes: np.ndarray) -> np.ndarray:
-        """Index of each word hash, -1 outside of the head."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-
-class Tokens:
-    """Head indices of the tokens of a slice, each text followed by its end."""
-
-    def __init__(self, column: pa.Array, model: Model):
-        w = Words(column)
-        n = w.counts + 1
-        self.bounds = np.concatenate([[0], np.cumsum(n)])
-        self.row = np.repeat(np.arange(len(n)), n)
-        self.hashes = np.zeros(int(n.sum()), dtype=np.uint64)
-        inner = np.ones(len(self.hashes), dtype=bool)
-        inner[self.bounds[1:] - 1] = False
-        self.hashes[inner] = w.hashes
-        self.ids = np.full(len(self.hashes), len(model.words))
-        self.ids[inner] = model.index(w.hashes)
-
-
-def _partial(keys: np.ndarray) -> pa.RecordBatch:
-    key, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["k", "c"])
+
+def grams(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b) of every n-gram of the texts, each followed by its end token, whose key is 0; n > 1."""
+    row, key = tokens(column)
+    for _ in range(n - 2):
+        key = pair_key(key[:-1], key[1:])
+    size = max(0, len(row) - n + 1)
+    ok = row[:size] == row[n - 1 :][:size]
+    return row[:size][ok], key[:-1][:size][ok], key[1:][:size][ok]
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every token of the texts, each followed by its end."""
+    w = Words(column)
+    n = w.counts + 1
+    key = np.zeros(int(n.sum()), dtype=np.uint64)
+    inner = np.ones(len(key), dtype=bool)
+    inner[np.cumsum(n) - 1] = False
+    key[inner] = w.hashes
+    return np.repeat(np.arange(len(n)), n), key
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -124,167 +99,184 @@ def word_counts(texts: DataFrame) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in regrouped(batches, "text", 8 << 20):
-            yield _partial(np.concatenate([signed(Words(s.column("text")).hashes) for s in slices(part, "text")]))
+            key, n = np.unique(np.concatenate([signed(Words(s.column("text")).hashes) for s in slices(part, "text")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["k", "c"])
 
     return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
-def _ngram_counts(texts: DataFrame, model: Model, n: int, kept: np.ndarray | None) -> DataFrame:
-    """(k, c) of the n-grams of n-gram words whose (n-1)-grams are both kept."""
-    shared = texts.sparkSession.sparkContext.broadcast((model, kept))
+def _bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word of the filter and the two bits there of each key."""
+    one, high = np.uint64(1), np.uint64(63)
+    return (keys >> np.uint64(20)) & np.uint64(words - 1), (one << (keys & high)) | (one << ((keys >> np.uint64(6)) & high))
+
+
+def key_filter(table: DataFrame) -> np.ndarray:
+    """Bits of which every key (k) of a written table has its own set; others may."""
+    n = max(1, table.count())
+    words = min(FILTER_BITS, 1 << (8 * n - 1).bit_length()) // 64 or 1
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, kept = shared.value
-        gram = np.append(model.gram, [_MASK])
-
-        def keys(part: pa.RecordBatch) -> np.ndarray:
-            t = Tokens(part.column("text"), model)
-            g = np.where(t.ids >= 0, gram[t.ids], -1)
-            size = max(0, len(g) - n + 1)
-            ok = t.row[:size] == t.row[n - 1 :][:size]
-            key = np.zeros(size, dtype=np.int64)
-            for i in range(n):
-                ok &= g[i : i + size] >= 0
-                key = (key << _BITS) | g[i : i + size]
-            key = key[ok]
-            if kept is not None:
-                key = key[_among(kept, key >> _BITS) & _among(kept, key & ((1 << _BITS * (n - 1)) - 1))]
-            return key
+        own = np.zeros(words, dtype=np.uint64)
+        for batch in batches:
+            at, bits = _bits(batch.column("k").to_numpy().view(np.uint64), words)
+            np.bitwise_or.at(own, at.astype(np.int64), bits)
+        at = np.flatnonzero(own)
+        for i in range(0, len(at), 1 << 16):
+            j = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(own[j].view(np.int64))], names=["at", "bits"])
+
+    got = table.select("k").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, dtype=np.uint64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a key is certainly not in the table of the filter."""
+    at, own = _bits(keys, len(bits))
+    return bits[at.astype(np.int64)] & own == own
+
 
+def _counted(texts: DataFrame, n: int, lower: DataFrame | None) -> DataFrame:
+    """(a, b, c) of the n-grams of a text column whose (n-1)-grams are both in ``lower`` (k); None: all are."""
+    shared = None if lower is None else texts.sparkSession.sparkContext.broadcast(key_filter(lower))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in regrouped(batches, "text", 8 << 20):
-            yield _partial(np.concatenate([keys(s) for s in slices(part, "text")]))
+            found = []
+            for s in slices(part, "text"):
+                _, a, b = grams(s.column("text"), n)
+                if shared is not None:
+                    ok = maybe(shared.value, a)
+                    ok[ok] = maybe(shared.value, b[ok])
+                    a, b = a[ok], b[ok]
+                found.append((a, b))
+            a, b = (np.concatenate(x) for x in zip(*found))
+            _, first, c = np.unique(pair_key(a, b), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a[first])), pa.array(signed(b[first])), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
+
+    counted = texts.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    if lower is None:
+        return counted
+    known = checked_broadcast(lower.select("k"))
+    return counted.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi")
+
+
+def _keyed(pairs: DataFrame) -> DataFrame:
+    """(k, a, b, c) of (a, b, c)."""
 
-    return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(pair_key(a, b))), *(batch.column(c) for c in ("a", "b", "c"))], names=["k", "a", "b", "c"])
 
+    return pairs.select("a", "b", "c").mapInArrow(run, "k long, a long, b long, c long")
 
-def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return sorted_keys[at] == keys
-
-
-def _sorted(table: DataFrame, cut: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the rows with a count of at least ``cut``, by key."""
-    got = table.where(F.col("c") >= int(cut)).select("k", "c").toArrow()
-    k, c = got.column("k").to_numpy(), got.column("c").to_numpy()
-    order = np.argsort(k, kind="stable")
-    return k[order], c[order]
-
-
-def build_automaton(model: Model, grams: list[tuple[np.ndarray, np.ndarray, float]]) -> Model:
-    """States, arcs and failure arcs out of the kept n-grams (keys, counts, discount) of the orders 2, 3, ..."""
-    place = np.full(NGRAM_WORDS + 1, 0)
-    own = np.flatnonzero(model.gram >= 0)
-    place[model.gram[own]] = own  # n-gram word -> head index
-    end = len(model.words)
-    head = lambda g: np.where(g == _MASK, end, place[np.minimum(g, NGRAM_WORDS)])
-    uni = (model.counts + 1.0) / (model.total + model.distinct + 1.0)
-
-    contexts = [np.unique(keys >> _BITS) for keys, _, _ in grams]
-    first = np.cumsum([1, *[len(c) for c in contexts]])
-
-    def state(context: np.ndarray, length: int) -> np.ndarray:
-        """State of the longest suffix of contexts of ``length`` words."""
-        out = np.zeros(len(context), dtype=np.int64)
-        for k in range(1, length + 1):
-            suffix = context & ((1 << _BITS * k) - 1)
-            known = contexts[k - 1] if k <= len(contexts) else np.empty(0, np.int64)
-            hit = _among(known, suffix)
-            out[hit] = first[k - 1] + np.searchsorted(known, suffix[hit])
-        return out
-
-    states = int(first[-1])
-    model.fail, model.backoff = np.zeros(states, dtype=np.int64), np.zeros(states)
-    arcs, logp, to = [], [], []
-    lower = {}
-    for n, (keys, counts, discount) in enumerate(grams, start=2):
-        context, word = keys >> _BITS, keys & _MASK
-        base = model.counts[head(context)] if n == 2 else grams[n - 3][1][np.searchsorted(grams[n - 3][0], context)]
-        p = (counts - discount) / base
-        p_low = uni[head(word)] if n == 2 else lower[n - 1][np.searchsorted(grams[n - 3][0], keys & ((1 << _BITS * (n - 1)) - 1))]
-        lower[n] = p
-        at = np.searchsorted(contexts[n - 2], context)
-        size = len(contexts[n - 2])
-        left = 1 - np.bincount(at, p, size)
-        left_low = 1 - np.bincount(at, p_low, size)
-        mine = first[n - 2] + np.arange(size)
-        model.backoff[mine] = np.log10(np.maximum(left, 1e-12) / np.maximum(left_low, 1e-12))
-        model.fail[mine] = state(contexts[n - 2] & ((1 << _BITS * (n - 2)) - 1), n - 2)
-        arcs.append(((first[n - 2] + at) << _BITS) | head(word))
-        logp.append(np.log10(p))
-        to.append(np.where(word == _MASK, 0, state(keys & ((1 << _BITS * min(n, ORDER - 1)) - 1), min(n, ORDER - 1))))
-    arcs, logp, to = (np.concatenate([np.empty(0, kind), *x]).astype(kind) for x, kind in ((arcs, np.int64), (logp, np.float64), (to, np.int64)))
-    order = np.argsort(arcs, kind="stable")
-    model.arcs, model.arc_logp, model.arc_next = arcs[order], logp[order], to[order]
-    model.uni_next = np.zeros(end + 1, dtype=np.int64)
-    model.uni_next[own] = state(model.gram[own].astype(np.int64), 1)
-    return model
+
+@dataclass
+class Model:
+    """Totals, the in-memory head of the weights and their filter; what is broadcast."""
+
+    keys: np.ndarray  # sorted
+    base: np.ndarray
+    own: np.ndarray
+    word: np.ndarray
+    bits: np.ndarray
+    ends: int
+    total: int
+    distinct: int
+
+    def index(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, -1 outside of the head."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, vocabulary): vocabulary is the written table (k, c) of all words."""
+    """(model, weights): weights is the written table (k, c, base, own, word) of all words and kept n-grams."""
     vocabulary = written(word_counts(texts), "vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = texts.count()
-    words, counts = _sorted(vocabulary, _cut(vocabulary, "c", HEAD_WORDS, 1))
-    frequent = np.full(len(words), -1)
-    inner = counts >= _cut(vocabulary, "c", NGRAM_WORDS, 1)
-    frequent[inner] = np.arange(int(inner.sum()))
-    order = np.argsort(words.view(np.uint64), kind="stable")
-    model = Model(words.view(np.uint64)[order], np.append(counts[order], [ends]), frequent[order], int(totals["n"]) + ends, int(totals["v"]) + (ends > 0))
-    grams, kept = [], None
-    for n in range(2, ORDER + 1):
-        table = written(_ngram_counts(texts, model, n, kept), f"grams-{n}")
-        once = table.agg(F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)).alias("a"), F.coalesce(F.sum((F.col("c") == 2).cast("long")), F.lit(0)).alias("b")).first()
-        keys, c = _sorted(table, _cut(table, "c", KEPT, 2))
-        grams.append((keys, c, once["a"] / (once["a"] + 2 * once["b"]) if once["a"] else 0.5))
-        kept = keys
-    return build_automaton(model, grams), vocabulary
-
-
-def walk(model: Model, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Each text's log10 probability but for its words outside of the head; ids is flat, a text a bound."""
-    memory = ORDER - 1
-    length = np.diff(bounds)
-    pieces = -(-length // PIECE)
-    text = np.repeat(np.arange(len(length)), pieces)
-    start = np.concatenate([np.arange(p) * PIECE for p in pieces]) if len(pieces) else np.empty(0, np.int64)
-    lead = np.minimum(start, memory)
-    begin = bounds[text] + start - lead
-    size = np.minimum(length[text] - start, PIECE) + lead
-    order = np.argsort(-size, kind="stable")
-    text, lead, begin, size = text[order], lead[order], begin[order], size[order]
-    uni, arcs = model.uni, model.arcs
-    state, score = np.zeros(len(size), dtype=np.int64), np.zeros(len(size))
-    live = len(size)
-    for t in range(int(size[0]) if live else 0):
-        while size[live - 1] <= t:
-            live -= 1
-        word = ids[begin[:live] + t]
-        gain = np.zeros(live)
-        now = state[:live].copy()
-        target = np.zeros(live, dtype=np.int64)
-        open_ = np.flatnonzero(now > 0)
-        while len(open_):
-            key = (now[open_] << _BITS) | word[open_]
-            found = _among(arcs, key) & (word[open_] >= 0)
-            hit = open_[found]
-            at = np.searchsorted(arcs, key[found])
-            gain[hit] += model.arc_logp[at]
-            target[hit] = model.arc_next[at]
-            now[hit] = -1
-            miss = open_[~found]
-            gain[miss] += model.backoff[now[miss]]
-            now[miss] = model.fail[now[miss]]
-            open_ = miss[now[miss] > 0]
-        root = np.flatnonzero((now == 0) & (word >= 0))
-        gain[root] += uni[word[root]]
-        target[root] = model.uni_next[word[root]]
-        state[:live] = target
-        score[:live] += np.where(t >= lead[:live], gain, 0.0)
-    return np.bincount(text, score, len(length))
+    total, distinct = int(totals["n"]) + ends, int(totals["v"]) + (ends > 0)
+    end = texts.sparkSession.createDataFrame([(0, ends)] if ends else [], "k long, c long")
+    probability = ((F.col("c") + 1.0) / (total + distinct + 1.0)).alias("p")
+    lower = vocabulary.union(end).select("k", "c", probability, (F.col("k") != 0).cast("long").alias("word"), F.lit(0.0).alias("gain"))
+    lower = written(lower, "order-1")
+    among = None if NGRAM_WORDS is None else written(vocabulary.where(F.col("c") >= _cut(vocabulary, "c", NGRAM_WORDS, 1)).select("k").union(end.select("k")), "ngram-words")
+    weights = None
+    for n in range(2, ORDER + 2):
+        backoff = None
+        if n <= ORDER:
+            seen = Observation()
+            once = lambda x: F.sum((F.col("c") == x).cast("long"))
+            table = _counted(texts, n, among).observe(seen, once(1).alias("ones"), once(2).alias("twos"))
+            table = written(_keyed(table.where(F.col("c") >= LEAST)), f"grams-{n}")
+            ones, twos = seen.get["ones"] or 0, seen.get["twos"] or 0
+            discount = ones / (ones + 2 * twos) if ones else 0.5
+            if KEPT is not None:
+                table = written(table.where(F.col("c") >= _cut(table, "c", KEPT, LEAST)), f"kept-{n}")
+            small = checked_broadcast(lower.select("k", "c", "p"))
+            first = small.select(F.col("k").alias("a"), F.col("c").alias("before"))
+            last = small.select(F.col("k").alias("b"), F.col("p").alias("low"))
+            p = ((F.col("c") - discount) / F.col("before")).alias("p")
+            upper = written(table.join(first, "a").join(last, "b").select("k", "a", "c", p, "low"), f"order-{n}")
+            left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+            backoff = written(upper.groupBy("a").agg(F.log10(left("p") / left("low")).alias("backoff")), f"backoff-{n}")
+        # an order's own gain over its backoff, with its backoff weight as a context
+        base = F.when(F.col("word") == 1, F.log10(F.col("c") + 1.0)).otherwise(0.0)
+        if backoff is None:
+            done = lower.select("k", "c", base.alias("base"), (base + F.col("gain")).alias("own"), "word")
+        else:
+            context = checked_broadcast(backoff)
+            done = lower.join(context.withColumnRenamed("a", "k"), "k", "left").select("k", "c", base.alias("base"), (base + F.col("gain") + F.coalesce("backoff", F.lit(0.0))).alias("own"), "word")
+            gain = F.log10("p") - F.col("backoff") - F.log10("low")
+            lower = among = written(upper.join(context, "a").select("k", "c", "p", F.lit(0).cast("long").alias("word"), gain.alias("gain")), f"gains-{n}")
+        weights = done if weights is None else weights.union(done)
+    weights = written(weights.where("k <> 0"), "weights")
+    head = weights.where(F.col("c") >= _cut(weights, "c", HEAD_WORDS, 1)).select("k", "base", "own", "word").toArrow()
+    keys = head.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    found = [head.column(c).to_numpy()[order] for c in ("base", "own", "word")]
+    return Model(keys[order], *found, key_filter(weights), ends, total, distinct), weights
+
+
+def lookups(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, known words, base and own weights of each text as far as the head goes, and the distinct (row, key, times) that are left."""
+    rows = len(column)
+    row, key = tokens(column)
+    count = np.bincount(row, minlength=rows)
+    seen = np.full(rows, int(model.ends > 0))
+    base = np.log10(model.ends + 1.0) - count * np.log10(model.total + model.distinct + 1.0)
+    own = base.copy()
+    rest = []
+    for n in range(1, ORDER + 1):
+        if n == 1:
+            r, k = row[key != 0], key[key != 0]
+        else:
+            r, a, b = grams(column, n)
+            k = pair_key(a, b)
+        could = maybe(model.bits, k)
+        r, k = r[could], k[could]
+        at = model.index(k)
+        hit = at >= 0
+        r_hit, at = r[hit], at[hit]
+        base += np.bincount(r_hit, model.base[at], rows)
+        own += np.bincount(r_hit, model.own[at], rows)
+        seen += np.bincount(r_hit, model.word[at], rows).astype(np.int64)
+        rest.append((r[~hit], k[~hit]))
+    r, k = (np.concatenate(x) for x in zip(*rest))
+    order = np.lexsort((k, r))
+    r, k = r[order], k[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    first = np.flatnonzero(new)
+    return count, seen, base, own, (r[first], k[first], np.diff(np.append(first, len(k))))
 
 
 def lm_scores(df: DataFrame, id: str = "doc_id", text: str = "text", test: Column | None = None) -> DataFrame:
@@ -292,7 +284,7 @@ def lm_scores(df: DataFrame, id: str = "doc_id", text: str = "text", test: Colum
     need(df, id, text)
     split = held_out(F.col(f"`{id}`")) if test is None else test
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), split.alias("held_out"))
-    model, vocabulary = train(docs.where(~F.col("held_out")).select("text"))
+    model, weights = train(docs.where(~F.col("held_out")).select("text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @tidy
@@ -300,35 +292,27 @@ def lm_scores(df: DataFrame, id: str = "doc_id", text: str = "text", test: Colum
         from pyspark import TaskContext
 
         model, key = shared.value, TaskContext.get().partitionId() << 40
-        uni, known = model.uni, model.counts > 0
         for batch in batches:
             for part in slices(batch, "text"):
-                t = Tokens(part.column("text"), model)
+                count, seen, base, own, (row, rare, times) = lookups(model, part.column("text"))
                 rows = part.num_rows
-                head = t.ids >= 0
-                base = np.bincount(t.row[head], uni[t.ids[head]], rows)
-                seen = np.bincount(t.row[head], known[t.ids[head]], rows).astype(np.int64)
-                order = np.lexsort((t.hashes[~head], t.row[~head]))
-                h, r = t.hashes[~head][order], t.row[~head][order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(h)))
-                bounds = np.searchsorted(r[first], np.arange(rows + 1))
+                size = np.bincount(row, minlength=rows)
+                pieces = np.maximum(1, -(-size // PIECE))
+                text = np.repeat(np.arange(rows), pieces)
+                piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                bounds = np.append((np.cumsum(size) - size)[text] + piece * PIECE, len(row))
+                take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key + np.arange(rows)), part.column("id"), part.column("held_out"), pa.array(np.diff(t.bounds)), pa.array(seen), pa.array(base), pa.array(walk(model, t.ids, t.bounds)), list_array(signed(h[first]), bounds, pa.int64()), list_array(times.astype(np.int64), bounds, pa.int64())],
-                    names=["row", "id", "held_out", "n_tokens", "seen", "base", "walked", "rare", "times"],
+                    [pa.array(key + text), pa.array(piece), part.column("id").take(take), part.column("held_out").take(take), pa.array(count[text]), pa.array(seen[text]), pa.array(base[text]), pa.array(own[text]), list_array(signed(rare), bounds, pa.int64()), list_array(times.astype(np.int64), bounds, pa.int64())],
+                    names=["row", "piece", "id", "held_out", "n_tokens", "seen", "base", "own", "rare", "times"],
                 )
                 key += rows
 
-    scored = written(docs.mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, seen long, base double, walked double, rare array<long>, times array<long>"), "walked")
+    scored = written(docs.mapInArrow(run, "row long, piece long, id long, held_out boolean, n_tokens long, seen long, base double, own double, rare array<long>, times array<long>"), "looked-up")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("k"), F.col("e.times").alias("times"))
-    count = F.coalesce("c", F.lit(0))
-    tail = rare.join(vocabulary, "k", "left").groupBy("row").agg(
-        F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("tail_seen"),
-        F.sum(F.col("times") * F.log10((count + 1.0) / (model.total + model.distinct + 1.0))).alias("tail"),
-    )
-    rest = F.coalesce("tail", F.lit(0.0))
-    return scored.join(tail, "row", "left").select(
-        F.col("id").alias(id), "held_out", "n_tokens", (F.col("seen") + F.coalesce("tail_seen", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("walked") + rest).alias("score"),
+    total = lambda c: F.sum(F.col("times") * F.col(c))
+    tail = rare.join(weights.select("k", F.col("base").alias("b"), F.col("own").alias("o"), "word"), "k").groupBy("row").agg(total("word").alias("tail_seen"), total("b").alias("tail_base"), total("o").alias("tail_own"))
+    plus = lambda c, rest: F.col(c) + F.coalesce(rest, F.lit(0))
+    return scored.where("piece = 0").join(tail, "row", "left").select(
+        F.col("id").alias(id), "held_out", "n_tokens", plus("seen", "tail_seen").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base", "tail_base").alias("base_score"), plus("own", "tail_own").alias("score"),
     )

@@ -228,3 +228,25 @@ def test_toxicity_edges(spark):
     assert toxicity(hard(spark), labels).count() == len(ROWS)
     assert toxicity(hard(spark), labels.limit(0)).count() == len(ROWS)
     assert toxicity(empty(spark), labels).count() == 0
+
+
+def test_language_model_keeps_every_repeated_ngram(spark):
+    """Frequent words take no n-gram's place: a rare sentence seen twice is predicted by its trigrams, however many words there are."""
+    filler = [(i, " ".join(f"w{j}" for j in range(i * 500, i * 500 + 1000))) for i in range(70)]
+    rare = "quartz violin jumps over seventeen sleepy marmots"
+    mixed = " ".join(reversed(rare.split()))
+    docs = spark.createDataFrame([*filler, (-1, rare), (-2, rare), (1000, rare), (1001, mixed)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lm.lm_scores(docs, test=F.col("doc_id") >= 1000).collect()}
+    assert rows[1000].base_score == pytest.approx(rows[1001].base_score)
+    assert rows[1000].score > rows[1001].score + 10
+
+
+@pytest.mark.parametrize("head, bits", [(0, 64), (3, 1 << 12), (400_000, 1 << 29)])
+def test_language_model_does_not_depend_on_head_and_filter(spark, data, monkeypatch, head, bits):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(40)
+    want = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(lm, "FILTER_BITS", bits)
+    for r in lm.lm_scores(docs).collect():
+        w = want[r.doc_id]
+        assert (r.n_known, r.base_score, r.score) == (w.n_known, pytest.approx(w.base_score), pytest.approx(w.score))
