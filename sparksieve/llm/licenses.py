@@ -4,8 +4,10 @@ A text's candidate segments are the lines that hold a trigger word, each alone
 and as the start of a block of up to ``BLOCK_LINES`` lines (a header), and the
 whole text of a licence file.  Each segment is compared with the templates by
 the cosine of sparse TF-IDF vectors; inverse document frequencies are counted
-over all texts.  The best template of ``least`` or more is the text's own
-licence.  A text without one inherits from the licence file of its nearest
+over all texts, for every term of a segment or a template, and joined to the
+distinct candidate texts.  A template only counts where a segment has all its
+numbers and, if it has terms that no other licence's templates have, one of those.
+The best template of ``least`` or more is the text's own licence.  A text without one inherits from the licence file of its nearest
 ancestor directory: the distinct directories are exploded into their
 ancestors, joined to the directories of the licence files by path, and the
 nearest goes back to the rows by a join on the directory.
@@ -27,15 +29,13 @@ from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .decontam import LooseWords
 from .durable import checked_broadcast, written
 from .rows import need
-from .textkit import signed, slices, tidy
+from .textkit import regrouped, slices, tidy
 
 BLOCK_LINES = 12
 #: The notices that the licences' own texts ask for, and their short forms.
@@ -60,6 +60,25 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "SPDX-License-Identifier: GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.",
+    ],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1"],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "Zlib": ["Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "Proprietary": ["All rights reserved.", "Copyright, all rights reserved. No part may be reproduced without permission."],
 }
 #: Every template has one of these words.
@@ -74,34 +93,46 @@ def terms_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def segments_of(text: str, whole: bool) -> list[str]:
+    """The distinct candidate segments of a text; whole: the text itself is one too."""
+    lines = text.split("\n")
+    segments = [text] if whole else []
+    for i, line in enumerate(lines):
+        if re.search(TRIGGER, line):
+            segments += [line, "\n".join(lines[i : i + BLOCK_LINES]), *re.split(r"(?<=[.!?])\s+", line)]
+    return list(dict.fromkeys(segments))
+
+
 @dataclass
 class Matcher:
-    """TF-IDF vectors of the templates; terms in no template weigh as the rarest."""
+    """TF-IDF vectors of the templates, and what a segment must have for each."""
 
     n_docs: int
     df: dict[str, int]
 
     def __post_init__(self):
-        self.vectors = [(name, self.vector(t)) for name, texts in sorted(TEMPLATES.items()) for t in texts]
-
-    def vector(self, text: str) -> dict[str, float]:
-        v = {t: (1 + log(n)) * (log((1 + self.n_docs) / (1 + self.df.get(t, 0))) + 1) for t, n in Counter(terms_of(text)).items()}
+        of = {name: {t for text in texts for t in terms_of(text)} for name, texts in TEMPLATES.items()}
+        self.vectors = []
+        for name, texts in sorted(TEMPLATES.items()):
+            others = set().union(*(terms for other, terms in of.items() if other != name))
+            for text in texts:
+                terms = set(terms_of(text))
+                numbers = {t for t in terms if t[0].isdigit()}
+                self.vectors.append((name, self.vector(text, self.df), numbers, terms - others))
+
+    def vector(self, text: str, df: dict[str, int]) -> dict[str, float]:
+        v = {t: (1 + log(n)) * (log((1 + self.n_docs) / (1 + df.get(t, 0))) + 1) for t, n in Counter(terms_of(text)).items()}
         size = sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / size for t, x in v.items()}
 
-    def best(self, text: str, whole: bool) -> tuple[str | None, float]:
-        """(licence, cosine) of the best segment; ties go to the first name."""
-        lines = text.split("\n")
-        segments = [text] if whole else []
-        for i, line in enumerate(lines):
-            if re.search(TRIGGER, line):
-                segments += [line, "\n".join(lines[i : i + BLOCK_LINES]), *re.split(r"(?<=[.!?])\s+", line)]
+    def best(self, text: str, whole: bool, df: dict[str, int]) -> tuple[str | None, float]:
+        """(licence, cosine) of the best segment, df having the frequencies of all its terms; ties go to the first name."""
         found, score = None, 0.0
-        for segment in dict.fromkeys(segments):
-            v = self.vector(segment)
-            for name, t in self.vectors:
+        for segment in segments_of(text, whole):
+            v = self.vector(segment, df)
+            for name, t, numbers, own in self.vectors:
                 s = sum(x * t[k] for k, x in v.items() if k in t)
-                if s > score + 1e-12:
+                if s > score + 1e-12 and numbers <= v.keys() and (not own or own & v.keys()):
                     found, score = name, s
         return found, score
 
@@ -110,52 +141,58 @@ def template_terms() -> list[str]:
     return sorted({t for texts in TEMPLATES.values() for text in texts for t in terms_of(text)})
 
 
-def document_frequencies(docs: DataFrame) -> Matcher:
-    """The matcher whose frequencies are counted over all texts (text)."""
-    words = template_terms()
-    plain = LooseWords(pa.array(words, type=pa.large_string()))
-    single = plain.counts == 1
-    hashes = np.zeros(len(words), dtype=np.uint64)
-    hashes[single] = plain.hashes[plain.bounds[:-1][single]]
-    order = np.argsort(hashes)
-    keys = hashes[order]
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, c): in how many texts of a text column each term occurs."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(len(keys), dtype=np.int64), 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = LooseWords(part.column("text"))
-                at = np.minimum(np.searchsorted(keys, w.hashes), len(keys) - 1)
-                hit = keys[at] == w.hashes
-                counts += np.bincount(np.unique(w.rows[hit] * len(keys) + at[hit]) % len(keys), minlength=len(keys))
-                n += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(order, [-1])), pa.array(np.append(counts, [n]))], names=["term", "c"])
+        for part in regrouped(batches, "text", 8 << 20):
+            counts = Counter()
+            for text in part.column("text"):
+                counts.update(set(terms_of(text.as_py() or "")))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), type=pa.string()), pa.array(counts.values(), type=pa.int64())], names=["term", "c"])
 
-    got = {r["term"]: r["c"] for r in docs.select("text").mapInArrow(run, "term long, c long").groupBy("term").agg(F.sum("c").alias("c")).collect()}
-    return Matcher(got.get(-1, 0), {w: got.get(i, 0) for i, w in enumerate(words) if single[i]})
+    return texts.mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
 
 
-def own_licenses(df: DataFrame, text: str, is_file: str, matcher: Matcher, least: float) -> DataFrame:
-    """df with ``license`` and ``license_score`` of each text by itself; no shuffle."""
-    kept = [c for c in df.columns if c not in ("license", "license_score")]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"), F.coalesce(F.col(is_file), F.lit(False)).alias("__file"))
-    schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, T.StructField("license", T.StringType()), T.StructField("license_score", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(matcher)
+def segment_terms(candidates: DataFrame) -> DataFrame:
+    """(key, file, term) of the distinct terms of each candidate's segments."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text")
-            some = pc.fill_null(pc.match_substring_regex(texts, TRIGGER), False).to_numpy(zero_copy_only=False)
-            names, scores = [None] * batch.num_rows, [None] * batch.num_rows
-            for i in np.flatnonzero(some):
-                name, score = shared.value.best(texts[int(i)].as_py(), batch.column("__file")[int(i)].as_py())
-                if score >= least:
-                    names[i], scores[i] = name, score
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(names, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*kept, "license", "license_score"])
+            for part in slices(batch, "text"):
+                terms = [list({t for s in segments_of(text, file) for t in terms_of(s)}) for text, file in zip(part.column("text").to_pylist(), part.column("file").to_pylist())]
+                row = np.repeat(np.arange(part.num_rows), [len(t) for t in terms])
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), part.column("file").take(pa.array(row)), pa.array([x for t in terms for x in t], type=pa.string())], names=["key", "file", "term"])
+
+    return candidates.select("key", "file", "text").mapInArrow(run, "key string, file boolean, term string")
+
+
+def own_licenses(texts: DataFrame, least: float) -> DataFrame:
+    """(key, file, license, license_score) of the distinct texts of (key, file, text) that have a licence by themselves."""
+    marked = texts.where(F.col("text").rlike(TRIGGER))
+    candidates = written(marked.groupBy("key", "file").agg(F.min("text").alias("text")), "licence-candidates")
+    terms = written(segment_terms(candidates), "licence-terms")
+    spark = texts.sparkSession
+    named = spark.createDataFrame([(t,) for t in template_terms()], "term string")
+    wanted = checked_broadcast(written(terms.select("term").union(named).distinct(), "licence-wanted"))
+    frequencies = written(document_frequencies(texts.select("text")).join(wanted, "term", "left_semi"), "licence-frequencies")
+    rows = {r["term"]: r["c"] for r in frequencies.join(F.broadcast(named), "term").collect()}
+    shared = spark.sparkContext.broadcast(Matcher(texts.count(), rows))
+    of = terms.join(checked_broadcast(frequencies), "term").groupBy("key", "file").agg(F.collect_list("term").alias("terms"), F.collect_list("c").alias("counts"))
+    known = candidates.join(of, ["key", "file"], "left").select("key", "file", "text", "terms", "counts")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [shared.value.best(r["text"], r["file"], dict(zip(r["terms"] or [], r["counts"] or []))) for r in part.to_pylist()]
+                good = pa.array([score >= least for _, score in found], type=pa.bool_())
+                out = [part.column("key"), part.column("file"), pa.array([n for n, _ in found], type=pa.string()), pa.array([s for _, s in found], type=pa.float64())]
+                yield pa.RecordBatch.from_arrays(out, names=["key", "file", "license", "license_score"]).filter(good)
 
-    return source.mapInArrow(run, schema)
+    return known.mapInArrow(run, "key string, file boolean, license string, license_score double")
 
 
 def license_scan(df: DataFrame, path: str = "path", text: str = "text", least: float = 0.7) -> DataFrame:
@@ -166,16 +203,19 @@ def license_scan(df: DataFrame, path: str = "path", text: str = "text", least: f
     parts = F.split(where, "/", -1)
     folder = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     marked = df.select(*[F.col(f"`{c}`") for c in columns], F.when(where.isNotNull(), folder).alias("__dir"), F.element_at(parts, -1).rlike(FILE_NAMES).alias("__is_file"))
-    matcher = document_frequencies(df.select(F.col(f"`{text}`").cast("string").alias("text")))
-    narrow = marked.select(F.col("__dir"), F.col("__is_file"), where.alias("__path"), F.col(f"`{text}`").alias("__body"))
-    files = own_licenses(narrow.where("__is_file"), "__body", "__is_file", matcher, least).where("license is not null")
-    files = written(files.groupBy(F.col("__dir").alias("dir")).agg(F.min_by(F.struct("license", "license_score", "__path"), F.struct(-F.col("license_score"), F.col("__path"))).alias("f")), "licence-files")
+    body = F.col(f"`{text}`").cast("string")
+    # rows without a text have keys of their own, so that none is hot
+    keyed = marked.select("*", F.coalesce(F.md5(body), F.concat(F.lit("-"), where)).alias("__key"), F.coalesce("__is_file", F.lit(False)).alias("__file"))
+    verdicts = written(own_licenses(keyed.select(F.col("__key").alias("key"), F.col("__file").alias("file"), body.alias("text")), least), "licence-verdicts")
+    own = verdicts.select(F.col("key").alias("__key"), F.col("file").alias("__file"), F.col("license").alias("__own"), F.col("license_score").alias("__own_score"))
+    narrow = keyed.select("__dir", "__is_file", where.alias("__path"), "__key", "__file")
+    files = narrow.where("__is_file").join(checked_broadcast(own), ["__key", "__file"])
+    files = written(files.groupBy(F.col("__dir").alias("dir")).agg(F.min_by(F.struct(F.col("__own").alias("license"), F.col("__own_score").alias("license_score"), "__path"), F.struct(-F.col("__own_score"), F.col("__path"))).alias("f")), "licence-files")
     dirs = narrow.where("__dir is not null").select("__dir").distinct()
     steps = F.split("__dir", "/", -1)
     above = dirs.select("__dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).select("__dir", "depth", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/")).alias("dir"))
     nearest = written(above.join(checked_broadcast(files), "dir").groupBy("__dir").agg(F.max_by("f", "depth").alias("f")), "nearest")
-    own = own_licenses(marked, text, "__is_file", matcher, least).withColumnsRenamed({"license": "__own", "license_score": "__own_score"})
     near = checked_broadcast(nearest).select(F.col("__dir").alias("__near"), "f")
-    joined = own.join(near, F.col("__dir") == F.col("__near"), "left")
+    joined = keyed.join(checked_broadcast(own), ["__key", "__file"], "left").join(near, F.col("__dir") == F.col("__near"), "left")
     has = F.col("__own").isNotNull()
     return joined.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("__own", "f.license").alias("license"), F.coalesce("__own_score", "f.license_score").alias("license_score"), F.when(has, F.lit("own")).otherwise(F.col("f.__path")).alias("license_from"))

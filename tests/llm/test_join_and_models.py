@@ -1,6 +1,7 @@
 """Jaccard join, language model, WARC, segmentation, licences, toxicity."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -250,3 +251,18 @@ def test_language_model_does_not_depend_on_head_and_filter(spark, data, monkeypa
     for r in lm.lm_scores(docs).collect():
         w = want[r.doc_id]
         assert (r.n_known, r.base_score, r.score) == (w.n_known, pytest.approx(w.base_score), pytest.approx(w.score))
+
+
+def test_licences_weigh_every_term_by_all_texts(spark):
+    """Frequent words outside of the templates weigh little, and a licence without a match is not taken for another."""
+    line = "It was released under the MIT License."
+    rows = [("a/1.txt", line), ("a/2.txt", "SPDX-License-Identifier: ISC"), ("a/3.txt", "SPDX-License-Identifier: WTFPL"), ("a/4.txt", "Licensed under the GNU General Public License, version 1."), ("a/5.txt", "Licensed under the Apache License, Version 2.0.")]
+    rows += [(f"b/{i}.txt", f"it was a day of version 2.0 and {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r for r in license_scan(df).where("path like 'a/%'").collect()}
+    assert [got[f"a/{i}.txt"].license for i in range(1, 6)] == ["MIT", "ISC", None, None, "Apache-2.0"]
+    n = len(rows)
+    df_of = lambda t: sum(t in re.findall(r"[^\W_]+(?:\.[0-9]+)*", x.lower()) for _, x in rows)
+    vector = lambda text: {t: math.log((1 + n) / (1 + df_of(t))) + 1 for t in text.lower().strip(".").split()}
+    a, b = vector(line), vector("released under the mit license")
+    assert got["a/1.txt"].license_score == pytest.approx(sum(a[t] * b[t] for t in b) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
