@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksieve.llm.decontam import decontaminated
-from sparksieve.llm.durable import checked_broadcast, written
-from sparksieve.llm.jaccard import jaccard_components
+from sparksieve.llm.durable import written
+from sparksieve.llm.jaccard import one_of_each
 from sparksieve.llm.linededup import line_dedup
 from sparksieve.llm.quality import quality_rules
 from sparksieve.llm.queries import segmented, table
@@ -28,10 +28,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct(), "copies")
-    return docs.join(checked_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """Of each group of linked documents one row stays, of those with the smallest id."""
+    return one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

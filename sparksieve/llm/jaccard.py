@@ -113,8 +113,9 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(id, n, gid, pg, prefix, s0..s3) of (id, text): set size, class, group, prefix, sketch; gid is null for an empty set."""
+    """(id, n, gid, pg, prefix, s0..s3) of (id, text), with h where docs has it: set size, class, group, prefix, sketch; gid is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
+    carried = [c for c in docs.columns if c == "h"]
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +128,11 @@ def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
                 pb = np.concatenate([[0], np.cumsum(p)])
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(_set_hash(values, bounds, n)), mask=empty), pa.array(signed(_set_hash(prefix, pb, n)), mask=empty), list_array(signed(prefix), pb, pa.int64()), *[pa.array(signed(x)) for x in _sketches(values, bounds).T]],
-                    names=["id", "n", "gid", "pg", "prefix", *SKETCH],
+                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(_set_hash(values, bounds, n)), mask=empty), pa.array(signed(_set_hash(prefix, pb, n)), mask=empty), list_array(signed(prefix), pb, pa.int64()), *[pa.array(signed(x)) for x in _sketches(values, bounds).T], *(part.column(c) for c in carried)],
+                    names=["id", "n", "gid", "pg", "prefix", *SKETCH, *carried],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
+    return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>, s0 long, s1 long, s2 long, s3 long" + "".join(f", {c} long" for c in carried))
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -264,7 +265,7 @@ def _rare_first(docs_of: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(classes, roots): (id, n, gid) of every document of (id, text), and (node, root) of the linked classes."""
+    """(classes, roots): (id, n, gid), with h where docs has it, of every document of (id, text), and (node, root) of the linked classes."""
     from pyspark.sql import Window
 
     known = written(signatures(docs, width, percent, common_shingles(docs, width)), "signatures")
@@ -306,7 +307,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame
     second = written(verified(more, class_texts(docs, written(both(more), "wanted"), width), width, percent), "more-links")
     if second.limit(1).count():
         roots = written(components(found.union(second)), "roots")
-    return known.select("id", "n", "gid"), roots
+    return known.select("id", "n", "gid", *[c for c in docs.columns if c == "h"]), roots
 
 
 def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -317,3 +318,29 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     rooted = written(classes.join(roots, classes["gid"] == roots["node"], "left").select("id", "n", F.coalesce("root", "gid").alias("root")), "rooted")
     label = written(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "label"), "labels")
     return rooted.join(label, "root", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """df with one row of each group of linked rows: the smallest id (null last), then the smallest text hash.
+
+    A row is known by its id and the 64-bit hash of its text, so null or reused ids
+    remove nothing else; rows without words are in no group.
+    """
+    need(df, id, text)
+    body, key = F.col(f"`{text}`").cast("string"), F.col(f"`{id}`").cast("long")
+    classes, roots = links(df.select(key.alias("id"), body.alias("text"), F.xxhash64(body).alias("h")), width, percent)
+    rooted = classes.where("gid is not null").join(roots, classes["gid"] == roots["node"], "left").select("id", "h", F.coalesce("root", "gid").alias("root"))
+    rooted = written(rooted.groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("c")), "row-keys")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("kept"), F.sum("c").alias("rows")).where("rows > 1")
+    stays = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h"))
+    judged = written(rooted.join(written(kept, "kept"), "root").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "c", stays.alias("stays")).where("not stays or c > 1"), "copies")
+    gone, repeated = (judged.where(w).select("__id", "__h") for w in ("not stays", "stays"))
+    same = key.eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__h"))
+    left = df.join(checked_broadcast(gone), same, "left_anti")
+    if not repeated.limit(1).count():
+        return left
+    again = checked_broadcast(repeated)
+    once = left.join(again, same, "left_semi").withColumns({"__id": key, "__h": F.xxhash64(body)})
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    once = once.groupBy("__id", "__h").agg(F.min(row).alias("r")).select(*[F.col("r")[c].alias(c) for c in df.columns])
+    return left.join(again, same, "left_anti").union(once)

@@ -6,6 +6,8 @@ import pytest
 import corpus_pipeline
 from sparksieve.llm import queries
 
+from .common import BASE, hard, shingles
+
 TABLES = ["documents", "pages", "benchmark", "labels"]
 
 
@@ -35,3 +37,24 @@ def test_stages_return_document_columns(spark, data):
         out = stage(spark, docs, data)
         assert out.columns == docs.columns, name
         assert out.count() <= docs.count()
+
+
+def test_jaccard_stage_on_hard_rows(spark):
+    """Exactly one row of each group of copies stays, whatever its ids; rows without copies all stay."""
+    df = hard(spark).union(spark.createDataFrame([(None, BASE + " other tail", "n", 0, 0, "", 0), (None, None, None, 0, 0, "", 0), (11, "unrelated " * 3, "n", 0, 0, "", 0), (9, "unrelated to its id's other text", "n", 0, 0, "", 0), (None, "copies all have no id", "n", 0, 0, "", 0), (None, "copies all have no id", "n", 0, 0, "", 0), (12, "row twice", "n", 0, 0, "", 0), (12, "row twice", "n", 0, 0, "", 0)], df_schema := hard(spark).schema))
+    assert df_schema == df.schema
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                    group[i] = group[j] = min(group[i], group[j])
+    want = []
+    for g in set(group):
+        want.append(min((rows[i] for i in range(len(rows)) if group[i] == g), key=lambda r: (r[0] is None, r[0] or 0)))
+    out = corpus_pipeline.jaccard_stage(spark, df, "")
+    assert out.columns == df.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
