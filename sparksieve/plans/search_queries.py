@@ -16,8 +16,8 @@ def scores(spark, d):
 
 
 def trees(spark, d):
-    """A tree for each supplier."""
-    return search.forest(scores(spark, d), search.seeds_of(spark, table(spark, d, "supplier"), "s_suppkey"), "score", iterations=60)
+    """A tree for each supplier, as deep as the reference's."""
+    return search.forest(scores(spark, d), search.seeds_of(spark, table(spark, d, "supplier"), "s_suppkey"), "score", iterations=1000)
 
 
 @query()

@@ -52,3 +52,8 @@ def test_entry():
     import __spark_entry__
 
     assert len(__spark_entry__.queries()) >= len(QUERIES) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_forest_searches_below_the_first_level(spark, data):
+    """Each tree makes the reference's 1,000 iterations, of which opening the root takes at most 64."""
+    assert all(r.nodes > 500 for r in QUERIES["ucb_forest"](spark, data).collect())
