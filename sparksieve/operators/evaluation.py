@@ -7,9 +7,13 @@ one row of sums are small helpers on the driver or in a pandas UDF.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- folds -----------------------------------------------------------------
 
@@ -239,21 +243,89 @@ def adjusted(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> Dat
     ).drop("__m", "__r")
 
 
+#: Rows whose draws are in memory at a time, groups whose sums are, and rounds that one 64-bit hash draws signs for.
+DRAW_ROWS, DRAW_GROUPS, SIGNS = 256, 64, 64
+
+
+def _round_sums(df: DataFrame, by: list[str], id: str, value: Column, rounds: int, seed: int, draw: Callable) -> DataFrame:
+    """(by..., round, s, w) of every round 0..rounds-1: sums that ``draw`` makes of hashes and values, added up inside tasks.
+
+    ``draw(hashes, values, rounds)`` gives two vectors of sums; a task holds and sends one pair for each
+    group that it meets, however many rows there are.
+    """
+    rows = df.select(*by, F.xxhash64(F.col(id), F.lit(seed)).alias("__h"), value.cast("double").alias("__v"))
+    schema = T.StructType([*rows.schema.fields[: len(by)], T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("w", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list[np.ndarray]] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(sums)
+            columns = [pa.array([k[i] for k in keys], type=kinds[i]) for i in range(len(by))]
+            columns += [pa.array([sums[k][j].tolist() for k in keys], type=pa.list_(pa.float64())) for j in (0, 1)]
+            sums.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*by, "s", "w"])
+
+        kinds = []
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(len(by))]
+            groups: dict[tuple, list[int]] = {}
+            for n, k in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(by)))) if by else [()] * batch.num_rows):
+                groups.setdefault(k, []).append(n)
+            h = batch.column(len(by)).to_numpy().view(np.uint64)
+            v = batch.column(len(by) + 1).to_numpy(zero_copy_only=False).astype(np.float64)
+            for k, at in groups.items():
+                mine = sums.setdefault(k, [np.zeros(rounds), np.zeros(rounds)])
+                for i in range(0, len(at), DRAW_ROWS):
+                    some = at[i : i + DRAW_ROWS]
+                    for total, part in zip(mine, draw(h[some], v[some], rounds)):
+                        total += part
+                if len(sums) >= DRAW_GROUPS:
+                    yield out()
+        if sums:
+            yield out()
+
+    both = rows.mapInArrow(run, schema).select(*by, F.posexplode(F.arrays_zip("s", "w")).alias("round", "e"))
+    return both.groupBy(*by, "round").agg(F.sum("e.s").alias("s"), F.sum("e.w").alias("w"))
+
+
+def _hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """n hashes of each hash."""
+    with np.errstate(over="ignore"):
+        x = h[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _poisson(h: np.ndarray, v: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weighted values and of weights; a missing value adds its weight only."""
+    u = _hashes(h, rounds) >> np.uint64(11)
+    cuts = np.array([sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2.0**53 for k in range(16)]).astype(np.uint64)
+    w = np.searchsorted(cuts, u, side="right").astype(np.float64)
+    return np.nan_to_num(v) @ w, w.sum(axis=0)
+
+
+def _signs(h: np.ndarray, v: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of values with drawn signs and counts of values; round 0 is as observed."""
+    known = ~np.isnan(v)
+    h, v = h[known], v[known]
+    bits = np.unpackbits(_hashes(h, -(-rounds // SIGNS)).view(np.uint8), axis=1)[:, :rounds].astype(np.float64)
+    bits[:, 0] = 1
+    return 2 * (v @ bits) - v.sum(), np.full(rounds, float(len(v)))
+
+
 def bootstrap(df: DataFrame, by: list[str], id: str, value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: a row's weight in a round is a hash draw."""
-    u = F.pmod(F.xxhash64(F.col(id), F.col("round"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(6)]
-    w = F.coalesce(*[F.when(u < c, F.lit(k)) for k, c in enumerate(cuts)], F.lit(6))
-    rows = df.select(*by, F.col(id), F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    means = rows.groupBy(*by, "round").agg((F.sum(F.col("v") * w) / F.nullif(F.sum(w), F.lit(0))).alias("m"))
+    means = _round_sums(df, by, id, F.col(value), rounds, seed, _poisson).select(*by, (F.col("s") / F.nullif("w", F.lit(0.0))).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), F.count("m").alias("rounds"))
 
 
 def permutation_test(pairs: DataFrame, by: list[str], id: str, a: str, b: str, rounds: int = 200, seed: int = 7) -> DataFrame:
     """Two-sided p of the mean paired difference under sign flips drawn by hash."""
-    d = (F.col(a) - F.col(b)).alias("d")
-    rows = pairs.select(*by, F.col(id), d, F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"))
-    flip = F.when((F.col("round") > 0) & (F.pmod(F.xxhash64(F.col(id), F.col("round"), F.lit(seed)), F.lit(2)) == 0), -F.col("d")).otherwise(F.col("d"))
-    means = rows.groupBy(*by, "round").agg(F.abs(F.avg(flip)).alias("m"))
-    seen = F.max(F.when(F.col("round") == 0, F.col("m"))).over(Window.partitionBy(*by))
-    return means.withColumn("seen", seen).groupBy(*by).agg(((F.count_if((F.col("round") > 0) & (F.col("m") >= F.col("seen") - 1e-12)) + 1) / (rounds + 1)).alias("p"), F.first("seen").alias("mean_diff"))
+    sums = _round_sums(pairs, by, id, F.col(a) - F.col(b), rounds + 1, seed, _signs)
+    means = sums.select(*by, "round", F.abs(F.col("s") / F.nullif("w", F.lit(0.0))).alias("m"))
+    seen = means.groupBy(*by).agg(F.max(F.when(F.col("round") == 0, F.col("m"))).alias("seen"), F.array_agg(F.when(F.col("round") > 0, F.col("m"))).alias("drawn"))
+    least = F.col("seen") - 1e-12 * F.greatest(F.lit(1.0), "seen")
+    hits = F.size(F.filter("drawn", lambda m: m >= least))
+    return seen.select(*by, ((hits + 1) / (rounds + 1)).alias("p"), F.col("seen").alias("mean_diff"))

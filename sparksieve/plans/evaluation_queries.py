@@ -152,10 +152,10 @@ def effect_sizes(spark, d):
 
 @query()
 def bootstrap_intervals(spark, d):
-    return r6("ci_low", "ci_high", of=ev.bootstrap(labelled(spark, d), ["quality"], "doc_id", "score", 100))
+    return r6("ci_low", "ci_high", of=ev.bootstrap(labelled(spark, d), ["quality"], "doc_id", "score", 10_000))
 
 
 @query()
 def permutation_tests(spark, d):
     o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice", (F.col("o_custkey") * 300.0).alias("other"))
-    return r6("p", "mean_diff", of=ev.permutation_test(o, ["o_orderpriority"], "o_orderkey", "o_totalprice", "other", 50))
+    return r6("p", "mean_diff", of=ev.permutation_test(o, ["o_orderpriority"], "o_orderkey", "o_totalprice", "other", 10_000))

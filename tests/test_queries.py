@@ -57,3 +57,21 @@ def test_entry():
 def test_forest_searches_below_the_first_level(spark, data):
     """Each tree makes the reference's 1,000 iterations, of which opening the root takes at most 64."""
     assert all(r.nodes > 500 for r in QUERIES["ucb_forest"](spark, data).collect())
+
+
+def test_resampling_has_the_reference_number_of_rounds(spark, data):
+    """10,000 rounds each: a strong effect's p can be far under 1/51, and the interval is that of the normal approximation."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from sparksieve.operators import evaluation as ev
+
+    assert {r.rounds for r in QUERIES["bootstrap_intervals"](spark, data).collect()} == {10_000}
+    rows = spark.range(400).select("id", F.lit("x").alias("g"), (F.pmod("id", F.lit(7)) + 1.0).alias("a"), F.lit(0.0).alias("b"), F.pmod("id", F.lit(2)).cast("double").alias("even"))
+    p = ev.permutation_test(rows, ["g"], "id", "a", "b", 10_000).first()
+    assert p.p == 1 / 10_001
+    assert 0.9 < ev.permutation_test(rows.withColumn("a", F.col("even") * 2 - 1), ["g"], "id", "a", "b", 10_000).first().p <= 1
+    r = ev.bootstrap(rows, ["g"], "id", "even", 10_000).first()
+    half = 1.96 * 0.5 / math.sqrt(400)
+    assert abs(r.ci_low - (0.5 - half)) < 0.005 and abs(r.ci_high - (0.5 + half)) < 0.005
