@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset, a folder of this machine."""
+    """The cluster's spark.checkpoint.dir; only where it is unset and Spark runs in this process, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="spark-sieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,6 +37,39 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver's JVM has collected their handles.
+
+    A driver that allocates little may not collect for long, while the files fill the executors' disks.
+    """
+    spark._jvm.System.gc()
+
+
+class Scratch:
+    """The intermediate tables of one run, in one folder of the shared store.
+
+    ``done`` writes the result outside of the folder and deletes the rest, so a run leaves its result only.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.tables = spark, name, 0
+        self.root = scratch_path(spark, name)
+
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """df as a Parquet table, read back; what its job shuffled is freed."""
+        self.tables += 1
+        path = f"{self.root}/{self.tables:03d}-{name}"
+        df.write.options(**options).parquet(path)
+        free_shuffles(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def done(self, df: DataFrame) -> DataFrame:
+        result = written(df, f"{self.name}-result")
+        remove(self.spark, self.root)
+        free_shuffles(self.spark)
+        return result
+
+
 #: Rows of a key table that may be broadcast: 16-byte rows, so 16 MB at most.
 BROADCAST_ROWS = 1_000_000
 

@@ -1,53 +1,53 @@
-"""Scoring with a backoff n-gram model of all repeated n-grams (operator 9).
-
-Training counts words and n-grams of all training texts with map-side partial
-sums and ordinary shuffles.  The model keeps every word and every n-gram of a
-higher order that occurs ``LEAST`` times or more, in written tables that grow with the
-corpus.  Higher orders use absolute discounting, D = n1 / (n1 + 2 n2), counted over
-the n-grams whose two (n-1)-grams are kept, and backoff weights that make each
-distribution sum to one; the lowest order is the add-one estimate
-(c + 1) / (N + V + 1), whose spare unit is the unknown word's.
-
-A backoff score is a sum over the n-grams of a text: log p of each word and the
-backoff weight of each context, and for each kept n-gram what its own
-probability is above that of its backoff.  So the model is one table of weights
-by n-gram, and a text's score is the sum of a join with it.  The ``HEAD_WORDS``
-most frequent rows are looked up in memory instead, and a bit filter of the
-table's keys (at most ``FILTER_BITS``) leaves n-grams that it cannot hold out of the
-shuffle; both decide how a weight is found, never whether.
+"""Scoring with a weighted backoff automaton of all n-grams (operator 9).
+
+The model keeps every word and every n-gram up to ``ORDER`` of the training texts,
+those that occur once too, so it grows with the corpus.  Its states are the
+contexts h that occur; from h an arc leads over each word w that follows, and a
+failure arc of weight K / (c(h) + K) to the state of h without its first word.
+The probabilities are smoothed with a Dirichlet prior of strength K,
+
+    p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K),      p(w) = (c(w) + 1) / (N + V + 1),
+
+so each state's arcs and what passes its failure arc sum to one; the lowest
+order's spare unit is the unknown word's.  A text is read from left to right: the
+state of a place is the words before it, and the log-probabilities add up.
+
+What the automaton needs at a place are counts, so it is never built in one
+piece.  The texts are written once in chunks of about ``CHUNK`` bytes.  A chunk sends
+its distinct n-grams, each with its occurrences in training texts, to the
+parts of the key space; a part adds them up and answers each chunk with the
+totals of the keys that it asked about, in the same order.  The chunk's texts and
+the answers meet again (a cogroup by chunk), and the places are scored.  A key comes
+at most once from each chunk, so frequent words make no hot part; the parts grow in
+number with the bytes of text, and a task holds one part or one chunk.
 
 Defined results: a null or empty text is one end token; a null id counts as the
-empty string for the split; repeated rows are scored each; with no training
-text every word is unknown; an empty table gives an empty result; other columns
-are not carried.  N-grams are told apart by 64-bit hashes.
+empty string for the split; repeated rows are scored each, and tied scores stay
+tied; with no training text every word is unknown; an empty table gives an empty
+result; other columns are not carried.  N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checked_broadcast, written
+from .durable import Scratch
 from .rows import need
-from .textkit import Words, list_array, mix64, regrouped, signed, slices, tidy
-
-#: Rows of the weights that are held in memory (24 bytes each), the most frequent.
-HEAD_WORDS = 400_000
-#: A smaller model on request: n-grams of so many words only, and so many n-grams of each order; None: all.
-NGRAM_WORDS: int | None = None
-KEPT: int | None = None
-#: Count from which an n-gram is kept.
-LEAST = 2
+from .textkit import Words, list_array, mix64, regrouped, signed, tidy
+
 ORDER = 3
-#: Lookups of one row of the table that is joined; longer texts have several.
-PIECE = 512
-#: Most bits of the filter (64 MB); eight a key while they last.
-FILTER_BITS = 1 << 29
+#: Strength K of the prior, in occurrences: the best of 1, 2, 4 ... 64 on a fold of sf0.1's training texts (see the README).
+PRIOR = 64.0
+#: Text bytes of a chunk.
+CHUNK = 4 << 20
+#: Text bytes of the corpus for each part of the key space.
+PART = 8 << 20
 
 
 def held_out(id: Column) -> Column:
@@ -55,35 +55,14 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def _cut(table: DataFrame, count: str, most: int, least: int) -> int:
-    """The smallest count c >= least such that at most ``most`` rows have c or more."""
-    total, cut = 0, None
-    # one row a distinct count; read from the top, so at most ``most`` of them
-    for row in table.where(F.col(count) >= least).groupBy(count).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc(count)).toLocalIterator():
-        if total + row["k"] > most:
-            break
-        total, cut = total + row["k"], row[count]
-    return cut if cut is not None else np.iinfo(np.int64).max
-
-
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Key of the n-gram whose first n-1 words have the key a and last n-1 words b."""
     with np.errstate(over="ignore"):
         return mix64(mix64(a * np.uint64(0x9FB21C651E98DF25) + np.uint64(1)) + b)
 
 
-def grams(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, a, b) of every n-gram of the texts, each followed by its end token, whose key is 0; n > 1."""
-    row, key = tokens(column)
-    for _ in range(n - 2):
-        key = pair_key(key[:-1], key[1:])
-    size = max(0, len(row) - n + 1)
-    ok = row[:size] == row[n - 1 :][:size]
-    return row[:size][ok], key[:-1][:size][ok], key[1:][:size][ok]
-
-
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every token of the texts, each followed by its end."""
+    """(row, key) of every token of the texts, each followed by its end, whose key is 0."""
     w = Words(column)
     n = w.counts + 1
     key = np.zeros(int(n.sum()), dtype=np.uint64)
@@ -93,226 +72,140 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), key
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(k, c): occurrences of every word hash in a text column."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in regrouped(batches, "text", 8 << 20):
-            key, n = np.unique(np.concatenate([signed(Words(s.column("text")).hashes) for s in slices(part, "text")]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["k", "c"])
-
-    return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-def _bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word of the filter and the two bits there of each key."""
-    one, high = np.uint64(1), np.uint64(63)
-    return (keys >> np.uint64(20)) & np.uint64(words - 1), (one << (keys & high)) | (one << ((keys >> np.uint64(6)) & high))
+def grams(column: pa.Array, most: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(row of every token, for each n the places of the n-grams' last tokens and their keys)."""
+    row, key = tokens(column)
+    found = [(np.arange(len(row)), key)]
+    for n in range(2, most + 1):
+        key = pair_key(key[:-1], key[1:])
+        last = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) + n - 1
+        found.append((last, key[last - n + 1]))
+    return row, found
 
 
-def key_filter(table: DataFrame) -> np.ndarray:
-    """Bits of which every key (k) of a written table has its own set; others may."""
-    n = max(1, table.count())
-    words = min(FILTER_BITS, 1 << (8 * n - 1).bit_length()) // 64 or 1
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, bytes, id, held_out, text) of (id, held_out, text): a row a chunk, holding its documents as arrays."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(words, dtype=np.uint64)
-        for batch in batches:
-            at, bits = _bits(batch.column("k").to_numpy().view(np.uint64), words)
-            np.bitwise_or.at(own, at.astype(np.int64), bits)
-        at = np.flatnonzero(own)
-        for i in range(0, len(at), 1 << 16):
-            j = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(own[j].view(np.int64))], names=["at", "bits"])
+        from pyspark import TaskContext
 
-    got = table.select("k").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(words, dtype=np.uint64)
-    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return out
+        chunk = TaskContext.get().partitionId() << 32
+        for part in regrouped(batches, "text", CHUNK):
+            size = int(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
+            bounds = np.array([0, part.num_rows])
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), part.column(c)) for c in ("id", "held_out", "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([size]), *lists], names=["chunk", "bytes", "id", "held_out", "text"])
+            chunk += 1
 
+    return docs.mapInArrow(run, "chunk long, bytes long, id array<long>, held_out array<boolean>, text array<string>")
 
-def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """False where a key is certainly not in the table of the filter."""
-    at, own = _bits(keys, len(bits))
-    return bits[at.astype(np.int64)] & own == own
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the key space, which grows with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
-def _counted(texts: DataFrame, n: int, lower: DataFrame | None) -> DataFrame:
-    """(a, b, c) of the n-grams of a text column whose (n-1)-grams are both in ``lower`` (k); None: all are."""
-    shared = None if lower is None else texts.sparkSession.sparkContext.broadcast(key_filter(lower))
+
+def asked(chunks: DataFrame, orders: range, parts: int) -> DataFrame:
+    """(part, n, chunk, keys, counts): a chunk's distinct n-grams in each part, sorted, and their training occurrences."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in regrouped(batches, "text", 8 << 20):
-            found = []
-            for s in slices(part, "text"):
-                _, a, b = grams(s.column("text"), n)
-                if shared is not None:
-                    ok = maybe(shared.value, a)
-                    ok[ok] = maybe(shared.value, b[ok])
-                    a, b = a[ok], b[ok]
-                found.append((a, b))
-            a, b = (np.concatenate(x) for x in zip(*found))
-            _, first, c = np.unique(pair_key(a, b), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a[first])), pa.array(signed(b[first])), pa.array(c.astype(np.int64))], names=["a", "b", "c"])
-
-    counted = texts.mapInArrow(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    if lower is None:
-        return counted
-    known = checked_broadcast(lower.select("k"))
-    return counted.join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi")
-
-
-def _keyed(pairs: DataFrame) -> DataFrame:
-    """(k, a, b, c) of (a, b, c)."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts, test = batch.column("text")[i].values, batch.column("held_out")[i].values.to_numpy(zero_copy_only=False)
+                row, found = grams(texts, orders[-1])
+                for n in orders:
+                    last, key = found[n - 1]
+                    every = np.unique(key)
+                    own, times = np.unique(key[~test[row[last]]], return_counts=True)
+                    counts = np.zeros(len(every), dtype=np.int64)
+                    counts[np.searchsorted(every, own)] = times
+                    bounds = np.searchsorted(part_of(every, parts), np.arange(parts + 1, dtype=np.uint64))
+                    some = np.flatnonzero(np.diff(bounds))
+                    cut = np.append(bounds[some], len(every))
+                    fixed = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), n, dtype=np.int32)), pa.array(np.full(len(some), batch.column("chunk")[i].as_py()))]
+                    yield pa.RecordBatch.from_arrays([*fixed, list_array(signed(every), cut, pa.int64()), list_array(counts, cut, pa.int64())], names=["part", "n", "chunk", "keys", "counts"])
+
+    return chunks.select("chunk", "held_out", "text").mapInArrow(run, "part int, n int, chunk long, keys array<long>, counts array<long>")
+
+
+def answered(requests: DataFrame, parts: int) -> DataFrame:
+    """(chunk, n, part, counts, total, types): each request's keys' totals over all chunks; total and types of a part stand in one row of it."""
+
+    def answers(part: int, n: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        got = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lists = got.column("keys")
+        bounds = lists.offsets.to_numpy()
+        keys = lists.values.to_numpy()[bounds[0] : bounds[-1]]
+        own = got.column("counts").flatten().to_numpy()
+        distinct, at = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(sums, at, own)
+        first = np.arange(got.num_rows) == 0
+        total, types = np.where(first, sums.sum(), 0), np.where(first, np.count_nonzero(sums), 0)
+        same = [pa.array(np.full(got.num_rows, x, dtype=np.int32)) for x in (n, part)]
+        return pa.RecordBatch.from_arrays([got.column("chunk"), *same, list_array(sums[at], bounds - bounds[0], pa.int64()), pa.array(total), pa.array(types)], names=["chunk", "n", "part", "counts", "total", "types"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for batch in batches:
-            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(pair_key(a, b))), *(batch.column(c) for c in ("a", "b", "c"))], names=["k", "a", "b", "c"])
-
-    return pairs.select("a", "b", "c").mapInArrow(run, "k long, a long, b long, c long")
-
-
-@dataclass
-class Model:
-    """Totals, the in-memory head of the weights and their filter; what is broadcast."""
-
-    keys: np.ndarray  # sorted
-    base: np.ndarray
-    own: np.ndarray
-    word: np.ndarray
-    bits: np.ndarray
-    ends: int
-    total: int
-    distinct: int
-
-    def index(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, -1 outside of the head."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, weights): weights is the written table (k, c, base, own, word) of all words and kept n-grams."""
-    vocabulary = written(word_counts(texts), "vocabulary")
-    totals = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = texts.count()
-    total, distinct = int(totals["n"]) + ends, int(totals["v"]) + (ends > 0)
-    end = texts.sparkSession.createDataFrame([(0, ends)] if ends else [], "k long, c long")
-    probability = ((F.col("c") + 1.0) / (total + distinct + 1.0)).alias("p")
-    lower = vocabulary.union(end).select("k", "c", probability, (F.col("k") != 0).cast("long").alias("word"), F.lit(0.0).alias("gain"))
-    lower = written(lower, "order-1")
-    among = None if NGRAM_WORDS is None else written(vocabulary.where(F.col("c") >= _cut(vocabulary, "c", NGRAM_WORDS, 1)).select("k").union(end.select("k")), "ngram-words")
-    weights = None
-    for n in range(2, ORDER + 2):
-        backoff = None
-        if n <= ORDER:
-            seen = Observation()
-            once = lambda x: F.sum((F.col("c") == x).cast("long"))
-            table = _counted(texts, n, among).observe(seen, once(1).alias("ones"), once(2).alias("twos"))
-            table = written(_keyed(table.where(F.col("c") >= LEAST)), f"grams-{n}")
-            ones, twos = seen.get["ones"] or 0, seen.get["twos"] or 0
-            discount = ones / (ones + 2 * twos) if ones else 0.5
-            if KEPT is not None:
-                table = written(table.where(F.col("c") >= _cut(table, "c", KEPT, LEAST)), f"kept-{n}")
-            small = checked_broadcast(lower.select("k", "c", "p"))
-            first = small.select(F.col("k").alias("a"), F.col("c").alias("before"))
-            last = small.select(F.col("k").alias("b"), F.col("p").alias("low"))
-            p = ((F.col("c") - discount) / F.col("before")).alias("p")
-            upper = written(table.join(first, "a").join(last, "b").select("k", "a", "c", p, "low"), f"order-{n}")
-            left = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
-            backoff = written(upper.groupBy("a").agg(F.log10(left("p") / left("low")).alias("backoff")), f"backoff-{n}")
-        # an order's own gain over its backoff, with its backoff weight as a context
-        base = F.when(F.col("word") == 1, F.log10(F.col("c") + 1.0)).otherwise(0.0)
-        if backoff is None:
-            done = lower.select("k", "c", base.alias("base"), (base + F.col("gain")).alias("own"), "word")
-        else:
-            context = checked_broadcast(backoff)
-            done = lower.join(context.withColumnRenamed("a", "k"), "k", "left").select("k", "c", base.alias("base"), (base + F.col("gain") + F.coalesce("backoff", F.lit(0.0))).alias("own"), "word")
-            gain = F.log10("p") - F.col("backoff") - F.log10("low")
-            lower = among = written(upper.join(context, "a").select("k", "c", "p", F.lit(0).cast("long").alias("word"), gain.alias("gain")), f"gains-{n}")
-        weights = done if weights is None else weights.union(done)
-    weights = written(weights.where("k <> 0"), "weights")
-    head = weights.where(F.col("c") >= _cut(weights, "c", HEAD_WORDS, 1)).select("k", "base", "own", "word").toArrow()
-    keys = head.column("k").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    found = [head.column(c).to_numpy()[order] for c in ("base", "own", "word")]
-    return Model(keys[order], *found, key_filter(weights), ends, total, distinct), weights
-
-
-def lookups(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens, known words, base and own weights of each text as far as the head goes, and the distinct (row, key, times) that are left."""
-    rows = len(column)
-    row, key = tokens(column)
-    count = np.bincount(row, minlength=rows)
-    seen = np.full(rows, int(model.ends > 0))
-    base = np.log10(model.ends + 1.0) - count * np.log10(model.total + model.distinct + 1.0)
-    own = base.copy()
-    rest = []
-    for n in range(1, ORDER + 1):
+            part, n = batch.column("part").to_numpy(), batch.column("n").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (n[1:] != n[:-1])]) if len(part) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(part)]):
+                if held and now != (part[lo], n[lo]):
+                    yield answers(*now, held)
+                    held = []
+                now = (part[lo], n[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield answers(*now, held)
+
+    dealt = requests.repartition(parts, "part").sortWithinPartitions("part", "n")
+    return dealt.mapInArrow(run, "chunk long, n int, part int, counts array<long>, total long, types long")
+
+
+def score_chunk(texts: pa.Array, counts: list[np.ndarray], total: int, types: int, prior: float) -> tuple[np.ndarray, ...]:
+    """(tokens, known tokens, base, score) of each text, given the totals of the chunk's sorted distinct n-grams of each order."""
+    rows = len(texts)
+    row, found = grams(texts, len(counts))
+    p = before = None
+    for n, ((last, key), own) in enumerate(zip(found, counts), 1):
+        distinct, at = np.unique(key, return_inverse=True)
+        if len(distinct) != len(own):
+            raise ValueError(f"{len(own)} totals came back for {len(distinct)} n-grams")
+        c = np.zeros(len(row), dtype=np.int64)
+        c[last] = own[at]
         if n == 1:
-            r, k = row[key != 0], key[key != 0]
+            p = (c + 1.0) / (total + types + 1.0)
+            known, base = np.bincount(row, c > 0, rows).astype(np.int64), np.bincount(row, np.log10(p), rows)
         else:
-            r, a, b = grams(column, n)
-            k = pair_key(a, b)
-        could = maybe(model.bits, k)
-        r, k = r[could], k[could]
-        at = model.index(k)
-        hit = at >= 0
-        r_hit, at = r[hit], at[hit]
-        base += np.bincount(r_hit, model.base[at], rows)
-        own += np.bincount(r_hit, model.own[at], rows)
-        seen += np.bincount(r_hit, model.word[at], rows).astype(np.int64)
-        rest.append((r[~hit], k[~hit]))
-    r, k = (np.concatenate(x) for x in zip(*rest))
-    order = np.lexsort((k, r))
-    r, k = r[order], k[order]
-    new = np.ones(len(k), dtype=bool)
-    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-    first = np.flatnonzero(new)
-    return count, seen, base, own, (r[first], k[first], np.diff(np.append(first, len(k))))
-
-
-def lm_scores(df: DataFrame, id: str = "doc_id", text: str = "text", test: Column | None = None) -> DataFrame:
-    """Scores of every row of df under a model of the rows where ``test`` is false."""
-    need(df, id, text)
-    split = held_out(F.col(f"`{id}`")) if test is None else test
-    docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), split.alias("held_out"))
-    model, weights = train(docs.where(~F.col("held_out")).select("text"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+            p[last] = (c[last] + prior * p[last]) / (before[last - 1] + prior)
+        before = c
+    return np.bincount(row, minlength=rows), known, base, np.bincount(row, np.log10(p), rows)
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        model, key = shared.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch, "text"):
-                count, seen, base, own, (row, rare, times) = lookups(model, part.column("text"))
-                rows = part.num_rows
-                size = np.bincount(row, minlength=rows)
-                pieces = np.maximum(1, -(-size // PIECE))
-                text = np.repeat(np.arange(rows), pieces)
-                piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                bounds = np.append((np.cumsum(size) - size)[text] + piece * PIECE, len(row))
-                take = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key + text), pa.array(piece), part.column("id").take(take), part.column("held_out").take(take), pa.array(count[text]), pa.array(seen[text]), pa.array(base[text]), pa.array(own[text]), list_array(signed(rare), bounds, pa.int64()), list_array(times.astype(np.int64), bounds, pa.int64())],
-                    names=["row", "piece", "id", "held_out", "n_tokens", "seen", "base", "own", "rare", "times"],
-                )
-                key += rows
-
-    scored = written(docs.mapInArrow(run, "row long, piece long, id long, held_out boolean, n_tokens long, seen long, base double, own double, rare array<long>, times array<long>"), "looked-up")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("e")).select("row", F.col("e.rare").alias("k"), F.col("e.times").alias("times"))
-    total = lambda c: F.sum(F.col("times") * F.col(c))
-    tail = rare.join(weights.select("k", F.col("base").alias("b"), F.col("own").alias("o"), "word"), "k").groupBy("row").agg(total("word").alias("tail_seen"), total("b").alias("tail_base"), total("o").alias("tail_own"))
-    plus = lambda c, rest: F.col(c) + F.coalesce(rest, F.lit(0))
-    return scored.where("piece = 0").join(tail, "row", "left").select(
-        F.col("id").alias(id), "held_out", "n_tokens", plus("seen", "tail_seen").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base", "tail_base").alias("base_score"), plus("own", "tail_own").alias("score"),
-    )
+def lm_scores(df: DataFrame, id: str = "doc_id", text: str = "text", test: Column | None = None, prior: float = PRIOR) -> DataFrame:
+    """Scores of every row of df under a model of the rows where ``test`` is false."""
+    need(df, id, text)
+    split = held_out(F.col(f"`{id}`")) if test is None else F.coalesce(test, F.lit(False))
+    docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), split.alias("held_out"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    scratch = Scratch(df.sparkSession, "lm")
+    chunks = scratch.written(chunked(docs), "chunks", compression="zstd")
+    parts = 1 + int(chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]) // PART
+    totals = [scratch.written(answered(asked(chunks, orders, parts), parts), f"totals-{orders[0]}") for orders in (range(1, ORDER), range(ORDER, ORDER + 1))]
+    counted = totals[0].where("n = 1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+    total, types = counted["total"], counted["types"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks().sort_by([("n", "ascending"), ("part", "ascending")])
+        n = right.column("n").to_numpy()
+        counts = [right.filter(pa.array(n == k)).column("counts").combine_chunks().flatten().to_numpy() for k in range(1, ORDER + 1)]
+        texts = left.column("text")[0].values
+        count, known, base, score = score_chunk(texts, counts, total, types, prior)
+        return pa.table([left.column("id")[0].values, left.column("held_out")[0].values, pa.array(count), pa.array(known), pa.array(np.full(len(texts), total, dtype=np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = totals[0].union(totals[1]).select("chunk", "n", "part", "counts")
+    scored = chunks.select("chunk", "id", "held_out", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scratch.done(scored.withColumnRenamed("id", id))

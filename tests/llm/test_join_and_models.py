@@ -73,64 +73,42 @@ def test_components_of_chains(spark):
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
 
 
-def test_language_model(spark, data, monkeypatch):
-    for name, value in (("HEAD_WORDS", 400), ("NGRAM_WORDS", 120), ("KEPT", 200), ("PIECE", 16)):
-        monkeypatch.setattr(lm, name, value)
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(90001, None), (90002, ""), (90003, "Unseen Word")], "doc_id long, text string"))
-    rows = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
-    texts = {r.doc_id: words(lower(r.text)) + ["</s>"] for r in docs.collect()}
-    train = [k for k in texts if zlib.crc32(str(k).encode()) % 7 != 2]
-    c = Counter(w for k in train for w in texts[k])
-    n, v = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 1) / (n + v + 1)
-
-    def cut(counts, most, least):
-        hist, total, out = Counter(x for x in counts.values() if x >= least), 0, None
-        for x in sorted(hist, reverse=True):
-            if total + hist[x] > most:
-                break
-            total, out = total + hist[x], x
-        return out or 10**18
-
-    own = {w: x for w, x in c.items() if w != "</s>"}
-    head_cut = cut(own, 400, 1)
-    gram_cut = cut({w: x for w, x in own.items() if x >= head_cut}, 120, 1)
-    gram = {w for w, x in own.items() if x >= max(head_cut, gram_cut)} | {"</s>"}
-    prob, back, kept, counts2 = {}, {}, None, None
-    for size in (2, 3):
-        g = Counter()
-        for k in train:
-            t = texts[k]
-            for i in range(len(t) - size + 1):
-                w = tuple(t[i : i + size])
-                if set(w) <= gram and (kept is None or (w[1:] in kept and w[:-1] in kept)):
-                    g[w] += 1
-        ones, twos = (sum(x == y for x in g.values()) for y in (1, 2))
-        d = ones / (ones + 2 * twos) if ones else 0.5
-        limit = cut(g, 200, 2)
-        kept = {w: x for w, x in g.items() if x >= limit}
-        counts2 = kept if size == 2 else counts2
-        mass, low = Counter(), Counter()
-        for w, x in kept.items():
-            prob[w] = (x - d) / (c[w[0]] if size == 2 else counts2[w[:-1]])
-            mass[w[:-1]] += prob[w]
-            low[w[:-1]] += uni(w[-1]) if size == 2 else prob[w[1:]]
-        for h in mass:
-            back[h] = (1 - mass[h]) / (1 - low[h])
+def brute_scores(texts, train, prior):
+    """id -> (tokens, known, base, score) by dictionaries of counts; the model's p(history, word); the training tokens."""
+    counts = Counter(tuple(texts[k][i : i + n]) for k in train for n in (1, 2, 3) for i in range(len(texts[k]) - n + 1))
+    total = sum(x for g, x in counts.items() if len(g) == 1)
+    types = sum(len(g) == 1 for g in counts)
 
     def p(h, w):
         if not h:
-            return uni(w)
-        return prob[(*h, w)] if (*h, w) in prob else back.get(h, 1.0) * p(h[1:], w)
+            return (counts[w,] + 1) / (total + types + 1)
+        return (counts[*h, w] + prior * p(h[1:], w)) / (counts[h] + prior)
 
+    out = {}
     for k, t in texts.items():
+        out[k] = (len(t), sum(counts[w,] > 0 for w in t), sum(math.log10(p((), w)) for w in t), sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t)))
+    return out, p, total, counts
+
+
+@pytest.mark.parametrize("chunk, part", [(1 << 12, 1 << 13), (4 << 20, 8 << 20)])
+def test_language_model(spark, data, monkeypatch, chunk, part):
+    """Equal to counts in dictionaries, however the texts and the keys are cut."""
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(lm, "PART", part)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(90001, None), (90002, ""), (90003, "Unseen Word")], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    texts = {r.doc_id: [*words(lower(r.text)), "</s>"] for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    train = [k for k in texts if zlib.crc32(str(k).encode()) % 7 != 2]
+    want, p, total, counts = brute_scores(texts, train, lm.PRIOR)
+    for k, (n, known, base, score) in want.items():
         r = rows[k]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10(uni(w)) for w in t), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(tuple(t[max(0, i - 2) : i]), w)) for i, w in enumerate(t)), rel=1e-9)
-    h = next(h for h in back if len(h) == 2)
-    spare = back[h] * back.get(h[1:], 1.0) / (n + v + 1)
-    assert sum(p(h, w) for w in c) + spare == pytest.approx(1.0)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (k not in train, n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+    vocabulary = [g[0] for g in counts if len(g) == 1]
+    h = next(g for g, x in counts.items() if len(g) == 2 and x > 1 and g[1] != "</s>")
+    unknown = p(h, "a word that is in no text")
+    assert sum(p(h, w) for w in vocabulary) + unknown == pytest.approx(1.0)
 
 
 def test_language_model_edges(spark):
@@ -231,26 +209,15 @@ def test_toxicity_edges(spark):
     assert toxicity(empty(spark), labels).count() == 0
 
 
-def test_language_model_keeps_every_repeated_ngram(spark):
-    """Frequent words take no n-gram's place: a rare sentence seen twice is predicted by its trigrams, however many words there are."""
+def test_language_model_keeps_every_ngram(spark):
+    """A rare sentence seen once is predicted by its trigrams, however many other words there are."""
     filler = [(i, " ".join(f"w{j}" for j in range(i * 500, i * 500 + 1000))) for i in range(70)]
     rare = "quartz violin jumps over seventeen sleepy marmots"
     mixed = " ".join(reversed(rare.split()))
-    docs = spark.createDataFrame([*filler, (-1, rare), (-2, rare), (1000, rare), (1001, mixed)], "doc_id long, text string")
+    docs = spark.createDataFrame([*filler, (-1, rare), (1000, rare), (1001, mixed)], "doc_id long, text string")
     rows = {r.doc_id: r for r in lm.lm_scores(docs, test=F.col("doc_id") >= 1000).collect()}
     assert rows[1000].base_score == pytest.approx(rows[1001].base_score)
-    assert rows[1000].score > rows[1001].score + 10
-
-
-@pytest.mark.parametrize("head, bits", [(0, 64), (3, 1 << 12), (400_000, 1 << 29)])
-def test_language_model_does_not_depend_on_head_and_filter(spark, data, monkeypatch, head, bits):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(40)
-    want = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
-    monkeypatch.setattr(lm, "HEAD_WORDS", head)
-    monkeypatch.setattr(lm, "FILTER_BITS", bits)
-    for r in lm.lm_scores(docs).collect():
-        w = want[r.doc_id]
-        assert (r.n_known, r.base_score, r.score) == (w.n_known, pytest.approx(w.base_score), pytest.approx(w.score))
+    assert rows[1000].score > rows[1001].score + 5
 
 
 def test_licences_weigh_every_term_by_all_texts(spark):
