@@ -24,11 +24,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparksieve/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: recovery starts here."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own setting (4.1 on): delete a query's shuffle files when it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: recovery starts here.
+
+    The job's shuffle files are not needed beyond it and are deleted at its end; the session's setting is put back.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -37,14 +53,6 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does once the driver's JVM has collected their handles.
-
-    A driver that allocates little may not collect for long, while the files fill the executors' disks.
-    """
-    spark._jvm.System.gc()
-
-
 class Scratch:
     """The intermediate tables of one run, in one folder of the shared store.
 
@@ -56,17 +64,12 @@ class Scratch:
         self.root = scratch_path(spark, name)
 
     def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """df as a Parquet table, read back; what its job shuffled is freed."""
         self.tables += 1
-        path = f"{self.root}/{self.tables:03d}-{name}"
-        df.write.options(**options).parquet(path)
-        free_shuffles(self.spark)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, name, f"{self.root}/{self.tables:03d}-{name}", **options)
 
     def done(self, df: DataFrame) -> DataFrame:
         result = written(df, f"{self.name}-result")
         remove(self.spark, self.root)
-        free_shuffles(self.spark)
         return result
 
 

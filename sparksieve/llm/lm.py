@@ -45,7 +45,7 @@ ORDER = 3
 #: Strength K of the prior, in occurrences: the best of 1, 2, 4 ... 64 on a fold of sf0.1's training texts (see the README).
 PRIOR = 64.0
 #: Text bytes of a chunk.
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: Text bytes of the corpus for each part of the key space.
 PART = 8 << 20
 
@@ -107,7 +107,10 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def asked(chunks: DataFrame, orders: range, parts: int) -> DataFrame:
-    """(part, n, chunk, keys, counts): a chunk's distinct n-grams in each part, sorted, and their training occurrences."""
+    """(part, n, chunk, keys, counts, more): a chunk's distinct n-grams in each part, sorted, and their training occurrences.
+
+    A count takes a byte; where that is 127, the whole one follows in ``more``.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +127,12 @@ def asked(chunks: DataFrame, orders: range, parts: int) -> DataFrame:
                     bounds = np.searchsorted(part_of(every, parts), np.arange(parts + 1, dtype=np.uint64))
                     some = np.flatnonzero(np.diff(bounds))
                     cut = np.append(bounds[some], len(every))
+                    large = np.flatnonzero(counts >= 127)
+                    far = np.searchsorted(large, cut)
                     fixed = [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), n, dtype=np.int32)), pa.array(np.full(len(some), batch.column("chunk")[i].as_py()))]
-                    yield pa.RecordBatch.from_arrays([*fixed, list_array(signed(every), cut, pa.int64()), list_array(counts, cut, pa.int64())], names=["part", "n", "chunk", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([*fixed, list_array(signed(every), cut, pa.int64()), list_array(np.minimum(counts, 127).astype(np.int8), cut, pa.int8()), list_array(counts[large], far, pa.int64())], names=["part", "n", "chunk", "keys", "counts", "more"])
 
-    return chunks.select("chunk", "held_out", "text").mapInArrow(run, "part int, n int, chunk long, keys array<long>, counts array<long>")
+    return chunks.select("chunk", "held_out", "text").mapInArrow(run, "part int, n int, chunk long, keys array<long>, counts array<byte>, more array<long>")
 
 
 def answered(requests: DataFrame, parts: int) -> DataFrame:
@@ -138,7 +143,8 @@ def answered(requests: DataFrame, parts: int) -> DataFrame:
         lists = got.column("keys")
         bounds = lists.offsets.to_numpy()
         keys = lists.values.to_numpy()[bounds[0] : bounds[-1]]
-        own = got.column("counts").flatten().to_numpy()
+        own = got.column("counts").flatten().to_numpy().astype(np.int64)
+        own[own == 127] = got.column("more").flatten().to_numpy()
         distinct, at = np.unique(keys, return_inverse=True)
         sums = np.zeros(len(distinct), dtype=np.int64)
         np.add.at(sums, at, own)
