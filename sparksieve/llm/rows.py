@@ -16,3 +16,18 @@ def need(df: DataFrame, *names: str) -> None:
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_SETTING)) <= BATCH_ROWS:
         conf.set(_SETTING, str(BATCH_ROWS))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = f"__{name}"
+    while found.lower() in taken:
+        found += "_"
+    return found
+
+
+def others(df: DataFrame, *outputs: str) -> list[str]:
+    """df's columns without those named like an output, in any case."""
+    taken = {o.lower() for o in outputs}
+    return [c for c in df.columns if c.lower() not in taken]
