@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import Scratch
 
 
-def _minima(edges: DataFrame) -> DataFrame:
-    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, root): every node of an edge, with the smallest node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014); each
@@ -20,14 +16,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of a node is taken with partial aggregation, and the joins are between
     written tables, so AQE can split a node with very many edges.
     """
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    written = scratch.written
+
+    def minima(pairs: DataFrame) -> DataFrame:
+        return written(pairs.groupBy("u").agg(F.min("v").alias("m")), "minima")
+
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _minima(both).select("u", F.least("u", "m").alias("m"))
+        low = minima(both).select("u", F.least("u", "m").alias("m"))
         large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = _minima(down)
+        low = minima(down)
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "stars")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

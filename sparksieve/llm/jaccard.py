@@ -2,28 +2,31 @@
 
 A document's set holds its distinct word shingles.  Documents with equal sets
 are one class; classes with the same prefix and size are one group, and only
-groups enter the inverted index.  With the shingles in one global order, two
-sets of similarity t share a shingle within their first |x| - ceil(t|x|) + 1
-(the prefix).  The order here is: shingles that are known to be common last,
-otherwise by hash.  Any order gives the same result; this one keeps passages
-that many documents share out of their prefixes.
-
-1.  Count the shingles among the smallest 3/10 hashes of each document, and take
-    those with ``HEAVY`` documents or more (at most ``COMMON``, the commonest) as
-    the common ones.  Index the prefixes of the groups, count each shingle, and
-    expand the groups that share one into their members.
-2.  Star: verify each member against one pivot of each shared shingle, and join
-    what links into components.  Within a large group of near copies this
-    takes a linear number of pairs.
-3.  Light shingles (fewer than ``HEAVY`` members): verify the pairs from different
-    components, each at the first shingle that it shares, behind the size and
-    the positional filter and a parity sketch: of 256 bits, each shingle of a set
-    flips one, so two sketches differ in no more bits than the sets in members.
-4.  Heavy shingles: their members are indexed again with the shingles in order of
-    their exact frequency, rare ones first, which leaves a common passage
-    outside of almost all prefixes and makes the positional filter sharp; then
-    as in 3, the majority component of a shingle being paired with the others
-    only.
+groups enter the inverted index and are paired.  With the shingles in one
+global order, two sets of similarity t share a shingle within their first
+|x| - ceil(t|x|) + 1 (the prefix).  The order here is: shingles that are known to be
+common last, otherwise by hash.  Any order gives the same result; this one keeps
+passages that many documents share out of their prefixes.
+
+1.  Look for shingles that many documents have among the smallest 3/10 hashes of
+    each (at most ``COMMON``, the commonest).  Index the prefixes of the groups and
+    keep the shingles that two classes share.
+2.  Star: pair each group with one pivot group of each shared shingle, the one with
+    the largest share of widely shared shingles (in a family of near copies the
+    least edited); filter the group pairs by size and position, expand
+    them to classes, verify, and join what links into components.  Within a
+    large group of near copies this takes a linear number of pairs.
+3.  Light shingles (fewer than ``HEAVY`` classes): pair the groups that are not in
+    one component, each pair at its first shared shingle, behind the size and the
+    positional filter; then expand the group pairs into their classes and compare
+    parity sketches: each shingle of a set flips one bit, so two sketches differ in
+    no more bits than the sets in members (of 256 bits while they are paired, of
+    1,024 when they are expanded).
+4.  Heavy shingles: their classes are grouped and indexed again with the common
+    ones of all their shingles in order of frequency, rare ones first, which leaves a
+    common passage outside of almost all prefixes; then as in 3, with the long
+    sketches at once and the majority component of a shingle being paired with the
+    others only.
 
 Pairs whose members are in one component already need no verification, since
 the result is the components; every other candidate is verified on its whole
@@ -43,21 +46,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .durable import checked_broadcast, written
+from .durable import Scratch, checked_broadcast, remove, written
 from .rows import need
-from .textkit import Words, list_array, mix64, shingle_sets, signed, slices, tidy
+from .textkit import Words, list_array, mix64, regrouped, shingle_sets, signed, slices, tidy
 
 #: Members from which a shingle counts as heavy.  It decides how pairs are found, never which.
 HEAVY = 64
 #: Common shingles that are broadcast (8 bytes each).
 COMMON = 1_000_000
-SKETCH = ["s0", "s1", "s2", "s3"]
+#: Words of a sketch: 1,024 bits, which folded together four times make 256.
+WIDE = [f"w{i}" for i in range(16)]
+SKETCH = [f"s{i}" for i in range(4)]
 #: Members of one pivot that a verifying task takes.
 SALT_ROWS = 500
+#: Pairs that are looked at together.
+PAIRS = 1 << 16
 
 
 def _set_hash(values: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -66,12 +73,12 @@ def _set_hash(values: np.ndarray, bounds: np.ndarray, n: np.ndarray) -> np.ndarr
         return mix64(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-def _sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of four words for every set: bit k is the parity of the members whose hash picks k."""
-    rows = len(bounds) - 1
+def _sketches(values: np.ndarray, bounds: np.ndarray, words: int) -> np.ndarray:
+    """Words of 64 bits for every set: bit k is the parity of the members whose hash picks k."""
+    rows, bits = len(bounds) - 1, 64 * words
     row = np.repeat(np.arange(rows), np.diff(bounds))
-    odd = np.bincount(row * 256 + ((values >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=rows * 256) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(rows, 4)
+    odd = np.bincount(row * bits + ((values >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=rows * bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64).reshape(rows, words)
 
 
 def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -83,37 +90,49 @@ def _segments(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def _ordered(values: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The sets with their common shingles last; values are sorted within rows."""
-    if not len(common) or not len(values):
-        return values
-    at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-    late = common[at] == values
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return values[np.argsort(2 * row + late, kind="stable")]
+def _prefixes(values: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of the sets and their bounds, common shingles (hashes, ranks) coming last by rank; values are sorted within rows."""
+    n = np.diff(bounds)
+    p = np.where(n > 0, _prefix_length(n, percent), 0)
+    hashes, ranks = common
+    if len(hashes) and len(values):
+        at = np.minimum(np.searchsorted(hashes, values), len(hashes) - 1)
+        rank = np.where(hashes[at] == values, ranks[at], 0)
+        row = np.repeat(np.arange(len(n)), n)
+        values = values[np.argsort(row * (int(ranks.max()) + 1) + rank, kind="stable")]
+    return values[_segments(bounds[:-1], p)], np.concatenate([[0], np.cumsum(p)])
 
 
-def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of shingles that many documents have, as far as the smallest hashes show."""
+def common_shingles(docs: DataFrame, width: int, tenths: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and ranks by frequency, of shingles that many documents have among ``tenths`` of their smallest hashes.
+
+    Only shingles that come twice in a run of documents are counted: what is missed stays early in the order.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
+        for piece in regrouped(batches, "text", 16 << 20):
+            found = []
+            for part in slices(piece, "text"):
                 values, bounds = shingle_sets(Words(part.column("text")), width)
                 n = np.diff(bounds)
-                token, times = np.unique(values[_segments(bounds[:-1], np.where(n > 0, 3 * n // 10 + 1, 0))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(times.astype(np.int64))], names=["token", "c"])
+                found.append(values[_segments(bounds[:-1], np.where(n > 0, np.minimum(tenths * n // 10 + 1, n), 0))])
+            token, times = np.unique(np.concatenate(found), return_counts=True)
+            token, times = token[times > 1], times[times > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(times.astype(np.int64))], names=["token", "c"])
 
     counts = docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    heavy = written(counts.where(F.col("c") >= HEAVY), "common")
+    heavy = scratch.written(counts.where(F.col("c") >= HEAVY), "common")
     if heavy.count() > COMMON:
         heavy = heavy.orderBy(F.desc("c"), "token").limit(COMMON)
-    return np.sort(heavy.select("token").toArrow().column(0).to_numpy().view(np.uint64))
+    got = heavy.select("token", "c").toArrow()
+    token, c = got.column("token").to_numpy().view(np.uint64), got.column("c").to_numpy()
+    order = np.argsort(token)
+    return token[order], (np.searchsorted(np.unique(c), c) + 1)[order]
 
 
-def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(id, n, gid, pg, prefix, s0..s3) of (id, text), with h where docs has it: set size, class, group, prefix, sketch; gid is null for an empty set."""
+def signatures(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, n, gid, pg, prefix, sketch words) of (id, text), with the columns h and gid as they are where docs has them: set size, class, group, prefix; gid is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     carried = [c for c in docs.columns if c == "h"]
 
@@ -123,16 +142,14 @@ def signatures(docs: DataFrame, width: int, percent: int, common: np.ndarray) ->
             for part in slices(batch, "text"):
                 values, bounds = shingle_sets(Words(part.column("text")), width)
                 n = np.diff(bounds)
-                p = np.where(n > 0, _prefix_length(n, percent), 0)
-                prefix = _ordered(values, bounds, shared.value)[_segments(bounds[:-1], p)]
-                pb = np.concatenate([[0], np.cumsum(p)])
+                prefix, pb = _prefixes(values, bounds, shared.value, percent)
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(_set_hash(values, bounds, n)), mask=empty), pa.array(signed(_set_hash(prefix, pb, n)), mask=empty), list_array(signed(prefix), pb, pa.int64()), *[pa.array(signed(x)) for x in _sketches(values, bounds).T], *(part.column(c) for c in carried)],
-                    names=["id", "n", "gid", "pg", "prefix", *SKETCH, *carried],
+                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(signed(_set_hash(values, bounds, n)), mask=empty), pa.array(signed(_set_hash(prefix, pb, n)), mask=empty), list_array(signed(prefix), pb, pa.int64()), *[pa.array(signed(x)) for x in _sketches(values, bounds, len(WIDE)).T], *(part.column(c) for c in carried)],
+                    names=["id", "n", "gid", "pg", "prefix", *WIDE, *carried],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>, s0 long, s1 long, s2 long, s3 long" + "".join(f", {c} long" for c in carried))
+    return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>" + "".join(f", {c} long" for c in [*WIDE, *carried]))
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -158,7 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """
     load = pairs.groupBy("b").agg((F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
     keyed = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts") + 1).alias("salt"))
-    texts = written(texts, "texts")
+    texts = texts.join(checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()), "gid", "left_semi")
     left = keyed.join(texts, keyed["a"] == texts["gid"]).select("b", "salt", F.lit(1).alias("side"), F.col("a").alias("id"), "text")
     pivots = load.select(F.col("b"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
     right = pivots.join(texts, pivots["b"] == texts["gid"]).select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("id"), "text")
@@ -187,126 +204,159 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return streams.mapInArrow(run, "a long, b long")
 
 
-def _candidate_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of (members: array of (gid, n, pos, root, prev, sketch)): pairs of a light shingle."""
+def _bucket_pairs(buckets: DataFrame, percent: int, sketch: list[str]) -> DataFrame:
+    """(x, y) of (members: array of (pg, n, pos, lo, hi, k, prev1..prev4, sketch)): the group pairs of a light shingle, x <= y."""
+    words = len(sketch)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             flat, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            gid, n, pos, root = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            prev = np.stack([flat.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in range(4, 8)], axis=1)
-            sketch = np.stack([flat.field(k).to_numpy(zero_copy_only=False) for k in range(8, 12)], axis=1).view(np.uint64)
-            none = np.stack([flat.field(k).is_null().to_numpy(zero_copy_only=False) for k in range(4, 8)], axis=1)
-            out_a, out_b = [], []
-            for i in range(len(bounds) - 1):
-                lo, hi = bounds[i], bounds[i + 1]
-                x, y = np.triu_indices(hi - lo, 1)
-                x, y = x + lo, y + lo
+            pg, n, pos, low, high, k = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            prev = np.stack([flat.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(6, 10)], axis=1)
+            none = np.stack([flat.field(i).is_null().to_numpy(zero_copy_only=False) for i in range(6, 10)], axis=1)
+            bits = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(10, 10 + words)], axis=1).view(np.uint64)
+            # every place with itself and with those after it in its bucket
+            more = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(pg))
+            for lo in range(0, len(pg), step := max(1, PAIRS // int(max(1, more.max(initial=1))))):
+                m = more[lo : lo + step]
+                x = np.repeat(np.arange(lo, lo + len(m)), m)
+                y = x + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+                open_ = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])
                 least = -(-percent * (n[x] + n[y]) // (100 + percent))
-                ok = (root[x] != root[y]) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                ok = open_ & ((x != y) | (k[x] > 1)) & (n[x] - pos[x] >= least) & (n[y] - pos[y] >= least) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                 x, y, least = x[ok], y[ok], least[ok]
-                ok = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * least
+                # a group of one class has its class's sketch
+                ok = (k[x] > 1) | (k[y] > 1) | (np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y] - 2 * least)
                 x, y = x[ok], y[ok]
-                if len(x):
-                    shared = ((prev[x][:, :, None] == prev[y][:, None, :]) & ~none[x][:, :, None] & ~none[y][:, None, :]).any(axis=(1, 2))
-                    x, y = x[~shared], y[~shared]
-                    out_a.append(np.minimum(gid[x], gid[y]))
-                    out_b.append(np.maximum(gid[x], gid[y]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    return buckets.select("members").mapInArrow(run, "a long, b long")
-
-
-def _light_pairs(postings: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
-    """Pairs at light shingles of (token, gid, n, pos, prev1..prev4), where components differ."""
-    member = F.struct("gid", "n", "pos", "root", "prev1", "prev2", "prev3", "prev4", *SKETCH)
-    buckets = postings.join(attributes, "gid").groupBy("token").agg(F.collect_list(member).alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    return _candidate_pairs(buckets, percent).distinct()
-
-
-def _heavy_pairs(postings: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
-    """Pairs at heavy shingles: members outside the main component against all members."""
-    columns = ["gid", "n", "pos", "root", *SKETCH]
-    labelled = written(postings.join(attributes, "gid").select("token", *columns), "heavy")
-    sizes = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = written(sizes.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", "main"), "main")
-    every = labelled.join(main, "token")
-    x = every.where("root <> main").select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
-    y = every.select("token", "main", *[F.col(c).alias(f"{c}_y") for c in columns])
-    least = F.expr(f"(-1) * floor(-{percent} * (n_x + n_y) / {100 + percent}.0D)")
-    near = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("gid_x") < F.col("gid_y")))
-    fits = (F.col("n_x") - F.col("pos_x") >= least) & (F.col("n_y") - F.col("pos_y") >= least) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in SKETCH), F.lit(0))
-    return x.join(y, "token").where(near & fits & (differ <= F.col("n_x") + F.col("n_y") - 2 * least)).select(F.least("gid_x", "gid_y").alias("a"), F.greatest("gid_x", "gid_y").alias("b")).distinct()
+                shared = ((prev[x][:, :, None] == prev[y][:, None, :]) & ~none[x][:, :, None] & ~none[y][:, None, :]).any(axis=(1, 2)) & (x != y)
+                x, y = x[~shared], y[~shared]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pg[x], pg[y])), pa.array(np.maximum(pg[x], pg[y]))], names=["x", "y"])
 
+    return buckets.select("members").mapInArrow(run, "x long, y long")
 
-def _rare_first(docs_of: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, df, gid, n, pos, prev1..4) of (gid, text): prefixes with rare shingles first."""
 
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                values, bounds = shingle_sets(Words(part.column("text")), width)
-                yield pa.RecordBatch.from_arrays([part.column("gid"), list_array(signed(values), bounds, pa.int64())], names=["gid", "shingles"])
+def _differ(sketch: list[str], x: str, y: str):
+    return sum((F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in sketch), F.lit(0))
 
-    sets = docs_of.select("gid", "text").mapInArrow(run, "gid long, shingles array<long>")
-    tokens = written(sets.select("gid", F.explode("shingles").alias("token")), "heavy-sets")
-    counts = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "heavy-counts")
-    ranked = tokens.join(counts, "token", "left").groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("df") >= HEAVY, F.col("df")).otherwise(F.lit(0)).alias("rank"), "token", F.coalesce("df", F.lit(1)).alias("df")))).alias("s"))
-    n = F.size("s").cast("long")
-    prefix = F.slice("s", F.lit(1), (n + F.floor(-percent * n / 100.0) + 1).cast("int"))
-    rows = ranked.select("gid", n.alias("n"), prefix.alias("s")).select("gid", "n", F.posexplode("s").alias("pos", "e"), "s")
-    back = lambda k: F.when(F.col("pos") >= k, F.get("s", F.col("pos") - k)["token"]).alias(f"prev{k}")
-    return rows.select(F.col("e.token").alias("token"), F.col("e.df").alias("df"), "gid", "n", F.col("pos").cast("long").alias("pos"), back(1), back(2), back(3), back(4)).where("df > 1")
 
+def _folded() -> list:
+    """The 256-bit sketch out of the 1,024-bit one: bits that are equal modulo 256 are added modulo 2."""
+    return [F.col(f"w{i}").bitwiseXOR(F.col(f"w{i + 4}")).bitwiseXOR(F.col(f"w{i + 8}")).bitwiseXOR(F.col(f"w{i + 12}")).alias(c) for i, c in enumerate(SKETCH)]
+
+
+def _least(percent: int):
+    return F.expr(f"(-1) * floor(-{percent} * (n_x + n_y) / {100 + percent}.0D)")
+
+
+def _light_pairs(postings: DataFrame, groups: DataFrame, percent: int, sketch: list[str]) -> DataFrame:
+    """Group pairs at light shingles of (token, pg, n, pos, prev1..prev4), where components differ."""
+    member = F.struct("pg", "n", "pos", "lo", "hi", "k", "prev1", "prev2", "prev3", "prev4", *sketch)
+    buckets = postings.join(groups, "pg").groupBy("token").agg(F.collect_list(member).alias("members"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("least <> most")
+    return _bucket_pairs(buckets, percent, sketch)
 
-def links(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(classes, roots): (id, n, gid), with h where docs has it, of every document of (id, text), and (node, root) of the linked classes."""
-    from pyspark.sql import Window
 
-    known = written(signatures(docs, width, percent, common_shingles(docs, width)), "signatures")
+def _heavy_pairs(postings: DataFrame, groups: DataFrame, percent: int, sketch: list[str], scratch: Scratch) -> DataFrame:
+    """Group pairs at heavy shingles of (token, pg, n, pos, before): groups outside the main component against all.
+
+    A pair is made at its first heavy shingle: ``before`` has the heavy ones that precede in the prefix.
+    """
+    columns = ["pg", "n", "pos", "before", "lo", "hi", "k", *sketch]
+    labelled = scratch.written(postings.join(groups, "pg").select("token", *columns), "heavy")
+    sizes = labelled.where("lo = hi").groupBy("token", "lo").agg(F.sum("k").alias("c"))
+    main = scratch.written(sizes.groupBy("token").agg(F.max_by("lo", "c").alias("main")), "main")
+    every = labelled.join(main, "token", "left").withColumn("inside", (F.col("lo") == F.col("hi")) & (F.col("lo") == F.coalesce("main", F.lit(0))))
+    x = every.where("not inside").select("token", *[F.col(c).alias(f"{c}_x") for c in columns])
+    y = every.select("token", F.col("inside").alias("inside_y"), *[F.col(c).alias(f"{c}_y") for c in columns])
+    open_ = (F.col("lo_x") != F.col("hi_x")) | (F.col("lo_y") != F.col("hi_y")) | (F.col("lo_x") != F.col("lo_y"))
+    once = F.col("inside_y") | (F.col("pg_x") < F.col("pg_y")) | ((F.col("pg_x") == F.col("pg_y")) & (F.col("k_x") > 1))
+    least = _least(percent)
+    fits = (F.col("n_x") - F.col("pos_x") >= least) & (F.col("n_y") - F.col("pos_y") >= least) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    near = (F.col("k_x") > 1) | (F.col("k_y") > 1) | (_differ(sketch, "_x", "_y") <= F.col("n_x") + F.col("n_y") - 2 * least)
+    first = (F.col("pg_x") == F.col("pg_y")) | ~F.arrays_overlap("before_x", "before_y")
+    return x.join(y, "token").where(open_ & once & fits & near & first).select(F.least("pg_x", "pg_y").alias("x"), F.greatest("pg_x", "pg_y").alias("y"))
+
+
+def _expanded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the class pairs of group pairs (x, y) whose components differ and whose sketches allow a link."""
+    x = classes.select(F.col("pg").alias("x"), *[F.col(c).alias(f"{c}_x") for c in ("gid", "n", "root", *WIDE)])
+    y = classes.select(F.col("pg").alias("y"), *[F.col(c).alias(f"{c}_y") for c in ("gid", "n", "root", *WIDE)])
+    apart = (F.col("root_x") != F.col("root_y")) & ((F.col("x") != F.col("y")) | (F.col("gid_x") < F.col("gid_y")))
+    near = _differ(WIDE, "_x", "_y") <= F.col("n_x") + F.col("n_y") - 2 * _least(percent)
+    return pairs.distinct().join(x, "x").join(y, "y").where(apart & near).select(F.least("gid_x", "gid_y").alias("a"), F.greatest("gid_x", "gid_y").alias("b")).distinct()
+
+
+def _group_state(classes: DataFrame, sketch: list[str]) -> DataFrame:
+    """(pg, lo, hi, k, sketch) of the classes (gid, pg, root, sketch)."""
+    found = classes.groupBy("pg").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in WIDE])
+    return found if sketch == WIDE else found.select("pg", "lo", "hi", "k", *_folded())
+
+
+def _rare_first(texts: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(postings, classes) of (gid, text), prefixes having rare shingles first: (token, df, pg, n, pos, prev1..4, before), (gid, n, pg, sketch)."""
+    found = signatures(texts.select(F.col("gid").alias("id"), "text"), width, percent, common_shingles(texts, width, 10, scratch))
+    classes = scratch.written(found.drop("gid").withColumnRenamed("id", "gid"), "heavy-classes")
+    groups = classes.groupBy("pg", "n").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("k"))
+    back = lambda k: F.when(F.col("pos") >= k, F.get("prefix", F.col("pos") - k)).alias(f"prev{k}")
+    rows = scratch.written(groups.select("pg", "n", "k", F.posexplode("prefix").alias("pos", "token"), "prefix").select("token", "pg", "n", "k", F.col("pos").cast("long").alias("pos"), *[back(k) for k in (1, 2, 3, 4)]), "heavy-prefixes")
+    counts = scratch.written(rows.groupBy("token").agg(F.sum("k").alias("df")).where("df > 1"), "heavy-counts")
+    shared = rows.drop("k").join(counts, "token")
+    ahead = Window.partitionBy("pg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return shared.withColumn("before", F.collect_list(F.when(F.col("df") >= HEAVY, F.col("token"))).over(ahead)), classes.drop("prefix")
+
+
+def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): each class and the first class of its groups' pivots, and of its own group, as size, position and sketch allow."""
+    weight = scratch.written(shared.groupBy("pg").agg((F.sum(F.log2("df")) / F.first("n")).alias("weight")), "weights")
+    pivots = shared.join(checked_broadcast(weight), "pg").groupBy("token").agg(F.max(F.struct("weight", "pg", "n", "pos")).alias("p"))
+    met = shared.join(pivots, "token").where(F.col("pg") != F.col("p.pg"))
+    met = met.groupBy(F.col("pg").alias("x"), F.col("n").alias("n_x"), F.col("p.pg").alias("y"), F.col("p.n").alias("n_y")).agg(F.min("pos").alias("pos_x"), F.min("p.pos").alias("pos_y"))
+    fits = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("n_x") - F.col("pos_x") >= _least(percent)) & (F.col("n_y") - F.col("pos_y") >= _least(percent))
+    met = met.where(fits).select("x", "y")
+    multi = classes.groupBy("pg").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("pg").alias("x"), F.col("pg").alias("y"))
+    columns = ["gid", "n", *WIDE]
+    x = classes.select(F.col("pg").alias("x"), *[F.col(c).alias(f"{c}_x") for c in columns])
+    lead = classes.groupBy(F.col("pg").alias("y")).agg(F.min(F.struct(*columns)).alias("l")).select("y", *[F.col(f"l.{c}").alias(f"{c}_y") for c in columns])
+    near = _differ(WIDE, "_x", "_y") <= F.col("n_x") + F.col("n_y") - 2 * _least(percent)
+    return met.union(multi).join(x, "x").join(lead, "y").where((F.col("gid_x") != F.col("gid_y")) & near).select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
+
+
+def links(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(classes, roots): (id, n, gid), with h where docs has it, of every document of (id, text), and (node, root) of the linked classes."""
+    known = scratch.written(signatures(docs, width, percent, common_shingles(docs, width, 3, scratch)), "signatures")
     full = known.where("gid is not null")
-    members = written(full.groupBy("gid", "n", "pg").agg(F.count(F.lit(1)).alias("copies")), "members")
-    groups = written(full.groupBy("pg").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lead")).where("c > 1"), "groups")
-    size = members.groupBy("pg").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    multi = written(groups.join(size, "pg", "left").select("pg", "lead", F.coalesce("k", F.lit(1)).alias("k")), "multi")
+    classes = scratch.written(full.groupBy("gid", "n", "pg").agg(*[F.first(c).alias(c) for c in WIDE]), "classes")
+    several = scratch.written(full.groupBy("pg").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("gid").alias("k"), F.min("id").alias("lead")).where("c > 1").select("pg", "lead", "k"), "several")
 
-    leaders = full.join(checked_broadcast(multi), "pg", "left").where(F.col("lead").isNull() | F.col("id").eqNullSafe(F.col("lead")))
+    leaders = full.join(checked_broadcast(several), "pg", "left").where(F.col("lead").isNull() | F.col("id").eqNullSafe(F.col("lead")))
     postings = leaders.select("pg", "n", F.coalesce("k", F.lit(1)).alias("k"), F.posexplode("prefix").alias("pos", "token"))
-    counts = written(postings.groupBy("token").agg(F.sum("k").alias("df"), F.min("pg").alias("ppg")).where("df > 1"), "counts")
-    shared = postings.select("token", "pg", "pos").join(counts, "token").join(checked_broadcast(members).select("pg", "gid", "n"), "pg")
-    shared = written(shared.select("token", "df", "gid", "n", F.col("pos").cast("long").alias("pos"), "pg", "ppg"), "shared")
-
-    lead = members.groupBy(F.col("pg").alias("lpg")).agg(F.min(F.struct("gid", "n")).alias("lead"))
-    to = shared.select("gid", "n", "pos", F.explode(F.array("ppg", "pg")).alias("lpg")).groupBy("gid", "n", "lpg").agg(F.min("pos").alias("pos")).join(lead, "lpg")
-    sizes = (F.col("gid") != F.col("lead.gid")) & (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-    reach = (F.col("n") - F.col("pos")) * (100 + percent) >= percent * (F.col("n") + F.col("lead.n"))
-    pairs = to.where(sizes & reach).select(F.col("gid").alias("a"), F.col("lead.gid").alias("b"))
-    pairs = written(pairs.distinct(), "star-pairs")
-    both = lambda p: p.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
-    found = written(verified(pairs, class_texts(docs, written(both(pairs), "wanted"), width), width, percent), "star-links")
-    roots = written(components(found), "star-roots")
-
-    sketches = full.groupBy("gid").agg(*[F.first(c).alias(c) for c in SKETCH])
-    attributes = written(sketches.join(roots, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("root", "gid").alias("root"), *SKETCH), "attributes")
-
-    by_doc = Window.partitionBy("gid").orderBy("pos")
-    previous = [F.lag("token", k).over(by_doc).alias(f"prev{k}") for k in (1, 2, 3, 4)]
-    light = shared.select("token", "df", "gid", "n", "pos", *previous).where(F.col("df") < HEAVY)
-    more = _light_pairs(light, attributes, percent)
-
-    heavy = written(shared.where(F.col("df") >= HEAVY).select("gid").distinct(), "heavy-docs")
-    again = written(_rare_first(class_texts(docs, heavy, width), width, percent), "rare-first")
-    more = more.union(_light_pairs(again.where(F.col("df") < HEAVY), attributes, percent)).union(_heavy_pairs(again.where(F.col("df") >= HEAVY), attributes, percent)).distinct()
+    counts = scratch.written(postings.groupBy("token").agg(F.sum("k").alias("df")).where("df > 1"), "counts")
+    shared = scratch.written(postings.join(counts, "token").select("token", "df", "pg", "n", F.col("pos").cast("long").alias("pos")), "shared")
+    texts = scratch.written(class_texts(docs, classes.join(checked_broadcast(shared.select("pg").distinct()), "pg", "left_semi").select("gid"), width), "texts", compression="zstd")
+
+    pairs = scratch.written(_star_pairs(shared, classes, percent, scratch), "star-pairs")
+    found = scratch.written(verified(pairs, texts, width, percent), "star-links")
+    roots = scratch.written(components(found, scratch=scratch), "star-roots")
+    state = scratch.written(classes.join(roots, F.col("gid") == F.col("node"), "left").select("gid", "pg", "n", F.coalesce("root", "gid").alias("root"), *WIDE), "state")
+
+    by_group = Window.partitionBy("pg").orderBy("pos")
+    previous = [F.lag("token", k).over(by_group).alias(f"prev{k}") for k in (1, 2, 3, 4)]
+    light = shared.select("token", "df", "pg", "n", "pos", *previous).where(F.col("df") < HEAVY)
+    groups = scratch.written(_light_pairs(light, _group_state(state, SKETCH), percent, SKETCH), "light-pairs")
+    more = [_expanded(groups, state, percent)]
+
+    heavy = state.join(checked_broadcast(shared.where(F.col("df") >= HEAVY).select("pg").distinct()), "pg", "left_semi").select("gid")
+    again, wide = _rare_first(texts.join(checked_broadcast(heavy), "gid", "left_semi"), width, percent, scratch)
+    again = scratch.written(again, "rare-first")
+    wide = scratch.written(wide.join(state.select("gid", "root"), "gid"), "heavy-state")
+    groups = _light_pairs(again.where(F.col("df") < HEAVY), _group_state(wide, WIDE), percent, WIDE).union(_heavy_pairs(again.where(F.col("df") >= HEAVY), _group_state(wide, WIDE), percent, WIDE, scratch))
+    more.append(_expanded(scratch.written(groups, "heavy-pairs"), wide, percent))
     flipped = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(flipped, ["a", "b"], "left_anti"), "more-pairs")
-    second = written(verified(more, class_texts(docs, written(both(more), "wanted"), width), width, percent), "more-links")
+    rest = scratch.written(more[0].union(more[1]).distinct().join(flipped, ["a", "b"], "left_anti"), "more-pairs")
+    second = scratch.written(verified(rest, texts, width, percent), "more-links")
     if second.limit(1).count():
-        roots = written(components(found.union(second)), "roots")
+        roots = scratch.written(components(found.union(second), scratch=scratch), "roots")
     return known.select("id", "n", "gid", *[c for c in docs.columns if c == "h"]), roots
 
 
@@ -314,10 +364,12 @@ def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", wi
     """(id, n_shingles, component_id) of every row: linked when 100|x & y| >= percent |x | y|."""
     need(df, id, text)
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    classes, roots = links(docs, width, percent)
-    rooted = written(classes.join(roots, classes["gid"] == roots["node"], "left").select("id", "n", F.coalesce("root", "gid").alias("root")), "rooted")
-    label = written(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "label"), "labels")
-    return rooted.join(label, "root", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    scratch = Scratch(df.sparkSession, "jaccard")
+    classes, roots = links(docs, width, percent, scratch)
+    rooted = scratch.written(classes.join(roots, classes["gid"] == roots["node"], "left").select("id", "n", F.coalesce("root", "gid").alias("root")), "rooted")
+    label = scratch.written(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", "label"), "labels")
+    joined = rooted.join(label, "root", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    return scratch.done(joined)
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -328,12 +380,14 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", width: in
     """
     need(df, id, text)
     body, key = F.col(f"`{text}`").cast("string"), F.col(f"`{id}`").cast("long")
-    classes, roots = links(df.select(key.alias("id"), body.alias("text"), F.xxhash64(body).alias("h")), width, percent)
+    scratch = Scratch(df.sparkSession, "jaccard")
+    classes, roots = links(df.select(key.alias("id"), body.alias("text"), F.xxhash64(body).alias("h")), width, percent, scratch)
     rooted = classes.where("gid is not null").join(roots, classes["gid"] == roots["node"], "left").select("id", "h", F.coalesce("root", "gid").alias("root"))
-    rooted = written(rooted.groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("c")), "row-keys")
+    rooted = scratch.written(rooted.groupBy("root", "id", "h").agg(F.count(F.lit(1)).alias("c")), "row-keys")
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("kept"), F.sum("c").alias("rows")).where("rows > 1")
     stays = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h"))
-    judged = written(rooted.join(written(kept, "kept"), "root").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "c", stays.alias("stays")).where("not stays or c > 1"), "copies")
+    judged = written(rooted.join(scratch.written(kept, "kept"), "root").select(F.col("id").alias("__id"), F.col("h").alias("__h"), "c", stays.alias("stays")).where("not stays or c > 1"), "copies")
+    remove(df.sparkSession, scratch.root)
     gone, repeated = (judged.where(w).select("__id", "__h") for w in ("not stays", "stays"))
     same = key.eqNullSafe(F.col("__id")) & (F.xxhash64(body) == F.col("__h"))
     left = df.join(checked_broadcast(gone), same, "left_anti")

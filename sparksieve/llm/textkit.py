@@ -190,17 +190,18 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """
     h, bounds = words.hashes, words.bounds
     rows = len(words.counts)
-    n = np.where(words.counts >= width, words.counts - width + 1, 0)
+    n = np.where(words.counts >= width, words.counts - width + 1, words.counts > 0).astype(np.int64)
+    ends = np.cumsum(n)
+    full = words.counts >= width
+    values = np.empty(int(ends[-1]) if rows else 0, dtype=np.uint64)
     every = combine(h, width)
-    at = np.repeat(bounds[:-1], n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-    values = every[at] if len(at) else np.empty(0, np.uint64)
+    m = np.where(full, n, 0)
+    values[np.repeat(full, n)] = every[np.repeat(bounds[:-1] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+    for r in np.flatnonzero(n * ~full):
+        values[ends[r] - 1] = sequence_hash(h[bounds[r] : bounds[r + 1]])
+    for lo, hi in zip((ends - n).tolist(), ends.tolist()):
+        values[lo:hi].sort()
     row = np.repeat(np.arange(rows), n)
-    short = np.flatnonzero((words.counts > 0) & (words.counts < width))
-    if len(short):
-        extra = np.array([sequence_hash(h[bounds[r] : bounds[r + 1]]) for r in short], dtype=np.uint64)
-        values, row = np.concatenate([values, extra]), np.concatenate([row, short])
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
     if len(values):
         keep = np.ones(len(values), dtype=bool)
         keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
