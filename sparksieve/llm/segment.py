@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import need
-from .textkit import _powers, list_array, mix64, slices, tidy
+from .rows import need, others, spare
+from .textkit import _powers, list_array, mix64, regrouped, tidy
 
 #: Text bytes of the rows that are segmented together.
-SLICE = 3 << 18
+SLICE = 3 << 20
 #: Bytes of distinct chunks whose lattices are built at once.
 BLOCK = 96 << 10
 SAMPLE = T.StructType(
@@ -143,7 +143,8 @@ class Lattices:
             base += int(own[-1]) + to - at
             at = to
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
-        self.state, self.size, self.piece, self.place, self.q, self.cdf = join(0, np.int32), join(1, np.int32), join(2, np.int32), join(3, np.int32), join(4, np.float64), join(5, np.float64)
+        self.state, self.size, self.piece, self.place = (join(k, np.int32) for k in range(4))
+        self.q, self.cdf, self.rest = (join(k, np.float64) for k in range(4, 7))
         self.range = np.searchsorted(self.state, np.arange(base + 1, dtype=np.int32)).astype(np.int32)
 
     @staticmethod
@@ -207,7 +208,13 @@ class Lattices:
             runs = np.diff(np.r_[begin, len(state)])
             cdf -= np.repeat(cdf[begin] - q[begin], runs)
             cdf[begin + runs - 1] = 1.0
-        return (state + base).astype(np.int32), size.astype(np.int32), piece, (place + lo).astype(np.int32), q, cdf
+        # the mass of a place's other arcs, added up and not subtracted, so that very small ones count
+        rest = np.zeros(len(q))
+        for k in range(1, int(runs.max()) if len(state) else 0):
+            at = np.flatnonzero(state[k:] == state[:-k])
+            rest[at] += q[at + k]
+            rest[at + k] += q[at]
+        return (state + base).astype(np.int32), size.astype(np.int32), piece, (place + lo).astype(np.int32), q, cdf, rest
 
 
 class Draws:
@@ -258,17 +265,15 @@ class Search:
             occ, state = occ[live], state[live]
         return (np.concatenate(got_o), np.concatenate(got_a)) if got_o else (np.empty(0, np.int32), np.empty(0, np.int32))
 
-    def _leave(self, rows: np.ndarray, arcs: np.ndarray, start: np.ndarray, bound: np.ndarray, gone: dict[int, tuple]) -> None:
-        """Put the alternatives along new paths into the pool; gone: row -> arcs excluded at its first place."""
-        q, logq = self.l.q[arcs], self.logq[arcs]
+    def _leave(self, rows: np.ndarray, arcs: np.ndarray, start: np.ndarray, bound: np.ndarray, gone: dict[int, tuple], first: np.ndarray) -> None:
+        """Put the alternatives along new paths into the pool; gone: row -> arcs excluded at its first place, where ``first`` is the others' mass."""
+        logq = self.logq[arcs]
         total = np.concatenate([[0.0], np.cumsum(logq)])
         begin = self.spines[-1][2]
         before = total[:-1] - total[begin[rows]]
-        rest = 1.0 - q
-        for r, out in gone.items():
-            at = int(start[r])
-            rest[at] = max(0.0, 1.0 - self.l.q[list(out)].sum() - q[at])
-        rest[rest < 1e-12] = 0.0
+        rest = self.l.rest[arcs]
+        again = np.array(list(gone), dtype=np.int64)
+        rest[start[again]] = first[again]
         at = np.arange(len(arcs))
         ok = (rest > 0) & (at >= start[rows])
         with np.errstate(divide="ignore", over="ignore"):
@@ -301,45 +306,53 @@ class Search:
         key = -np.log(-np.log(self.draws.take(have)))
         self.spines.append((o, a, np.searchsorted(self.row[o], np.arange(self.rows, dtype=np.int32))))
         rounds = [(have, key.copy(), o, a)]
-        self._leave(self.row[o], a, np.zeros(self.rows, dtype=np.int64), key, {})
+        self._leave(self.row[o], a, np.zeros(self.rows, dtype=np.int64), key, {}, np.empty(0))
         for _ in range(1, self.k):
-            chosen, key, start_o, fresh_state, prefix_o, prefix_a, gone, lengths = [], np.full(self.rows, -np.inf), [], [], [], [], {}, np.zeros(self.rows, dtype=np.int64)
-            tail = []
-            able = np.array([r for r in range(self.rows) if self.pool[r]], dtype=np.int64)
-            for r, u in zip(able.tolist(), self.draws.take(able).tolist()):
-                best = max(range(len(self.pool[r])), key=lambda i: self.pool[r][i][0])
-                g, index, j, out = self.pool[r].pop(best)
-                so, sa, begins = self.spines[index]
-                begin = int(begins[r])
-                banned = (*out, int(sa[j]))
-                s = self.l.state[sa[j]]
-                arcs = np.arange(self.l.range[s], self.l.range[s + 1])
-                p = self.l.q[arcs].copy()
-                p[np.isin(arcs, banned)] = 0.0
-                c = np.cumsum(p)
-                arc = int(arcs[min(int(np.searchsorted(c, u * c[-1], side="right")), len(arcs) - 1)])
-                chosen.append(r)
-                key[r], gone[r], lengths[r] = g, banned, j - begin
-                prefix_o += [so[begin:j], so[j : j + 1]]
-                prefix_a += [sa[begin:j], np.array([arc], dtype=np.int32)]
-                start_o.append(so[j])
-                fresh_state.append(self.l.state[arc] + self.l.size[arc])
-                tail.append(np.arange(so[j] + 1, self.bounds[r + 1], dtype=np.int32))
-            if not chosen:
+            rows = np.array([r for r in range(self.rows) if self.pool[r]], dtype=np.int64)
+            if not len(rows):
                 break
-            rest = np.concatenate(tail)
-            occ = np.concatenate([np.array(start_o, dtype=np.int32), rest])
-            state = np.concatenate([np.array(fresh_state, dtype=np.int32), self.l.first[self.chunks[rest]]])
+            # the best node of each row: its key, spine, place on it, and arcs excluded there
+            best = [pool.pop(max(range(len(pool)), key=lambda i: pool[i][0])) for pool in (self.pool[r] for r in rows.tolist())]
+            key = np.full(self.rows, -np.inf)
+            key[rows] = [b[0] for b in best]
+            spine = np.array([b[1] for b in best])
+            base = np.concatenate([[0], np.cumsum([len(x[0]) for x in self.spines])])
+            so, sa = (np.concatenate([x[i] for x in self.spines]) for i in (0, 1))
+            begin = base[spine] + np.array([self.spines[i][2][r] for i, r in zip(spine.tolist(), rows.tolist())])
+            j = base[spine] + np.array([b[2] for b in best])
+            taken = sa[j]
+            low = self.l.range[self.l.state[taken]].astype(np.int64)
+            width = self.l.range[self.l.state[taken] + 1] - low
+            head = np.cumsum(width) - width
+            p = self.l.q[np.repeat(low - head, width) + np.arange(int(width.sum()))]
+            p[head + taken - low] = 0.0
+            for n, b in enumerate(best):
+                for x in b[3]:
+                    p[head[n] + x - low[n]] = 0.0
+            c = np.cumsum(p)
+            before = c[head] - p[head]
+            aim = before + self.draws.take(rows) * (c[head + width - 1] - before)
+            pick = np.add.reduceat((c <= np.repeat(aim, width)).astype(np.int64), head)
+            arc = (low + np.minimum(pick, width - 1)).astype(np.int32)
+            p[head + arc - low] = 0.0
+            first = np.zeros(self.rows)
+            first[rows] = np.add.reduceat(p, head)
+            gone = {r: (*b[3], int(t)) for r, b, t in zip(rows.tolist(), best, taken.tolist())}
+            lengths = np.zeros(self.rows, dtype=np.int64)
+            lengths[rows] = j - begin
+            path = np.repeat(begin - (np.cumsum(j - begin) - (j - begin)), j - begin) + np.arange(int((j - begin).sum()))
+            after = self.bounds[rows + 1] - so[j] - 1
+            rest = (np.repeat(so[j] + 1 - (np.cumsum(after) - after), after) + np.arange(int(after.sum()))).astype(np.int32)
+            occ = np.concatenate([so[j], rest])
+            state = np.concatenate([self.l.state[arc] + self.l.size[arc], self.l.first[self.chunks[rest]]])
             order = np.argsort(occ, kind="stable")
             o, a = self._finish(occ[order], state[order])
-            o, a = np.concatenate([*prefix_o, o]), np.concatenate([*prefix_a, a])
+            o, a = np.concatenate([so[path], so[j], o]), np.concatenate([sa[path], arc, a])
             order = np.argsort(o, kind="stable")
             o, a = o[order], a[order]
             self.spines.append((o, a, np.searchsorted(self.row[o], np.arange(self.rows, dtype=np.int32))))
-            rows = np.array(chosen)
             rounds.append((rows, key, o, a))
-            start = self.spines[-1][2] + lengths
-            self._leave(self.row[o], a, start, key, {r: out for r, out in gone.items()})
+            self._leave(self.row[o], a, self.spines[-1][2] + lengths, key, gone, first)
         return rounds
 
     def left(self) -> np.ndarray:
@@ -397,25 +410,24 @@ def sample_segmentations(df: DataFrame, model: str, k: int = 3, id: str = "doc_i
     """
     need(df, id, text)
     names = [*SAMPLE.names, *["round_trip"] * check]
-    kept = [c for c in df.columns if c not in names]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("0")), F.lit(seed)).alias("__seed"), F.col(f"`{text}`").cast("string").alias("__text"))
+    kept, body, of = others(df, *names), spare(df, "text"), spare(df, "seed")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("0")), F.lit(seed)).alias(of), F.col(f"`{text}`").cast("string").alias(body))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *SAMPLE.fields, *[T.StructField("round_trip", T.BooleanType())] * check])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model, theta)
-        for batch in batches:
-            for part in slices(batch, "__text", SLICE):
-                texts = pc.fill_null(part.column("__text"), "").to_pylist()
-                seeds = part.column("__seed").to_numpy().view(np.uint64)
-                for n, (rows, ids, cuts, logp, key, inclusion) in enumerate(samples(texts, seeds, k, vocabulary)):
-                    take = pa.array(rows)
-                    own = [part.column(i).take(take) for i in range(len(kept))]
-                    columns = [pa.array(np.full(len(rows), n + 1, dtype=np.int32)), list_array(ids, cuts, pa.int32()), pa.array(logp), pa.array(key), pa.array(inclusion)]
-                    if check:
-                        back = decoded_texts(vocabulary, ids, cuts)
-                        columns.append(pa.array([b == texts[r].replace("▁", " ") for b, r in zip(back, rows)], type=pa.bool_()))
-                    yield pa.RecordBatch.from_arrays([*own, *columns], names=[*kept, *names])
+        for part in regrouped(batches, body, SLICE):
+            texts = pc.fill_null(part.column(body), "").to_pylist()
+            seeds = part.column(of).to_numpy().view(np.uint64)
+            for n, (rows, ids, cuts, logp, key, inclusion) in enumerate(samples(texts, seeds, k, vocabulary)):
+                take = pa.array(rows)
+                own = [part.column(i).take(take) for i in range(len(kept))]
+                columns = [pa.array(np.full(len(rows), n + 1, dtype=np.int32)), list_array(ids, cuts, pa.int32()), pa.array(logp), pa.array(key), pa.array(inclusion)]
+                if check:
+                    back = decoded_texts(vocabulary, ids, cuts)
+                    columns.append(pa.array([b == texts[r].replace("▁", " ") for b, r in zip(back, rows)], type=pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*own, *columns], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
 
