@@ -2,20 +2,23 @@
 
 Terms are counted over all labelled documents; the ``FEATURES`` terms that tell
 toxic from other documents best (largest |log-odds| / standard error) are the
-features, log(1 + occurrences) their values.  Labels say toxic or not; a toxic
-document's training grade is 1, 2 or 3 by the number of its distinct lexicon
-terms (up to 1, up to 3, more), the lexicon being the terms most of whose
-documents are toxic.  The model is P(grade > k) = sigmoid(w.x - theta_k) with one
-weight vector for all ordered thresholds, fitted by full-batch gradient steps
-on a sample of at most ``SAMPLE_ROWS`` labelled rows (a hash of the id picks
-them).  Every whole text is scored; the expected severity is the sum of
-P(grade > k) over k.
+features, log(1 + occurrences) their values.  The model is
+P(grade > k) = sigmoid(w.x - theta_k) with one weight vector for all ordered
+thresholds, fitted by full-batch gradient steps on a sample of at most
+``max_rows`` labelled rows (a hash of the id picks them).  Every whole text is
+scored; the expected severity is the sum of P(grade > k) over k.
+
+Labels say toxic or not, so only the first threshold is learned from what people
+said.  A toxic document's training grade 1, 2 or 3 is its tertile by the
+score of a binary model fitted on the other half of the sample, which has not
+seen it (cross-fitting): severity means how surely a stranger's model calls it toxic.
 
 Defined results: null and empty texts have no terms; labels without a toxic
 value are left out, several labels of one id count as toxic if one is; without
-toxic or without other labels every severity is 0 or 3; repeated rows are
-scored each; an empty table gives an empty result; input columns named like an
-output are replaced.
+toxic or without other labels every severity is 0 or 3; documents with equal
+texts get equal scores, and of two grades with equal mass the lower is the
+severity; repeated rows are scored each; an empty table gives an empty result;
+input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ from pyspark.sql import types as T
 
 from .decontam import LooseWords
 from .durable import checked_broadcast, written
-from .rows import need
-from .textkit import list_array, regrouped, signed, slices, tidy
+from .rows import need, others, spare
+from .textkit import list_array, mix64, regrouped, signed, slices, tidy
 
+#: Features, a documented bound of the classifier (the README has what it costs).
 FEATURES = 2048
 SAMPLE_ROWS = 20_000
 #: Labelled documents that a term needs.
@@ -105,6 +109,21 @@ def fit(row: np.ndarray, term: np.ndarray, value: np.ndarray, grade: np.ndarray,
     return Severity(terms, p[: len(terms)], np.cumsum(np.r_[gaps[0], np.exp(gaps[1:])]))
 
 
+def cross_fitted_grades(row: np.ndarray, term: np.ndarray, value: np.ndarray, toxic: np.ndarray, half: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """0 of documents that are not toxic; 1 to 3 of the toxic ones, by tertiles of the scores that the other half's model gives."""
+    latent = np.zeros(len(toxic))
+    for side in (False, True):
+        place = np.cumsum(half != side) - 1
+        own = half[row] != side
+        model = fit(place[row[own]], term[own], value[own], toxic[half != side], terms, levels=1)
+        latent += np.where(half == side, np.bincount(row, model.weights[term] * value, len(toxic)), 0.0)
+    grade = np.zeros(len(toxic), dtype=np.int64)
+    bad = toxic == 1
+    if bad.any():
+        grade[bad] = 1 + np.searchsorted(np.quantile(latent[bad], [1 / 3, 2 / 3]), latent[bad])
+    return grade
+
+
 def term_table(labelled: DataFrame) -> DataFrame:
     """(term, bad, good): labelled documents of either kind that have each term; input (text, toxic)."""
 
@@ -129,7 +148,7 @@ def term_table(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> Severity:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> Severity:
     """The model of (id, text) under labels (id, toxic)."""
     known = written(labels.where("id is not null and toxic is not null").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), "labels")
     size = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad")).first()
@@ -139,11 +158,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> Se
     odds = F.log((F.col("bad") + 0.5) / (bads - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (goods - F.col("good") + 0.5))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     scored = term_table(joined).where(F.col("bad") + F.col("good") >= LEAST_DOCS).select("term", "bad", "good", F.abs(odds / error).alias("z"))
-    best = scored.orderBy(F.desc("z"), "term").limit(FEATURES).toArrow()
+    best = scored.orderBy(F.desc("z"), "term").limit(features).toArrow()
     terms = best.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(terms)
-    terms = terms[order]
-    lexicon = (best.column("bad").to_numpy() > best.column("good").to_numpy())[order]
+    terms = np.sort(terms)
     picked = joined.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, max_rows / max(1, n)) * 1_000_000))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
@@ -155,35 +172,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS) -> Se
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), list_array(term, bounds, pa.int64()), list_array(times, bounds, pa.int64())], names=["id", "toxic", "terms", "times"])
 
-    rows = picked.mapInArrow(run, "id long, toxic int, terms array<long>, times array<long>").orderBy("id").limit(max_rows).toArrow().combine_chunks()
+    rows = picked.mapInArrow(run, "id long, toxic int, terms array<long>, times array<long>").orderBy(F.xxhash64("id"), "id").limit(max_rows).toArrow().combine_chunks()
     take = lambda name: rows.column(name).combine_chunks()
     lists = take("terms")
     size = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(lists)), size)
     term, times = lists.flatten().to_numpy(), take("times").flatten().to_numpy()
-    toxic = take("toxic").to_numpy()
-    hits = np.bincount(row, lexicon[term], len(toxic)) if len(row) else np.zeros(len(toxic))
-    grade = np.where(toxic == 1, np.where(hits <= 1, 1, np.where(hits <= 3, 2, 3)), 0).astype(np.int64)
+    toxic, half = take("toxic").to_numpy().astype(np.int64), (mix64(take("id").to_numpy().view(np.uint64)) & np.uint64(1)).astype(bool)
+    grade = cross_fitted_grades(row, term, np.log1p(times), toxic, half, terms) if len(terms) else toxic
     return fit(row, term, np.log1p(times), grade, terms)
 
 
-def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label_id: str = "doc_id", label: str = "toxic", max_rows: int = SAMPLE_ROWS, features: int = FEATURES) -> DataFrame:
     """df with the latent score, expected severity, P(toxic), the likeliest grade and a flag."""
     need(df, id, text)
     need(labels, label_id, label)
     docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    model = train(docs, labels.select(F.col(f"`{label_id}`").cast("long").alias("id"), F.col(f"`{label}`").alias("toxic")))
+    model = train(docs, labels.select(F.col(f"`{label_id}`").cast("long").alias("id"), F.col(f"`{label}`").alias("toxic")), max_rows, features)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in OUTPUTS]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    kept, body = others(df, *OUTPUTS), spare(df, "text")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(body))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *[T.StructField(k, t) for k, t in OUTPUTS.items()]])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "__text"):
-                latent = model.latent(LooseWords(part.column("__text")))
+            for part in slices(batch, body):
+                latent = model.latent(LooseWords(part.column(body)))
                 over = model.exceed(latent)
                 mass = np.c_[np.ones(len(over)), over] - np.c_[over, np.zeros(len(over))]
                 yield pa.RecordBatch.from_arrays(
