@@ -18,7 +18,9 @@ original in the archives keeps its old reference; an empty table makes an empty
 archive.
 
 A file is held in memory as it is stored, so archives read here should have
-files of bounded size; the writer starts a new file after ``max_records``.
+files of bounded size; the writer starts a new file after ``max_records`` or what
+``max_bytes`` are by the mean payload.  A file is one gzip stream, since the text
+sink writes it; columns that a record has no place for are not carried.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +43,7 @@ CRLF = "\r\n"
 #: The profile that the WARC standard names for payloads equal by digest.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("record_id", "record_type", "uri", "date", "payload_digest", "refers_to_id")]
+    [T.StructField(n, T.StringType()) for n in ("record_id", "record_type", "uri", "date", "payload_digest", "refers_to_id", "refers_to_uri", "refers_to_date")]
     + [T.StructField(n, T.LongType()) for n in ("page_id", "payload_bytes", "refers_to")]
     + [T.StructField("payload", T.BinaryType())]
 )
@@ -67,7 +69,7 @@ def captures(pages: DataFrame, page_id: str = "page_id", uri: str = "url", paylo
     clean = F.regexp_replace(F.coalesce(F.col(f"`{uri}`").cast("string"), F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("")))), r"[\x00-\x20\x7f]", "%20")
     rows = pages.select(page.alias("page_id"), clean.alias("uri"), body.alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     return rows.select(
-        _uuid(F.col("page_id"), F.col("uri"), F.col("payload_digest")).alias("record_id"), F.lit("response").alias("record_type"), "uri", F.lit(date).alias("date"), "payload_digest", F.lit(None).cast("string").alias("refers_to_id"), "page_id", F.length("payload").cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), "payload",
+        _uuid(F.col("page_id"), F.col("uri"), F.col("payload_digest")).alias("record_id"), F.lit("response").alias("record_type"), "uri", F.lit(date).alias("date"), "payload_digest", *[F.lit(None).cast("string").alias(c) for c in ("refers_to_id", "refers_to_uri", "refers_to_date")], "page_id", F.length("payload").cast("long").alias("payload_bytes"), F.lit(None).cast("long").alias("refers_to"), "payload",
     )
 
 
@@ -82,16 +84,19 @@ def _record_text(r: DataFrame) -> Column:
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("date")), line("WARC-Target-URI", F.col("uri")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), line("WARC-Refers-To", F.col("refers_to_id")), line("X-Refers-To-Page", F.col("refers_to")),
+        line("WARC-Profile", F.when(revisit, F.lit(PROFILE))), line("WARC-Refers-To", F.col("refers_to_id")), line("WARC-Refers-To-Target-URI", F.col("refers_to_uri")), line("WARC-Refers-To-Date", F.col("refers_to_date")), line("X-Refers-To-Page", F.col("refers_to")),
         line("X-Page-Id", F.col("page_id")), line("X-Payload-Bytes", F.col("payload_bytes")),
         F.lit(f"Content-Type: application/http;msgtype=response{CRLF}"), line("Content-Length", block_bytes), F.lit(CRLF), http, body, F.lit(CRLF),
     )
 
 
-def write_archive(records: DataFrame, path: str, max_records: int = 20_000) -> None:
-    """Write RECORD rows as gzip WARC files into a new folder."""
+def write_archive(records: DataFrame, path: str, max_records: int = 20_000, max_bytes: int = 256 << 20, mean_bytes: float | None = None) -> None:
+    """Write RECORD rows as gzip WARC files into a new folder, of at most ``max_records``, and of about ``max_bytes`` of payloads by their mean."""
+    if mean_bytes is None:
+        mean_bytes = records.agg(F.avg(F.coalesce(F.length("payload"), F.lit(0)))).first()[0] or 0.0
+    rows = max(1, min(max_records, int(max_bytes / (mean_bytes + 1000))))
     text = records.select(_record_text(records).alias("value"))
-    text.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
+    text.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -122,7 +127,7 @@ def _row(headers: dict[str, str], block: bytes) -> dict:
     return {
         "record_id": headers.get("warc-record-id"), "record_type": kind, "uri": headers.get("warc-target-uri"), "date": headers.get("warc-date"),
         "payload_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else headers.get("warc-payload-digest", "").removeprefix("sha1:"),
-        "refers_to_id": headers.get("warc-refers-to"), "page_id": number("x-page-id"), "payload_bytes": len(payload) if whole else number("x-payload-bytes"), "refers_to": number("x-refers-to-page"), "payload": payload if whole else None,
+        "refers_to_id": headers.get("warc-refers-to"), "refers_to_uri": headers.get("warc-refers-to-target-uri"), "refers_to_date": headers.get("warc-refers-to-date"), "page_id": number("x-page-id"), "payload_bytes": len(payload) if whole else number("x-payload-bytes"), "refers_to": number("x-refers-to-page"), "payload": payload if whole else None,
     }
 
 
@@ -156,12 +161,13 @@ def resolve(headers: DataFrame) -> DataFrame:
     whole = F.col("record_type") != "revisit"
     of = F.when(whole, F.struct("page_id", "record_id", "uri", "date"))
     grouped = headers.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), of)).alias("o"))
-    return written(grouped.where("n > 1 and o is not null").select(F.col("payload_digest").alias("o_digest"), F.col("o.page_id").alias("o_page"), F.col("o.record_id").alias("o_record")), "originals")
+    return written(grouped.where("n > 1 and o is not null").select(F.col("payload_digest").alias("o_digest"), F.col("o.page_id").alias("o_page"), F.col("o.record_id").alias("o_record"), F.col("o.uri").alias("o_uri"), F.col("o.date").alias("o_date")), "originals")
 
 
-def rewrite(records: DataFrame, originals: DataFrame, path: str, min_bytes: int = 0) -> None:
+def rewrite(records: DataFrame, originals: DataFrame, path: str, min_bytes: int = 0, mean_bytes: float | None = None) -> None:
     """Write the deduplicated archive: later records of a payload of min_bytes or more become revisits."""
-    joined = records.join(checked_broadcast(originals), F.col("payload_digest") == F.col("o_digest"), "left")
+    # a row has a URI and ids, some 200 bytes
+    joined = records.join(checked_broadcast(originals, 100_000), F.col("payload_digest") == F.col("o_digest"), "left")
     later = F.col("o_page").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("o_page"))) & (F.col("payload_bytes") >= min_bytes)
     turned = F.coalesce(later, F.lit(False)) | ((F.col("record_type") == "revisit") & F.col("o_page").isNotNull())
     fresh = {
@@ -169,12 +175,15 @@ def rewrite(records: DataFrame, originals: DataFrame, path: str, min_bytes: int
         "record_id": _uuid(F.lit("deduplicated"), F.col("record_id")),
         "refers_to": F.when(turned, F.col("o_page")).otherwise(F.col("refers_to")),
         "refers_to_id": F.when(turned, _uuid(F.lit("deduplicated"), F.col("o_record"))).otherwise(F.col("refers_to_id")),
+        "refers_to_uri": F.when(turned, F.col("o_uri")).otherwise(F.col("refers_to_uri")),
+        "refers_to_date": F.when(turned, F.col("o_date")).otherwise(F.col("refers_to_date")),
     }
-    write_archive(joined.select(*[fresh.get(n, F.col(n)).alias(n) for n in RECORD.names]), path)
+    write_archive(joined.select(*[fresh.get(n, F.col(n)).alias(n) for n in RECORD.names]), path, mean_bytes=mean_bytes)
 
 
 def deduplicate_archive(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> DataFrame:
     """Deduplicate the archives in ``source`` into ``target``; returns the headers of what was written."""
-    originals = resolve(read_archive(spark, source, payloads=False))
-    rewrite(read_archive(spark, source), originals, target, min_bytes)
+    seen = Observation()
+    originals = resolve(read_archive(spark, source, payloads=False).observe(seen, F.avg("payload_bytes").alias("mean")))
+    rewrite(read_archive(spark, source), originals, target, min_bytes, seen.get["mean"] or 0.0)
     return read_archive(spark, target, payloads=False)
