@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import BROADCAST_ROWS, written
-from .rows import need
+from .rows import need, others, spare
 from .textkit import Words, hash_spans, mix64, slices, spans, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -79,15 +79,15 @@ def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
 def with_rule_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """df and the five rule counts of its text column, in one pass without a shuffle."""
     need(df, text)
-    kept = [c for c in df.columns if c not in COUNTS]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    kept, body = others(df, *COUNTS), spare(df, "text")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(body))
     schema = df.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(0).cast("long").alias(c) for c in COUNTS]).schema
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                counts = rule_counts(part.column("__text"))
+            for part in slices(batch, body):
+                counts = rule_counts(part.column(body))
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(counts[c]) for c in COUNTS]], names=[*kept, *COUNTS])
 
@@ -125,14 +125,14 @@ def quality_rules(df: DataFrame, host: str | Column = "source", text: str = "tex
     need(df, text)
     of_host = (F.col(f"`{host}`") if isinstance(host, str) else host).cast("string")
     outputs = (*COUNTS, "base_failed", "host_rate", "host_rejected", "kept")
-    columns = [c for c in df.columns if c not in outputs]
+    columns, own, other = others(df, *outputs), spare(df, "host"), spare(df, "of")
     flags = with_rule_counts(df.select(of_host.alias("__host"), F.col(f"`{text}`").alias("__t")), "__t").withColumn("f", base_failed())
     per_host = written(flags.groupBy(F.col("__host").alias("host")).agg(F.count(F.lit(1)).alias("host_n"), F.sum(F.col("f").cast("long")).alias("host_failures")), "hosts")
-    verdict = host_verdicts(per_host, reject_rate).select(F.col("host").alias("__h"), "host_rate", "host_rejected")
+    verdict = host_verdicts(per_host, reject_rate).select(F.col("host").alias(other), "host_rate", "host_rejected")
     if per_host.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         verdict = F.broadcast(verdict)
     kept_text = [c for c in columns if c != text]
-    counted = with_rule_counts(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept_text, text])], of_host.alias("__host")), text).withColumn("base_failed", base_failed())
+    counted = with_rule_counts(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept_text, text])], of_host.alias(own)), text).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False))
-    joined = counted.join(verdict, F.col("__host").eqNullSafe(F.col("__h")), "left")
+    joined = counted.join(verdict, F.col(own).eqNullSafe(F.col(other)), "left")
     return joined.select(*[F.col(f"`{c}`") for c in columns], *COUNTS, "base_failed", "host_rate", "host_rejected", kept.alias("kept"))

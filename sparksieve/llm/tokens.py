@@ -29,11 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import need
+from .rows import need, others, spare
 from .textkit import regrouped, tidy
 
-#: Distinct segments a worker remembers (the first it meets, so the frequent ones); about 100 MB.
-MEMO = 600_000
+#: Distinct segments a worker remembers (the first it meets, so the frequent ones), and the longest; about 100 MB.
+MEMO, MEMO_CHARS = 600_000, 48
 #: Text bytes of a slice, within which a segment is encoded once.
 SLICE = 12 << 20
 #: Segments handed to the library at once.
@@ -90,7 +90,7 @@ class Counter:
         new = [distinct[i] for i in at]
         out[at] = lengths = encoded_lengths(new, self.path)
         room = max(0, MEMO - len(self.memo))
-        self.memo.update(zip(new[:room], lengths[:room]))
+        self.memo.update((x, n) for x, n in zip(new[:room], lengths[:room]) if len(x) <= MEMO_CHARS)
         return out
 
     def __call__(self, column: pa.Array) -> np.ndarray:
@@ -129,15 +129,15 @@ def with_token_counts(df: DataFrame, tokenizer: str, text: str = "text", split:
     """
     need(df, text)
     split = tokenizer.endswith(".json") if split is None else split
-    kept = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    kept, body = others(df, "n_bytes", "n_tokens", "over_limit"), spare(df, "text")
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(body))
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("over_limit")).schema
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer, split)
-        for part in regrouped(batches, "__text", SLICE):
-            texts = part.column("__text")
+        for part in regrouped(batches, body, SLICE):
+            texts = part.column(body)
             tokens = counter(texts)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], size, pa.array(tokens), pa.array(tokens > over)], names=[*kept, "n_bytes", "n_tokens", "over_limit"])

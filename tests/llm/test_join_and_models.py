@@ -200,6 +200,89 @@ def test_toxicity_on_held_out_rows(spark):
     bad, good = ([r.p_toxic for r in rows if r.truth == t] for t in (1, 0))
     assert np.mean([a > b for a in bad for b in good]) > 0.97
     assert np.mean([r.expected_severity for r in rows if r.truth]) > 1.5 and all(0 <= r.expected_severity <= 3 for r in rows)
+    # calibration: the share of toxic rows grows with the expected severity
+    ordered = [r.truth for r in sorted(rows, key=lambda r: r.expected_severity)]
+    shares = [np.mean(part) for part in np.array_split(np.array(ordered, dtype=float), 4)]
+    assert shares == sorted(shares) and shares[-1] > shares[0]
+
+
+def test_grades_come_from_models_that_have_not_seen_the_row():
+    """Toxic rows are graded by tertiles of out-of-fold scores, so stronger ones get higher grades."""
+    from sparksieve.llm.toxicity import cross_fitted_grades
+
+    rng = np.random.default_rng(0)
+    n = 600
+    toxic = (np.arange(n) % 3 == 0).astype(np.int64)
+    strength = np.where(toxic == 1, rng.integers(1, 9, n), 0)  # how many of ten toxic terms
+    row = np.concatenate([np.repeat(np.arange(n), strength), np.arange(n)])
+    term = np.concatenate([rng.integers(0, 10, strength.sum()), 10 + rng.integers(0, 10, n)])
+    grade = cross_fitted_grades(row, term, np.ones(len(row)), toxic, np.arange(n) % 2 == 0, np.arange(20, dtype=np.uint64))
+    assert (grade[toxic == 0] == 0).all() and set(grade[toxic == 1]) == {1, 2, 3}
+    means = [strength[grade == g].mean() for g in (1, 2, 3)]
+    assert means == sorted(means) and means[2] > means[0] + 2
+
+
+def test_segmentations_equal_an_enumeration_of_the_lattice():
+    """All segmentations of short texts, each once, with the probabilities that the pieces' weights give."""
+    v = pieces(queries.tokenizer_path("piece_bpe_32k.model"))
+    cost = {}
+    for h, _, ids, score, *_ in v.by_length.values():
+        cost |= dict(zip(ids.tolist(), score[: len(ids)].tolist()))
+    text_of = {i: v.bytes[v.start[i] : v.start[i + 1]].tobytes() for i in cost}
+    by_text = {}
+    for i, t in text_of.items():
+        by_text[t] = (i, cost[i])
+
+    def ways(raw):
+        if not raw:
+            return [((), 0.0)]
+        out = []
+        for k in range(1, len(raw) + 1):
+            if raw[:k] in by_text:
+                i, c = by_text[raw[:k]]
+                out += [((i, *rest), c + x) for rest, x in ways(raw[k:])]
+        return out
+
+    for seed, text in enumerate(["in", "at the", "a b", "note", "to be", "an ant"]):
+        whole = {s: math.exp(x) for s, x in ways((" " + text).encode())}
+        # pieces don't cross into the next word's space, so the lattice has the products of the words' segmentations
+        whole = {s: p for s, p in whole.items() if all(b" " not in text_of[i].lstrip(b" ") for i in s)}
+        total = sum(whole.values())
+        got = {}
+        for rows, ids, cuts, logp, key, _ in samples([text], np.array([seed], dtype=np.uint64), len(whole) + 5, v):
+            if len(rows):
+                s = tuple(ids[cuts[0] : cuts[1]].tolist())
+                assert s not in got, "distinct"
+                got[s] = math.exp(logp[0])
+        assert got.keys() == whole.keys()
+        assert all(p == pytest.approx(whole[s] / total, rel=1e-6) for s, p in got.items())
+
+
+def test_licence_texts_of_a_family_are_told_apart(spark):
+    """Versions, titles, wrapped headers and the clauses that licences share."""
+    wrapped = "Licensed under the Apache License, Version 2.0 (the License);\n" + "\n".join("you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0".split(" "))
+    cases = {
+        "GNU General Public License, version 2": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "GPL-3.0",
+        "All rights reserved.": None,
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSD-2-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+        wrapped: "Apache-2.0",
+    }
+    filler = [(f"b/{i}.txt", f"the work and use of this or that is in a name {i} no with all version") for i in range(200)]
+    df = spark.createDataFrame([*[(f"a{i}/x.txt", t) for i, t in enumerate(cases)], *filler], "path string, text string")
+    got = {r.text: r.license for r in license_scan(df).where("path like 'a%'").collect()}
+    assert got == cases
+
+
+def test_licences_stand_empty_long_and_tied_texts(spark):
+    line = "Released under the MIT License."
+    rows = [("d/LICENSE", ""), ("d/LICENSE.txt", line), ("d/COPYING", line), ("d/a.txt", None), ("d/e/b.txt", "word " * 100_000), ("d/e/c.txt", "\n".join(["x"] * 5000 + [line]))]
+    got = {r.path: (r.license, r.license_from) for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["d/a.txt"] == ("MIT", "d/COPYING"), "of equal licence files the first name counts"
+    assert got["d/e/b.txt"] == ("MIT", "d/COPYING") and got["d/e/c.txt"] == ("MIT", "own") and got["d/LICENSE"] == ("MIT", "d/COPYING")
 
 
 def test_toxicity_edges(spark):
