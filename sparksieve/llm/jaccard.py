@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .durable import Scratch, checked_broadcast, remove, written
 from .rows import need
-from .textkit import Words, list_array, mix64, regrouped, shingle_sets, signed, slices, tidy
+from .textkit import Words, combine, list_array, mix64, regrouped, shingle_sets, signed, slices, tidy
 
 #: Members from which a shingle counts as heavy.  It decides how pairs are found, never which.
 HEAVY = 64
@@ -104,19 +104,22 @@ def _prefixes(values: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray,
 
 
 def common_shingles(docs: DataFrame, width: int, tenths: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and ranks by frequency, of shingles that many documents have among ``tenths`` of their smallest hashes.
+    """Sorted hashes, and ranks by frequency, of shingles that are common in the lowest ``tenths`` of the hashes, where prefixes are.
 
     Only shingles that come twice in a run of documents are counted: what is missed stays early in the order.
     """
 
+    below = np.uint64(min(tenths * (1 << 64) // 10, (1 << 64) - 1))
+
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in regrouped(batches, "text", 16 << 20):
             found = []
             for part in slices(piece, "text"):
-                values, bounds = shingle_sets(Words(part.column("text")), width)
-                n = np.diff(bounds)
-                found.append(values[_segments(bounds[:-1], np.where(n > 0, np.minimum(tenths * n // 10 + 1, n), 0))])
+                w = Words(part.column("text"))
+                every = combine(w.hashes, width)
+                inside = w.rows[: len(every)] == w.rows[width - 1 :][: len(every)]
+                found.append(every[inside & (every < below)])
             token, times = np.unique(np.concatenate(found), return_counts=True)
             token, times = token[times > 1], times[times > 1]
             yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(times.astype(np.int64))], names=["token", "c"])
@@ -132,7 +135,7 @@ def common_shingles(docs: DataFrame, width: int, tenths: int, scratch: Scratch)
 
 
 def signatures(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, gid, pg, prefix, sketch words) of (id, text), with the columns h and gid as they are where docs has them: set size, class, group, prefix; gid is null for an empty set."""
+    """(id, n, gid, pg, prefix, sketch words) of (id, text), with h where docs has it: set size, class, group, prefix; gid is null for an empty set."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
     carried = [c for c in docs.columns if c == "h"]
 
@@ -152,19 +155,9 @@ def signatures(docs: DataFrame, width: int, percent: int, common: tuple[np.ndarr
     return docs.mapInArrow(run, "id long, n long, gid long, pg long, prefix array<long>" + "".join(f", {c} long" for c in [*WIDE, *carried]))
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(gid, text) of one document for each class in ``wanted`` (gid)."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                values, bounds = shingle_sets(Words(part.column("text")), width)
-                n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(_set_hash(values, bounds, n)), mask=n == 0), part.column("text")], names=["gid", "text"])
-
-    rows = docs.mapInArrow(run, "gid long, text string").join(checked_broadcast(wanted), "gid", "left_semi")
-    return rows.groupBy("gid").agg(F.min("text").alias("text"))
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gid, text) of one document for each class in ``wanted`` (gid, h), h being the hash of one of its texts."""
+    return docs.select("h", "text").join(checked_broadcast(wanted), "h").groupBy("gid").agg(F.min("text").alias("text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -175,7 +168,6 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """
     load = pairs.groupBy("b").agg((F.count(F.lit(1)) / SALT_ROWS).cast("long").alias("salts"))
     keyed = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts") + 1).alias("salt"))
-    texts = texts.join(checked_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()), "gid", "left_semi")
     left = keyed.join(texts, keyed["a"] == texts["gid"]).select("b", "salt", F.lit(1).alias("side"), F.col("a").alias("id"), "text")
     pivots = load.select(F.col("b"), F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
     right = pivots.join(texts, pivots["b"] == texts["gid"]).select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("id"), "text")
@@ -323,20 +315,22 @@ def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int, scratch: Sc
 
 
 def links(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(classes, roots): (id, n, gid), with h where docs has it, of every document of (id, text), and (node, root) of the linked classes."""
+    """(classes, roots): (id, n, gid, h) of every document of (id, text, h), h being the text's hash, and (node, root) of the linked classes."""
     known = scratch.written(signatures(docs, width, percent, common_shingles(docs, width, 3, scratch)), "signatures")
     full = known.where("gid is not null")
-    classes = scratch.written(full.groupBy("gid", "n", "pg").agg(*[F.first(c).alias(c) for c in WIDE]), "classes")
+    classes = scratch.written(full.groupBy("gid", "n", "pg").agg(F.min("h").alias("h"), *[F.first(c).alias(c) for c in WIDE]), "classes")
     several = scratch.written(full.groupBy("pg").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("gid").alias("k"), F.min("id").alias("lead")).where("c > 1").select("pg", "lead", "k"), "several")
 
     leaders = full.join(checked_broadcast(several), "pg", "left").where(F.col("lead").isNull() | F.col("id").eqNullSafe(F.col("lead")))
     postings = leaders.select("pg", "n", F.coalesce("k", F.lit(1)).alias("k"), F.posexplode("prefix").alias("pos", "token"))
     counts = scratch.written(postings.groupBy("token").agg(F.sum("k").alias("df")).where("df > 1"), "counts")
     shared = scratch.written(postings.join(counts, "token").select("token", "df", "pg", "n", F.col("pos").cast("long").alias("pos")), "shared")
-    texts = scratch.written(class_texts(docs, classes.join(checked_broadcast(shared.select("pg").distinct()), "pg", "left_semi").select("gid"), width), "texts", compression="zstd")
+    hashes = classes.select("gid", "h")
+    texts_of = lambda nodes, name: scratch.written(class_texts(docs, hashes.join(checked_broadcast(nodes), "gid", "left_semi")), name, compression="zstd")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
 
     pairs = scratch.written(_star_pairs(shared, classes, percent, scratch), "star-pairs")
-    found = scratch.written(verified(pairs, texts, width, percent), "star-links")
+    found = scratch.written(verified(pairs, texts_of(ends(pairs), "star-texts"), width, percent), "star-links")
     roots = scratch.written(components(found, scratch=scratch), "star-roots")
     state = scratch.written(classes.join(roots, F.col("gid") == F.col("node"), "left").select("gid", "pg", "n", F.coalesce("root", "gid").alias("root"), *WIDE), "state")
 
@@ -347,23 +341,24 @@ def links(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[
     more = [_expanded(groups, state, percent)]
 
     heavy = state.join(checked_broadcast(shared.where(F.col("df") >= HEAVY).select("pg").distinct()), "pg", "left_semi").select("gid")
-    again, wide = _rare_first(texts.join(checked_broadcast(heavy), "gid", "left_semi"), width, percent, scratch)
+    again, wide = _rare_first(texts_of(heavy, "heavy-texts"), width, percent, scratch)
     again = scratch.written(again, "rare-first")
     wide = scratch.written(wide.join(state.select("gid", "root"), "gid"), "heavy-state")
     groups = _light_pairs(again.where(F.col("df") < HEAVY), _group_state(wide, WIDE), percent, WIDE).union(_heavy_pairs(again.where(F.col("df") >= HEAVY), _group_state(wide, WIDE), percent, WIDE, scratch))
     more.append(_expanded(scratch.written(groups, "heavy-pairs"), wide, percent))
     flipped = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.written(more[0].union(more[1]).distinct().join(flipped, ["a", "b"], "left_anti"), "more-pairs")
-    second = scratch.written(verified(rest, texts, width, percent), "more-links")
+    second = scratch.written(verified(rest, texts_of(ends(rest), "more-texts"), width, percent), "more-links")
     if second.limit(1).count():
         roots = scratch.written(components(found.union(second), scratch=scratch), "roots")
-    return known.select("id", "n", "gid", *[c for c in docs.columns if c == "h"]), roots
+    return known.select("id", "n", "gid", "h"), roots
 
 
 def jaccard_components(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of every row: linked when 100|x & y| >= percent |x | y|."""
     need(df, id, text)
-    docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    body = F.col(f"`{text}`").cast("string")
+    docs = df.select(F.col(f"`{id}`").cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("h"))
     scratch = Scratch(df.sparkSession, "jaccard")
     classes, roots = links(docs, width, percent, scratch)
     rooted = scratch.written(classes.join(roots, classes["gid"] == roots["node"], "left").select("id", "n", F.coalesce("root", "gid").alias("root")), "rooted")
