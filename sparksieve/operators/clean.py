@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import positioned
+
 #: Fixed value: the multiplier of multiplicative hashing.
 HASH_MULTIPLIER = 2654435761
 
@@ -65,25 +67,28 @@ def without_constants(df: DataFrame, names: list[str], least: float = 1e-8) -> D
 def codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): 0-based codes of the distinct non-null values in label order."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("long"))
+    return positioned(values, [], ["value"], "code").withColumn("code", F.col("code") - 1)
 
 
 def label_encoded(df: DataFrame, column: str) -> DataFrame:
     """df with ``<column>_code``; a missing value is -1."""
-    c = F.broadcast(codes(df, column))
+    c = codes(df, column)  # a written table: Spark broadcasts it while its files are small
     return df.join(c, df[column] == c["value"], "left").drop("value").withColumn("code", F.coalesce("code", F.lit(-1))).withColumnRenamed("code", f"{column}_code")
 
 
-def one_hot(df: DataFrame, column: str) -> DataFrame:
-    """df with a 0/1 column for each category."""
-    values = [r[0] for r in codes(df, column).orderBy("code").select("value").collect()]
+def one_hot(df: DataFrame, column: str, most: int = 1000) -> DataFrame:
+    """df with a 0/1 column for each of at most ``most`` categories; more raise an error, since each is a column."""
+    values = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} categories")
     return df.select("*", *[F.coalesce((F.col(column) == v).cast("long"), F.lit(0)).alias(f"{column}_{v}") for v in values])
 
 
 def ordinal(df: DataFrame, column: str) -> DataFrame:
     """df with ``<column>_ordinal``: code / (categories - 1)."""
     c = codes(df, column)
-    scaled = F.broadcast(c.select("value", (F.col("code") / F.greatest(F.lit(1), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) - 1)).alias(f"{column}_ordinal")))
+    last = F.broadcast(c.agg(F.greatest(F.lit(1), F.count(F.lit(1)) - 1).alias("last")))  # one row
+    scaled = c.crossJoin(last).select("value", (F.col("code") / F.col("last")).alias(f"{column}_ordinal"))
     return df.join(scaled, df[column] == scaled["value"], "left").drop("value")
 
 

@@ -15,37 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import positioned, ranged, scanned
+
 # ---- folds -----------------------------------------------------------------
 
 
 def contiguous_folds(df: DataFrame, order: str, k: int) -> DataFrame:
-    """df with ``fold`` 0..k-1: equal blocks in order, the last takes the rest.
-
-    Positions come from counts of ranges: the rows are ranged by ``order`` and
-    numbered within a range, the ranges' offsets being one row each.
-    """
+    """df with ``fold`` 0..k-1: equal blocks in order, the last takes the rest."""
     n = df.count()
-    numbered = with_positions(df, order)
+    numbered = positioned(df, [], [order])
     size = max(1, n // k)
     return numbered.withColumn("fold", F.least(F.floor((F.col("position") - 1) / size), F.lit(k - 1)).cast("long")).drop("position")
 
 
-def with_positions(df: DataFrame, order: str, buckets: int = 64) -> DataFrame:
-    """df with 1-based ``position`` by a unique numeric column, without one global window."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // buckets + 1)
-    b = df.withColumn("__b", F.floor((F.col(order) - F.lit(lo or 0)) / width))
-    size = b.groupBy("__b").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = F.broadcast(size.select("__b", before.alias("__before")))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    return b.withColumn("__i", inside).join(offset, "__b").withColumn("position", (F.col("__i") + F.col("__before")).cast("long")).drop("__b", "__i", "__before")
-
-
 def stratified_folds(df: DataFrame, cls: Column, order: list[Column], k: int) -> DataFrame:
     """df with ``fold``: rows of each class dealt in turn, in the given order."""
-    w = Window.partitionBy("__cls").orderBy(*order)
-    return df.withColumn("__cls", cls).withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("long")).drop("__cls")
+    keys = {f"__o{i}": c for i, c in enumerate(order)}
+    dealt = positioned(df.withColumn("__cls", cls).withColumns(keys), ["__cls"], list(keys), "__at")
+    return dealt.withColumn("fold", ((F.col("__at") - 1) % k).cast("long")).select(*df.columns, "fold")
 
 
 def fold_check(df: DataFrame, cls: str, least: int = 1) -> DataFrame:
@@ -77,13 +64,12 @@ def confusion(df: DataFrame, truth: Column, predicted: Column, by: list[str] | N
 def roc_curve(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, and the origin (null threshold).
 
-    The rows are counted by score first, so the running sums go over distinct
-    scores; round the score where they are many.
+    The rows are counted by score first, and the running sums go over ranges of
+    the distinct scores.
     """
     c = df.groupBy(score.alias("threshold")).agg(F.count_if(truth.cast("boolean")).alias("p"), F.count_if(~truth.cast("boolean")).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = F.broadcast(c.agg(F.sum("p").alias("tp_all"), F.sum("n").alias("fp_all")))
-    run = c.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).crossJoin(total)
+    run = scanned(ranged(c, "threshold"), [], ["threshold"], {"tp": (F.sum, F.col("p"), True), "fp": (F.sum, F.col("n"), True)}).crossJoin(total)
     points = run.select("threshold", F.when(F.col("fp_all") > 0, F.col("fp") / F.col("fp_all")).otherwise(0.0).alias("fpr"), F.when(F.col("tp_all") > 0, F.col("tp") / F.col("tp_all")).otherwise(0.0).alias("tpr"))
     return points.unionByName(total.select(F.lit(None).cast(dict(c.dtypes)["threshold"]).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
@@ -180,12 +166,21 @@ def tail(name: str) -> object:
     return run
 
 
-def paired_t(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """n, mean difference, t, p, confidence interval and Cohen's d of paired values."""
+def one_sided(p: Column, statistic: Column, alternative: str) -> Column:
+    """The p of an alternative (two_sided, greater, less) out of the two-sided one of a symmetric statistic."""
+    if alternative == "two_sided":
+        return p
+    toward = statistic > 0 if alternative == "greater" else statistic < 0
+    return F.when(toward, p / 2).otherwise(1 - p / 2)
+
+
+def paired_t(pairs: DataFrame, by: list[str], a: str, b: str, alternative: str = "two_sided") -> DataFrame:
+    """n, mean difference, t, p, confidence interval and Cohen's d of paired values; equal differences of 0 have t = 0, p = 1."""
     diff = F.col(a) - F.col(b)
     s = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(diff).alias("mean_diff"), F.stddev_samp(diff).alias("sd"), F.sqrt((F.var_samp(a) + F.var_samp(b)) / 2).alias("pooled"))
-    t = F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt("n")))
-    r = s.withColumn("t", t).withColumn("df", F.col("n") - 1).withColumn("p", tail("t")("t", "df")).withColumn("q", tail("t_quantile")(F.lit(0.975), "df"))
+    # equal differences: no evidence if they are 0, else as strong as can be
+    t = F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))).when((F.col("n") > 1) & (F.col("mean_diff") == 0), 0.0).when(F.col("n") > 1, F.signum("mean_diff") * float("inf"))
+    r = s.withColumn("t", t).withColumn("df", F.col("n") - 1).withColumn("p", one_sided(tail("t")("t", "df"), F.col("t"), alternative)).withColumn("q", tail("t_quantile")(F.lit(0.975), "df"))
     half = F.col("q") * F.col("sd") / F.sqrt("n")
     return r.select(*by, "n", "mean_diff", "t", "df", "p", (F.col("mean_diff") - half).alias("ci_low"), (F.col("mean_diff") + half).alias("ci_high"), F.try_divide("mean_diff", "pooled").alias("cohen_d"))
 
@@ -225,22 +220,12 @@ def effect_sizes(df: DataFrame, by: list[str], value: str, first: Column) -> Dat
 
 
 def adjusted(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """tests with bonferroni, holm and benjamini_hochberg."""
-    g = by or [F.lit(1)]
-    m = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    up = Window.partitionBy(*g).orderBy(p)
-    r = F.row_number().over(up)
-    t = tests.withColumn("__m", m).withColumn("__r", r)
-    down = up.rowsBetween(Window.unboundedPreceding, 0)
-    after = up.rowsBetween(0, Window.unboundedFollowing)
-    one = F.lit(1.0)
-    return t.withColumns(
-        {
-            "bonferroni": F.least(one, F.col(p) * F.col("__m")),
-            "holm": F.least(one, F.max(F.col(p) * (F.col("__m") - F.col("__r") + 1)).over(down)),
-            "benjamini_hochberg": F.least(one, F.min(F.col(p) * F.col("__m") / F.col("__r")).over(after)),
-        }
-    ).drop("__m", "__r")
+    """tests with bonferroni, holm and benjamini_hochberg; ranks and running extremes go over ranges of p."""
+    by, one = by or [], F.lit(1.0)
+    up = scanned(ranged(tests, *by, p), by, [p], {"__r": (F.sum, F.lit(1).cast("long"), False), "__left": (F.sum, F.lit(1).cast("long"), True)})
+    m = F.col("__r") + F.col("__left") - 1
+    ends = scanned(up.withColumn("__m", m), by, [p, "__r"], {"__holm": (F.max, F.col(p) * F.col("__left"), False), "__bh": (F.min, F.col(p) * F.col("__m") / F.col("__r"), True)})
+    return ends.select(*tests.columns, F.least(one, F.col(p) * F.col("__m")).alias("bonferroni"), F.least(one, "__holm").alias("holm"), F.least(one, "__bh").alias("benjamini_hochberg"))
 
 
 #: Rows whose draws are in memory at a time, groups whose sums are, and rounds that one 64-bit hash draws signs for.

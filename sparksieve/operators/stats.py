@@ -1,14 +1,20 @@
 """Univariate and bivariate feature statistics over the long relation.
 
 Everything is a partial aggregate by feature, so a feature with all the rows is
-no hot key.  Ranks are taken over distinct values, after counting them.
+no hot key.  Ranks are taken over distinct values, after counting them, range by range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranged, scanned
+
 #: Sum of squares up to which a series counts as constant.
 TINY = 1e-10
 
@@ -48,14 +54,39 @@ def pearson(lf: DataFrame, epsilon: float | None = None) -> DataFrame:
 
 
 def correlation_pairs(lf: DataFrame, least: float = 0.0) -> DataFrame:
-    """(f1, f2, r) of all pairs f1 < f2 with |r| >= least, by a self join on the sample.
+    """(f1, f2, r) of all pairs f1 < f2 with |r| >= least, over the samples that have both.
 
-    For up to about 64 features; ``correlation_matrix`` takes one Gramian pass.
+    One Gramian pass: a sample's values meet in one vector, a task adds up the
+    products of its samples, centred at the features' means, and sends one row
+    a pair, however many samples it has.
     """
-    a = lf.select("sample_id", F.col("feature").alias("f1"), F.col("value").alias("x1"))
-    b = lf.select("sample_id", F.col("feature").alias("f2"), F.col("value").alias("x2"))
-    pairs = a.join(b, "sample_id").where("f1 < f2")
-    return _centred(pairs, ["f1", "f2"], "x1", "x2").select("f1", "f2", guarded_correlation().alias("r")).where(F.abs("r") >= least)
+    # a row a column of the table
+    known = [(r["feature"], r["m"] or 0.0) for r in lf.groupBy("feature").agg(F.avg("value").alias("m")).orderBy("feature").collect()]
+    names, means = [k for k, _ in known], np.array([m for _, m in known])
+    places = lf.sparkSession.createDataFrame([(f, i) for i, f in enumerate(names)], "feature string, place int")
+    vectors = lf.where("value is not null").join(F.broadcast(places), "feature").groupBy("sample_id").agg(F.collect_list("place").alias("places"), F.collect_list(F.col("value").cast("double")).alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(names)
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            at, values = batch.column("places"), batch.column("values")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+            place = at.flatten().to_numpy()
+            has, x = np.zeros((batch.num_rows, k)), np.zeros((batch.num_rows, k))
+            has[row, place] = 1.0
+            x[row, place] = values.flatten().to_numpy() - means[place]
+            n, s, q, p = n + has.T @ has, s + x.T @ has, q + (x * x).T @ has, p + x.T @ x
+        i, j = np.triu_indices(k, 1)
+        label = pa.array(names, type=pa.string())
+        sums = [pa.array(v) for v in (n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])]
+        yield pa.RecordBatch.from_arrays([label.take(pa.array(i)), label.take(pa.array(j)), *sums], names=["f1", "f2", "n", "sx", "sy", "qx", "qy", "p"])
+
+    columns = ("n", "sx", "sy", "qx", "qy", "p")
+    parts = vectors.select("places", "values").mapInArrow(run, "f1 string, f2 string, " + ", ".join(f"{c} double" for c in columns))
+    sums = parts.groupBy("f1", "f2").agg(*[F.sum(c).alias(c) for c in columns]).where("n > 0")
+    centred = sums.select("f1", "f2", (F.col("p") - F.col("sx") * F.col("sy") / F.col("n")).alias("sxy"), (F.col("qx") - F.col("sx") * F.col("sx") / F.col("n")).alias("sxx"), (F.col("qy") - F.col("sy") * F.col("sy") / F.col("n")).alias("syy"))
+    return centred.select("f1", "f2", guarded_correlation().alias("r")).where(F.abs("r") >= least)
 
 
 def correlation_matrix(df: DataFrame, vector: str, names: list[str], method: str = "pearson") -> DataFrame:
@@ -72,8 +103,8 @@ def correlation_matrix(df: DataFrame, vector: str, names: list[str], method: str
 def mid_ranks(lf: DataFrame, column: str, by: str = "feature") -> DataFrame:
     """(by, column, rank): average rank of every distinct value."""
     counts = lf.groupBy(by, column).agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy(by).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counts.select(by, column, (before - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
+    run = scanned(ranged(counts, by, column), [by], [column], {"before": (F.sum, F.col("c"), False)})
+    return run.select(by, column, (F.col("before") - F.col("c") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def spearman(lf: DataFrame) -> DataFrame:
@@ -96,9 +127,9 @@ def kendall(lf: DataFrame) -> DataFrame:
     below = grid.groupBy("feature", "upper", "value").agg(F.sum("c").alias("low"))
     above = counts.select("feature", "value", F.col("y").alias("upper"), F.col("c").alias("high"))
     both = below.join(above, ["feature", "upper", "value"], "full").na.fill(0, ["low", "high"])
-    w = Window.partitionBy("feature", "upper").orderBy("value")
-    run = both.withColumn("less", F.sum("low").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("more", F.sum("low").over(w.rowsBetween(1, Window.unboundedFollowing)))
-    score = run.groupBy("feature").agg(F.sum(F.col("high") * (F.coalesce("less", F.lit(0)) - F.coalesce("more", F.lit(0)))).alias("s"))
+    run = scanned(ranged(both, "feature", "upper", "value"), ["feature", "upper"], ["value"], {"less": (F.sum, F.col("low"), False), "more": (F.sum, F.col("low"), True)})
+    # both running sums have the row's own count in them
+    score = run.groupBy("feature").agg(F.sum(F.col("high") * (F.col("less") - F.col("more"))).alias("s"))
     n = lf.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     return score.join(n, "feature").select("feature", (F.col("s") / (F.col("n") * (F.col("n") - 1) / 2)).alias("tau"))
 

@@ -99,6 +99,9 @@ def voted(predictions: DataFrame, how: str, sample: str = "sample_id", label: st
     return predictions.groupBy(sample).agg(p.alias("p")).select(sample, (F.col("p") >= 0.5).cast("long").alias("vote"))
 
 
-def pareto(candidates: DataFrame, score: str = "score", size: str = "size") -> DataFrame:
-    """Candidates by score over the square root of their size."""
-    return candidates.withColumn("value", F.col(score) / F.sqrt(F.greatest(F.col(size), F.lit(1)))).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), size)).cast("long"))
+def pareto(candidates: DataFrame, score: str = "score", size: str = "size", most: int | None = None) -> DataFrame:
+    """Candidates by score over the square root of their size; the ``most`` best of them."""
+    valued = candidates.withColumn("value", F.col(score) / F.sqrt(F.greatest(F.col(size), F.lit(1))))
+    if most is not None:  # a top-k, so that the ranking window has few rows
+        valued = valued.orderBy(F.desc("value"), size).limit(most)
+    return valued.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), size)).cast("long"))

@@ -6,8 +6,13 @@ spreads over its keys.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def last_rows(by: list[str], order: list[str], n: int) -> WindowSpec:
@@ -43,19 +48,33 @@ def rolling_anomaly(c: Column, by: list[str], order: list[str], n: int = 50, lea
 
 
 def smoothed(df: DataFrame, column: str, by: list[str], order: str, alpha: float = 0.3, output: str = "smooth") -> DataFrame:
-    """Exponential smoothing s = alpha x + (1 - alpha) s, from the first value, in array form within a key.
+    """Exponential smoothing s = alpha x + (1 - alpha) s within a key, from the first value; a missing value gives 0 and starts anew.
 
-    A key's series is one array, so keys should be bounded (a day, a user, a run).
+    The rows stream past in order, the last value of a key being carried from
+    batch to batch, so a long series needs no more memory than a short one.
     """
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).cast("double").alias("x")))).alias("s"))
-    empty = F.slice("s", 1, 0)
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.transform(empty, lambda e: F.struct(e["o"].alias("o"), F.lit(0.0).cast("double").alias("v"))).alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        v = F.when(acc["last"].isNull(), e["x"]).otherwise(alpha * e["x"] + (1 - alpha) * acc["last"])
-        return F.struct(v.alias("last"), F.concat(acc["out"], F.array(F.struct(e["o"].alias("o"), F.coalesce(v, F.lit(0.0)).alias("v")))).alias("out"))
-
-    return rows.select(*by, F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("e")).select(*by, F.col("e.o").alias(order), F.col("e.v").alias(output))
+    rows = df.select(*by, order, F.col(column).cast("double").alias("__x")).repartition(*by).sortWithinPartitions(*by, order)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(output, T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            keys = list(zip(*(b[c].tolist() for c in by)))
+            x = b["__x"].to_numpy(dtype=float)
+            fresh = np.array([k != p for k, p in zip(keys, [key, *keys[:-1]])])
+            starts = np.flatnonzero(fresh | np.isnan(x) | np.r_[last is None, np.isnan(x[:-1])] | (np.arange(len(x)) == 0))
+            out = np.zeros(len(x))
+            for lo, hi in zip(starts, [*starts[1:], len(x)]):
+                carried = lo == 0 and not fresh[0] and last is not None and not np.isnan(x[0])
+                part = np.r_[last, x[lo:hi]] if carried else x[lo:hi]
+                if not np.isnan(part[0]):
+                    out[lo:hi] = pd.Series(part).ewm(alpha=alpha, adjust=False).mean().to_numpy()[int(carried) :]
+            key, last = keys[-1], None if np.isnan(x[-1]) else out[-1]
+            yield b[[*by, order]].assign(**{output: out})
+
+    return rows.mapInPandas(run, schema)
 
 
 def interpolated(df: DataFrame, column: str, x: str, by: list[str]) -> Column:
@@ -64,8 +83,8 @@ def interpolated(df: DataFrame, column: str, x: str, by: list[str]) -> Column:
     after = Window.partitionBy(*by).orderBy(x).rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col(column).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(column).cast("double").alias("v")))
     a, b = F.last(at, True).over(before), F.first(at, True).over(after)
-    t = (F.col(x) - a["x"]) / (b["x"] - a["x"])
-    return F.coalesce(F.col(column).cast("double"), a["v"] + (b["v"] - a["v"]) * t, a["v"], b["v"])
+    between = a["v"] + (b["v"] - a["v"]) * (F.col(x) - a["x"]) / (b["x"] - a["x"])
+    return F.coalesce(F.col(column).cast("double"), between, a["v"], b["v"])
 
 
 def borda(rank: Column, by: list[str]) -> Column:

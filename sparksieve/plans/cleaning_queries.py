@@ -57,10 +57,10 @@ def backward_fill(spark, d):
     return clean.filled_backward(holes(spark, d), "price", "o_orderkey", ["o_custkey"]).select("o_orderkey", "price")
 
 
-@query(f"WITH {HOLES} SELECT o_orderkey, round(coalesce(price, CASE WHEN a IS NULL THEN b.v WHEN b IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (o_orderkey - a.x) / (b.x - a.x) END), 4) AS price FROM (SELECT *, last_value(CASE WHEN price IS NOT NULL THEN {{'x': o_orderkey, 'v': price}} END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS a, first_value(CASE WHEN price IS NOT NULL THEN {{'x': o_orderkey, 'v': price}} END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM h)")
+@query(f"WITH {HOLES} SELECT o_orderkey, round(coalesce(price, CASE WHEN a IS NULL THEN b.v WHEN b IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (o_orderkey - a.x) / (b.x - a.x) END) + 1e-7, 2) AS price FROM (SELECT *, last_value(CASE WHEN price IS NOT NULL THEN {{'x': o_orderkey, 'v': price}} END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS a, first_value(CASE WHEN price IS NOT NULL THEN {{'x': o_orderkey, 'v': price}} END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM h)")
 def linear_interpolation(spark, d):
     h = holes(spark, d)
-    return h.select("o_orderkey", F.round(windows.interpolated(h, "price", "o_orderkey", ["o_custkey"]), 4).alias("price"))
+    return h.select("o_orderkey", F.round(windows.interpolated(h, "price", "o_orderkey", ["o_custkey"]) + 1e-7, 2).alias("price"))
 
 
 @query("SELECT p_partkey, p_size, p_retailprice FROM part")

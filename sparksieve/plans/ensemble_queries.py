@@ -15,7 +15,7 @@ from ..registry import query, r6, table
 RAW = "raw AS (SELECT l_suppkey AS tree_id, l_partkey % 50 AS feature_id, l_discount * 10 AS performance, l_linenumber::DOUBLE AS depth, l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS seq FROM lineitem)"
 VOTES = f"""{RAW}, first AS (SELECT tree_id, feature_id, min(seq) AS seq, count(*) AS cast_n FROM raw GROUP BY ALL),
 votes AS (SELECT tree_id, feature_id, min(performance) AS performance, min(depth) AS depth, any_value(cast_n) - 1 AS rejected FROM first JOIN raw USING (tree_id, feature_id, seq) GROUP BY tree_id, feature_id)"""
-SETS = "sets AS (SELECT l_suppkey AS tree_id, list_sort(list(DISTINCT l_partkey % 50)) AS features FROM lineitem WHERE l_quantity > 45 GROUP BY 1)"
+SETS = "sets AS (SELECT l_suppkey AS tree_id, list_sort(list(DISTINCT l_partkey % 50)) AS features FROM lineitem GROUP BY 1)"
 
 
 def raw_votes(spark, d):
@@ -31,7 +31,7 @@ def votes(spark, d):
 
 
 def tree_sets(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 45")
+    li = table(spark, d, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("tree_id")).agg(F.array_sort(F.collect_set(F.col("l_partkey") % 50)).alias("features"))
 
 
@@ -134,11 +134,11 @@ def feature_heat_map(spark, d):
     return r6("score", "share", of=out.withColumn("share", F.col("trees") / F.col("n")).drop("n"))
 
 
-RUNS = "runs AS (SELECT DISTINCT year(o_orderdate) AS run, l_partkey % 200 AS feature_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50)"
+RUNS = "runs AS (SELECT DISTINCT year(o_orderdate) AS run, l_partkey % 200 AS feature_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def runs(spark, d):
-    o, li = table(spark, d, "orders").select("o_orderkey", "o_orderdate"), table(spark, d, "lineitem").where("l_quantity >= 50").select("l_orderkey", "l_partkey")
+    o, li = table(spark, d, "orders").select("o_orderkey", "o_orderdate"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.year("o_orderdate").alias("run"), (F.col("l_partkey") % 200).alias("feature_id")).distinct()
 
 
@@ -255,4 +255,4 @@ def prediction_voting(spark, d):
 @query("WITH c AS (SELECT o_custkey AS id, avg(o_totalprice) AS score, count(*) AS size FROM orders GROUP BY 1) SELECT id, size, round(score / sqrt(greatest(size, 1)), 4) AS value, row_number() OVER (ORDER BY score / sqrt(greatest(size, 1)) DESC, size) AS rank FROM c QUALIFY rank <= 20")
 def pareto_selection(spark, d):
     c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.avg("o_totalprice").alias("score"), F.count(F.lit(1)).alias("size"))
-    return voting.pareto(c).where("rank <= 20").select("id", "size", F.round("value", 4).alias("value"), "rank")
+    return voting.pareto(c, most=20).select("id", "size", F.round("value", 4).alias("value"), "rank")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators.ordered import positioned
 from ..registry import query, r6, table
 
 LAB = "lab AS (SELECT doc_id, quality, toxic, n_chars, least(n_chars / 5000.0, 1.0) AS score FROM documents JOIN labels USING (doc_id))"
@@ -28,7 +29,7 @@ def contiguous_folds(spark, d):
 def holdout_split(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
     n = o.count()
-    return ev.with_positions(o, "o_orderkey").select("o_orderkey", (F.col("position") <= n * 7 // 10).alias("train"))
+    return positioned(o, [], ["o_orderkey"]).select("o_orderkey", (F.col("position") <= n * 7 // 10).alias("train"))
 
 
 @query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey * 2654435761 % 1000003, o_orderkey) - 1) % 5 AS fold FROM orders")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 
 def set_reward(scores: list[float], chosen: set[int]) -> float:
     """The size-corrected surrogate: sum of scores over the square root of the size."""
@@ -103,10 +105,12 @@ def assembled(df: DataFrame, names: list[str], label: Column) -> DataFrame:
 
 
 def model(kind: str, **params):
-    """An MLlib classifier: logistic, forest or boosted."""
+    """An MLlib classifier (logistic, forest, boosted) or regressor (linear, forest_regressor, boosted_regressor)."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    return {"logistic": lambda: LogisticRegression(maxIter=20, **params), "forest": lambda: RandomForestClassifier(numTrees=10, maxDepth=4, seed=1, **params), "boosted": lambda: GBTClassifier(maxIter=5, maxDepth=3, seed=1, **params)}[kind]()
+    regressors = {"linear": lambda: LinearRegression(maxIter=20, **params), "forest_regressor": lambda: RandomForestRegressor(numTrees=10, maxDepth=4, seed=1, **params), "boosted_regressor": lambda: GBTRegressor(maxIter=5, maxDepth=3, seed=1, **params)}
+    return (regressors | {"logistic": lambda: LogisticRegression(maxIter=20, **params), "forest": lambda: RandomForestClassifier(numTrees=10, maxDepth=4, seed=1, **params), "boosted": lambda: GBTClassifier(maxIter=5, maxDepth=3, seed=1, **params)})[kind]()
 
 
 def predicted(fitted, df: DataFrame) -> DataFrame:
@@ -117,24 +121,26 @@ def predicted(fitted, df: DataFrame) -> DataFrame:
 
 
 def cross_validated(df: DataFrame, subsets: list[list[str]], kinds: list[str], label: Column, fold: str, folds: int) -> DataFrame:
-    """(subset, model, fold, accuracy) over the grid; the models fit in Spark, the driver holds one row a fit."""
-    spark, rows = df.sparkSession, []
+    """(subset, model, fold, accuracy) over the grid; the models fit in Spark."""
+    scored = None
     for names in subsets:
         data = assembled(df, names, label).select("features", "label", fold).cache()
         for kind in kinds:
             for k in range(folds):
                 fitted = model(kind).fit(data.where(F.col(fold) != k))
-                hit = predicted(fitted, data.where(F.col(fold) == k)).agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
-                rows.append((",".join(names), kind, k, float(hit) if hit is not None else None))
-        data.unpersist()
-    return spark.createDataFrame(rows, "subset string, model string, fold int, accuracy double")
+                hit = ((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double").alias("hit")
+                one = predicted(fitted, data.where(F.col(fold) == k)).select(F.lit(",".join(names)).alias("subset"), F.lit(kind).alias("model"), F.lit(k).alias("fold"), hit)
+                scored = one if scored is None else scored.union(one)
+    # all held-out predictions are scored in one job
+    return stored(scored.groupBy("subset", "model", "fold").agg(F.avg("hit").alias("accuracy")), "cross-validated")
 
 
-def shuffled(df: DataFrame, column: str, id: str, round: int) -> DataFrame:
-    """df with the column's values dealt to other rows: rows in hash order take the next one's value within a bucket."""
+def shuffled(df: DataFrame, column: str, id: str, round: int, rows: int = 10_000) -> DataFrame:
+    """df with the column's values dealt to other rows: rows in hash order take the next one's value within a bucket of about ``rows`` rows."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.col(id), F.lit(round)), F.lit(64))).orderBy(F.xxhash64(F.lit(round), F.col(id)))
+    buckets = 1 + df.count() // rows
+    w = Window.partitionBy(F.pmod(F.xxhash64(F.col(id), F.lit(round)), F.lit(buckets))).orderBy(F.xxhash64(F.lit(round), F.col(id)))
     around = F.coalesce(F.lead(column).over(w), F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return df.withColumn(column, around)
 
@@ -172,8 +178,79 @@ def ablation_importance(df: DataFrame, names: list[str], label: Column, kind: st
     return out
 
 
-def pair_interactions(df: DataFrame, names: list[str], label: Column, grid: int = 5, kind: str = "forest") -> DataFrame:
-    """(f1, f2, strength): root mean square of what partial dependence on two features adds to that on each.
+def forward_selection(df: DataFrame, ranked: list[str], pairs: dict[tuple[str, str], float], label: Column, fold: str, folds: int, kind: str = "logistic", most: float = 0.95, patience: int = 2) -> DataFrame:
+    """(step, feature, accuracy, kept): features in rank order, each kept if cross-validation gains by it.
+
+    A feature that is correlated at ``most`` or above with one kept before is
+    skipped; ``patience`` features in a row without a gain end the walk.  A
+    step fits ``folds`` models; its rows are features of the table.
+    """
+    kept, rows, best, idle = [], [], 0.0, 0
+    for name in ranked:
+        if any(abs(pairs.get((min(name, k), max(name, k)), 0.0)) >= most for k in kept):
+            continue
+        accuracy = cross_validated(df, [[*kept, name]], [kind], label, fold, folds).agg(F.avg("accuracy")).first()[0] or 0.0
+        gain = accuracy > best + 1e-9
+        rows.append((len(rows) + 1, name, float(accuracy), gain))
+        best, idle = (accuracy, 0) if gain else (best, idle + 1)
+        kept += [name] if gain else []
+        if idle >= patience:
+            break
+    return df.sparkSession.createDataFrame(rows, "step long, feature string, accuracy double, kept boolean")
+
+
+def shapley_sampled(df: DataFrame, names: list[str], label: Column, id: str, orders: int = 4, kind: str = "logistic", seed: int = 0) -> DataFrame:
+    """(feature, importance): mean |Shapley value| over the rows, by sampled orders of the features.
+
+    In an order, features get the row's own values one after the other, the
+    others standing at their means; what a prediction gains is its feature's
+    share.  All steps of all orders are scored in one pass.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    data = df.withColumn("label", label.cast("double"))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    means = data.agg(*[F.avg(f).alias(f) for f in names]).first()
+    rng, steps = random.Random(seed), []
+    for _ in range(orders):
+        order = rng.sample(names, len(names))
+        for k in range(len(names) + 1):
+            # a prediction counts for the feature that came last and against the one that comes next
+            counted = [(f, 1.0) for f in order[max(k - 1, 0) : k]] + [(f, -1.0) for f in order[k : k + 1]]
+            gains = [F.struct(F.lit(f).alias("feature"), F.lit(sign).alias("sign")) for f, sign in counted]
+            values = [(F.col(f).cast("double") if f in order[:k] else F.lit(float(means[f] or 0.0))).alias(f) for f in names]
+            steps.append(F.struct(F.array(*gains).alias("gains"), *values))
+    frame = data.select(F.col(id).alias("row"), F.explode(F.array(*steps)).alias("s")).select("row", "s.*")
+    shares = predicted(fitted, frame).select("row", "p", F.explode("gains").alias("g")).groupBy("row", "g.feature").agg((F.sum(F.col("p") * F.col("g.sign")) / orders).alias("phi"))
+    return shares.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+
+
+def joint_degradation(df: DataFrame, names: list[str], label: Column, id: str, kind: str = "logistic", repeats: int = 1) -> DataFrame:
+    """(f1, f2, interaction): accuracy lost when both columns are shuffled, beyond what each loses alone."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    data = df.withColumn("label", label.cast("double"))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    hit = F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))
+    sets = [()] + [(f,) for f in names] + [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    rows = None
+    for chosen in sets:
+        for r in range(repeats if chosen else 1):
+            mixed = data
+            for k, f in enumerate(chosen):
+                mixed = shuffled(mixed, f, id, r * len(names) + names.index(f))
+            one = predicted(fitted, mixed).agg(hit.alias("a")).select(F.lit(",".join(chosen)).alias("chosen"), "a")
+            rows = one if rows is None else rows.union(one)
+    score = {r["chosen"]: r["a"] for r in rows.groupBy("chosen").agg(F.avg("a").alias("a")).collect()}
+    lost = {k: score[""] - v for k, v in score.items()}
+    out = [(a, b, float(lost[f"{a},{b}"] - lost[a] - lost[b])) for i, a in enumerate(names) for b in names[i + 1 :]]
+    return df.sparkSession.createDataFrame(out, "f1 string, f2 string, interaction double")
+
+
+def pair_interactions(df: DataFrame, names: list[str], label: Column, grid: int = 20, kind: str = "forest") -> DataFrame:
+    """(f1, f2, strength, h): root mean square of what partial dependence on two features adds to that on each, and its share of the joint dependence's spread (Friedman's H).
 
     The model's mean prediction is taken over grid points built from the
     features' quantiles, the other features at their means.
@@ -198,7 +275,20 @@ def pair_interactions(df: DataFrame, names: list[str], label: Column, grid: int
     p = predicted(fitted, frame).select("f1", "f2", "x", "y", "p")
     over = lambda *by: F.avg("p").over(Window.partitionBy("f1", "f2", *by))
     gap = F.col("p") - over("x") - over("y") + over()
-    return p.select("f1", "f2", gap.alias("g")).groupBy("f1", "f2").agg(F.sqrt(F.avg(F.col("g") * F.col("g"))).alias("strength"))
+    centred = F.col("p") - over()
+    g = p.select("f1", "f2", gap.alias("g"), centred.alias("c")).groupBy("f1", "f2").agg(F.sqrt(F.avg(F.col("g") * F.col("g"))).alias("strength"), F.sqrt(F.avg(F.col("c") * F.col("c"))).alias("spread"))
+    return g.select("f1", "f2", "strength", F.when(F.col("spread") > 1e-12, F.col("strength") / F.col("spread")).otherwise(0.0).alias("h"))
+
+
+def combined_interactions(parts: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(f1, f2, score): the mean of several interaction measures, each as |value| over its largest; a row a pair of features."""
+    from pyspark.sql import Window
+
+    w, rows = Window.partitionBy(F.lit(1)), None
+    for df, value in parts:
+        one = df.select("f1", "f2", F.coalesce(F.try_divide(F.abs(value), F.max(F.abs(value)).over(w)), F.lit(0.0)).alias("s"))
+        rows = one if rows is None else rows.union(one)
+    return rows.groupBy("f1", "f2").agg(F.avg("s").alias("score"))
 
 
 def seeds_of(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:

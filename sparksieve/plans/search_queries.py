@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as ev
 from ..operators import sets, voting
 from ..operators import selection as sel
 from ..registry import query, r6, table
@@ -70,4 +71,36 @@ def ablation_importance(spark, d):
 
 @query()
 def pair_interactions(spark, d):
-    return r6("strength", of=search.pair_interactions(line_items(spark, d), NAMES, label()))
+    return r6("strength", "h", of=search.pair_interactions(line_items(spark, d), NAMES, label()))
+
+
+@query()
+def joint_degradation(spark, d):
+    return r6("interaction", of=search.joint_degradation(line_items(spark, d), NAMES, label(), "id"))
+
+
+@query()
+def combined_interactions(spark, d):
+    li = line_items(spark, d)
+    return r6("score", of=search.combined_interactions([(search.pair_interactions(li, NAMES, label()), "h"), (search.joint_degradation(li, NAMES, label(), "id"), "interaction")]))
+
+
+@query()
+def shapley_importance(spark, d):
+    return r6("importance", of=search.shapley_sampled(line_items(spark, d), NAMES, label(), "id"))
+
+
+@query()
+def forward_selection(spark, d):
+    return r6("accuracy", of=search.forward_selection(line_items(spark, d), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], {}, label(), "fold", 3))
+
+
+@query()
+def boosted_and_regression_models(spark, d):
+    li = line_items(spark, d)
+    boosted = search.cross_validated(li, [["l_quantity", "l_extendedprice"]], ["boosted"], label(), "fold", 3).agg(F.avg("accuracy").alias("score")).select(F.lit("boosted").alias("model"), "score")
+    data = search.assembled(li, ["l_quantity", "l_discount", "l_tax"], F.col("l_extendedprice")).select("features", "label", "fold")
+    for kind in ("linear", "forest_regressor", "boosted_regressor"):
+        p = search.model(kind).fit(data.where("fold <> 0")).transform(data.where("fold = 0"))
+        boosted = boosted.union(p.agg(*ev.regression_metrics(F.col("label"), F.col("prediction"))).select(F.lit(kind), "r2"))
+    return r6("score", of=boosted)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: The catalogue's tables and their columns.
+#: The catalogue's tables and their columns.
 TABLES: dict[str, str] = {
     "result_runs": "run_id string, dataset string, status string, started timestamp, seconds double, written timestamp",
     "ensemble_config": "run_id string, key string, kind string, value string",
@@ -54,6 +54,24 @@ def without_old_runs(runs: DataFrame, children: DataFrame, run_key: str, child_k
     return kept, children.join(kept.select(F.col(run_key).alias(child_key)), child_key, "left_semi")
 
 
+def save_snapshot(df: DataFrame, root: str, iteration: int) -> None:
+    """The state of a run at an iteration, a folder each; a repeated iteration replaces its own."""
+    df.write.mode("overwrite").parquet(f"{root}/iteration={iteration}")
+
+
+def snapshots(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All snapshots with their iteration."""
+    return spark.read.schema(f"{schema}, iteration long").option("basePath", root).parquet(root)
+
+
+def load_snapshot(spark: SparkSession, root: str, schema: str, iteration: int | None = None) -> DataFrame:
+    """The state at an iteration, by default the last; the folders of others are not read."""
+    every = snapshots(spark, root, schema)
+    if iteration is None:
+        iteration = every.agg(F.max("iteration")).first()[0]
+    return every.where(F.col("iteration") == iteration)
+
+
 def report_json(df: DataFrame) -> DataFrame:
     """One JSON text a row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
@@ -77,6 +95,12 @@ def latex_row(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.concat_ws(" & ", *[latex_escaped(F.col(c).cast("string")) for c in columns]), F.lit(r" \\")).alias("line"))
 
 
+def summary_lines(df: DataFrame, model: str, mean: str) -> DataFrame:
+    """(place, line) of a comparison's ranking, a row a model."""
+    place = F.row_number().over(Window.orderBy(F.desc(mean), model)).cast("long")
+    return df.select(place.alias("place"), model, mean).select("place", F.format_string("%d. %s: %.4f", "place", model, mean).alias("line"))
+
+
 def summary_text(df: DataFrame, model: str, mean: str) -> str:
     """A short report of a comparison: a row a model."""
     rows = df.orderBy(F.desc(mean), model).select(model, mean).collect()

@@ -8,8 +8,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Settings of the three presets.
+#: Settings of the three presets.
 PRESETS: dict[str, dict[str, Any]] = {
     "fast": {"stage1_features": 20, "trees": 4, "iterations": 50, "folds": 3},
     "balanced": {"stage1_features": 50, "trees": 16, "iterations": 200, "folds": 5},
@@ -77,6 +78,24 @@ def page(df: DataFrame, order: str, after: Any, limit: int) -> DataFrame:
     return rest.orderBy(order).limit(limit)
 
 
+def row_count(df: DataFrame, where: Column | str | None = None) -> DataFrame:
+    """One row: how many rows of a table pass the filter."""
+    return (df if where is None else df.where(where)).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def chunk_rows(n_features: int, rows: Column, memory_gb: float) -> Column:
+    """``chunk_size`` of a column of row counts."""
+    return F.greatest(F.lit(1), F.least(rows, F.greatest(F.lit(1000), F.least(F.lit(100_000), F.lit(int(0.1 * memory_gb * 1e9 / (8 * n_features + 100))))))).cast("long")
+
+
+def feature_columns(df: DataFrame, spec: DatasetSpec) -> list[str]:
+    """The numeric columns of df that are no id, not excluded and not the target; a ValueError names what the spec has and df lacks."""
+    if missing := [c for c in (*spec.id_columns, *spec.excluded, spec.target) if c and c not in df.columns]:
+        raise ValueError(f"{spec.table} lacks the columns {missing}")
+    left = {*spec.id_columns, *spec.excluded, spec.target}
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in left]
+
+
 def chunk_size(n_features: int, n_rows: int, memory_gb: float) -> int:
     """Rows of a chunk within a tenth of the memory, between 1,000 and 100,000."""
     rows = int(0.1 * memory_gb * 1e9 / (8 * n_features + 100))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..shared import scratch
@@ -25,17 +26,23 @@ def stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream has given when its input is used up; complete mode keeps the last batch."""
+    """What a stream has given when its input is used up; complete mode gives the last batch.
+
+    Each batch has a folder of its own, so one that is tried again replaces itself.
+    """
     spark = df.sparkSession
     out, state = scratch(spark, name), scratch(spark, f"{name}-state")
     schema = df.schema
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    spark.createDataFrame([], schema).write.parquet(out)
+    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=-1")
     df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", out).parquet(out)
+    if mode != "complete":
+        return every.drop("batch")
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
 
 
 def moments(df: DataFrame, by: str, value: str) -> DataFrame:

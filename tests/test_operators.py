@@ -163,6 +163,69 @@ def test_paired_tests_find_a_shift(spark):
     assert evaluation.wilcoxon(df, ["m"], "a", "b").first().p < 0.01
 
 
+def test_gramian_stands_missing_values(spark):
+    rng = random.Random(4)
+    rows = [(i, f, rng.gauss(0, 1) if rng.random() < 0.8 else None, 0.0) for i in range(80) for f in ("a", "b", "c")]
+    got = {(r.f1, r.f2): r.r for r in stats.correlation_pairs(spark.createDataFrame(rows, "sample_id long, feature string, value double, y double").repartition(3)).collect()}
+    value = {(i, f): v for i, f, v, _ in rows}
+    for (x, y), r in got.items():
+        both = [(value[i, x], value[i, y]) for i in range(80) if value[i, x] is not None and value[i, y] is not None]
+        mx, my = (sum(p[k] for p in both) / len(both) for k in (0, 1))
+        sxy, sxx, syy = sum((a - mx) * (b - my) for a, b in both), sum((a - mx) ** 2 for a, _ in both), sum((b - my) ** 2 for _, b in both)
+        assert r == pytest.approx(sxy / math.sqrt(sxx * syy))
+    assert len(got) == 3 and stats.correlation_pairs(spark.createDataFrame([], "sample_id long, feature string, value double, y double")).count() == 0
+
+
+def test_positions_and_running_totals(spark):
+    from sparksieve.operators.ordered import positioned, ranged, scanned
+
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(1000), rng.randrange(9)) for k in (None, "a", "b") for _ in range(70)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(5)
+    run = scanned(ranged(df, "k", "o", "v"), ["k"], ["o", "v"], {"up": (F.sum, F.col("v"), False), "down": (F.sum, F.col("v"), True), "top": (F.max, F.col("v"), False), "low": (F.min, F.col("v"), True)}).collect()
+    for key in (None, "a", "b"):
+        mine = sorted((r for r in run if r.k == key), key=lambda r: (r.o, r.v))
+        values = [r.v for r in mine]
+        # rows that are equal in order and value may stand either way
+        assert [r.up for r in mine] == sorted(r.up for r in mine) and sorted(r.up for r in mine) == [sum(values[: i + 1]) for i in range(70)]
+        assert sorted(r.down for r in mine) == sorted(sum(values[i:]) for i in range(70))
+        assert [r.top for r in mine] == [max(values[: i + 1]) for i in range(70)] and [r.low for r in mine] == [min(values[i:]) for i in range(70)]
+    assert sorted(r.position for r in positioned(df.where("k = 'a'"), ["k"], ["o"]).collect()) == list(range(1, 71))
+
+
+def test_smoothing_starts_anew_after_a_gap(spark):
+    df = spark.createDataFrame([(k, i, v) for k in (1, 2) for i, v in enumerate([4.0, 8.0, None, 2.0, 6.0])], "k int, i long, v double")
+    got = [r.smooth for r in windows.smoothed(df, "v", ["k"], "i").where("k = 2").orderBy("i").collect()]
+    assert got == pytest.approx([4.0, 5.2, 0.0, 2.0, 3.2])
+
+
+def test_p_values_match_known_tables(spark):
+    same = spark.createDataFrame([("m", 1.0, 1.0)] * 5, "m string, a double, b double")
+    r = evaluation.paired_t(same, ["m"], "a", "b").first()
+    assert (r.t, r.p) == (0.0, 1.0)
+    one = evaluation.paired_t(same.withColumn("a", F.lit(2.0)), ["m"], "a", "b").first()
+    assert one.t == float("inf") and one.p == 0.0
+    df = spark.createDataFrame([("m", x, 0.0) for x in (1.0, 2.0, 3.0, 4.0, 5.0)], "m string, a double, b double")
+    two = evaluation.paired_t(df, ["m"], "a", "b").first()
+    assert two.t == pytest.approx(4.242641) and two.p == pytest.approx(0.013236, abs=1e-5)
+    assert evaluation.paired_t(df, ["m"], "a", "b", "greater").first().p == pytest.approx(0.006618, abs=1e-5)
+    assert evaluation.paired_t(df, ["m"], "a", "b", "less").first().p == pytest.approx(0.993382, abs=1e-5)
+    m = evaluation.mcnemar(spark.createDataFrame([(True, False)] * 30 + [(False, True)] * 10, "a boolean, b boolean"), [], F.col("a"), F.col("b")).first()
+    assert m.chi2 == pytest.approx(10.0) and m.p == pytest.approx(0.001565, abs=1e-5)
+
+
+def test_importance_and_interactions_find_what_is_planted(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, fold int")
+    strong = {r.feature: r.importance for r in search.shapley_sampled(df, ["a", "b", "c"], F.col("a") + 0.3 * F.col("b") > 0, "id").collect()}
+    assert strong["a"] > strong["b"] > strong["c"]
+    steps = search.forward_selection(df, ["a", "b", "c"], {("a", "b"): 0.99}, F.col("a") > 0, "fold", 3).collect()
+    assert [s.feature for s in steps] == ["a", "c"] and steps[0].kept and steps[0].accuracy > 0.9
+    pairs = {(r.f1, r.f2): r for r in search.pair_interactions(df, ["a", "b", "c"], F.col("a") * F.col("b") > 0, grid=8).collect()}
+    assert pairs["a", "b"].strength == max(p.strength for p in pairs.values()) and all(0 <= p.h <= 1 + 1e-9 for p in pairs.values())
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(5, 12345.0, 3725, " ", "a_b&c", '["x","y"]')], "m int, n double, s int, t string, l string, j string")
     r = df.select(fn.mask_indices(F.col("m"), 4), fn.short_number(F.col("n")), fn.duration_text(F.col("s")), fn.optional_string(F.col("t")), fn.latex_escaped(F.col("l")), fn.json_strings(F.col("j")), fn.byte_text(F.lit(2048))).first()
