@@ -8,8 +8,8 @@ global order, two sets of similarity t share a shingle within their first
 common last, otherwise by hash.  Any order gives the same result; this one keeps
 passages that many documents share out of their prefixes.
 
-1.  Look for shingles that many documents have among the smallest 3/10 hashes of
-    each (at most ``COMMON``, the commonest).  Index the prefixes of the groups and
+1.  Count the shingles among the lowest 3/10 of the hashes; those that occur ``OFTEN``
+    are common (at most ``COMMON``, the commonest).  Index the prefixes of the groups and
     keep the shingles that two classes share.
 2.  Star: pair each group with one pivot group of each shared shingle, the one with
     the largest share of widely shared shingles (in a family of near copies the
@@ -56,8 +56,8 @@ from .textkit import Words, combine, list_array, mix64, regrouped, shingle_sets,
 
 #: Members from which a shingle counts as heavy.  It decides how pairs are found, never which.
 HEAVY = 64
-#: Common shingles that are broadcast (8 bytes each).
-COMMON = 1_000_000
+#: Occurrences from which a shingle counts as common, and how many of them are broadcast (16 bytes each), the commonest.
+OFTEN, COMMON = 16, 1_000_000
 #: Words of a sketch: 1,024 bits, which folded together four times make 256.
 WIDE = [f"w{i}" for i in range(16)]
 SKETCH = [f"s{i}" for i in range(4)]
@@ -104,10 +104,7 @@ def _prefixes(values: np.ndarray, bounds: np.ndarray, common: tuple[np.ndarray,
 
 
 def common_shingles(docs: DataFrame, width: int, tenths: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and ranks by frequency, of shingles that are common in the lowest ``tenths`` of the hashes, where prefixes are.
-
-    Only shingles that come twice in a run of documents are counted: what is missed stays early in the order.
-    """
+    """Sorted hashes, and ranks by frequency, of shingles that are common in the lowest ``tenths`` of the hashes, where prefixes are."""
 
     below = np.uint64(min(tenths * (1 << 64) // 10, (1 << 64) - 1))
 
@@ -121,11 +118,10 @@ def common_shingles(docs: DataFrame, width: int, tenths: int, scratch: Scratch)
                 inside = w.rows[: len(every)] == w.rows[width - 1 :][: len(every)]
                 found.append(every[inside & (every < below)])
             token, times = np.unique(np.concatenate(found), return_counts=True)
-            token, times = token[times > 1], times[times > 1]
             yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(times.astype(np.int64))], names=["token", "c"])
 
     counts = docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    heavy = scratch.written(counts.where(F.col("c") >= HEAVY), "common")
+    heavy = scratch.written(counts.where(F.col("c") >= OFTEN), "common")
     if heavy.count() > COMMON:
         heavy = heavy.orderBy(F.desc("c"), "token").limit(COMMON)
     got = heavy.select("token", "c").toArrow()
@@ -309,9 +305,11 @@ def _star_pairs(shared: DataFrame, classes: DataFrame, percent: int, scratch: Sc
     multi = classes.groupBy("pg").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("pg").alias("x"), F.col("pg").alias("y"))
     columns = ["gid", "n", *WIDE]
     x = classes.select(F.col("pg").alias("x"), *[F.col(c).alias(f"{c}_x") for c in columns])
-    lead = classes.groupBy(F.col("pg").alias("y")).agg(F.min(F.struct(*columns)).alias("l")).select("y", *[F.col(f"l.{c}").alias(f"{c}_y") for c in columns])
+    # written, so that a pivot which many groups meet is a skewed join that Spark can split
+    lead = scratch.written(classes.groupBy(F.col("pg").alias("y")).agg(F.min(F.struct(*columns)).alias("l")).select("y", *[F.col(f"l.{c}").alias(f"{c}_y") for c in columns]), "leads")
+    met = scratch.written(met.union(multi).join(x, "x"), "met")
     near = _differ(WIDE, "_x", "_y") <= F.col("n_x") + F.col("n_y") - 2 * _least(percent)
-    return met.union(multi).join(x, "x").join(lead, "y").where((F.col("gid_x") != F.col("gid_y")) & near).select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
+    return met.join(lead, "y").where((F.col("gid_x") != F.col("gid_y")) & near).select(F.col("gid_x").alias("a"), F.col("gid_y").alias("b")).distinct()
 
 
 def links(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

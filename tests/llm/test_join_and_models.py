@@ -57,6 +57,7 @@ def family(seed, size, length, edits):
 @pytest.mark.parametrize("heavy", [3, 64])
 def test_jaccard_components_match_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "OFTEN", heavy)
     texts = family(1, 40, 120, 8) + family(2, 25, 60, 3) + family(3, 12, 300, 12) + [f"u{i} " * 3 + "common passage of words that many texts share here" for i in range(15)]
     rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(r[0], r[1]) for r in ROWS]
     got = [tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
