@@ -1,4 +1,13 @@
-"""The corpus pipeline: quality rules, line dedup, Jaccard join, decontamination, segmentation."""
+"""The corpus pipeline: quality rules, line dedup, Jaccard join, decontamination, segmentation.
+
+Every stage takes rows with the columns of documents, others included, and works
+on all that its predecessor kept.  Null and empty texts fail the quality rules; a
+later stage on its own keeps them: they have no lines, are in no group of copies,
+hold no benchmark item and have the empty segmentation.  Rows with null or
+reused ids are judged one by one by their texts; of repeated rows the Jaccard
+stage keeps one; of tied ids the smaller text hash stays; an empty table gives an
+empty one.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparksieve.llm.decontam import decontaminated
-from sparksieve.llm.durable import written
+from sparksieve.llm.durable import remove, scratch_path, written
 from sparksieve.llm.jaccard import one_of_each
 from sparksieve.llm.linededup import line_dedup
 from sparksieve.llm.quality import quality_rules
@@ -55,10 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+    """All stages over documents, each written and read again before the next; what a stage has read goes then."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
