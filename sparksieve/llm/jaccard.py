@@ -62,7 +62,7 @@ OFTEN, COMMON = 16, 1_000_000
 WIDE = [f"w{i}" for i in range(16)]
 SKETCH = [f"s{i}" for i in range(4)]
 #: Members of one pivot that a verifying task takes.
-SALT_ROWS = 500
+SALT_ROWS = 100
 #: Pairs that are looked at together.
 PAIRS = 1 << 16
 
