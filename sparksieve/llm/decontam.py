@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import need, others, spare
+from .rows import aside, need, others, spare
 from .textkit import Words, combine, slices, tidy
 
 #: Text bytes of the items that are broadcast at once.
@@ -228,5 +228,6 @@ def with_hits(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
 
 def decontaminated(df: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of df without a hit."""
-    return with_hits(df, items, **options).where(F.size("hits") == 0).drop("hits")
+    """The rows of df without a hit, with all of df's columns."""
+    safe, back = aside(df, "hits")
+    return back(with_hits(safe, items, **options).where(F.size("hits") == 0))

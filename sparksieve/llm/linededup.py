@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .durable import written
-from .rows import need
+from .rows import need, others, spare
 from .textkit import combine, hash_spans, raw_bytes, signed, slices, spans, tidy, _IS_WORD
 
 _WINDOWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("pos", T.IntegerType())])
@@ -94,15 +94,15 @@ def line_dedup(df: DataFrame, id: str = "doc_id", text: str = "text", width: int
     """df with its text stripped of repeated passages, and n_removed_lines.
 
     A text of which nothing but blank lines is left becomes what is left; the
-    caller decides whether such a row stays.  Column names beginning with two
-    underscores are reserved.
+    caller decides whether such a row stays.
     """
     need(df, id, text)
-    out = [c for c in df.columns if c != "n_removed_lines"]
+    out = others(df, "n_removed_lines")
+    own, hash_, gone_id, gone_hash, starts = (spare(df, n) for n in ("id", "key", "gid", "grow", "gone"))
     key, of = F.xxhash64(F.col(f"`{text}`")), F.col(f"`{id}`").cast("long")
-    gone = removed_lines(df.select(of.alias("id"), key.alias("row"), F.col(f"`{text}`").alias("text")), width).select(F.col("id").alias("__gid"), F.col("row").alias("__grow"), F.col("gone").alias("__gone"))
-    rows = df.select(*[F.col(f"`{c}`") for c in out], of.alias("__id"), key.alias("__key"))
-    joined = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("__key") == F.col("__grow")), "left").select(*[F.col(f"`{c}`") for c in out], "__gone")
+    gone = removed_lines(df.select(of.alias("id"), key.alias("row"), F.col(f"`{text}`").alias("text")), width).select(F.col("id").alias(gone_id), F.col("row").alias(gone_hash), F.col("gone").alias(starts))
+    rows = df.select(*[F.col(f"`{c}`") for c in out], of.alias(own), key.alias(hash_))
+    joined = rows.join(gone, F.col(own).eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_hash)), "left").select(*[F.col(f"`{c}`") for c in out], starts)
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in out]).schema.fields, T.StructField("n_removed_lines", T.LongType())])
     at = out.index(text)
 

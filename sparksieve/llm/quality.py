@@ -25,6 +25,7 @@ from .rows import need, others, spare
 from .textkit import Words, hash_spans, mix64, slices, spans, tidy
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+OUTPUTS = (*COUNTS, "base_failed", "host_rate", "host_rejected", "kept")
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -124,8 +125,7 @@ def quality_rules(df: DataFrame, host: str | Column = "source", text: str = "tex
     """
     need(df, text)
     of_host = (F.col(f"`{host}`") if isinstance(host, str) else host).cast("string")
-    outputs = (*COUNTS, "base_failed", "host_rate", "host_rejected", "kept")
-    columns, own, other = others(df, *outputs), spare(df, "host"), spare(df, "of")
+    columns, own, other = others(df, *OUTPUTS), spare(df, "host"), spare(df, "of")
     flags = with_rule_counts(df.select(of_host.alias("__host"), F.col(f"`{text}`").alias("__t")), "__t").withColumn("f", base_failed())
     per_host = written(flags.groupBy(F.col("__host").alias("host")).agg(F.count(F.lit(1)).alias("host_n"), F.sum(F.col("f").cast("long")).alias("host_failures")), "hosts")
     verdict = host_verdicts(per_host, reject_rate).select(F.col("host").alias(other), "host_rate", "host_rejected")
