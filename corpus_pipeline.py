@@ -20,20 +20,25 @@ from sparksieve.llm.decontam import decontaminated
 from sparksieve.llm.durable import remove, scratch_path, written
 from sparksieve.llm.jaccard import one_of_each
 from sparksieve.llm.linededup import line_dedup
+from sparksieve.llm.quality import OUTPUTS as QUALITY_OUTPUTS
 from sparksieve.llm.quality import quality_rules
 from sparksieve.llm.queries import segmented, table
+from sparksieve.llm.rows import aside
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    return quality_rules(docs, host="source").where("kept").select(docs.columns)
+    safe, back = aside(docs, *QUALITY_OUTPUTS)
+    return back(quality_rules(safe, host="source").where("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated three-line passages go; n_chars follows the text."""
-    return line_dedup(docs).select(*[(F.length("text").cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+    safe, back = aside(docs, "n_removed_lines")
+    left = line_dedup(safe)
+    return back(left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
