@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's spark.checkpoint.dir; only where that is unset, under a folder of this machine."""
+    """A new path under the cluster's spark.checkpoint.dir; only where that is unset and Spark runs in this process, under a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-sieve-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/sparksieve/{name}-{uuid.uuid4().hex}"
