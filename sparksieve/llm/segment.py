@@ -45,7 +45,7 @@ from .rows import need, others, spare
 from .textkit import _powers, list_array, mix64, regrouped, tidy
 
 #: Text bytes of the rows that are segmented together.
-SLICE = 3 << 20
+SLICE = 3 << 19
 #: Bytes of distinct chunks whose lattices are built at once.
 BLOCK = 96 << 10
 SAMPLE = T.StructType(
