@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import stored
+from ..shared import remove, scratch, stored
 
 
 def set_reward(scores: list[float], chosen: set[int]) -> float:
@@ -113,6 +113,17 @@ def model(kind: str, **params):
     return (regressors | {"logistic": lambda: LogisticRegression(maxIter=20, **params), "forest": lambda: RandomForestClassifier(numTrees=10, maxDepth=4, seed=1, **params), "boosted": lambda: GBTClassifier(maxIter=5, maxDepth=3, seed=1, **params)})[kind]()
 
 
+def fitted_on(estimator, data: DataFrame):
+    """The fitted model without its training summary, which holds the session and so can't go to tasks once something observes."""
+    model = estimator.fit(data)
+    path = scratch(data.sparkSession, "model")
+    model.write().save(path)
+    try:
+        return type(model).load(path)
+    finally:
+        remove(data.sparkSession, path)
+
+
 def predicted(fitted, df: DataFrame) -> DataFrame:
     """df with ``p``, the probability of label 1."""
     from pyspark.ml.functions import vector_to_array
@@ -122,17 +133,22 @@ def predicted(fitted, df: DataFrame) -> DataFrame:
 
 def cross_validated(df: DataFrame, subsets: list[list[str]], kinds: list[str], label: Column, fold: str, folds: int) -> DataFrame:
     """(subset, model, fold, accuracy) over the grid; the models fit in Spark."""
-    scored = None
+    scored, held = None, []
     for names in subsets:
         data = assembled(df, names, label).select("features", "label", fold).cache()
+        held.append(data)
         for kind in kinds:
             for k in range(folds):
-                fitted = model(kind).fit(data.where(F.col(fold) != k))
+                fitted = fitted_on(model(kind), data.where(F.col(fold) != k))
                 hit = ((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double").alias("hit")
                 one = predicted(fitted, data.where(F.col(fold) == k)).select(F.lit(",".join(names)).alias("subset"), F.lit(kind).alias("model"), F.lit(k).alias("fold"), hit)
                 scored = one if scored is None else scored.union(one)
     # all held-out predictions are scored in one job
-    return stored(scored.groupBy("subset", "model", "fold").agg(F.avg("hit").alias("accuracy")), "cross-validated")
+    try:
+        return stored(scored.groupBy("subset", "model", "fold").agg(F.avg("hit").alias("accuracy")), "cross-validated")
+    finally:
+        for data in held:
+            data.unpersist()
 
 
 def shuffled(df: DataFrame, column: str, id: str, round: int, rows: int = 10_000) -> DataFrame:
@@ -151,7 +167,7 @@ def permutation_importance(df: DataFrame, names: list[str], label: Column, id: s
     from pyspark.ml.feature import VectorAssembler
 
     data = df.withColumn("label", label.cast("double"))
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
     score = lambda d: predicted(fitted, d).agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("a"))
     base = score(data).first()[0]
     rows = None
@@ -168,7 +184,7 @@ def ablation_importance(df: DataFrame, names: list[str], label: Column, kind: st
     from pyspark.ml.feature import VectorAssembler
 
     data = df.withColumn("label", label.cast("double"))
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
     means = data.agg(*[F.avg(f).alias(f) for f in names]).first()
     whole = predicted(fitted, data).select(*names, F.col("p").alias("p0"))
     out = None
@@ -210,7 +226,7 @@ def shapley_sampled(df: DataFrame, names: list[str], label: Column, id: str, ord
     from pyspark.ml.feature import VectorAssembler
 
     data = df.withColumn("label", label.cast("double"))
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
     means = data.agg(*[F.avg(f).alias(f) for f in names]).first()
     rng, steps = random.Random(seed), []
     for _ in range(orders):
@@ -232,7 +248,7 @@ def joint_degradation(df: DataFrame, names: list[str], label: Column, id: str, k
     from pyspark.ml.feature import VectorAssembler
 
     data = df.withColumn("label", label.cast("double"))
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
     hit = F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))
     sets = [()] + [(f,) for f in names] + [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     rows = None
@@ -261,7 +277,7 @@ def pair_interactions(df: DataFrame, names: list[str], label: Column, grid: int
 
     spark = df.sparkSession
     data = df.withColumn("label", label.cast("double"))
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]).fit(data)
+    fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
     at = F.array(*[F.lit((i + 0.5) / grid) for i in range(grid)])
     row = data.agg(*[F.avg(f).alias(f"{f}#m") for f in names], *[F.percentile(f, at).alias(f"{f}#q") for f in names]).first()
     points = []

@@ -101,6 +101,6 @@ def boosted_and_regression_models(spark, d):
     boosted = search.cross_validated(li, [["l_quantity", "l_extendedprice"]], ["boosted"], label(), "fold", 3).agg(F.avg("accuracy").alias("score")).select(F.lit("boosted").alias("model"), "score")
     data = search.assembled(li, ["l_quantity", "l_discount", "l_tax"], F.col("l_extendedprice")).select("features", "label", "fold")
     for kind in ("linear", "forest_regressor", "boosted_regressor"):
-        p = search.model(kind).fit(data.where("fold <> 0")).transform(data.where("fold = 0"))
+        p = search.fitted_on(search.model(kind), data.where("fold <> 0")).transform(data.where("fold = 0"))
         boosted = boosted.union(p.agg(*ev.regression_metrics(F.col("label"), F.col("prediction"))).select(F.lit(kind), "r2"))
     return r6("score", of=boosted)

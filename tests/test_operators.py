@@ -251,3 +251,18 @@ def test_search_finds_the_best_features(spark):
     assert t.collect() == search.forest(scores, spark.range(6).withColumnRenamed("id", "tree_id"), "score", iterations=300, size=3, share=1.0).collect(), "trees are seeded"
     few = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, score double")
     assert search.candidates(few, 10, 2) == [["b"], ["a"], ["b", "a"]]
+
+
+def test_models_predict_in_a_session_that_observes(spark, data):
+    """An Observation puts an object into the session that can't go to tasks; fitted models must not take the session along."""
+    from pyspark.sql import Observation
+
+    from sparksieve.plans import search
+    from sparksieve.plans.search_queries import NAMES, label, line_items
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 3
+    rows = line_items(spark, data)
+    for kind in ("logistic", "forest", "boosted"):
+        assert {r.feature for r in search.ablation_importance(rows, NAMES, label(), kind).collect()} == set(NAMES)
