@@ -32,7 +32,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,12 +156,16 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     return files.mapInArrow(run, schema)
 
 
-def resolve(headers: DataFrame) -> DataFrame:
-    """The written table of originals (digest, first page, its record) of payloads that several records have."""
+def resolve(headers: DataFrame) -> tuple[DataFrame, float]:
+    """The written table of originals (digest, first page, its record) of payloads that several records have; all payloads' mean bytes."""
     whole = F.col("record_type") != "revisit"
     of = F.when(whole, F.struct("page_id", "record_id", "uri", "date"))
-    grouped = headers.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), of)).alias("o"))
-    return written(grouped.where("n > 1 and o is not null").select(F.col("payload_digest").alias("o_digest"), F.col("o.page_id").alias("o_page"), F.col("o.record_id").alias("o_record"), F.col("o.uri").alias("o_uri"), F.col("o.date").alias("o_date")), "originals")
+    grouped = headers.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"), F.min(F.when(F.col("page_id").isNotNull(), of)).alias("o"))
+    # what a lone payload adds to the mean is all that is kept of it
+    several = F.col("n") > 1
+    table = written(grouped.select("n", "bytes", F.when(several, F.col("payload_digest")).alias("o_digest"), F.when(several, F.col("o")).alias("o")), "originals")
+    mean = table.agg(F.sum("bytes") / F.sum("n")).first()[0] or 0.0
+    return table.where("o is not null").select("o_digest", F.col("o.page_id").alias("o_page"), F.col("o.record_id").alias("o_record"), F.col("o.uri").alias("o_uri"), F.col("o.date").alias("o_date")), mean
 
 
 def rewrite(records: DataFrame, originals: DataFrame, path: str, min_bytes: int = 0, mean_bytes: float | None = None) -> None:
@@ -183,7 +187,6 @@ def rewrite(records: DataFrame, originals: DataFrame, path: str, min_bytes: int
 
 def deduplicate_archive(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> DataFrame:
     """Deduplicate the archives in ``source`` into ``target``; returns the headers of what was written."""
-    seen = Observation()
-    originals = resolve(read_archive(spark, source, payloads=False).observe(seen, F.avg("payload_bytes").alias("mean")))
-    rewrite(read_archive(spark, source), originals, target, min_bytes, seen.get["mean"] or 0.0)
+    originals, mean = resolve(read_archive(spark, source, payloads=False))
+    rewrite(read_archive(spark, source), originals, target, min_bytes, mean)
     return read_archive(spark, target, payloads=False)
