@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import repair_report
 from .decontam import with_hits
 from .durable import remove, scratch_path
 from .jaccard import jaccard_components
@@ -103,6 +104,21 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations (nulls: one space), some of them, by a hash of id and turn, dropped, emptied, stripped of stops, repeated or made the user's."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20
+    text = F.when(k == 1, F.lit("")).when(k == 2, F.regexp_replace(filled("text"), "[.!?]", "")).otherwise(filled("text"))
+    role = F.when(k == 4, F.lit("user")).otherwise(filled("role"))
+    times = F.when(k == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.where(k != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_report(damaged(rows), of=rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -115,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _LINES = r"""
