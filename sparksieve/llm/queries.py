@@ -15,6 +15,7 @@ from .licenses import license_scan
 from .linededup import line_dedup
 from .lm import lm_scores
 from .quality import quality_rules
+from .quality_model import quality_scores
 from .segment import sample_segmentations
 from .tokens import with_token_counts
 from .toxicity import toxicity
@@ -104,6 +105,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Rows of conversations (nulls: one space), some of them, by a hash of id and turn, dropped, emptied, stripped of stops, repeated or made the user's."""
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
