@@ -13,7 +13,8 @@ words that share one blur, frequent ones drown what else is in theirs.
 
 The corpus' mean context is taken off every vector and the rest is brought to unit
 length.  A document is pooled to the mean and spread of its words' vectors, the
-length of the mean and the number of words.  A network of one hidden layer
+lengths of that mean and of its words' mean index vector, the mean product of
+the index vectors of words that follow each other, and the number of words.  A network of one hidden layer
 turns these into a logit; it is fitted in numpy on at most ``max_rows`` labelled
 rows (those with the least hashes of their ids), but for a fifth of them, on which
 the temperature that divides the logit is fitted afterwards.
@@ -52,6 +53,8 @@ BLOCK = 1 << 10
 #: Parts that the tasks' shares are dealt to before they are added up over all.
 ROUNDS = 32
 SAMPLE_ROWS = 20_000
+#: Inputs of the network.
+INPUTS = 2 * WIDTH + 4
 HIDDEN, EPOCHS, BATCH, RATE, RIDGE = 32, 30, 256, 0.003, 1e-4
 FOLDS = 5
 #: The score from which a document counts as good.
@@ -143,8 +146,13 @@ def word_vectors(contexts: np.ndarray) -> np.ndarray:
 
 
 def pooled(tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors of every row, the mean's length, the logarithm of the number of words."""
+    """Mean and spread of the word vectors of every row, the lengths of the mean and of the mean index vector, the mean product of neighbours' index vectors, the logarithm of the number of words."""
     n = len(tokens.counts)
+    places, signs = index_vectors(tokens.hashes)
+    index = np.bincount((tokens.rows[:, None] * WIDTH + places).reshape(-1), signs.reshape(-1), n * WIDTH).reshape(n, WIDTH)
+    near = np.flatnonzero(tokens.rows[:-1] == tokens.rows[1:])
+    product = sum(((places[near] == np.roll(places, k, axis=1)[near + 1]) * signs[near] * np.roll(signs, k, axis=1)[near + 1]).sum(axis=1) for k in range(ACTIVE))
+    alike = np.bincount(tokens.rows[near], product, n)
     key, times = np.unique(tokens.rows * BUCKETS + tokens.buckets, return_counts=True)
     row, bucket = key // BUCKETS, key % BUCKETS
     mean, square = np.zeros((n, WIDTH)), np.zeros((n, WIDTH))
@@ -156,7 +164,7 @@ def pooled(tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
         square[row[first]] = np.add.reduceat(weighted * v, first, axis=0)
     count = np.maximum(tokens.counts, 1)[:, None]
     mean, square = mean / count, square / count
-    return np.c_[mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.linalg.norm(mean, axis=1), np.log1p(tokens.counts)]
+    return np.c_[mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.linalg.norm(mean, axis=1), np.linalg.norm(index, axis=1) / count[:, 0], alike / count[:, 0], np.log1p(tokens.counts)]
 
 
 @dataclass
@@ -232,7 +240,7 @@ def held_out(id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_rows: int) -> Network:
     """The network of (id, text) under labels (id, label) outside of the held-out fold."""
-    spark, width = docs.sparkSession, 2 * WIDTH + 2
+    spark, width = docs.sparkSession, INPUTS
     known = labels.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
     path = scratch_path(spark, "labels")
     try:

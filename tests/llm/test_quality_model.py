@@ -52,7 +52,13 @@ def test_pooling_equals_plain_means():
         v = vectors[t.buckets[t.rows == r]].astype(float)
         mean = v.mean(axis=0) if len(v) else np.zeros(qm.WIDTH)
         spread = v.std(axis=0) if len(v) else np.zeros(qm.WIDTH)
-        assert np.allclose(x[r], [*mean, *spread, np.linalg.norm(mean), np.log1p(len(v))], atol=1e-3)
+        idx = np.zeros((len(v), qm.WIDTH))
+        for i, h in enumerate(t.hashes[t.rows == r]):
+            for p, s in zip(*(a[0] for a in qm.index_vectors(np.array([h])))):
+                idx[i, p] += s
+        length = np.linalg.norm(idx.mean(axis=0)) if len(v) else 0.0
+        alike = sum(a @ b for a, b in zip(idx, idx[1:])) / max(1, len(v))
+        assert np.allclose(x[r], [*mean, *spread, np.linalg.norm(mean), length, alike, np.log1p(len(v))], atol=1e-3)
 
 
 def test_gradient_equals_finite_differences():
