@@ -17,8 +17,8 @@ def embedding_grams(spark, d):
     return grams.fold_grams(table(spark, d, "embeddings"), "embedding", F.col("label") < 5, F.pmod("vec_id", F.lit(FOLDS)), FOLDS, WIDTH)
 
 
-def subsets(spark, d, per=20, seeds="supplier", key="s_suppkey"):
-    return grams.drawn_subsets(table(spark, d, seeds), key, WIDTH, LEAST, MOST, per)
+def subsets(spark, d, per=20, seeds="supplier", key="s_suppkey", salt=0):
+    return grams.drawn_subsets(table(spark, d, seeds), key, WIDTH, LEAST, MOST, per, salt)
 
 
 def relation(spark, d):
@@ -26,11 +26,15 @@ def relation(spark, d):
     return stored(grams.scored_subsets(subsets(spark, d), embedding_grams(spark, d)), "relation")
 
 
-_U = "(({0}) * 2654435761 % 1000003 + 0.5) / 1000003"
+def mixed(a, b):
+    """SQL of grams.mixed_uniform."""
+    k = f"(({a}) * 1009 + ({b})) % 1000003"
+    k = f"(({k}) * ({k}) + 12345 * ({k})) % 1000003"
+    return f"((({k}) * ({k}) + 7 * ({b}) + ({a})) % 1000003 + 0.5) / 1000003"
 
 
 @query(f"""WITH s AS (SELECT s_suppkey * 20 + i AS subset_id, (s_suppkey * 20 + i) % 1000003 AS base FROM supplier, range(20) t(i)),
-k AS (SELECT subset_id, f, {LEAST} + floor({_U.format("base * 7 + 3")} * {MOST - LEAST + 1}) AS size, row_number() OVER (PARTITION BY subset_id ORDER BY {_U.format("base * 1009 + f")}, f) AS r FROM s, range({WIDTH}) g(f))
+k AS (SELECT subset_id, f, {LEAST} + floor({mixed("base", WIDTH)} * {MOST - LEAST + 1}) AS size, row_number() OVER (PARTITION BY subset_id ORDER BY {mixed("base", "f")}, f) AS r FROM s, range({WIDTH}) g(f))
 SELECT subset_id, list_sort(list(f::INT)) AS features FROM k WHERE r <= size GROUP BY 1""")
 def subset_draws(spark, d):
     return subsets(spark, d)
@@ -62,5 +66,5 @@ def surrogate_training(spark, d):
 def surrogate_accuracy(spark, d):
     """The trained surrogate against real scores of subsets that it has not seen, those of the customers' keys."""
     model, _ = surrogate.pretrain(relation(spark, d), WIDTH)
-    fresh = grams.scored_subsets(subsets(spark, d, 2, "customer", "c_custkey"), embedding_grams(spark, d))
+    fresh = grams.scored_subsets(subsets(spark, d, 2, "customer", "c_custkey", 500_009), embedding_grams(spark, d))
     return r6("correlation", "mae", of=surrogate.accuracy(surrogate.predicted_scores(fresh, model)))
