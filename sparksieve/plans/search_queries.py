@@ -8,17 +8,27 @@ from ..operators import evaluation as ev
 from ..operators import sets, voting
 from ..operators import selection as sel
 from ..registry import query, r6, table
-from . import search
+from . import search, treesearch
 from .stage1_queries import features
+from .surrogate_queries import embedding_grams
 
 
 def scores(spark, d):
     return sel.universal_score(sel.feature_scores(features(spark, d))).select("feature", "score")
 
 
+def grown(spark, d, prior=False, **options):
+    """A tree for each supplier over the embeddings' places in the order of their scores, of the reference's 1,000 walks."""
+    ranked = [(r["feature"], float(r["score"])) for r in scores(spark, d).orderBy(F.desc("score"), "feature").collect()]
+    top = max((s for _, s in ranked), default=0.0) or 1.0
+    seeds = search.seeds_of(spark, table(spark, d, "supplier"), "s_suppkey")
+    weights = [max(s, 0.0) / top for _, s in ranked] if prior else None
+    state, _ = treesearch.grown(spark, seeds, embedding_grams(spark, d), [int(f[1:]) - 1 for f, _ in ranked], rounds=20, batch=50, prior=weights, **options)
+    return treesearch.summary(state, [f for f, _ in ranked])
+
+
 def trees(spark, d):
-    """A tree for each supplier, as deep as the reference's."""
-    return search.forest(scores(spark, d), search.seeds_of(spark, table(spark, d, "supplier"), "s_suppkey"), "score", iterations=1000)
+    return grown(spark, d).drop("converged")
 
 
 @query()
@@ -26,6 +36,12 @@ def ucb_forest(spark, d):
     return r6("reward", of=trees(spark, d))
 
 
+@query()
+def prior_forest(spark, d):
+    """Walks that favour features by their scores, damped backup, and the share of nodes whose value has settled."""
+    return r6("reward", "converged", of=grown(spark, d, prior=True, c=0.5, damping=0.9, loss=0.5))
+
+
 @query()
 def forest_consensus(spark, d):
     t = trees(spark, d)
