@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grams
+from ..operators import evaluation, grams, stats
 from ..registry import query, r6, table
-from ..shared import stored
-from . import surrogate
-from .stage1_queries import LF
+from ..shared import scratch, stored
+from . import online, search, surrogate, tuning
+from .stage1_queries import CORR, LF, features
 
 WIDTH, FOLDS, LEAST, MOST = 64, 3, 4, 12
 
@@ -68,3 +68,50 @@ def surrogate_accuracy(spark, d):
     model, _ = surrogate.pretrain(relation(spark, d), WIDTH)
     fresh = grams.scored_subsets(subsets(spark, d, 2, "customer", "c_custkey", 500_009), embedding_grams(spark, d))
     return r6("correlation", "mae", of=surrogate.accuracy(surrogate.predicted_scores(fresh, model)))
+
+
+@query()
+def online_learning_search(spark, d):
+    """Five rounds after a short training: each round's best real score, and how well it was foretold."""
+    model, _ = surrogate.pretrain(relation(spark, d), WIDTH, epochs=10)
+    found, _ = online.online_search(spark, table(spark, d, "supplier"), "s_suppkey", embedding_grams(spark, d), model, scratch(spark, "online"), 5, least=LEAST, most=MOST)
+    per = found.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg(F.abs(F.col("predicted") - F.col("score"))).alias("mae"))
+    return r6("best", "mae", of=per)
+
+
+@query()
+def random_search(spark, d):
+    return r6("score", of=online.random_baseline(table(spark, d, "supplier"), "s_suppkey", embedding_grams(spark, d), least=LEAST, most=MOST))
+
+
+@query(f"""WITH {LF}, {CORR}, f AS (SELECT feature, r, row_number() OVER (ORDER BY feature) - 1 AS place, count(*) OVER () AS n FROM r),
+m AS (SELECT s_suppkey * 20 + i AS mask_id, (s_suppkey * 20 + i) % 1000003 AS base FROM supplier, range(20) t(i)),
+c AS (SELECT mask_id, feature, r, {mixed("base", "place")} < 10 / n AS drawn FROM m, f),
+k AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY drawn DESC, r DESC, feature) AS rank, count(*) FILTER (WHERE drawn) OVER (PARTITION BY mask_id) AS d FROM c)
+SELECT mask_id, d AS drawn, list_sort(list(feature)) AS features, round(avg(r), 6) AS score FROM k WHERE rank <= greatest(8, least(12, d)) GROUP BY ALL""")
+def mask_search(spark, d):
+    """Bernoulli masks of 10 features on average, repaired to 8 to 12."""
+    return r6("score", of=online.masked_subsets(table(spark, d, "supplier"), "s_suppkey", stats.pearson(features(spark, d)), "r", 10, 8, 12))
+
+
+@query()
+def candidate_subset_scores(spark, d):
+    """The candidate subsets of the final stage (random, best and random, windows, strides) and their held-out scores."""
+    ranked = stats.pearson(features(spark, d)).select("feature", F.abs("r").alias("score"))
+    rows = [(i, c, [int(f[1:]) - 1 for f in c]) for i, c in enumerate(search.candidates(ranked, 100, 8))]
+    df = spark.createDataFrame(rows, "candidate int, names array<string>, features array<int>")
+    return r6("score", of=grams.scored_subsets(df, embedding_grams(spark, d)).drop("features"))
+
+
+@query()
+def tuned_regression(spark, d):
+    """Regularisation of a linear model of the price, by a Gaussian process over held-out R^2: the settings tried."""
+    li = table(spark, d, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax", F.pmod(F.xxhash64("l_orderkey"), F.lit(3)).alias("fold"))
+    data = stored(search.assembled(li, ["l_quantity", "l_discount", "l_tax"], F.col("l_extendedprice")).select("features", "label", "fold"), "tuning")
+
+    def evaluate(s):
+        fitted = search.fitted_on(search.model("linear", regParam=10 ** s["log_penalty"], elasticNetParam=s["mix"]), data.where("fold <> 0"))
+        return fitted.transform(data.where("fold = 0")).agg(*evaluation.regression_metrics(F.col("label"), F.col("prediction"))).first()["r2"]
+
+    tried = tuning.tuned(evaluate, {"log_penalty": (-3.0, 5.0), "mix": (0.0, 1.0)}, first=4, steps=6)
+    return r6("log_penalty", "mix", "r2", of=spark.createDataFrame([(i + 1, s["log_penalty"], s["mix"], v) for i, (s, v) in enumerate(tried)], "trial int, log_penalty double, mix double, r2 double"))
