@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import positioned
+from .quantiles import exact_quantiles
 
 #: Fixed value: the multiplier of multiplicative hashing.
 HASH_MULTIPLIER = 2654435761
@@ -26,16 +27,20 @@ def z_scores(df: DataFrame, names: list[str], least: float = 1e-10) -> DataFrame
 
 def impute(df: DataFrame, strategies: dict[str, str]) -> DataFrame:
     """Fill nulls by column: zero, mean, median, mode, skip (drop the row) or error."""
-    aggs = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}
-    unknown = set(strategies.values()) - {*aggs, "zero", "skip", "error"}
+    aggs = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
+    unknown = set(strategies.values()) - {*aggs, "median", "zero", "skip", "error"}
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
     need = {c: s for c, s in strategies.items() if s in aggs}
     if need:
-        df = df.crossJoin(F.broadcast(df.agg(*[aggs[s](F.col(c)).alias(f"{c}#f") for c, s in need.items()])))
+        one = df.agg(*[aggs[s](F.col(c)).alias(f"{c}#f") for c, s in need.items()])
+        df = df.crossJoin(F.broadcast(one))
+    for c in [c for c, s in strategies.items() if s == "median"]:
+        one = exact_quantiles(df, [], c, [0.5], "q").select(F.col("q")[0].alias(f"{c}#f"))
+        df = df.crossJoin(F.broadcast(one))  # one row
     out = {}
     for c, s in strategies.items():
-        if s in aggs:
+        if s in aggs or s == "median":
             out[c] = F.coalesce(F.col(c), F.col(f"`{c}#f`"))
         elif s == "zero":
             out[c] = F.coalesce(F.col(c), F.lit(0))

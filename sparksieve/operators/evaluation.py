@@ -10,12 +10,14 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ordered import positioned, ranged, scanned
+from .quantiles import exact_quantiles
 
 # ---- folds -----------------------------------------------------------------
 
@@ -90,8 +92,10 @@ def fold_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def robust_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median and 1.4826 * median absolute deviation of every group."""
-    med = df.groupBy(*by).agg(F.median(value).alias("median"))
-    return df.join(F.broadcast(med), by).groupBy(*by).agg(F.first("median").alias("median"), (1.4826 * F.median(F.abs(F.col(value) - F.col("median")))).alias("spread"))
+    med = exact_quantiles(df, by, value, [0.5], "median").withColumn("median", F.col("median")[0])
+    away = df.join(med, by).select(*by, F.abs(F.col(value) - F.col("median")).alias("away"))
+    spread = exact_quantiles(away, by, "away", [0.5], "spread")
+    return med.join(spread, by).select(*by, "median", (1.4826 * F.col("spread")[0]).alias("spread"))
 
 
 # ---- tail probabilities ----------------------------------------------------
@@ -314,3 +318,41 @@ def permutation_test(pairs: DataFrame, by: list[str], id: str, a: str, b: str, r
     least = F.col("seen") - 1e-12 * F.greatest(F.lit(1.0), "seen")
     hits = F.size(F.filter("drawn", lambda m: m >= least))
     return seen.select(*by, ((hits + 1) / (rounds + 1)).alias("p"), F.col("seen").alias("mean_diff"))
+
+
+#: Values of a group that one task may hold for a statistic of any kind.
+STATISTIC_ROWS = 1_000_000
+
+
+def custom_permutation_test(df: DataFrame, by: list[str], id: str, value: str, first: Column, statistic: Callable[[np.ndarray, np.ndarray], float], rounds: int = 10_000, alternative: str = "two_sided", seed: int = 7, parts: int = 16) -> DataFrame:
+    """(by..., statistic, p): of a callable of two samples, against it of samples dealt anew from both together.
+
+    A group's values (scores of models, not data: more than STATISTIC_ROWS of
+    them are an error) go to ``parts`` tasks, each of which shuffles them for its own
+    share of the rounds by a seeded generator, in the order of their ids.  p counts the observed
+    deal as one round; a group with an empty sample has no p.
+    """
+    if alternative not in ("two_sided", "greater", "less"):
+        raise ValueError(f"no such alternative: {alternative}")
+    rows = df.where(F.col(value).isNotNull() & first.isNotNull()).select(*by, F.col(id).alias("__id"), F.col(value).cast("double").alias("__v"), first.alias("__first"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+    schema = T.StructType([*rows.schema.fields[: len(by)], T.StructField("__seen", T.DoubleType()), T.StructField("__hits", T.LongType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > STATISTIC_ROWS:
+            raise ValueError(f"a group has {len(pdf)} values; a custom statistic takes {STATISTIC_ROWS} at most")
+        pdf = pdf.sort_values(["__id", "__v"])
+        v, one, part = pdf["__v"].to_numpy(), pdf["__first"].to_numpy().astype(bool), int(pdf["__part"].iloc[0])
+        n, hits, seen = int(one.sum()), 0, np.nan
+        if 0 < n < len(v):
+            seen, rng = float(statistic(v[one], v[~one])), np.random.default_rng([seed, part])
+            for _ in range(part, rounds, parts):
+                dealt = rng.permutation(v)
+                x = float(statistic(dealt[:n], dealt[n:]))
+                slack = 1e-12 * max(1.0, abs(seen))
+                hits += {"two_sided": abs(x) >= abs(seen) - slack, "greater": x >= seen - slack, "less": x <= seen + slack}[alternative]
+        return pd.DataFrame({**{b: [pdf[b].iloc[0]] for b in by}, "__seen": [seen], "__hits": [hits]})
+
+    found = rows.groupBy(*by, "__part").applyInPandas(run, schema)
+    # a group without a statistic has a null here
+    seen = F.max(F.nanvl("__seen", F.lit(None).cast("double")))
+    return found.groupBy(*by).agg(seen.alias("statistic"), F.when(seen.isNotNull(), (F.sum("__hits") + 1) / (rounds + 1)).alias("p"))

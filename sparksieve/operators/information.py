@@ -11,23 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """1-based bin of floor((v - low) / width) + 1, the maximum in the last; a constant has bin 1."""
     width = (high - low) / bins
-    return F.when(high <= low, F.lit(1)).otherwise(F.least(F.floor((value - low) / width) + 1, F.lit(bins))).cast("long")
+    return F.when(high <= low, F.lit(1)).otherwise(F.greatest(F.lit(1), F.least(F.floor((value - low) / width) + 1, F.lit(bins)))).cast("long")
+
+
+def value_ranges(lf: DataFrame) -> DataFrame:
+    """(feature, low, high)."""
+    return lf.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def with_equal_width(lf: DataFrame, bins: int = 10) -> DataFrame:
-    """lf with ``bin``."""
-    edges = lf.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+def with_equal_width(lf: DataFrame, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """lf with ``bin``, by the ranges of its own values or given ones (beyond which values fall into the first or last bin)."""
+    edges = value_ranges(lf) if edges is None else edges
     return lf.join(F.broadcast(edges), "feature").withColumn("bin", equal_width_bin(F.col("value"), F.col("low"), F.col("high"), bins)).drop("low", "high")
 
 
 def with_quantile_bins(lf: DataFrame, bins: int = 10) -> DataFrame:
     """lf with ``bin``: one more than the number of inner quantile edges below the value."""
-    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    edges = lf.groupBy("feature").agg(F.array_distinct(F.percentile("value", at)).alias("edges"))
+    edges = exact_quantiles(lf, ["feature"], "value", [i / bins for i in range(1, bins)], "edges", small=True).withColumn("edges", F.array_distinct("edges"))
     return lf.join(F.broadcast(edges), "feature").withColumn("bin", (F.size(F.filter("edges", lambda e: e < F.col("value"))) + 1).cast("long")).drop("edges")
 
 
@@ -53,7 +59,11 @@ def joint_counts(binned: DataFrame, cls: str = "y") -> DataFrame:
 
 def mutual_information(binned: DataFrame, base: float | None = None, cls: str = "y") -> DataFrame:
     """Sum of p(x,y) ln(p(x,y) / p(x)p(y)) of every feature, at least 0; ``base`` divides by its logarithm."""
-    counts = joint_counts(binned, cls)
+    return counted_information(joint_counts(binned, cls), base)
+
+
+def counted_information(counts: DataFrame, base: float | None = None) -> DataFrame:
+    """The same out of joint counts (feature, bin, cls, c)."""
     f = Window.partitionBy("feature")
     n, nx, ny = F.sum("c").over(f), F.sum("c").over(Window.partitionBy("feature", "bin")), F.sum("c").over(Window.partitionBy("feature", "cls"))
     parts = counts.select("feature", (F.col("c") / n * F.ln(F.col("c") * n / (nx * ny))).alias("part"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import ranged, scanned
+from .quantiles import exact_quantiles
 
 #: Sum of squares up to which a series counts as constant.
 TINY = 1e-10
@@ -168,7 +169,7 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 def percentiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """(q, value) by linear interpolation."""
-    got = df.agg(F.percentile(column, F.array(*[F.lit(float(q)) for q in at])).alias("p"))
+    got = exact_quantiles(df, [], column, list(at), "p")
     return got.select(F.posexplode("p").alias("i", "value")).select(F.element_at(F.array(*[F.lit(float(q)) for q in at]), F.col("i") + 1).alias("q"), "value")
 
 

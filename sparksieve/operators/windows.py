@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import positioned
+
 
 def last_rows(by: list[str], order: list[str], n: int) -> WindowSpec:
     """The row and the n - 1 before it."""
@@ -90,3 +92,59 @@ def interpolated(df: DataFrame, column: str, x: str, by: list[str]) -> Column:
 def borda(rank: Column, by: list[str]) -> Column:
     """n - rank + 1 within the group."""
     return F.count(F.lit(1)).over(Window.partitionBy(*by)) - rank + 1
+
+
+def mean_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their mean."""
+    _, place, times = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(times) - (times - 1) / 2)[place]
+
+
+def spearman_of(x: np.ndarray, y: np.ndarray) -> float:
+    """Correlation of the mean ranks; 0 for a constant side or under two values."""
+    if len(x) < 2:
+        return 0.0
+    a, b = mean_ranks(x), mean_ranks(y)
+    a, b = a - a.mean(), b - b.mean()
+    s = float(np.sqrt((a * a).sum() * (b * b).sum()))
+    return float((a * b).sum()) / s if s > 0 else 0.0
+
+
+def concordance(x: np.ndarray, y: np.ndarray, at: int, lo: int, hi: int) -> int:
+    """Concordant minus discordant pairs of the value at a place with those from lo to before hi."""
+    return int((np.sign(x[at] - x[lo:hi]) * np.sign(y[at] - y[lo:hi])).sum())
+
+
+def rolling_ranks(df: DataFrame, by: list[str], order: list[str], a: str, b: str, n: int = 1000, every: int = 10, least: int = 10, chunk: int = 8192) -> DataFrame:
+    """(by..., order..., position, n, spearman, kendall) of the last n rows of a key, at every ``every``-th from the ``least``-th on; Kendall's is tau-a.
+
+    Rows get their positions in their key without a one-task window; a chunk
+    of consecutive positions and the n - 1 rows before it are one group, so a long
+    series spreads over tasks.  In a chunk the window slides: a row that
+    comes or goes adds or takes away its concordances with those that stay.
+    Rows without a or b don't count.
+    """
+    size = max(chunk, n)
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, *order, F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    placed = positioned(rows, by, order)
+    own = F.floor((F.col("position") - 1) / size)
+    ahead = F.pmod(F.col("position") - 1, F.lit(size)) >= size - (n - 1)
+    dealt = placed.withColumn("__c", F.explode(F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))))
+    schema = T.StructType([*rows.schema.fields[:-2], *(T.StructField(k, t) for k, t in (("position", T.LongType()), ("n", T.LongType()), ("spearman", T.DoubleType()), ("kendall", T.DoubleType())))])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("position")
+        x, y, at = (pdf[c].to_numpy() for c in ("__a", "__b", "position"))
+        start, lo, score, out = int(pdf["__c"].iloc[0]) * size, 0, 0, []
+        for i in range(len(x)):
+            if i - lo >= n:
+                score -= concordance(x, y, lo, lo + 1, i)
+                lo += 1
+            score += concordance(x, y, i, lo, i)
+            m = i - lo + 1
+            if at[i] > start and at[i] % every == 0 and m >= least:
+                out.append((i, m, spearman_of(x[lo : i + 1], y[lo : i + 1]), 2 * score / (m * (m - 1)) if m > 1 else 0.0))
+        picked, m, rho, tau = (np.array(v) for v in zip(*out)) if out else (np.empty(0, np.int64), [], [], [])
+        return pdf.iloc[picked.astype(np.int64)][[*by, *order, "position"]].assign(n=m, spearman=rho, kendall=tau)
+
+    return dealt.groupBy(*by, "__c").applyInPandas(run, schema)

@@ -15,6 +15,7 @@ from ..operators import decisions as de
 from ..operators import information as info
 from ..operators import selection as sel
 from ..operators import stats, windows
+from ..operators.quantiles import exact_quantiles
 from ..registry import query, r6, table
 from ..shared import scratch
 from ..sources import catalog, tables
@@ -242,9 +243,9 @@ SELECT 'continuous' AS kind, round(sum(c / n * ln(c * n / (ci * cj))), 6) AS mi
 UNION ALL SELECT 'mixed', round(greatest(0, sum(c / n * ln(c * n / (ci * cj)))), 6) FROM (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY i) AS ci, sum(c) OVER (PARTITION BY k) AS cj FROM (SELECT i, k, count(*) AS c FROM g GROUP BY ALL))""")
 def mixed_mutual_information(spark, d):
     li = table(spark, d, "lineitem")
-    at = F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])
-    edges = F.broadcast(li.agg(F.percentile("l_quantity", at).alias("a"), F.percentile("l_extendedprice", at).alias("b")))  # one row
-    binned = li.crossJoin(edges).select(F.size(F.filter("a", lambda x: x < F.col("l_quantity"))).alias("i"), F.size(F.filter("b", lambda x: x < F.col("l_extendedprice"))).alias("j"), "l_returnflag")
+    at = [0.2, 0.4, 0.6, 0.8]
+    a, b = (F.broadcast(exact_quantiles(li, [], c, at, name)) for c, name in (("l_quantity", "a"), ("l_extendedprice", "b")))  # one row each
+    binned = li.crossJoin(a).crossJoin(b).select(F.size(F.filter("a", lambda x: x < F.col("l_quantity"))).alias("i"), F.size(F.filter("b", lambda x: x < F.col("l_extendedprice"))).alias("j"), "l_returnflag")
     both = info.discrete_mi(binned, "i", "j").select(F.lit("continuous").alias("kind"), "mi").union(info.discrete_mi(binned, "i", "l_returnflag").select(F.lit("mixed"), "mi"))
     return r6("mi", of=both)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators.ordered import positioned
+from ..operators.quantiles import exact_quantiles
 from ..registry import query, r6, table
 
 LAB = "lab AS (SELECT doc_id, quality, toxic, n_chars, least(n_chars / 5000.0, 1.0) AS score FROM documents JOIN labels USING (doc_id))"
@@ -41,7 +42,7 @@ def stratified_folds(spark, d):
 @query("WITH q AS (SELECT quantile_cont(o_totalprice, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM orders), l AS (SELECT o_orderkey, len(list_filter(e, lambda x: x < o_totalprice)) AS cls FROM orders, q), f AS (SELECT *, (row_number() OVER (PARTITION BY cls ORDER BY o_orderkey) - 1) % 5 AS fold FROM l), c AS (SELECT fold, cls, count(*) AS c FROM f GROUP BY ALL) SELECT fold, count(*) AS classes, min(c) AS smallest, min(c) >= 1 AS valid FROM c GROUP BY 1")
 def quantile_stratified_folds(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    edges = F.broadcast(o.agg(F.percentile("o_totalprice", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("e")))
+    edges = F.broadcast(exact_quantiles(o, [], "o_totalprice", [i / 10 for i in range(1, 10)], "e"))  # one row
     cls = F.size(F.filter("e", lambda x: x < F.col("o_totalprice")))
     return ev.fold_check(ev.stratified_folds(o.crossJoin(edges).withColumn("cls", cls).drop("e"), F.col("cls"), [F.col("o_orderkey")], 5), "cls")
 

@@ -12,6 +12,7 @@ from ..operators import information as info
 from ..operators import selection as sel
 from ..operators import stats
 from ..operators.longform import from_array, from_wide
+from ..operators.quantiles import exact_quantiles
 from ..registry import query, r6, table
 
 
@@ -267,7 +268,8 @@ def feature_quality(spark, d):
     lf = features(spark, d)
     pairs = stats.correlation_pairs(lf)
     red = pairs.select(F.explode(F.array("f1", "f2")).alias("feature"), F.abs("r").alias("r")).groupBy("feature").agg((1 - F.avg("r")).alias("redundancy"))
-    spread = lf.groupBy("feature").agg((F.stddev_samp("value") / F.nullif(F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25)), F.lit(0.0))).alias("diversity"))
+    quartiles = exact_quantiles(lf, ["feature"], "value", [0.25, 0.75], "q", small=True)
+    spread = lf.groupBy("feature").agg(F.stddev_samp("value").alias("s")).join(quartiles, "feature").select("feature", (F.col("s") / F.nullif(F.col("q")[1] - F.col("q")[0], F.lit(0.0))).alias("diversity"))
     s = sel.feature_scores(lf).select("feature", F.col("mi").alias("relevance"), (F.col("variance") / F.sum("variance").over(Window.partitionBy(F.lit(1)))).alias("coverage"))
     return r6("relevance", "redundancy", "coverage", "diversity", of=s.join(red, "feature").join(spread, "feature"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import information
 from ..shared import scratch
 
 
@@ -73,3 +74,12 @@ def ring_buffer(df: DataFrame, key: str, order: str, value: str, size: int) -> D
         yield pd.DataFrame({key: [k[0]], "n": [len(held)], "mean": [sum(values) / len(values)], "low": [min(values)]})
 
     return df.groupBy(key).applyInPandasWithState(step, f"{key} long, n long, mean double, low double", "o array<long>, v array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def joint_counts(lf: DataFrame, edges: DataFrame, bins: int = 10) -> DataFrame:
+    """Streaming (feature, bin, cls, c) of a long stream, for edges that a first pass has fixed; information.counted_information of them is the MI so far.
+
+    The state has a row a feature, bin and class, however long the stream, and the
+    counts don't depend on how it is cut into batches.
+    """
+    return information.joint_counts(information.with_equal_width(lf, bins, edges))
