@@ -2,30 +2,106 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def stop_criteria(rounds: DataFrame, order: str, score: str, agreement: str, n: int = 5, least_rounds: int = 10, variance: float = 25.0, plateau: float = 15.0, share: float = 0.05) -> DataFrame:
-    """rounds (a row a round) with the criteria fixed, stable, flat, agreed, and stop at three of the four."""
-    w = Window.orderBy(order)
-    last = w.rowsBetween(-(n - 1), 0)
-    s = F.col(score)
-    out = rounds.withColumns(
-        {
-            "fixed": F.row_number().over(w) >= least_rounds,
-            "stable": (F.count(s).over(last) == n) & (F.coalesce(F.var_samp(s).over(last), F.lit(0.0)) <= variance),
-            "flat": (F.count(s).over(last) == n) & (F.max(s).over(last) - F.min(s).over(last) <= plateau),
-            "agreed": F.col(agreement) >= share,
-        }
-    )
-    return out.withColumn("stop", sum((F.col(c).cast("int") for c in ("fixed", "stable", "flat", "agreed")), F.lit(0)) >= 3)
-
-
-def adapted_threshold(kind: str, base: float, round: Column, total: int, performance: Column) -> Column:
-    """Threshold of a round: linear or exponential growth, or by performance; clamped to [0.1, 0.95]."""
-    t = {"linear": base + (0.9 - base) * round / total, "exponential": base * F.exp(0.5 * round / total), "performance": base + 0.2 * (performance - 0.5)}[kind]
-    return F.greatest(F.lit(0.1), F.least(F.lit(0.95), t))
+from .windows import runs
+
+
+@dataclass(frozen=True)
+class Detector:
+    """When an ensemble has converged."""
+
+    # fixed values: the defaults of the configuration
+    stability: float = 0.95
+    consensus: float = 0.9
+    entropy: float = 0.1
+    agreement: float = 0.85
+    window: int = 100
+    least_rounds: int = 1000
+    most_rounds: int = 50_000
+    patience: int = 10
+    stable_windows: int = 5
+    tolerance: float = 0.02
+    initial: float = 0.95
+    decay: float = 0.99
+    minimum: float = 0.8
+    interval: int = 500
+    test_window: int = 200
+    sensitivity: float = 0.01
+    variance: float = 0.1
+
+
+MODES = ("static", "linear", "exponential", "problem", "performance")
+
+
+def with_thresholds(rounds: DataFrame, by: list[str], order: str, mode: str, c: Detector = Detector()) -> DataFrame:
+    """rounds with ``round`` (from 1), ``threshold`` as it is when the round's window is looked at, and ``adapted``, as it is after the round.
+
+    Every ``interval`` rounds the stability threshold moves: linearly or
+    exponentially down towards the minimum, with the trend of the stabilities before the
+    round (1 % up or down), or 2 % down under a consensus above 0.9; within [minimum,
+    initial], and only by more than 0.01.  The steps of a run (rounds / interval of them) are folded in one row.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    w = Window.partitionBy(*by).orderBy(order)
+    past = w.rowsBetween(-c.window, -1)
+    x, y = F.col("round").cast("double"), F.col("stability")
+    n, sx, sy = F.count(y).over(past), F.sum(x).over(past), F.sum(y).over(past)
+    slope = (n * F.sum(x * y).over(past) - sx * sy) / (n * F.sum(x * x).over(past) - sx * sx)
+    numbered = rounds.withColumn("round", F.row_number().over(w).cast("long")).withColumn("slope", F.when(n >= 10, slope))
+    steps = numbered.where(F.col("round") % c.interval == 0).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("round", "slope", "consensus"))).alias("steps"))
+
+    def moved(now: Column, e: Column) -> Column:
+        aim = {
+            "static": now,
+            "linear": c.initial - e["round"] / F.lit(c.most_rounds) * (c.initial - c.minimum),
+            "exponential": c.initial * F.pow(F.lit(c.decay), e["round"] / F.lit(c.interval)),
+            "problem": now * F.when(e["slope"] > 0.001, 1.01).when(e["slope"] < -0.001, 0.99).otherwise(1.0),
+            "performance": now * F.when(e["consensus"] > 0.9, 0.98).otherwise(1.0),
+        }[mode]
+        aim = F.greatest(F.lit(c.minimum), F.least(F.lit(c.initial), aim))
+        return F.when(F.abs(aim - now) > 0.01, aim).otherwise(now)
+
+    folded = F.aggregate("steps", F.array(F.lit(c.stability)), lambda a, e: F.array_append(a, moved(F.element_at(a, -1), e)))
+    known = steps.select(*[F.col(k).alias(f"__{k}") for k in by], folded.alias("__t"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]
+    # a row a run
+    joined = numbered.join(known, same, "left") if by else numbered.crossJoin(F.broadcast(known))
+    at = lambda k: F.coalesce(F.element_at("__t", (F.floor(k / c.interval) + 1).cast("int")), F.lit(c.stability))
+    return joined.select(*rounds.columns, "round", at(F.col("round") - 1).alias("threshold"), at(F.col("round")).alias("adapted"))
+
+
+def convergence(rounds: DataFrame, by: list[str], order: str, mode: str = "problem", c: Detector = Detector()) -> DataFrame:
+    """Rounds (stability, consensus, entropy, agreement) with what the five strategies and the five stopping criteria say after each.
+
+    A round is stable when the last ``stable_windows`` stabilities are at the
+    threshold less the tolerance; ``run`` counts the stable rounds in a row.  Under ``least_rounds``
+    nothing has converged, from ``most_rounds`` on everything.
+    """
+    rows = with_thresholds(rounds, by, order, mode, c)
+    w = Window.partitionBy(*by).orderBy(order)
+    last = lambda n: w.rowsBetween(-(n - 1), 0)
+    s = F.col("stability")
+    stable = (F.count(s).over(last(c.stable_windows)) == c.stable_windows) & (F.min(s).over(last(c.stable_windows)) >= F.col("threshold") - c.tolerance)
+    # slope of the last five over places 1 to 5; rounded, so that a trend of just the limit is not under it
+    trend = F.when(F.count(s).over(last(5)) == 5, F.round(sum((k * F.lag(s, 2 - k).over(w) for k in range(-2, 3)), F.lit(0.0)) / 10, 12)).otherwise(0.0)
+    rows = runs(rows.withColumns({"stable": stable, "trend": trend, "spread": F.when(F.count(s).over(last(c.test_window)) == c.test_window, F.var_samp(s).over(last(c.test_window)))}), F.col("stable"), by, [order])
+    r, run = F.col("round"), F.col("run")
+    a, b, d = (s >= F.col("adapted")) & (run >= c.stable_windows), F.col("consensus") >= c.consensus, F.col("entropy") <= c.entropy
+    count = lambda *flags: sum((f.cast("int") for f in flags), F.lit(0))
+    decide = lambda found: F.when(r < c.least_rounds, False).when(r >= c.most_rounds, True).otherwise(found)
+    flat = lambda limit: F.abs("trend") < limit
+    return rows.select(
+        *rounds.columns, "round", "adapted", "run",
+        decide(a).alias("by_stability"), decide(b).alias("by_consensus"), decide(d).alias("by_entropy"), decide(count(a, b, d) / 3 >= 0.6).alias("by_majority"),
+        decide((s > 0.95) & (F.col("consensus") > 0.9) | (F.col("entropy") < 0.1) & (run >= 3)).alias("by_state"),
+        (run >= c.patience).alias("stop_fixed"), F.coalesce(F.col("spread") < c.variance, F.lit(False)).alias("stop_variance"), ((r >= 20) & flat(c.sensitivity)).alias("stop_plateau"), (F.col("agreement") >= c.agreement).alias("stop_agreement"),
+        (count(run >= 3, F.col("consensus") >= 0.85, F.col("entropy") <= 0.2, flat(0.01)) >= 3).alias("stop_adaptive"),
+    )
 
 
 def diversity(overlap: Column, entropy: Column, variance: Column, spread: Column, unique_share: Column) -> Column:

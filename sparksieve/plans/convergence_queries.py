@@ -10,26 +10,55 @@ from ..registry import query, r6, table
 from .ensemble_queries import RAW, SETS, raw_votes, tree_sets
 from .stage1_queries import LF, PAIRS, features
 
-ROUNDS = "rounds AS (SELECT date_trunc('day', ts) AS day, avg(value) AS score, count(DISTINCT user_id) / 150.0 AS agreement FROM events GROUP BY 1)"
+#: A run's settings, scaled to a month of rounds.
+SETTINGS = cv.Detector(window=12, least_rounds=6, most_rounds=28, patience=4, stable_windows=3, interval=3, test_window=8, sensitivity=0.004, variance=0.0008)
+ROUNDS = """rounds AS (
+  SELECT event_type, date_trunc('day', ts) AS day, 0.9::DOUBLE + (sum(event_id * 7) % 11)::DOUBLE / 100 AS stability, 0.7::DOUBLE + (sum(event_id) % 31)::DOUBLE / 100 AS consensus,
+         (sum(event_id) % 26)::DOUBLE / 100 AS entropy, 0.7::DOUBLE + (count(*) % 31)::DOUBLE / 100 AS agreement FROM events GROUP BY ALL),
+n AS (
+  SELECT *, row_number() OVER w AS r, CASE WHEN count(*) OVER p >= 10 THEN regr_slope(stability, rn) OVER p END AS slope
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day)::DOUBLE AS rn FROM rounds)
+  WINDOW w AS (PARTITION BY event_type ORDER BY day), p AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING))"""
 
 
-def rounds(spark, d):
-    return table(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("score"), (F.countDistinct("user_id") / 150.0).alias("agreement"))
+def adaptation_sql(mode, step):
+    """The thresholds of a mode by recursion over its steps: t_<mode> (event_type, k, t), k the number of steps made."""
+    aim = f"greatest(0.8::DOUBLE, least(0.95::DOUBLE, {step}))"
+    return f"t_{mode} AS (SELECT DISTINCT event_type, 0 AS k, 0.95::DOUBLE AS t FROM rounds UNION ALL SELECT p.event_type, k + 1, CASE WHEN abs({aim} - t) > 0.01 THEN {aim} ELSE t END FROM t_{mode} p JOIN n ON n.event_type = p.event_type AND n.r = 3 * (k + 1))"
+
+
+STEPS = {"linear": "0.95::DOUBLE - r / 28::DOUBLE * (0.95::DOUBLE - 0.8::DOUBLE)", "exponential": "0.95::DOUBLE * pow(0.99::DOUBLE, r / 3::DOUBLE)", "problem": "t * CASE WHEN slope > 0.001 THEN 1.01::DOUBLE WHEN slope < -0.001 THEN 0.99::DOUBLE ELSE 1 END", "performance": "t * CASE WHEN consensus > 0.9::DOUBLE THEN 0.98::DOUBLE ELSE 1 END"}
 
 
-@query(f"""WITH {ROUNDS}, c AS (SELECT day, row_number() OVER (ORDER BY day) >= 10 AS fixed, count(score) OVER w = 5 AND coalesce(var_samp(score) OVER w, 0) <= 25 AS stable, count(score) OVER w = 5 AND max(score) OVER w - min(score) OVER w <= 15 AS flat, agreement >= 0.05 AS agreed FROM rounds WINDOW w AS (ORDER BY day ROWS 4 PRECEDING))
-SELECT *, fixed::INT + stable::INT + flat::INT + agreed::INT >= 3 AS stop FROM c""")
+def rounds(spark, d):
+    ids = F.sum("event_id")
+    out = table(spark, d, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day"))
+    return out.agg((0.9 + (F.sum(F.col("event_id") * 7) % 11) / 100).alias("stability"), (0.7 + (ids % 31) / 100).alias("consensus"), ((ids % 26) / 100).alias("entropy"), (0.7 + (F.count(F.lit(1)) % 31) / 100).alias("agreement"))
+
+
+@query(f"""WITH RECURSIVE {ROUNDS}, {adaptation_sql("performance", STEPS["performance"])},
+x AS (SELECT n.*, a.t AS before, b.t AS adapted FROM n JOIN t_performance a ON a.event_type = n.event_type AND a.k = (r - 1) // 3 JOIN t_performance b ON b.event_type = n.event_type AND b.k = r // 3),
+y AS (SELECT *, count(*) OVER m = 3 AND min(stability) OVER m >= before - 0.02 AS stable, CASE WHEN count(*) OVER f = 5 THEN round(regr_slope(stability, r) OVER f, 12) ELSE 0 END AS trend, CASE WHEN count(*) OVER v = 8 THEN var_samp(stability) OVER v END AS spread
+  FROM x WINDOW m AS (PARTITION BY event_type ORDER BY day ROWS 2 PRECEDING), f AS (PARTITION BY event_type ORDER BY day ROWS 4 PRECEDING), v AS (PARTITION BY event_type ORDER BY day ROWS 7 PRECEDING)),
+z AS (SELECT *, r - coalesce(max(CASE WHEN NOT stable THEN r END) OVER (PARTITION BY event_type ORDER BY day), 0) AS run FROM y),
+q AS (SELECT *, stability >= adapted AND run >= 3 AS a, consensus >= 0.9::DOUBLE AS b, entropy <= 0.1::DOUBLE AS c FROM z)
+SELECT event_type, day, r AS round, run, round(adapted, 6) AS adapted, CASE WHEN r < 6 THEN false WHEN r >= 28 THEN true ELSE a END AS by_stability, CASE WHEN r < 6 THEN false WHEN r >= 28 THEN true ELSE b END AS by_consensus,
+  CASE WHEN r < 6 THEN false WHEN r >= 28 THEN true ELSE c END AS by_entropy, CASE WHEN r < 6 THEN false WHEN r >= 28 THEN true ELSE a::INT + b::INT + c::INT >= 2 END AS by_majority,
+  CASE WHEN r < 6 THEN false WHEN r >= 28 THEN true ELSE (stability > 0.95::DOUBLE AND consensus > 0.9::DOUBLE) OR (entropy < 0.1::DOUBLE AND run >= 3) END AS by_state,
+  run >= 4 AS stop_fixed, coalesce(spread < 0.0008, false) AS stop_variance, r >= 20 AND abs(trend) < 0.004 AS stop_plateau, agreement >= 0.85::DOUBLE AS stop_agreement,
+  (run >= 3)::INT + (consensus >= 0.85::DOUBLE)::INT + (entropy <= 0.2::DOUBLE)::INT + (abs(trend) < 0.01)::INT >= 3 AS stop_adaptive FROM q""")
 def stop_criteria(spark, d):
-    return cv.stop_criteria(rounds(spark, d), "day", "score", "agreement").drop("score", "agreement")
+    return r6("adapted", of=cv.convergence(rounds(spark, d), ["event_type"], "day", "performance", SETTINGS).drop("stability", "consensus", "entropy", "agreement"))
 
 
-@query(f"WITH {ROUNDS}, n AS (SELECT *, row_number() OVER (ORDER BY day) AS r FROM rounds) SELECT day, round(greatest(0.1, least(0.95, 0.5 + 0.4 * r / 30)), 6) AS linear, round(greatest(0.1, least(0.95, 0.5 * exp(0.5 * r / 30))), 6) AS exponential, round(greatest(0.1, least(0.95, 0.5 + 0.2 * (score / 100 - 0.5))), 6) AS performance FROM n")
+@query(f"""WITH RECURSIVE {ROUNDS}, {", ".join(adaptation_sql(m, s) for m, s in STEPS.items())}
+SELECT n.event_type, day, {", ".join(f"round(t_{m}.t, 6) AS {m}" for m in STEPS)} FROM n {" ".join(f"JOIN t_{m} ON t_{m}.event_type = n.event_type AND t_{m}.k = r // 3" for m in STEPS)}""")
 def threshold_adaptation(spark, d):
-    from pyspark.sql import Window
-
-    n = rounds(spark, d).withColumn("r", F.row_number().over(Window.orderBy("day")))
-    kinds = ("linear", "exponential", "performance")
-    return r6(*kinds, of=n.select("day", *[cv.adapted_threshold(k, 0.5, F.col("r"), 30, F.col("score") / 100).alias(k) for k in kinds]))
+    x, out = rounds(spark, d), None
+    for mode in STEPS:
+        one = cv.with_thresholds(x, ["event_type"], "day", mode, SETTINGS).select("event_type", "day", F.round("adapted", 6).alias(mode))
+        out = one if out is None else out.join(one, ["event_type", "day"])
+    return out
 
 
 _JAC = "len(list_intersect(a.features, b.features)) / greatest(1, len(list_distinct(list_concat(a.features, b.features))))"
