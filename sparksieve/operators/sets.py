@@ -32,8 +32,16 @@ def overlap_pairs(sets: DataFrame, key: str, features: str) -> DataFrame:
 
 
 def overlap_summary(sets: DataFrame, key: str, features: str) -> DataFrame:
-    """One row: mean, largest and smallest Jaccard over all pairs, those without a common member included."""
-    found = overlap_pairs(sets, key, features).agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("s"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("hi"), F.min("jaccard").alias("lo"))
+    """One row: mean, largest and smallest Jaccard over all pairs, those without a common member included.
+
+    Equal sets are one set with a multiplicity, so only different sets are compared;
+    pairs within a set count 1, or 0 where it is empty.
+    """
+    groups = sets.groupBy(F.array_sort(F.array_distinct(features)).alias("f")).agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("m"))
+    inner = groups.where("m > 1").select((F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("w"), F.when(F.size("f") > 0, 1.0).otherwise(0.0).alias("jaccard"))
+    times = groups.select("k", "m")
+    across = overlap_pairs(groups, "k", "f").join(times.select(F.col("k").alias("a"), F.col("m").alias("ma")), "a").join(times.select(F.col("k").alias("b"), F.col("m").alias("mb")), "b").select((F.col("ma") * F.col("mb")).alias("w"), "jaccard")
+    found = inner.union(across).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("c"), F.coalesce(F.sum(F.col("jaccard") * F.col("w")), F.lit(0.0)).alias("s"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("hi"), F.min("jaccard").alias("lo"))
     n = sets.agg(F.count(F.lit(1)).alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return found.crossJoin(n).select(F.when(pairs > 0, F.col("s") / pairs).otherwise(0.0).alias("mean"), F.col("hi").alias("high"), F.when(F.col("c") < pairs, F.lit(0.0)).otherwise(F.coalesce("lo", F.lit(0.0))).alias("low"))  # one row each

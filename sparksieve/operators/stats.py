@@ -148,9 +148,9 @@ def profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for c in names:
         col = F.col(c)
-        aggs += [F.count(col).alias(f"{c}#n"), F.countDistinct(col).alias(f"{c}#d"), F.avg(col.cast("double")).alias(f"{c}#m") if c in numeric else F.lit(None).cast("double").alias(f"{c}#m")]
+        aggs += [F.count(col).alias(f"{c}#n"), F.countDistinct(col).alias(f"{c}#d"), F.avg(col.cast("double")).alias(f"{c}#m") if c in numeric else F.lit(None).cast("double").alias(f"{c}#m"), F.min(col).cast("string").alias(f"{c}#a"), F.max(col).cast("string").alias(f"{c}#z")]
     types = dict(df.dtypes)
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col("rows"), F.col(f"`{c}#n`").alias("present"), F.col(f"`{c}#d`").alias("uniques"), F.col(f"`{c}#m`").alias("mean")) for c in names]
+    parts = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), F.col("rows"), F.col(f"`{c}#n`").alias("present"), F.col(f"`{c}#d`").alias("uniques"), F.col(f"`{c}#a`").alias("low"), F.col(f"`{c}#z`").alias("high"), F.col(f"`{c}#m`").alias("mean")) for c in names]
     one = df.agg(*aggs).select(F.explode(F.array(*parts)).alias("p")).select("p.*")
     return one.withColumn("missing_ratio", F.when(F.col("rows") > 0, 1 - F.col("present") / F.col("rows")).otherwise(0.0)).withColumn("high_cardinality", F.col("uniques") > 1000)
 

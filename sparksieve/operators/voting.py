@@ -91,14 +91,19 @@ def weighted_scores(scores: DataFrame, weights: dict[str, float], by: str = "met
 
 
 def voted(predictions: DataFrame, how: str, sample: str = "sample_id", label: str = "label", proba: str = "proba", weight: str = "weight") -> DataFrame:
-    """Hard, soft or weighted vote of the models on every sample."""
-    if how == "hard":
-        counts = predictions.groupBy(sample, label).agg(F.count(F.lit(1)).alias("c"))
+    """Hard, weighted hard, soft or weighted (soft) vote of the models on every sample; equal votes go to the smallest label."""
+    if how in ("hard", "weighted_hard"):
+        counts = predictions.groupBy(sample, label).agg((F.count(F.lit(1)) if how == "hard" else F.round(F.sum(weight), 9)).alias("c"))
         return counts.groupBy(sample).agg(F.max_by(label, F.struct("c", -F.col(label))).alias("vote"))
     p = F.avg(proba) if how == "soft" else F.sum(F.col(proba) * F.col(weight)) / F.sum(weight)
     return predictions.groupBy(sample).agg(p.alias("p")).select(sample, (F.col("p") >= 0.5).cast("long").alias("vote"))
 
 
+def weighted_mean(predictions: DataFrame, sample: str = "sample_id", value: str = "prediction", weight: str = "weight") -> DataFrame:
+    """(sample, prediction): the models' predictions weighed by normalised weights; null where the weights add up to 0."""
+    return predictions.groupBy(sample).agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("prediction"))
+
+
 def pareto(candidates: DataFrame, score: str = "score", size: str = "size", most: int | None = None) -> DataFrame:
     """Candidates by score over the square root of their size; the ``most`` best of them."""
     valued = candidates.withColumn("value", F.col(score) / F.sqrt(F.greatest(F.col(size), F.lit(1))))

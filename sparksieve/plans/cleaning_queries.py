@@ -108,9 +108,9 @@ def data_quality_gate(spark, d):
     return r6("target_std", "balance", of=clean.quality_gate(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], (F.col("l_returnflag") == "R").cast("double")))
 
 
-@query("""SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*) AS rows, count(o_orderkey) AS present, count(DISTINCT o_orderkey) AS uniques, round(avg(o_orderkey), 4) AS mean, 0.0 AS missing_ratio, count(DISTINCT o_orderkey) > 1000 AS high_cardinality FROM orders
-UNION ALL SELECT 'price', 'double', count(*), count(p), count(DISTINCT p), round(avg(p), 4), round(1 - count(p) / count(*), 6), count(DISTINCT p) > 1000 FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS p FROM orders)
-UNION ALL SELECT 'priority', 'string', count(*), count(p), count(DISTINCT p), NULL, round(1 - count(p) / count(*), 6), count(DISTINCT p) > 1000 FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders)""")
+@query("""SELECT 'o_orderkey' AS "column", 'bigint' AS type, count(*) AS rows, count(o_orderkey) AS present, count(DISTINCT o_orderkey) AS uniques, round(avg(o_orderkey), 4) AS mean, 0.0 AS missing_ratio, count(DISTINCT o_orderkey) > 1000 AS high_cardinality, min(o_orderkey)::VARCHAR AS low, max(o_orderkey)::VARCHAR AS high FROM orders
+UNION ALL SELECT 'price', 'double', count(*), count(p), count(DISTINCT p), round(avg(p), 4), round(1 - count(p) / count(*), 6), count(DISTINCT p) > 1000, min(p)::VARCHAR, max(p)::VARCHAR FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS p FROM orders)
+UNION ALL SELECT 'priority', 'string', count(*), count(p), count(DISTINCT p), NULL, round(1 - count(p) / count(*), 6), count(DISTINCT p) > 1000, min(p)::VARCHAR, max(p)::VARCHAR FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders)""")
 def column_profile(spark, d):
     p = stats.profile(holes(spark, d), ["o_orderkey", "price", "priority"])
     return p.withColumn("mean", F.round("mean", 4)).withColumn("missing_ratio", F.round("missing_ratio", 6))

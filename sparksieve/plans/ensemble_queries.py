@@ -166,11 +166,11 @@ def set_operations(spark, d):
     return r6("jaccard", of=j.select("k", size("union").alias("n_union"), size("intersection").alias("n_both"), size("difference").alias("n_only"), sets.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
 
 
-MASKS = "masks AS (SELECT l_suppkey % 5 AS mask_id, l_partkey % 50 AS feature_id, bool_or(l_quantity > 49) AS selected, bool_and(l_quantity <= 49) AND bool_or(l_discount > 0.05) AS rejected, true AS available, bool_or(l_tax > 0.079) AS locked FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)"
+MASKS = "masks AS (SELECT l_suppkey % 5 AS mask_id, l_partkey % 50 AS feature_id, bool_or(l_quantity > 49) AS selected, bool_and(l_quantity <= 49) AND bool_or(l_discount > 0.05) AS rejected, true AS available, bool_or(l_tax > 0.079) AS locked FROM lineitem GROUP BY ALL)"
 
 
 def masks(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     return li.groupBy((F.col("l_suppkey") % 5).alias("mask_id"), (F.col("l_partkey") % 50).alias("feature_id")).agg(F.bool_or(F.col("l_quantity") > 49).alias("selected"), (F.bool_and(F.col("l_quantity") <= 49) & F.bool_or(F.col("l_discount") > 0.05)).alias("rejected"), F.lit(True).alias("available"), F.bool_or(F.col("l_tax") > 0.079).alias("locked"))
 
 
@@ -252,6 +252,23 @@ def prediction_voting(spark, d):
     return out
 
 
+@query(f"WITH {_PRED}, h AS (SELECT sample_id, label, round(sum(weight), 9) AS c FROM p GROUP BY ALL), hv AS (SELECT sample_id, arg_max(label, c * 1000 - label) AS weighted_hard FROM h GROUP BY 1) SELECT sample_id, weighted_hard, round(sum(proba * weight) / sum(weight), 6) AS mean FROM p JOIN hv USING (sample_id) GROUP BY ALL")
+def weighted_votes(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_quantity") > 25).cast("long").alias("label"), (F.col("l_quantity") / 50).alias("prediction"), (1 + F.col("l_linenumber").cast("double")).alias("weight"))
+    hard = voting.voted(p, "weighted_hard").withColumnRenamed("vote", "weighted_hard")
+    return hard.join(voting.weighted_mean(p).select("sample_id", F.round("prediction", 6).alias("mean")), "sample_id")
+
+
+@query(f"WITH {WEIGHTS}, k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, round(performance, 9) DESC, feature_id) AS by_performance, row_number() OVER (ORDER BY round(score, 9) DESC, round(exploration, 9) DESC, feature_id) AS by_exploration, row_number() OVER (ORDER BY round(score, 9) DESC, first, feature_id) AS by_timestamp, row_number() OVER (ORDER BY round(score, 9) DESC, feature_id * 2654435761 % 1000003, feature_id) AS by_hash FROM (SELECT feature_id, round(score, 1) AS score, performance, exploration, first FROM cons)) SELECT feature_id, by_performance, by_exploration, by_timestamp, by_hash FROM k")
+def consensus_tie_rules(spark, d):
+    """Ranks under each rule for ties; scores are rounded to one place, so that there are many."""
+    s, out = scores(spark, d).withColumn("score", F.round("score", 1)), None
+    for rule in ("performance", "exploration", "timestamp", "hash"):
+        one = voting.build_consensus(s, F.lit(-1.0), 10**9, 0, rule).select("feature_id", F.col("rank").alias(f"by_{rule}"))
+        out = one if out is None else out.join(one, "feature_id")
+    return out
+
+
 @query("WITH c AS (SELECT o_custkey AS id, avg(o_totalprice) AS score, count(*) AS size FROM orders GROUP BY 1) SELECT id, size, round(score / sqrt(greatest(size, 1)), 4) AS value, row_number() OVER (ORDER BY score / sqrt(greatest(size, 1)) DESC, size) AS rank FROM c QUALIFY rank <= 20")
 def pareto_selection(spark, d):
     c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.avg("o_totalprice").alias("score"), F.count(F.lit(1)).alias("size"))

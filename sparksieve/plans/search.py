@@ -151,31 +151,78 @@ def cross_validated(df: DataFrame, subsets: list[list[str]], kinds: list[str], l
             data.unpersist()
 
 
-def shuffled(df: DataFrame, column: str, id: str, round: int, rows: int = 10_000) -> DataFrame:
-    """df with the column's values dealt to other rows: rows in hash order take the next one's value within a bucket of about ``rows`` rows."""
-    from pyspark.sql import Window
+def permuted(df: DataFrame, names: list[str], id: str, rounds: int = 1, rows: int = 10_000, seed: int = 0) -> DataFrame:
+    """df with ``name#r`` for each name and round r: its values dealt to other rows, each column and round on its own.
 
+    Rows meet in buckets of about ``rows`` by a hash of their ids, which one pass
+    deals out; within a bucket a seeded generator shuffles each column, in the order of the ids' hashes.
+    """
     buckets = 1 + df.count() // rows
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.col(id), F.lit(round)), F.lit(buckets))).orderBy(F.xxhash64(F.lit(round), F.col(id)))
-    around = F.coalesce(F.lead(column).over(w), F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return df.withColumn(column, around)
+    key = F.xxhash64(F.col(id), F.lit(seed))
+    dealt = df.withColumns({"__h": key, "__b": F.pmod(key, F.lit(buckets))})
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + "".join(f", `{n}#{r}` {kinds[n]}" for r in range(rounds) for n in names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__h")
+        rng = random.Random(f"{seed}.{int(pdf['__b'].iloc[0])}")
+        out = pdf.drop(columns=["__h", "__b"])
+        for r in range(rounds):
+            for n in names:
+                order = list(range(len(out)))
+                rng.shuffle(order)
+                out[f"{n}#{r}"] = pdf[n].to_numpy()[order]
+        return out
+
+    return dealt.groupBy("__b").applyInPandas(run, schema)
+
+
+def scored_variants(fitted, df: DataFrame, variants: dict[str, list[str]], keep: list[str]) -> DataFrame:
+    """``keep`` and, for each variant, the probability of label 1 when the model gets the variant's columns for its own; one pass."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
+    model, done = fitted.stages[-1], []
+    out = df.select(*dict.fromkeys([*keep, *(c for v in variants.values() for c in v)]))
+    for name, columns in variants.items():
+        with_vector = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(out)
+        out = model.transform(with_vector).withColumn(f"p:{name}", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+        done.append(f"p:{name}")
+    return out.select(*keep, *done)
 
-def permutation_importance(df: DataFrame, names: list[str], label: Column, id: str, kind: str = "logistic", repeats: int = 2) -> DataFrame:
-    """(feature, importance, half_width): accuracy lost when a column is shuffled."""
+
+def _fitted_and_permuted(df: DataFrame, names: list[str], label: Column, id: str, kind: str, rounds: int):
+    """A model of df, and df's features, label and permuted features, written."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
-    data = df.withColumn("label", label.cast("double"))
+    data = df.select(id, *names, label.cast("double").alias("label"))
     fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
-    score = lambda d: predicted(fitted, d).agg(F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double")).alias("a"))
-    base = score(data).first()[0]
-    rows = None
-    for f in names:
-        for r in range(repeats):
-            one = score(shuffled(data, f, id, r)).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("a")).alias("d"))
-            rows = one if rows is None else rows.union(one)
-    return rows.groupBy("feature").agg(F.avg("d").alias("importance"), (1.96 * F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / math.sqrt(repeats)).alias("half_width"))
+    return fitted, stored(permuted(data, names, id, rounds), "permuted")
+
+
+def permutation_importance(df: DataFrame, names: list[str], label: Column, id: str, kind: str = "logistic", repeats: int = 2) -> DataFrame:
+    """(feature, importance, half_width): accuracy lost when a column is shuffled; the rows are dealt once and scored in one pass."""
+    fitted, mixed = _fitted_and_permuted(df, names, label, id, kind, repeats)
+    variants = {"": names} | {f"{f}/{r}": [f"{f}#{r}" if n == f else n for n in names] for f in names for r in range(repeats)}
+    scored = scored_variants(fitted, mixed, variants, ["label"])
+    hit = lambda v: F.avg(((F.col(f"`p:{v}`") >= 0.5).cast("double") == F.col("label")).cast("double"))
+    one = scored.agg(*[hit(v).alias(f"a:{v}") for v in variants])
+    lost = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col("`a:`") - F.col(f"`a:{f}/{r}`")).alias("d")) for f in names for r in range(repeats)])
+    return one.select(F.explode(lost).alias("l")).select("l.*").groupBy("feature").agg(F.avg("d").alias("importance"), (1.96 * F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / math.sqrt(repeats)).alias("half_width"))
+
+
+def additivity_gaps(df: DataFrame, names: list[str], label: Column, id: str, kind: str = "forest") -> DataFrame:
+    """(f1, f2, strength): mean |p(both changed) - (p(first changed) + p(second changed) - p)| over all rows, where a changed feature has another row's value."""
+    fitted, mixed = _fitted_and_permuted(df, names, label, id, kind, 1)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    change = lambda *fs: [f"{n}#0" if n in fs else n for n in names]
+    variants = {"": names} | {f: change(f) for f in names} | {f"{a}*{b}": change(a, b) for a, b in pairs}
+    p = lambda v: F.col(f"`p:{v}`")
+    gap = lambda a, b: F.avg(F.abs(p(f"{a}*{b}") - (p(a) + p(b) - p(""))))
+    one = scored_variants(fitted, mixed, variants, ["label"]).agg(*[gap(a, b).alias(f"g:{a}*{b}") for a, b in pairs])
+    rows = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"`g:{a}*{b}`").alias("strength")) for a, b in pairs])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def ablation_importance(df: DataFrame, names: list[str], label: Column, kind: str = "logistic") -> DataFrame:
@@ -243,26 +290,16 @@ def shapley_sampled(df: DataFrame, names: list[str], label: Column, id: str, ord
 
 
 def joint_degradation(df: DataFrame, names: list[str], label: Column, id: str, kind: str = "logistic", repeats: int = 1) -> DataFrame:
-    """(f1, f2, interaction): accuracy lost when both columns are shuffled, beyond what each loses alone."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-
-    data = df.withColumn("label", label.cast("double"))
-    fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
-    hit = F.avg(((F.col("p") >= 0.5).cast("double") == F.col("label")).cast("double"))
-    sets = [()] + [(f,) for f in names] + [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    rows = None
-    for chosen in sets:
-        for r in range(repeats if chosen else 1):
-            mixed = data
-            for k, f in enumerate(chosen):
-                mixed = shuffled(mixed, f, id, r * len(names) + names.index(f))
-            one = predicted(fitted, mixed).agg(hit.alias("a")).select(F.lit(",".join(chosen)).alias("chosen"), "a")
-            rows = one if rows is None else rows.union(one)
-    score = {r["chosen"]: r["a"] for r in rows.groupBy("chosen").agg(F.avg("a").alias("a")).collect()}
-    lost = {k: score[""] - v for k, v in score.items()}
-    out = [(a, b, float(lost[f"{a},{b}"] - lost[a] - lost[b])) for i, a in enumerate(names) for b in names[i + 1 :]]
-    return df.sparkSession.createDataFrame(out, "f1 string, f2 string, interaction double")
+    """(f1, f2, interaction): accuracy lost when both columns are shuffled, beyond what each loses alone; the rows are dealt once and scored in one pass."""
+    fitted, mixed = _fitted_and_permuted(df, names, label, id, kind, repeats)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sets = [(f,) for f in names] + pairs
+    variants = {"": names} | {f"{','.join(s)}/{r}": [f"{n}#{r}" if n in s else n for n in names] for s in sets for r in range(repeats)}
+    hit = lambda v: F.avg(((F.col(f"`p:{v}`") >= 0.5).cast("double") == F.col("label")).cast("double"))
+    one = scored_variants(fitted, mixed, variants, ["label"]).agg(*[hit(v).alias(f"a:{v}") for v in variants])
+    lost = lambda *s: sum((F.col("`a:`") - F.col(f"`a:{','.join(s)}/{r}`") for r in range(repeats)), F.lit(0.0)) / repeats
+    rows = F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), (lost(a, b) - lost(a) - lost(b)).alias("interaction")) for a, b in pairs])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def pair_interactions(df: DataFrame, names: list[str], label: Column, grid: int = 20, kind: str = "forest") -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators import sets, voting
+from ..operators import sets, stats, voting
 from ..operators import selection as sel
+from ..operators.longform import from_wide
 from ..registry import query, r6, table
-from . import search, treesearch
+from . import models, search, treesearch
 from .stage1_queries import features
 from .surrogate_queries import embedding_grams
 
@@ -90,6 +91,11 @@ def pair_interactions(spark, d):
     return r6("strength", "h", of=search.pair_interactions(line_items(spark, d), NAMES, label()))
 
 
+@query()
+def additivity_gaps(spark, d):
+    return r6("strength", of=search.additivity_gaps(line_items(spark, d), NAMES, label(), "id"))
+
+
 @query()
 def joint_degradation(spark, d):
     return r6("interaction", of=search.joint_degradation(line_items(spark, d), NAMES, label(), "id"))
@@ -108,7 +114,45 @@ def shapley_importance(spark, d):
 
 @query()
 def forward_selection(spark, d):
-    return r6("accuracy", of=search.forward_selection(line_items(spark, d), ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], {}, label(), "fold", 3))
+    """Features in the order of |r|; the net price is all but a copy of the price, and the constraint keeps one of them."""
+    li = line_items(spark, d).withColumn("l_net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    names = [*NAMES, "l_net"]
+    lf = from_wide(li, "id", label(), names)
+    ranked = [r["feature"] for r in stats.pearson(lf).orderBy(F.desc(F.abs("r")), "feature").collect()]
+    pairs = {(r["f1"], r["f2"]): r["r"] for r in stats.correlation_pairs(lf, 0.5).collect()}  # a row a pair of columns
+    return r6("accuracy", of=search.forward_selection(li, ranked, pairs, label(), "fold", 3))
+
+
+def prices(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", F.pmod(F.xxhash64("l_orderkey"), F.lit(4)).alias("fold"))
+
+
+@query()
+def stored_model_predictions(spark, d):
+    """A forest and a linear model, saved, loaded and asked: by fold, how sure they are and how often the interval holds."""
+    li = prices(spark, d)
+    names = ["l_quantity", "l_discount", "l_tax"]
+    flag = models.round_trip(models.fit(models.ModelConfig("forest", params={"numTrees": 5}), li.where("fold > 0"), names, F.col("l_quantity") > 25), spark).predict(li)
+    sure = flag.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"), F.avg((F.col("prediction") == (F.col("l_quantity") > 25).cast("double")).cast("double")).alias("accuracy"))
+    price = models.round_trip(models.fit(models.ModelConfig("linear", "regression"), li.where("fold > 0"), names, F.col("l_extendedprice")), spark).predict(li)
+    held = price.groupBy("fold").agg(F.avg(F.col("l_extendedprice").between(F.col("low"), F.col("high")).cast("double")).alias("covered"))
+    return r6("confidence", "accuracy", "covered", of=sure.join(held, "fold"))
+
+
+@query()
+def model_ensembles(spark, d):
+    """Soft and hard votes of three kinds of models, each of other columns: accuracy by fold."""
+    li = prices(spark, d)
+    y = F.col("l_extendedprice") * (1 - F.col("l_discount")) > 35_000
+    of = [("forest", ["l_extendedprice"]), ("boosted", ["l_extendedprice", "l_discount"]), ("linear", ["l_extendedprice", "l_quantity"])]
+    fitted = [models.fit(models.ModelConfig(k), li.where("fold > 0"), names, y) for k, names in of]
+    out = None
+    for voting_rule in ("soft", "hard"):
+        e = models.ensemble(fitted, li, voting_rule, [1.0, 2.0, 1.0])
+        one = e.groupBy("fold").agg(F.avg((F.col("prediction") == y.cast("double")).cast("double")).alias(voting_rule))
+        out = one if out is None else out.join(one, "fold")
+    return r6("soft", "hard", of=out)
 
 
 @query()

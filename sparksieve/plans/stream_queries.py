@@ -50,8 +50,9 @@ def stream_sessions(spark, d):
 
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_deduplicated(spark, d):
-    e = events(spark, d)
-    return streams.drained(e.union(e).dropDuplicates(["event_id"]).select("event_id", "event_type"), "distinct", "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    e = events(spark, d).withWatermark("at", "365 days")
+    # ids older than the watermark leave the state
+    return streams.drained(e.union(e).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type"), "distinct", "append").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH l AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id, count(*) AS n, round(avg(value) + 1e-9, 6) AS mean, min(value) AS low FROM l WHERE r <= 20 GROUP BY 1")
