@@ -42,7 +42,7 @@ def cast_votes(spark, d):
 
 WEIGHTS = f"""{VOTES}, used AS (SELECT feature_id, count(*) AS u FROM votes GROUP BY 1),
 weights AS (SELECT tree_id, (0.4 / (1 + exp(-5 * (avg(performance) - 0.5))) + 0.3 * least(2.0, 1 + ln(greatest(1.0, avg(depth))) / 10) + 0.2 * avg(1 / u) + 0.1 * 0.5) * pow(0.95, 3) AS weight FROM votes JOIN used USING (feature_id) GROUP BY 1),
-cons AS (SELECT feature_id, count(*) AS votes, sum(weight) / (SELECT count(*) FROM weights) AS score, avg(performance) AS performance FROM votes JOIN weights USING (tree_id) GROUP BY 1)"""
+cons AS (SELECT feature_id, count(*) AS votes, sum(weight) / (SELECT count(*) FROM weights) AS score, avg(performance) AS performance, avg(depth) AS exploration FROM votes JOIN weights USING (tree_id) GROUP BY 1)"""
 
 
 def weights(spark, d):
@@ -259,10 +259,12 @@ def weighted_votes(spark, d):
     return hard.join(voting.weighted_mean(p).select("sample_id", F.round("prediction", 6).alias("mean")), "sample_id")
 
 
-@query(f"WITH {WEIGHTS}, k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, round(performance, 9) DESC, feature_id) AS by_performance, row_number() OVER (ORDER BY round(score, 9) DESC, round(exploration, 9) DESC, feature_id) AS by_exploration, row_number() OVER (ORDER BY round(score, 9) DESC, first, feature_id) AS by_timestamp, row_number() OVER (ORDER BY round(score, 9) DESC, feature_id * 2654435761 % 1000003, feature_id) AS by_hash FROM (SELECT feature_id, round(score, 1) AS score, performance, exploration, first FROM cons)) SELECT feature_id, by_performance, by_exploration, by_timestamp, by_hash FROM k")
+@query(f"WITH {WEIGHTS}, k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, round(performance, 9) DESC, feature_id) AS by_performance, row_number() OVER (ORDER BY round(score, 9) DESC, round(exploration, 9) DESC, feature_id) AS by_exploration, row_number() OVER (ORDER BY round(score, 9) DESC, first, feature_id) AS by_timestamp, row_number() OVER (ORDER BY round(score, 9) DESC, feature_id * 2654435761 % 1000003, feature_id) AS by_hash FROM (SELECT feature_id, round(score, 1) AS score, performance, exploration, first FROM cons JOIN (SELECT feature_id, min(seq) AS first FROM raw GROUP BY 1) USING (feature_id))) SELECT feature_id, by_performance, by_exploration, by_timestamp, by_hash FROM k")
 def consensus_tie_rules(spark, d):
     """Ranks under each rule for ties; scores are rounded to one place, so that there are many."""
-    s, out = scores(spark, d).withColumn("score", F.round("score", 1)), None
+    seq = raw_votes(spark, d).groupBy("tree_id", "feature_id").agg(F.min("seq").alias("seq"))
+    s = voting.consensus(votes(spark, d).join(seq, ["tree_id", "feature_id"]), weights(spark, d)).withColumn("score", F.round("score", 1))
+    out = None
     for rule in ("performance", "exploration", "timestamp", "hash"):
         one = voting.build_consensus(s, F.lit(-1.0), 10**9, 0, rule).select("feature_id", F.col("rank").alias(f"by_{rule}"))
         out = one if out is None else out.join(one, "feature_id")
