@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .windows import runs
 
 
@@ -146,12 +147,13 @@ def jittered_minority(df: DataFrame, cls: Column, value: str, id: str, scale: fl
 
 
 def logistic_by_gradient(df: DataFrame, names: list[str], label: Column, steps: int = 10, rate: float = 0.1, decay: float = 0.999) -> list[float]:
-    """Weights (the last is the bias) by full-batch steps, each one aggregate over the rows."""
+    """Weights (the last is the bias) by full-batch steps, each one aggregate over the few columns that are written first."""
+    df = stored(df.select(*names, label.cast("double").alias("__y")), "gradient").where("__y is not null")
     m = df.agg(*[F.avg(c).alias(f"{c}#m") for c in names], *[F.stddev_samp(c).alias(f"{c}#s") for c in names]).first()
     x = [(F.col(c) - float(m[f"{c}#m"])) / float(m[f"{c}#s"] or 1.0) for c in names] + [F.lit(1.0)]
     w = [0.0] * len(x)
     for _ in range(steps):
         p = 1 / (1 + F.exp(-sum((a * b for a, b in zip(w, x)), F.lit(0.0))))
-        g = df.agg(*[F.avg((label.cast("double") - p) * c).alias(f"g{i}") for i, c in enumerate(x)]).first()
+        g = df.agg(*[F.avg((F.col("__y") - p) * c).alias(f"g{i}") for i, c in enumerate(x)]).first()
         w = [decay * a + rate * float(d) for a, d in zip(w, g)]
     return w

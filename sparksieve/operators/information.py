@@ -52,6 +52,13 @@ def with_edge_bins(lf: DataFrame, bins: int = 256, margin: float = 0.001) -> Dat
     return lf.join(F.broadcast(edges), "feature").withColumn("bin", F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("value") - low) / width))).cast("long")).drop("a", "b")
 
 
+def with_class_numbers(lf: DataFrame, cls: str = "y") -> DataFrame:
+    """lf with its classes as numbers from 1, in their order; classes are few, so their numbers are broadcast."""
+    known = lf.select(F.col(cls).alias("__c")).distinct().where("__c is not null")
+    numbers = known.withColumn("__k", F.row_number().over(Window.orderBy("__c")))
+    return lf.join(F.broadcast(numbers), F.col(cls) == F.col("__c")).withColumn(cls, F.col("__k").cast("long")).drop("__c", "__k")
+
+
 def joint_counts(binned: DataFrame, cls: str = "y") -> DataFrame:
     """(feature, bin, cls, c)."""
     return binned.groupBy("feature", "bin", F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("c"))

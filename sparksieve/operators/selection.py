@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,30 @@ def adaptive_threshold(scores: DataFrame, target: int, start: float = 0.01, scor
     return t
 
 
+@dataclass(frozen=True)
+class Thresholds:
+    """What a feature must have to pass; values out of range are errors."""
+
+    mi: float = 0.01
+    correlation: float = 0.95
+    variance: float = 1e-6
+    target: int = 500
+    rate: float = 0.1
+
+    def __post_init__(self):
+        if not (self.mi >= 0 and 0 < self.correlation <= 1 and self.variance >= 0 and self.target >= 1 and 0 < self.rate <= 1):
+            raise ValueError(f"thresholds out of range: {self}")
+
+    def updated(self, **changes: float | None) -> Thresholds:
+        """These with the given ones changed; None changes nothing."""
+        return replace(self, **{k: v for k, v in changes.items() if v is not None})
+
+
+def passing(scores: DataFrame, t: Thresholds) -> DataFrame:
+    """scores (feature, mi, variance) at the thresholds or above, the ``target`` best by MI."""
+    return scores.where((F.col("mi") >= t.mi) & (F.col("variance") >= t.variance)).orderBy(F.desc("mi"), "feature").limit(t.target)
+
+
 def validated(selected: DataFrame, known: DataFrame) -> DataFrame:
     """(check, failures): ranks without gaps, unique names, names known, scores not null."""
     ranks = selected.agg(F.max("rank").alias("m"), F.count(F.lit(1)).alias("n"), F.countDistinct("feature").alias("d"), F.sum(F.col("score").isNull().cast("long")).alias("z")).withColumn("k", F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["stage1_queries", "cleaning_queries", "ensemble_queries", "evaluation_queries", "stream_queries", "search_queries", "convergence_queries", "decision_queries", "surrogate_queries", "rolling_queries"]
+FAMILIES = ["stage1_queries", "cleaning_queries", "ensemble_queries", "evaluation_queries", "stream_queries", "search_queries", "convergence_queries", "decision_queries", "surrogate_queries", "rolling_queries", "settings_queries"]
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -95,6 +95,22 @@ def latex_row(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.concat_ws(" & ", *[latex_escaped(F.col(c).cast("string")) for c in columns]), F.lit(r" \\")).alias("line"))
 
 
+def html_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of an HTML table, their text escaped; null is empty."""
+    text = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return df.select(F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), text(c), F.lit("</td>")) for c in columns], F.lit("</tr>")).alias("line"))
+
+
+def export_html(df: DataFrame, columns: list[str], order: list[Column | str], title: str, path: str) -> None:
+    """One HTML file with a table; for comparisons, which have a row a model."""
+    spark = df.sparkSession
+    # each call appends to one partition, in order
+    body = html_rows(df.orderBy(*order).coalesce(1), columns)
+    head = [f"<html><head><title>{title}</title></head><body><table>", "<tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"]
+    whole = spark.createDataFrame([("\n".join(head),)], "line string").union(body).union(spark.createDataFrame([("</table></body></html>",)], "line string"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def summary_lines(df: DataFrame, model: str, mean: str) -> DataFrame:
     """(place, line) of a comparison's ranking, a row a model."""
     place = F.row_number().over(Window.orderBy(F.desc(mean), model)).cast("long")
