@@ -9,15 +9,19 @@ The probabilities are smoothed with a Dirichlet prior of strength K,
     p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K),      p(w) = (c(w) + 1) / (N + V + 1),
 
 so each state's arcs and what passes its failure arc sum to one; the lowest
-order's spare unit is the unknown word's.  A text is read from left to right: the
-state of a place is the words before it, and the log-probabilities add up.
+order's spare unit is the unknown word's.  An arc's weight is log10 of its
+probability; it leads to the state of the longest context that its words end in.  A text is read in one
+traversal from left to right that carries the state: where it has no arc for a word,
+the failure arc's weight is added and its state tried, then the arc's weight is added and followed.
 
-What the automaton needs at a place are counts, so it is never built in one
-piece.  The texts are written once in chunks of about ``CHUNK`` bytes.  A chunk sends
+A chunk of texts meets a small part of the automaton only: the states and arcs
+of its own n-grams.  What that part needs are counts in the whole corpus.  The texts are written once in chunks of about ``CHUNK`` bytes.  A chunk sends
 its distinct n-grams, each with its occurrences in training texts, to the
 parts of the key space; a part adds them up and answers each chunk with the
 totals of the keys that it asked about, in the same order.  The chunk's texts and
-the answers meet again (a cogroup by chunk), and the places are scored.  A key comes
+the answers meet again (a cogroup by chunk), the chunk's part of the automaton is built and its texts
+are read, many at a time; as a state is ``ORDER`` - 1 words at most, a long text is read in pieces of
+``PIECE`` words, each from the state that the words before it lead to.  A key comes
 at most once from each chunk, so frequent words make no hot part; the parts grow in
 number with the bytes of text, and a task holds one part or one chunk.
 
@@ -30,6 +34,7 @@ result; other columns are not carried.  N-grams are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,8 @@ ORDER = 3
 PRIOR = 64.0
 #: Text bytes of a chunk.
 CHUNK = 8 << 20
+#: Words of a text that are read in one piece.
+PIECE = 256
 #: Text bytes of the corpus for each part of the key space.
 PART = 8 << 20
 
@@ -172,24 +179,113 @@ def answered(requests: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "chunk long, n int, part int, counts array<long>, total long, types long")
 
 
-def score_chunk(texts: pa.Array, counts: list[np.ndarray], total: int, types: int, prior: float) -> tuple[np.ndarray, ...]:
-    """(tokens, known tokens, base, score) of each text, given the totals of the chunk's sorted distinct n-grams of each order."""
-    rows = len(texts)
+@dataclass
+class Automaton:
+    """The states and arcs that the texts of a chunk can meet; index n of a list is for n-grams, by their number among the chunk's distinct ones.
+
+    An n-gram that occurs in training is an arc from the state of its first n-1 words,
+    of weight ``arc[n]``, and, below the highest order, a state, whose failure arc has the weight
+    ``failure[n]``.  Of single words, unknown ones too are arcs of the root (state 0 of order 0).
+    """
+
+    exists: list[np.ndarray]
+    arc: list[np.ndarray]
+    failure: list[np.ndarray]
+
+    def step(self, order: np.ndarray, state: np.ndarray, ends: list[np.ndarray], before: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weight, order, state) after a word, for many readers at once.
+
+        ``ends[n]`` and ``before[n]`` are the numbers of the n-grams that end with the word and with the one before it.
+        """
+        weight, n = np.zeros(len(order)), order + 1
+        for k in range(len(self.exists) - 1, 1, -1):
+            at = np.flatnonzero(n == k)
+            fails = at[~self.exists[k][ends[k][at]]]
+            weight[fails] += self.failure[k - 1][state[fails]]
+            n[fails] = k - 1
+            # the failure arc leads to the state without its first word
+            state[fails] = before[k - 2][fails] if k > 2 else 0
+        order, state = n, np.zeros_like(state)
+        for k in range(1, len(self.exists)):
+            at = np.flatnonzero(n == k)
+            weight[at] += self.arc[k][ends[k][at]]
+        top = len(self.exists) - 1
+        order = np.where(n == top, top - 1, n)
+        for k in range(1, top):
+            at = np.flatnonzero(order == k)
+            state[at] = ends[k][at]
+        # an unknown word leads to the root
+        lost = order == 1
+        lost[lost] = ~self.exists[1][state[lost]] if top > 1 else False
+        return weight, np.where(lost, 0, order), np.where(lost, 0, state)
+
+
+def built(places: list[np.ndarray], counts: list[np.ndarray], total: int, types: int, prior: float) -> Automaton:
+    """The automaton of a chunk: ``places[n]`` has the number of the n-gram that ends at each token (-1: none), ``counts[n - 1]`` the training occurrences by number."""
+    exists, arc, failure = [np.array([True])], [np.zeros(1)], [np.zeros(1)]
+    p = None
+    for n, c in enumerate(counts, 1):
+        if n == 1:
+            p = (c + 1.0) / (total + types + 1.0)
+        else:
+            # any place of an n-gram tells its last n-1 words and its first ones
+            at = np.zeros(len(c), dtype=np.int64)
+            full = np.flatnonzero(places[n] >= 0)
+            at[places[n][full]] = full
+            p = (c + prior * p[places[n - 1][at]]) / (counts[n - 2][places[n - 1][at - 1]] + prior) if len(c) else np.zeros(0)
+        exists.append(c > 0)
+        arc.append(np.log10(p))
+        failure.append(np.log10(prior / (c + prior)))
+    return Automaton(exists, arc, failure)
+
+
+def numbered(texts: pa.Array, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of every token, for each n the number of the n-gram that ends there among the sorted distinct ones, -1 for none)."""
     row, found = grams(texts, len(counts))
-    p = before = None
-    for n, ((last, key), own) in enumerate(zip(found, counts), 1):
+    places = [np.zeros(len(row), dtype=np.int64)]
+    for (last, key), own in zip(found, counts):
         distinct, at = np.unique(key, return_inverse=True)
         if len(distinct) != len(own):
             raise ValueError(f"{len(own)} totals came back for {len(distinct)} n-grams")
-        c = np.zeros(len(row), dtype=np.int64)
-        c[last] = own[at]
-        if n == 1:
-            p = (c + 1.0) / (total + types + 1.0)
-            known, base = np.bincount(row, c > 0, rows).astype(np.int64), np.bincount(row, np.log10(p), rows)
-        else:
-            p[last] = (c[last] + prior * p[last]) / (before[last - 1] + prior)
-        before = c
-    return np.bincount(row, minlength=rows), known, base, np.bincount(row, np.log10(p), rows)
+        number = np.full(len(row), -1, dtype=np.int64)
+        number[last] = at
+        places.append(number)
+    return row, places
+
+
+def traversed(a: Automaton, row: np.ndarray, places: list[np.ndarray], rows: int) -> np.ndarray:
+    """The weights of the words of every row, added up along its way through the automaton."""
+    n = np.bincount(row, minlength=rows)
+    text = np.cumsum(n) - n
+    pieces = -(-n // PIECE)
+    of = np.repeat(np.arange(rows), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = text[of] + nth * PIECE
+    end = np.minimum(begin + PIECE, text[of] + n[of])
+    # the longest pieces first, so that those still read are a prefix
+    warm = np.where(nth > 0, len(a.exists) - 2, 0)
+    turn = np.argsort(-(end - begin + warm), kind="stable")
+    of, begin, end, warm = of[turn], begin[turn], end[turn], warm[turn]
+    at, score = begin - warm, np.zeros(len(of))
+    order, state = np.zeros(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int64)
+    left = len(of)
+    for k in range(int((end - at).max(initial=0))):
+        left = int(np.searchsorted(-(end[:left] - (begin - warm)[:left]), -k, side="left"))
+        now = at[:left]
+        weight, order[:left], state[:left] = a.step(order[:left], state[:left], [p[now] for p in places], [p[now - 1] for p in places])
+        score[:left] += np.where(now >= begin[:left], weight, 0.0)
+        at[:left] += 1
+    return np.bincount(of, score, rows)
+
+
+def score_chunk(texts: pa.Array, counts: list[np.ndarray], total: int, types: int, prior: float) -> tuple[np.ndarray, ...]:
+    """(tokens, known tokens, base, score) of each text, given the totals of the chunk's sorted distinct n-grams of each order."""
+    rows = len(texts)
+    row, places = numbered(texts, counts)
+    c = counts[0][places[1]] if len(row) else np.zeros(0)
+    base = np.bincount(row, np.log10((c + 1.0) / (total + types + 1.0)), rows)
+    score = traversed(built(places, counts, total, types, prior), row, places, rows)
+    return np.bincount(row, minlength=rows), np.bincount(row, c > 0, rows).astype(np.int64), base, score
 
 
 def lm_scores(df: DataFrame, id: str = "doc_id", text: str = "text", test: Column | None = None, prior: float = PRIOR) -> DataFrame:
