@@ -304,10 +304,10 @@ def _signs(h: np.ndarray, v: np.ndarray, rounds: int) -> tuple[np.ndarray, np.nd
     return 2 * (v @ bits) - v.sum(), np.full(rounds, float(len(v)))
 
 
-def bootstrap(df: DataFrame, by: list[str], id: str, value: str, rounds: int = 200, seed: int = 7) -> DataFrame:
+def bootstrap(df: DataFrame, by: list[str], id: str, value: str, rounds: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: a row's weight in a round is a hash draw."""
     means = _round_sums(df, by, id, F.col(value), rounds, seed, _poisson).select(*by, (F.col("s") / F.nullif("w", F.lit(0.0))).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), F.count("m").alias("rounds"))
+    return means.groupBy(*by).agg(F.percentile("m", F.lit((1 - level) / 2)).alias("ci_low"), F.percentile("m", F.lit((1 + level) / 2)).alias("ci_high"), F.count("m").alias("rounds"))
 
 
 def permutation_test(pairs: DataFrame, by: list[str], id: str, a: str, b: str, rounds: int = 200, seed: int = 7) -> DataFrame:
@@ -320,6 +320,29 @@ def permutation_test(pairs: DataFrame, by: list[str], id: str, a: str, b: str, r
     return seen.select(*by, ((hits + 1) / (rounds + 1)).alias("p"), F.col("seen").alias("mean_diff"))
 
 
+def confidence_interval(df: DataFrame, by: list[str], id: str, value: str, method: str = "analytical", level: float = 0.95, rounds: int = 10_000) -> DataFrame:
+    """(by..., mean, ci_low, ci_high): mean +- t s / sqrt(n), or the percentiles of bootstrap means; null bounds under two values."""
+    if method == "bootstrap":
+        return bootstrap(df, by, id, value, rounds, level=level).join(df.groupBy(*by).agg(F.avg(value).alias("mean")), by).select(*by, "mean", "ci_low", "ci_high")
+    if method != "analytical":
+        raise ValueError(f"no such method: {method}")
+    s = df.groupBy(*by).agg(F.count(value).alias("__n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("__e"))
+    # a quantile for each number of values: groups of equal size share it
+    sizes = s.select("__n").where("__n > 1").distinct()
+    quantile = F.udf(lambda n: t_quantile((1 + level) / 2, n - 1), "double")
+    known = sizes.select(F.col("__n").alias("__m"), quantile("__n").alias("__q"))
+    half = F.col("__q") * F.col("__e")
+    return s.join(known, F.col("__n") == F.col("__m"), "left").select(*by, "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
+
+
+def compared_models(pairs: DataFrame, by: list[str], a: str, b: str, test: str = "paired_t", correction: str = "bonferroni", alpha: float = 0.05) -> DataFrame:
+    """The test of every pair of models with its corrected p-values, and whether it is significant after the named one."""
+    if test not in ("paired_t", "wilcoxon"):
+        raise ValueError(f"no such test: {test}")
+    tested = (paired_t if test == "paired_t" else wilcoxon)(pairs, by, a, b)
+    return adjusted(tested).withColumn("significant", F.col(correction) < alpha)
+
+
 #: Values of a group that one task may hold for a statistic of any kind.
 STATISTIC_ROWS = 1_000_000
 

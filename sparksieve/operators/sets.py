@@ -81,6 +81,40 @@ def mask_action(state: Column, action: Column) -> Column:
     )
 
 
+def inherited(child: DataFrame, parent: DataFrame, strength: float, key: str = "feature_id") -> DataFrame:
+    """Child masks (feature_id, selected, rejected, available, locked, priority) under the constraints of a parent with a row a feature.
+
+    Available by AND, rejected by OR, locked by OR from a strength of one half
+    on; the priority is the mean of the child's and the weakened parent's; what is rejected isn't available, what
+    isn't available isn't selected.  A feature that the parent doesn't have keeps its own state.
+    """
+    p = parent.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in ("rejected", "available", "locked", "priority")])
+    both = child.join(p, F.col(key) == F.col("__k"), "left")
+    rejected = F.col("rejected") | F.coalesce("__rejected", F.lit(False))
+    available = F.col("available") & F.coalesce("__available", F.lit(True)) & ~rejected
+    locked = F.col("locked") | F.coalesce("__locked", F.lit(False)) if strength >= 0.5 else F.col("locked")
+    priority = F.coalesce((F.col("priority") + F.col("__priority") * strength) / 2, F.col("priority"))
+    kept = [c for c in child.columns if c not in ("selected", "rejected", "available", "locked", "priority")]
+    return both.select(*kept, (F.col("selected") & available).alias("selected"), rejected.alias("rejected"), available.alias("available"), locked.alias("locked"), priority.alias("priority"))
+
+
+def mask_faults(masks: DataFrame, by: list[str], least: int = 1, most: int = 10**9) -> DataFrame:
+    """(by..., faults): what is wrong with each mask (feature_id, selected, rejected, available, locked), in order; none is an empty list."""
+    clash = lambda a, b: F.bool_or(a & b)
+    c = {n: F.col(n) for n in ("selected", "rejected", "available", "locked")}
+    found = {
+        "selected and rejected": clash(c["selected"], c["rejected"]),
+        "selected but not available": clash(c["selected"], ~c["available"]),
+        "available and rejected": clash(c["available"], c["rejected"]),
+        "too few available": F.count_if("available") < least,
+        "too many selected": F.count_if("selected") > most,
+        "locked and rejected": clash(c["locked"], c["rejected"]),
+    }
+    flags = masks.groupBy(*by).agg(*[v.alias(f"__{i}") for i, v in enumerate(found.values())])
+    texts = F.array(*[F.when(F.col(f"__{i}"), F.lit(k)) for i, k in enumerate(found)])
+    return flags.select(*by, F.filter(texts, lambda x: x.isNotNull()).alias("faults"))
+
+
 def subset_status(subset: Column, known: Column) -> Column:
     """VALID, WARNING (repeated members) or INVALID (unknown members)."""
     return F.when(F.size(F.array_except(subset, known)) > 0, "INVALID").when(F.size(F.array_distinct(subset)) < F.size(subset), "WARNING").otherwise("VALID")

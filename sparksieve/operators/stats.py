@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import ranged, scanned
+from ..shared import stored
 from .quantiles import exact_quantiles
 
 #: Sum of squares up to which a series counts as constant.
@@ -90,6 +91,101 @@ def correlation_pairs(lf: DataFrame, least: float = 0.0) -> DataFrame:
     return centred.select("f1", "f2", guarded_correlation().alias("r")).where(F.abs("r") >= least)
 
 
+#: Features of a block of the matrix of pair sums.
+PAIR_BLOCK = 256
+
+
+def vector_pairs(df: DataFrame, vector: str, names: list[str], least: float = 0.0) -> DataFrame:
+    """(f1, f2, r) of all pairs f1 < f2 of an array column's places with |r| >= least, over the rows that have both.
+
+    The rows stay where they are.  A task holds one matrix of products, of
+    values less the places' means, and three more only once it meets a row with a null or NaN; it
+    sends the upper triangle in square blocks, which are added up block by block and
+    turned into pairs where they are, a slice at a time.  Rows of another length don't count.
+    """
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    k, labels, place = len(names), pa.array([names[i] for i in order], type=pa.string()), np.array(order, dtype=np.int64)
+    rows = df.select(F.transform(F.col(vector).cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan")))).alias("x")).where(F.size("x") == k)
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)[:, place]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(k), np.zeros(k)
+        for batch in batches:
+            x = matrix(batch)
+            n, s = n + (~np.isnan(x)).sum(axis=0), s + np.nansum(x, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(n), pa.array(s)], names=["i", "n", "s"])
+
+    if not k:
+        return df.sparkSession.createDataFrame([], "f1 string, f2 string, r double")
+    # a row a place
+    first = rows.mapInArrow(sums, "i long, n double, s double").groupBy("i").agg(F.coalesce(F.try_divide(F.sum("s"), F.sum("n")), F.lit(0.0)).alias("m")).orderBy("i").toArrow()
+    means = first.column("m").to_numpy() if first.num_rows else np.zeros(k)
+    cuts = [*range(0, k, PAIR_BLOCK), k]
+    pairs = [(a, b) for a in range(len(cuts) - 1) for b in range(a, len(cuts) - 1)]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, whole, holes = np.zeros((k, k)), np.zeros(1 + 2 * k), None
+        for batch in batches:
+            x = matrix(batch) - means
+            has = ~np.isnan(x)
+            full = has.all(axis=1)
+            y = x[full]
+            p += y.T @ y
+            whole += np.r_[len(y), y.sum(axis=0), (y * y).sum(axis=0)]
+            if not full.all():
+                h, z = has[~full].astype(float), np.where(has[~full], x[~full], 0.0)
+                p += z.T @ z
+                part = np.stack([h.T @ h, z.T @ h, (z * z).T @ h])
+                holes = part if holes is None else holes + part
+        out = [(-1, -1, whole.tobytes(), None)]
+        for a, b in pairs:
+            i, j = slice(cuts[a], cuts[a + 1]), slice(cuts[b], cuts[b + 1])
+            more = None if holes is None else np.stack([holes[0][i, j], holes[1][i, j], holes[1][j, i].T, holes[2][i, j], holes[2][j, i].T]).tobytes()
+            out.append((a, b, p[i, j].tobytes(), more))
+        for row in out:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["a", "b", "p", "more"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, list] = {}
+        for batch in batches:
+            for a, b, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+                now = totals.setdefault((a, b), [None, None])
+                for i, x in enumerate(parts):
+                    if x is not None:
+                        v = np.frombuffer(x)
+                        now[i] = v if now[i] is None else now[i] + v
+        for (a, b), (p, more) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((a, b, p.tobytes(), None if more is None else more.tobytes()), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["a", "b", "p", "more"])
+
+    schema = "a int, b int, p binary, more binary"
+    blocks = stored(rows.mapInArrow(products, schema).repartition("a", "b").mapInArrow(added, schema), "pair-blocks")
+    head = blocks.where("a = -1").select("p").collect()  # a number a place
+    whole = np.frombuffer(head[0]["p"]) if head else np.zeros(1 + 2 * k)
+    n, s, q = whole[0], whole[1 : k + 1], whole[k + 1 :]
+
+    def correlated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, p, more in zip(*(c.to_pylist() for c in batch.columns)):
+                i, j = np.arange(cuts[a], cuts[a + 1]), np.arange(cuts[b], cuts[b + 1])
+                shape = (len(i), len(j))
+                extra = np.zeros((5, *shape)) if more is None else np.frombuffer(more).reshape(5, *shape)
+                m = n + extra[0]
+                safe = np.maximum(m, 1)
+                sx, sy = s[i][:, None] + extra[1], s[j] + extra[2]
+                sxy = np.frombuffer(p).reshape(shape) - sx * sy / safe
+                sxx, syy = q[i][:, None] + extra[3] - sx * sx / safe, q[j] + extra[4] - sy * sy / safe
+                good = (sxx > TINY) & (syy > TINY)
+                r = np.where(good, sxy / np.sqrt(np.where(good, sxx * syy, 1.0)), 0.0)
+                x, y = np.nonzero((i[:, None] < j) & (m > 0) & (np.abs(r) >= least))
+                for lo in range(0, len(x), 1 << 16):
+                    u, v = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([labels.take(pa.array(i[u])), labels.take(pa.array(j[v])), pa.array(r[u, v])], names=["f1", "f2", "r"])
+
+    return blocks.where("a >= 0").mapInArrow(correlated, "f1 string, f2 string, r double")
+
+
 def correlation_matrix(df: DataFrame, vector: str, names: list[str], method: str = "pearson") -> DataFrame:
     """(f1, f2, r) of an array column by MLlib's one-pass Gramian; the matrix is features x features."""
     from pyspark.ml.functions import array_to_vector

@@ -191,6 +191,22 @@ def mask_merge_priority(spark, d):
     return sets.mask_priority(masks(spark, d), "mask_id")
 
 
+@query(f"""WITH {MASKS}, p AS (SELECT feature_id, bool_or(rejected) AS r, bool_and(feature_id % 3 <> 0 OR selected) AS v, bool_or(locked) AS l, 10.0 AS w FROM masks WHERE mask_id = 0 GROUP BY 1),
+c AS (SELECT m.*, m.rejected OR coalesce(p.r, false) AS rej, coalesce(p.v, true) AND NOT (m.rejected OR coalesce(p.r, false)) AS av, m.locked OR coalesce(p.l, false) AS lo, coalesce((m.feature_id + p.w * 0.5) / 2, m.feature_id) AS pr FROM masks m LEFT JOIN p USING (feature_id) WHERE mask_id > 0)
+SELECT mask_id, feature_id, selected AND av AS selected, rej AS rejected, av AS available, lo AS locked, round(pr, 6) AS priority FROM c""")
+def inherited_masks(spark, d):
+    """Masks 1 to 4 under the constraints of mask 0."""
+    m = masks(spark, d).withColumn("priority", F.col("feature_id").cast("double"))
+    parent = m.where("mask_id = 0").withColumns({"available": (F.col("feature_id") % 3 != 0) | F.col("selected"), "priority": F.lit(10.0)})
+    return r6("priority", of=sets.inherited(m.where("mask_id > 0"), parent, 0.5))
+
+
+@query(f"""WITH {MASKS} SELECT mask_id, list_filter([CASE WHEN bool_or(selected AND rejected) THEN 'selected and rejected' END, CASE WHEN bool_or(selected AND NOT available) THEN 'selected but not available' END, CASE WHEN bool_or(available AND rejected) THEN 'available and rejected' END,
+CASE WHEN count(*) FILTER (WHERE available) < 10 THEN 'too few available' END, CASE WHEN count(*) FILTER (WHERE selected) > 30 THEN 'too many selected' END, CASE WHEN bool_or(locked AND rejected) THEN 'locked and rejected' END], lambda x: x IS NOT NULL) AS faults FROM masks GROUP BY 1""")
+def mask_validation(spark, d):
+    return sets.mask_faults(masks(spark, d), ["mask_id"], 10, 30)
+
+
 @query("SELECT event_type, CASE WHEN event_id % 11 = 0 THEN 'locked' WHEN event_id % 2 = 0 THEN 'selected' ELSE 'available' END AS state, count(*) AS n, count(*) FILTER (WHERE CASE WHEN event_id % 11 = 0 THEN 'locked' WHEN event_id % 3 = 0 THEN 'selected' WHEN event_id % 3 = 1 THEN 'rejected' ELSE 'available' END = 'selected') AS selected_after FROM events GROUP BY 1, 2")
 def mask_actions(spark, d):
     i = F.col("event_id")

@@ -110,15 +110,25 @@ def paired_t_tests(spark, d):
     return r6("mean_diff", "t", "cohen_d", of=ev.paired_t(pairs_of(spark, d), ["a", "b"], "x", "y")).drop("p", "ci_low", "ci_high")
 
 
-@query()
+# Student's distribution with four degrees of freedom (there are five folds) has a closed form; 2.776... is its 0.975 quantile
+_P = f"{_T}, v AS (SELECT *, m / (sd / sqrt(n)) AS t FROM t), p AS (SELECT *, 1 - 2 * (3.0 / 8 * abs(t) / sqrt(1 + t * t / 4) * (1 - t * t / (1 + t * t / 4) / 12)) AS p FROM v)"
+
+
+@query(f"WITH {_P} SELECT a, b, round(p, 6) AS p, round(m - 2.7764451051977987::DOUBLE * sd / sqrt(n), 6) AS ci_low, round(m + 2.7764451051977987::DOUBLE * sd / sqrt(n), 6) AS ci_high FROM p")
 def paired_t_tails(spark, d):
     return r6("p", "ci_low", "ci_high", of=ev.paired_t(pairs_of(spark, d), ["a", "b"], "x", "y").select("a", "b", "p", "ci_low", "ci_high"))
 
 
-@query()
+@query(f"""WITH {_P}, r AS (SELECT a, b, p, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p)
+SELECT a, b, round(p, 6) AS p, round(least(1, p * m), 6) AS bonferroni, round(least(1, max(p * (m - r + 1)) OVER (ORDER BY r)), 6) AS holm, round(least(1, min(p * m / r) OVER (ORDER BY r DESC)), 6) AS benjamini_hochberg FROM r""")
 def model_comparison_adjusted(spark, d):
-    t = ev.paired_t(pairs_of(spark, d), ["a", "b"], "x", "y").select("a", "b", "p")
-    return r6("p", "bonferroni", "holm", "benjamini_hochberg", of=ev.adjusted(t))
+    t = ev.compared_models(pairs_of(spark, d), ["a", "b"], "x", "y").select("a", "b", "p", "bonferroni", "holm", "benjamini_hochberg")
+    return r6("p", "bonferroni", "holm", "benjamini_hochberg", of=t)
+
+
+@query(f"WITH {CELLS} SELECT model, round(avg(value), 6) AS mean, round(avg(value) - 2.7764451051977987::DOUBLE * stddev_samp(value) / sqrt(count(*)), 6) AS ci_low, round(avg(value) + 2.7764451051977987::DOUBLE * stddev_samp(value) / sqrt(count(*)), 6) AS ci_high FROM cells GROUP BY 1")
+def confidence_intervals(spark, d):
+    return r6("mean", "ci_low", "ci_high", of=ev.confidence_interval(cells(spark, d), ["model"], "fold", "value").select("model", "mean", "ci_low", "ci_high"))
 
 
 @query("""WITH p AS (SELECT o_custkey AS k, least(1.0, (1 + count(*)) / 97.0 * (o_custkey % 89 + 1) / 89) AS p FROM orders GROUP BY 1),

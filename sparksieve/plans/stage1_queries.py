@@ -20,6 +20,10 @@ def features(spark: SparkSession, d: str) -> DataFrame:
     return from_array(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("label") < 5)
 
 
+#: Names of the embeddings' places.
+PLACES = [f"e{i:02d}" for i in range(1, 65)]
+
+
 def few(spark: SparkSession, d: str) -> DataFrame:
     """The line items' numeric columns as features of l_returnflag = 'R'."""
     li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -143,7 +147,7 @@ def discrete_mutual_information(spark, d):
 
 @query(f"WITH {LF}, {PAIRS} SELECT f1, f2, round(r, 6) AS r FROM pairs")
 def correlation_pairs(spark, d):
-    return r6("r", of=stats.correlation_pairs(features(spark, d)))
+    return r6("r", of=stats.vector_pairs(table(spark, d, "embeddings"), "embedding", PLACES))
 
 
 @query(f"WITH {LF}, {PAIRS} SELECT f1, f2, round(r, 6) AS r FROM pairs")
@@ -155,7 +159,7 @@ def correlation_matrix_gramian(spark, d):
 
 @query(f"WITH {LF}, {PAIRS} SELECT f1, f2, round(r, 6) AS r FROM pairs WHERE abs(r) >= 0.1")
 def correlated_pairs(spark, d):
-    return r6("r", of=stats.correlation_pairs(features(spark, d), 0.1))
+    return r6("r", of=stats.vector_pairs(table(spark, d, "embeddings"), "embedding", PLACES, 0.1))
 
 
 @query(f"""WITH {LF}, rx AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS rx, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2 AS ry FROM lf)

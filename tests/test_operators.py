@@ -266,3 +266,28 @@ def test_models_predict_in_a_session_that_observes(spark, data):
     rows = line_items(spark, data)
     for kind in ("logistic", "forest", "boosted"):
         assert {r.feature for r in search.ablation_importance(rows, NAMES, label(), kind).collect()} == set(NAMES)
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_vector_pairs_equal_plain_correlations(spark, monkeypatch, block):
+    """Blocks of any size, nulls and NaN by pairs of places, a constant place, rows of another length, names in any order."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 7)) + 100
+    x[:, 3] += 5 * x[:, 1]
+    x[:, 6] = 2.0
+    x[rng.random((200, 7)) < 0.05] = np.nan
+    rows = [(i, [None if np.isnan(v) and i % 2 else float(v) for v in r]) for i, r in enumerate(x)] + [(900, [1.0]), (901, None)]
+    names = list("gfedcba")
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    got = {(r.f1, r.f2): r.r for r in stats.vector_pairs(df, "v", names).collect()}
+    assert len(got) == 21
+    for (a, b), r in got.items():
+        p, q = x[:, names.index(a)], x[:, names.index(b)]
+        both = ~np.isnan(p) & ~np.isnan(q)
+        want = 0.0 if p[both].std() < 1e-9 or q[both].std() < 1e-9 else np.corrcoef(p[both], q[both])[0, 1]
+        assert a < b and abs(r - want) < 1e-9
+    assert {(r.f1, r.f2) for r in stats.vector_pairs(df, "v", names, 0.9).collect()} == {("d", "f")}
+    assert stats.vector_pairs(df.limit(0), "v", names).count() == 0 and stats.vector_pairs(df, "v", []).count() == 0

@@ -102,3 +102,33 @@ def test_resampling_equals_a_replay_of_its_draws(spark):
     m = (a[:, None] * weight).sum(axis=0) / weight.sum(axis=0)
     got = ev.bootstrap(df, ["g"], "id", "a", 300).first()
     assert abs(got.ci_low - np.quantile(m, 0.025)) < 1e-9 and abs(got.ci_high - np.quantile(m, 0.975)) < 1e-9
+
+
+def test_masks_inherit_and_are_checked(spark):
+    from sparksieve.operators import sets
+
+    schema = "mask_id int, feature_id int, selected boolean, rejected boolean, available boolean, locked boolean, priority double"
+    t, f = True, False
+    child = spark.createDataFrame([(1, 1, t, f, t, f, 4.0), (1, 2, t, f, t, f, 1.0), (1, 3, f, t, t, f, 1.0), (2, 9, t, t, f, t, 2.0)], schema)
+    parent = spark.createDataFrame([(0, 1, f, t, t, t, 2.0), (0, 2, f, f, t, t, 3.0), (0, 3, f, f, f, f, 0.0)], schema)
+    got = {(r.mask_id, r.feature_id): tuple(r)[2:] for r in sets.inherited(child, parent, 0.5).collect()}
+    assert got == {(1, 1): (f, t, f, t, 2.5), (1, 2): (t, f, t, t, 1.25), (1, 3): (f, t, f, f, 0.5), (2, 9): (f, t, f, t, 2.0)}
+    assert not any(r.locked for r in sets.inherited(child.where("mask_id = 1"), parent, 0.4).collect())
+    faults = {r.mask_id: r.faults for r in sets.mask_faults(child, ["mask_id"], 4, 1).collect()}
+    assert faults == {1: ["available and rejected", "too few available", "too many selected"], 2: ["selected and rejected", "selected but not available", "too few available", "locked and rejected"]}
+
+
+def test_intervals_and_comparisons(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(1, 1, 12), rng.normal(0, 1, 12)
+    df = spark.createDataFrame([("g", i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))] + [("one", 0, 1.0, 2.0)], "g string, id long, a double, b double")
+    got = {r.g: r for r in ev.confidence_interval(df, ["g"], "id", "a").collect()}
+    half = 2.200985160082949 * a.std(ddof=1) / np.sqrt(12)
+    assert abs(got["g"].ci_low - a.mean() + half) < 1e-6 and abs(got["g"].ci_high - a.mean() - half) < 1e-6 and got["one"].ci_low is None
+    boot = {r.g: r for r in ev.confidence_interval(df, ["g"], "id", "a", "bootstrap", 0.9, 4000).collect()}["g"]
+    assert abs(boot.ci_low - a.mean() + 1.645 * a.std() / np.sqrt(12)) < 0.12 and boot.mean == got["g"].mean
+    for test in ("paired_t", "wilcoxon"):
+        r = ev.compared_models(df.where("g = 'g'"), ["g"], "a", "b", test, "holm").first()
+        assert r.significant == (r.holm < 0.05) and r.holm == r.p
+    with pytest.raises(ValueError):
+        ev.compared_models(df, ["g"], "a", "b", "sign")
