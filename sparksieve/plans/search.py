@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ..shared import remove, scratch, stored
 
 
@@ -267,7 +268,7 @@ def shapley_sampled(df: DataFrame, names: list[str], label: Column, id: str, ord
 
     In an order, features get the row's own values one after the other, the
     others standing at their means; what a prediction gains is its feature's
-    share.  All steps of all orders are scored in one pass.
+    share.  A subset that several orders come through is scored once; all are scored in one pass, and nothing is shuffled.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -275,18 +276,24 @@ def shapley_sampled(df: DataFrame, names: list[str], label: Column, id: str, ord
     data = df.withColumn("label", label.cast("double"))
     fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
     means = data.agg(*[F.avg(f).alias(f) for f in names]).first()
-    rng, steps = random.Random(seed), []
-    for _ in range(orders):
-        order = rng.sample(names, len(names))
+    frame = data.select(*[F.col(f).cast("double").alias(f) for f in names], *[F.lit(float(means[f] or 0.0)).alias(f"{f}#m") for f in names])
+    of = lambda own: ",".join(sorted(own))
+    variants, gains = {}, {f: [] for f in names}
+    for order in sampled_orders(names, orders, seed):
         for k in range(len(names) + 1):
-            # a prediction counts for the feature that came last and against the one that comes next
-            counted = [(f, 1.0) for f in order[max(k - 1, 0) : k]] + [(f, -1.0) for f in order[k : k + 1]]
-            gains = [F.struct(F.lit(f).alias("feature"), F.lit(sign).alias("sign")) for f, sign in counted]
-            values = [(F.col(f).cast("double") if f in order[:k] else F.lit(float(means[f] or 0.0))).alias(f) for f in names]
-            steps.append(F.struct(F.array(*gains).alias("gains"), *values))
-    frame = data.select(F.col(id).alias("row"), F.explode(F.array(*steps)).alias("s")).select("row", "s.*")
-    shares = predicted(fitted, frame).select("row", "p", F.explode("gains").alias("g")).groupBy("row", "g.feature").agg((F.sum(F.col("p") * F.col("g.sign")) / orders).alias("phi"))
-    return shares.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+            variants[of(order[:k])] = [f if f in order[:k] else f"{f}#m" for f in names]
+            if k:
+                gains[order[k - 1]].append((of(order[:k]), of(order[: k - 1])))
+    p = lambda v: F.col(f"`p:{v}`")
+    shares = [F.avg(F.abs(sum((p(x) - p(y) for x, y in gains[f]), F.lit(0.0)) / orders)).alias(f) for f in names]
+    one = scored_variants(fitted, frame, variants, []).agg(*shares)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("importance")) for f in names])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def sampled_orders(names: list[str], orders: int, seed: int) -> list[list[str]]:
+    rng = random.Random(seed)
+    return [rng.sample(names, len(names)) for _ in range(orders)]
 
 
 def joint_degradation(df: DataFrame, names: list[str], label: Column, id: str, kind: str = "logistic", repeats: int = 1) -> DataFrame:
@@ -315,8 +322,11 @@ def pair_interactions(df: DataFrame, names: list[str], label: Column, grid: int
     spark = df.sparkSession
     data = df.withColumn("label", label.cast("double"))
     fitted = fitted_on(Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), model(kind)]), data)
-    at = F.array(*[F.lit((i + 0.5) / grid) for i in range(grid)])
-    row = data.agg(*[F.avg(f).alias(f"{f}#m") for f in names], *[F.percentile(f, at).alias(f"{f}#q") for f in names]).first()
+    long = data.select(*[F.col(f).cast("double").alias(f) for f in names]).unpivot([], names, "feature", "value")
+    known = exact_quantiles(long, ["feature"], "value", [(i + 0.5) / grid for i in range(grid)], "q", small=True)
+    means = data.agg(*[F.avg(f).alias(f) for f in names]).first()
+    # a row a column
+    row = {f"{r['feature']}#q": r["q"] for r in known.collect()} | {f"{f}#m": means[f] for f in names}
     points = []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:

@@ -111,6 +111,27 @@ def test_importance_and_gaps_equal_plain_computations(spark, monkeypatch):
     assert gaps["b", "c"] > gaps["a", "b"]
 
 
+def test_shapley_values_equal_the_orders_gains(spark, monkeypatch):
+    df, names = rows(spark, 120), ["a", "b", "c"]
+    held = {}
+    keep = search.fitted_on
+    monkeypatch.setattr(search, "fitted_on", lambda *a: held.setdefault("model", keep(*a)))
+    got = {r.feature: r.importance for r in search.shapley_sampled(df, names, F.col("y"), "id", 3, "forest", 5).collect()}
+    means = df.toPandas()[names].mean()
+
+    def p(own):
+        one = df.select("id", *[F.col(n) if n in own else F.lit(float(means[n])).alias(n) for n in names])
+        return search.predicted(held["model"], one).orderBy("id").toPandas()["p"].to_numpy()
+
+    phi = {n: np.zeros(120) for n in names}
+    for order in search.sampled_orders(names, 3, 5):
+        for k, n in enumerate(order):
+            phi[n] += (p(order[: k + 1]) - p(order[:k])) / 3
+    assert all(abs(got[n] - np.abs(phi[n]).mean()) < 1e-9 for n in names)
+    # the values of a row add up to what it gains over the means
+    assert np.allclose(sum(phi.values()), p(names) - p([]))
+
+
 def test_forward_selection_keeps_one_of_two_copies(spark):
     df = rows(spark).withColumns({"d": F.col("a") * 2 + 1, "fold": F.pmod("id", F.lit(2)).cast("int")})
     pairs = {("a", "d"): 1.0}
