@@ -13,7 +13,7 @@ from ..operators.longform import from_wide
 from ..registry import query, r6, table
 from ..shared import scratch
 from ..sources import catalog, tables
-from .stage1_queries import CORR, LF, SCORES, features
+from .stage1_queries import CORR, LF, PAIRS, PLACES, SCORES, features
 
 
 def written_text(spark, path, text):
@@ -111,6 +111,15 @@ def html_export(spark, d):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query(f"WITH {LF}, {PAIRS} SELECT f1, f2, round(r, 6) AS r FROM pairs ORDER BY abs(r) DESC, f1, f2 LIMIT 20")
+def interaction_export(spark, d):
+    """The 20 strongest pairs as a CSV file, read again."""
+    pairs = stats.vector_pairs(table(spark, d, "embeddings"), "embedding", PLACES)
+    path = scratch(spark, "interactions")
+    catalog.export_csv(r6("r", of=pairs.orderBy(F.desc(F.abs("r")), "f1", "f2").limit(20)), path)
+    return tables.scan(spark, path, fmt="csv", header="true", inferSchema="true")
+
+
 @query("""WITH s AS (SELECT 'e' || lpad((l_suppkey % 70 + 1)::VARCHAR, 2, '0') AS feature, l_partkey % 997 AS rank, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount END AS score FROM lineitem)
 SELECT 'rank_gaps' AS "check", max(rank) - count(*) AS failures FROM s UNION ALL SELECT 'duplicates', count(*) - count(DISTINCT feature) FROM s UNION ALL SELECT 'null_scores', count(*) FILTER (WHERE score IS NULL) FROM s
 UNION ALL SELECT 'unknown', count(*) FROM s WHERE feature NOT IN (SELECT 'e' || lpad(i::VARCHAR, 2, '0') FROM range(1, 65) t(i))""")

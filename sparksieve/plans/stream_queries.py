@@ -25,6 +25,19 @@ def stream_correlation(spark, d):
     return r6("r", of=streams.drained(streams.correlation(events(spark, d), "event_type", F.col("value"), (F.col("event_id") % 97).cast("double")), "correlation", "complete"))
 
 
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(corr(value, (event_id % 97)::DOUBLE), 6) AS r, count(*) FILTER (WHERE value <= 50) AS le_50 FROM events GROUP BY 1")
+def stream_pipeline(spark, d):
+    """Moments, correlation and histogram of one stream, side by side."""
+    e = events(spark, d)
+    got = streams.drained_all({
+        "moments": (streams.moments(e, "event_type", "value"), "complete"),
+        "correlation": (streams.correlation(e, "event_type", F.col("value"), (F.col("event_id") % 97).cast("double")), "complete"),
+        "histogram": (streams.histogram(e, "event_type", "value", [50]), "complete"),
+    })
+    both = got["moments"].join(got["correlation"].select("event_type", "r"), "event_type").join(got["histogram"].select("event_type", "le_50"), "event_type")
+    return r6("mean", "r", of=both.select("event_type", "n", "mean", "r", "le_50"))
+
+
 @query("SELECT event_type, count(*) FILTER (WHERE value <= 10) AS le_10, count(*) FILTER (WHERE value <= 50) AS le_50, count(*) FILTER (WHERE value <= 90) AS le_90, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_histogram(spark, d):
     return streams.drained(streams.histogram(events(spark, d), "event_type", "value", [10, 50, 90]), "histogram", "complete").withColumn("total", F.round("total", 4))

@@ -84,16 +84,31 @@ def random_search(spark, d):
     return r6("score", of=online.random_baseline(table(spark, d, "supplier"), "s_suppkey", embedding_grams(spark, d), least=LEAST, most=MOST))
 
 
-@query(f"""WITH {LF}, {CORR}, f AS (SELECT feature, r, row_number() OVER (ORDER BY feature) - 1 AS place, count(*) OVER () AS n FROM r),
+_MASKS = f"""WITH {LF}, {CORR}, f AS (SELECT feature, r, row_number() OVER (ORDER BY feature) - 1 AS place, count(*) OVER () AS n FROM r),
 m AS (SELECT s_suppkey * 20 + i AS mask_id, (s_suppkey * 20 + i) % 1000003 AS base FROM supplier, range(20) t(i)),
 c AS (SELECT mask_id, feature, r, {mixed("base", "place")} < 10 / n AS drawn FROM m, f),
-k AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY drawn DESC, r DESC, feature) AS rank, count(*) FILTER (WHERE drawn) OVER (PARTITION BY mask_id) AS d FROM c)
-SELECT mask_id, d AS drawn, list_sort(list(feature)) AS features, round(avg(r), 6) AS score FROM k WHERE rank <= greatest(8, least(12, d)) GROUP BY ALL""")
-def mask_search(spark, d):
-    """Bernoulli masks of 10 features on average, repaired to 8 to 12."""
+k AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY drawn DESC, r DESC, feature) AS rank, count(*) FILTER (WHERE drawn) OVER (PARTITION BY mask_id) AS d FROM c)"""
+_REPAIRED = "SELECT mask_id, d AS drawn, list_sort(list(feature)) AS features, round(avg(r), 6) AS score FROM k WHERE rank <= greatest(8, least(12, d)) GROUP BY ALL"
+
+
+def repaired_masks(spark, d):
+    """20 Bernoulli masks for each supplier, of 10 features on average, repaired to 8 to 12."""
     return r6("score", of=online.masked_subsets(table(spark, d, "supplier"), "s_suppkey", stats.pearson(features(spark, d)), "r", 10, 8, 12))
 
 
+@query(f"{_MASKS} {_REPAIRED}")
+def mask_search(spark, d):
+    return repaired_masks(spark, d)
+
+
+@query(f"{_MASKS}, m2 AS ({_REPAIRED}) SELECT mask_id // 20 AS tree_id, mask_id, features, score FROM m2 QUALIFY row_number() OVER (PARTITION BY mask_id // 20 ORDER BY score DESC, mask_id) = 1")
+def best_masks(spark, d):
+    """A tree for each supplier: the best of its masks."""
+    best = F.max(F.struct("score", (-F.col("mask_id")).alias("id"), "features")).alias("b")
+    per = repaired_masks(spark, d).groupBy(F.floor(F.col("mask_id") / 20).alias("tree_id")).agg(best)
+    return per.select("tree_id", (-F.col("b.id")).alias("mask_id"), "b.features", "b.score")
+
+
 @query()
 def candidate_subset_scores(spark, d):
     """The candidate subsets of the final stage (random, best and random, windows, strides) and their held-out scores."""

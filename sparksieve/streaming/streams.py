@@ -46,6 +46,15 @@ def drained(df: DataFrame, name: str, mode: str) -> DataFrame:
     return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
 
 
+def drained_all(frames: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
+    """Several aggregates of one source, (frame, output mode) by name: their streams run side by side, and each gives what ``drained`` would."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(len(frames)) as pool:
+        running = {name: pool.submit(drained, df, name, mode) for name, (df, mode) in frames.items()}
+        return {name: f.result() for name, f in running.items()}
+
+
 def moments(df: DataFrame, by: str, value: str) -> DataFrame:
     """Streaming n, mean, sample variance."""
     return df.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
