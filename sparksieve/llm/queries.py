@@ -60,7 +60,7 @@ SAMPLES = 2
 
 def segmented(docs: DataFrame) -> DataFrame:
     """Digest of SAMPLES sampled segmentations of each whole text, decoded again and compared."""
-    drawn = sample_segmentations(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), k=SAMPLES, check=True)
+    drawn = sample_segmentations(docs.select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), k=SAMPLES, check=True, keep=["doc_id"])
     return drawn.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "key", "log_inclusion", "round_trip")
 
 

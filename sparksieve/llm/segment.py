@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import need, others, spare
-from .textkit import _powers, list_array, mix64, regrouped, tidy
+from .textkit import _powers, list_array, mix64, raw_bytes, regrouped, tidy
 
-#: Text bytes of the rows that are segmented together.
-SLICE = 3 << 19
+#: Text bytes of the rows that are segmented together; a worker takes some 150 times as much for a slice.
+SLICE = 1 << 19
 #: Bytes of distinct chunks whose lattices are built at once.
 BLOCK = 96 << 10
 SAMPLE = T.StructType(
@@ -139,12 +139,13 @@ class Lattices:
             own = bounds[at : to + 1] - lo
             shift = base + np.arange(to - at)
             self.first[at:to], self.last[at:to] = own[:-1] + shift, own[1:] + shift
-            parts.append(self._block(buf[lo : int(bounds[to])], own, n, vocabulary, base, lo))
+            parts.append(list(self._block(buf[lo : int(bounds[to])], own, n, vocabulary, base, lo)))
             base += int(own[-1]) + to - at
             at = to
-        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
-        self.state, self.size, self.piece, self.place = (join(k, np.int32) for k in range(4))
-        self.q, self.cdf, self.rest = (join(k, np.float64) for k in range(4, 7))
+        # a block's arrays go as they are joined, so that no more than one of them is there twice
+        join = lambda kind: np.concatenate([p.pop(0) for p in parts]) if parts else np.empty(0, kind)
+        self.state, self.size, self.piece, self.place = (join(np.int32) for _ in range(4))
+        self.q, self.cdf, self.rest = (join(np.float64) for _ in range(3))
         self.range = np.searchsorted(self.state, np.arange(base + 1, dtype=np.int32)).astype(np.int32)
 
     @staticmethod
@@ -370,10 +371,7 @@ def chunked(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     lists = [find(" " + t.replace("▁", " ")) if t else [] for t in texts]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     codes = pa.array([c for x in lists for c in x], type=pa.large_string()).dictionary_encode()
-    words = codes.dictionary
-    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = np.frombuffer(b"".join(w.encode() for w in words.to_pylist()), dtype=np.uint8)
-    return data, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), codes.indices.to_numpy().astype(np.int32), bounds
+    return *raw_bytes(codes.dictionary), codes.indices.to_numpy().astype(np.int32), bounds
 
 
 def samples(texts: list[str], seeds: np.ndarray, k: int, vocabulary: Pieces) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -401,16 +399,18 @@ def samples(texts: list[str], seeds: np.ndarray, k: int, vocabulary: Pieces) ->
         yield have, ids.astype(np.int32), cuts, logp[have], key[have], inclusion
 
 
-def sample_segmentations(df: DataFrame, model: str, k: int = 3, id: str = "doc_id", text: str = "text", theta: float = 1.0, seed: int = 0, check: bool = False) -> DataFrame:
+def sample_segmentations(df: DataFrame, model: str, k: int = 3, id: str = "doc_id", text: str = "text", theta: float = 1.0, seed: int = 0, check: bool = False, keep: list[str] | None = None) -> DataFrame:
     """df, a row for each of its up to k distinct samples, with the columns of SAMPLE.
 
     ``model`` is the path of a SentencePiece file, which the executors read;
     ``theta`` sharpens (above 1) or flattens the distribution; ``check`` adds
-    ``round_trip``: do the ids decode to the text.
+    ``round_trip``: do the ids decode to the text; ``keep`` names the columns of df
+    that go along, all by default.
     """
     need(df, id, text)
     names = [*SAMPLE.names, *["round_trip"] * check]
-    kept, body, of = others(df, *names), spare(df, "text"), spare(df, "seed")
+    need(df, *keep or [])
+    kept, body, of = [c for c in others(df, *names) if keep is None or c in keep], spare(df, "text"), spare(df, "seed")
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.coalesce(F.col(f"`{id}`").cast("string"), F.lit("0")), F.lit(seed)).alias(of), F.col(f"`{text}`").cast("string").alias(body))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *SAMPLE.fields, *[T.StructField("round_trip", T.BooleanType())] * check])
 
