@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +23,49 @@ def last_rows(by: list[str], order: list[str], n: int) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
 
 
+def slopes(y: pa.Array, x: pa.Array) -> pa.Array:
+    """Least-squares slopes of lists of y over lists of x, null under two values or equal x.
+
+    Means and sums of products are carried from value to value, so a long series loses no digits to the size of its x;
+    the sum of products takes each product unrounded, as DuckDB's regr_slope does, so that a
+    slope on a threshold falls to the same side.
+    """
+    bounds, n = x.offsets.to_numpy(), np.diff(x.offsets.to_numpy())
+    ys, xs = y.values.to_numpy(zero_copy_only=False)[y.offsets.to_numpy()[0] :], x.values.to_numpy(zero_copy_only=False)[bounds[0] :]
+    first = bounds[:-1] - bounds[0]
+    mean_x, mean_y, products, squares = (np.zeros(len(n)) for _ in range(4))
+    for k in range(int(n.max(initial=0))):
+        at = np.flatnonzero(n > k)
+        u, v = xs[first[at] + k], ys[first[at] + k]
+        d = u - mean_x[at]
+        new_x, new_y = mean_x[at] + d / (k + 1), mean_y[at] + (v - mean_y[at]) / (k + 1)
+        products[at] = fused(d, v - new_y, products[at])
+        squares[at] += (u - new_x) * d
+        mean_x[at], mean_y[at] = new_x, new_y
+    known = (n > 1) & (squares > 0)
+    return pa.array(np.divide(products / np.maximum(n, 1), squares / np.maximum(n, 1), out=np.zeros(len(n)), where=known), mask=~known)
+
+
+def fused(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a b + c with the product's rounding error made good."""
+
+    def halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = 134217729.0 * v
+        high = t - (t - v)
+        return high, v - high
+
+    p, (ah, al), (bh, bl) = a * b, halves(a), halves(b)
+    low = ((ah * bh - p) + ah * bl + al * bh) + al * bl
+    s = c + p
+    z = s - c
+    return s + (((c - (s - z)) + (p - z)) + low)
+
+
 def slope(y: Column, x: Column, w: WindowSpec) -> Column:
-    """Least-squares slope over a window, null under two rows or equal x."""
-    n, sx, sy = F.count(y).over(w), F.sum(x).over(w), F.sum(y).over(w)
-    sxx, sxy = F.sum(x * x).over(w), F.sum(x * y).over(w)
-    return F.when((n >= 2) & (n * sxx - sx * sx > 0), (n * sxy - sx * sy) / (n * sxx - sx * sx))
+    """Least-squares slope over a window of few rows, null under two rows or equal x."""
+    both = x.isNotNull() & y.isNotNull()
+    lists = [F.collect_list(F.when(both, c.cast("double"))).over(w) for c in (y, x)]
+    return F.arrow_udf(slopes, "double")(*lists)
 
 
 def rolling_correlation(a: Column, b: Column, w: WindowSpec) -> Column:
