@@ -90,13 +90,23 @@ def weighted_scores(scores: DataFrame, weights: dict[str, float], by: str = "met
     return norm.groupBy(item).agg((F.sum(F.col("s") * w) / F.sum(w)).alias("score"))
 
 
-def voted(predictions: DataFrame, how: str, sample: str = "sample_id", label: str = "label", proba: str = "proba", weight: str = "weight") -> DataFrame:
-    """Hard, weighted hard, soft or weighted (soft) vote of the models on every sample; equal votes go to the smallest label."""
+def voted(predictions: DataFrame, how: str, sample: str = "sample_id", label: str = "label", proba: str = "proba", weight: str = "weight", order: list[str] | None = None) -> DataFrame:
+    """Hard, weighted hard, soft or weighted (soft) vote of the models on every sample; equal votes go to the smallest label.
+
+    Sums of doubles depend on the order of their terms, and a mean of one half on such a sum: with ``order`` a sample's terms are added in
+    the order of these columns, however the rows are spread.
+    """
     if how in ("hard", "weighted_hard"):
         counts = predictions.groupBy(sample, label).agg((F.count(F.lit(1)) if how == "hard" else F.round(F.sum(weight), 9)).alias("c"))
         return counts.groupBy(sample).agg(F.max_by(label, F.struct("c", -F.col(label))).alias("vote"))
-    p = F.avg(proba) if how == "soft" else F.sum(F.col(proba) * F.col(weight)) / F.sum(weight)
-    return predictions.groupBy(sample).agg(p.alias("p")).select(sample, (F.col("p") >= 0.5).cast("long").alias("vote"))
+    over, under = (F.col(proba), F.when(F.col(proba).isNotNull(), 1.0)) if how == "soft" else (F.col(proba) * F.col(weight), F.col(weight))
+    if order:
+        upto = Window.partitionBy(sample).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        run = predictions.select(sample, F.struct(*order).alias("at"), F.sum(over).over(upto).alias("a"), F.sum(under).over(upto).alias("b"))
+        sums = run.groupBy(sample).agg(F.max_by(F.struct("a", "b"), "at").alias("s")).select(sample, "s.a", "s.b")
+    else:
+        sums = predictions.groupBy(sample).agg(F.sum(over).alias("a"), F.sum(under).alias("b"))
+    return sums.select(sample, (F.col("a") / F.nullif("b", F.lit(0.0)) >= 0.5).cast("long").alias("vote"))
 
 
 def weighted_mean(predictions: DataFrame, sample: str = "sample_id", value: str = "prediction", weight: str = "weight") -> DataFrame:

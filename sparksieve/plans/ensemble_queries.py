@@ -260,10 +260,12 @@ _PRED = "p AS (SELECT l_orderkey AS sample_id, (l_quantity > 25)::INT AS label,
 
 @query(f"WITH {_PRED}, h AS (SELECT sample_id, label, count(*) AS c FROM p GROUP BY ALL), hv AS (SELECT sample_id, arg_max(label, c * 10 - label) AS hard FROM h GROUP BY 1) SELECT sample_id, hard, (avg(proba) >= 0.5)::INT AS soft, (sum(proba * weight) / sum(weight) >= 0.5)::INT AS weighted FROM p JOIN hv USING (sample_id) GROUP BY ALL")
 def prediction_voting(spark, d):
-    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_quantity") > 25).cast("long").alias("label"), (F.col("l_quantity") / 50).alias("proba"), (1 + F.col("l_linenumber").cast("double")).alias("weight"))
+    # a sample's items are added in the table's order, as SQL does it in one thread
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), (F.col("l_quantity") > 25).cast("long").alias("label"), (F.col("l_quantity") / 50).alias("proba"), (1 + F.col("l_linenumber").cast("double")).alias("weight"), *at)
     out = None
     for how in ("hard", "soft", "weighted"):
-        v = voting.voted(p, how).withColumnRenamed("vote", how)
+        v = voting.voted(p, how, order=["file", "row"]).withColumnRenamed("vote", how)
         out = v if out is None else out.join(v, "sample_id")
     return out
 
