@@ -264,8 +264,12 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """(q, value) by linear interpolation."""
-    got = exact_quantiles(df, [], column, list(at), "p")
+    """(q, value) by linear interpolation.
+
+    The values are written first: where they come out of sums of doubles, each evaluation has other last digits, and a value
+    would fall out of the brackets that another evaluation gave.
+    """
+    got = exact_quantiles(stored(df.select(column), "percentiles"), [], column, list(at), "p")
     return got.select(F.posexplode("p").alias("i", "value")).select(F.element_at(F.array(*[F.lit(float(q)) for q in at]), F.col("i") + 1).alias("q"), "value")
 
 
