@@ -9,6 +9,7 @@ from ..operators import sets, stats, voting
 from ..operators import selection as sel
 from ..operators.longform import from_wide
 from ..registry import query, r6, table
+from ..shared import stored
 from . import models, search, treesearch
 from .stage1_queries import features
 from .surrogate_queries import embedding_grams
@@ -24,8 +25,9 @@ def grown(spark, d, prior=False, **options):
     top = max((s for _, s in ranked), default=0.0) or 1.0
     seeds = search.seeds_of(spark, table(spark, d, "supplier"), "s_suppkey")
     weights = [max(s, 0.0) / top for _, s in ranked] if prior else None
-    state, _ = treesearch.grown(spark, seeds, embedding_grams(spark, d), [int(f[1:]) - 1 for f, _ in ranked], rounds=20, batch=50, prior=weights, **options)
-    return treesearch.summary(state, [f for f, _ in ranked])
+    forest = treesearch.searched(spark, seeds, embedding_grams(spark, d), [int(f[1:]) - 1 for f, _ in ranked], [f for f, _ in ranked], rounds=20, batch=50, prior=weights, **options)
+    # a row a tree; what reads it twice must not search twice
+    return stored(forest, "forest")
 
 
 def trees(spark, d):

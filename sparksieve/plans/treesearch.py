@@ -20,10 +20,11 @@ it has enough visits and its average moved less than a threshold in the last rou
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +166,143 @@ def grown(spark: SparkSession, seeds: DataFrame, grams: Grams, order: list[int],
     return state, before
 
 
+#: Trees that a task grows side by side.
+TOGETHER = 128
+
+
+class Lockstep:
+    """Many trees of one task, grown in the same rounds as ``turn`` grows one: every step is taken by all of them at once.
+
+    A node is a number; ``child`` leads from a node and a place to the next one. The
+    lots are drawn from each tree's own generator as Tree draws them, so a tree is the same in any company.
+    """
+
+    def __init__(self, keys: list[int], nodes: int, size: int, c: float, share: float, loss: float, damping: float, prior: np.ndarray):
+        self.keys, self.c, self.loss, self.damping, self.trees = keys, c, loss, damping, np.arange(len(keys))
+        own = [own_features(k, len(prior), share) for k in keys]
+        self.lengths = np.array([len(x) for x in own])
+        self.sizes, width = np.minimum(size, self.lengths), int(self.lengths.max(initial=0))
+        self.own, self.prior = np.zeros((len(keys), width), dtype=np.int64), np.zeros((len(keys), width))
+        for t, x in enumerate(own):
+            self.own[t, : len(x)], self.prior[t, : len(x)] = x, prior[x]
+        self.child = np.zeros((len(keys), nodes, width), dtype=np.int32)
+        self.visits, self.total, self.delta = (np.zeros((len(keys), nodes)) for _ in range(3))
+        self.last, self.used = np.full((len(keys), nodes), -1), np.ones(len(keys), dtype=np.int64)
+        self.best, self.top = np.full(len(keys), -np.inf), [[] for _ in keys]
+
+    def walk(self, rngs: list[random.Random], seen: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, places) of a walk of each tree, -1 beyond its end; ``seen`` and ``worth`` are visits and totals with those under way."""
+        most = int(self.sizes.max(initial=0))
+        path, places = np.full((len(self.trees), most + 1), -1), np.full((len(self.trees), most), -1)
+        path[:, 0], at, columns = 0, self.trees[self.sizes > 0], np.arange(self.own.shape[1])
+        for depth in range(most):
+            node = path[at, depth]
+            ahead = (columns > self.last[at, node][:, None]) & (columns <= (self.lengths[at] - self.sizes[at] + depth)[:, None])
+            child, prior = self.child[at, node], self.prior[at]
+            fresh = ahead & (child == 0)
+            some = fresh.any(axis=1)
+            choice = np.zeros(len(at), dtype=np.int64)
+            if some.any():
+                p = np.where(fresh[some], prior[some], -np.inf)
+                equal = fresh[some] & (p == p.max(axis=1, keepdims=True))
+                lot = np.array([rngs[t].randrange(n) for t, n in zip(at[some].tolist(), equal.sum(axis=1).tolist())])
+                choice[some] = np.argmax(np.cumsum(equal, axis=1) > lot[:, None], axis=1)
+                new = at[some]
+                self.child[new, node[some], choice[some]] = self.used[new]
+                self.last[new, self.used[new]] = choice[some]
+                self.used[new] += 1
+            if not some.all():
+                k = ~some
+                v, w = (x[at[k][:, None], child[k]] for x in (seen, worth))
+                v = np.where(ahead[k], v, 1.0)
+                n = np.maximum(seen[at[k], node[k]], 1)[:, None]
+                value = w / v + self.c * np.sqrt(np.log(n) / v) + prior[k] / (1 + v)
+                choice[k] = np.argmax(np.where(ahead[k], value, -np.inf), axis=1)
+            path[at, depth + 1], places[at, depth] = self.child[at, node, choice], choice
+            at = at[~some & (depth + 1 < self.sizes[at])]
+        on = path >= 0
+        tree, node = np.broadcast_to(self.trees[:, None], path.shape)[on], path[on]
+        seen[tree, node] += 1
+        worth[tree, node] -= self.loss
+        return path, places
+
+    def filled(self, places: np.ndarray, rngs: list[random.Random]) -> np.ndarray:
+        """Each walk's features and as many others as its subset lacks, as sorted ranks, -1 beyond its size."""
+        taken = np.zeros(self.own.shape, dtype=bool)
+        tree, nth = np.nonzero(places >= 0)
+        taken[tree, places[tree, nth]] = True
+        free = np.argsort(taken, axis=1, kind="stable")
+        have, out = (places >= 0).sum(axis=1), places.copy()
+        for t, (n, length, size) in enumerate(zip(have.tolist(), self.lengths.tolist(), self.sizes.tolist())):
+            if size > n:
+                out[t, n:size] = free[t, rngs[t].sample(range(length - n), size - n)]
+        ranks = np.where(out >= 0, np.take_along_axis(self.own, np.maximum(out, 0), axis=1), 1 << 40)
+        ranks.sort(axis=1)
+        return np.where(ranks < 1 << 40, ranks, -1)
+
+    def back_up(self, path: np.ndarray, value: np.ndarray) -> None:
+        """The leaves' values, damped at every node on their way up."""
+        value = value.copy()
+        for depth in range(path.shape[1] - 1, -1, -1):
+            t = np.flatnonzero(path[:, depth] >= 0)
+            node = path[t, depth]
+            n, s = self.visits[t, node], self.total[t, node]
+            before = np.divide(s, n, out=np.zeros(len(t)), where=n > 0)
+            value[t] = self.damping * value[t] + (1 - self.damping) * before
+            n, s = n + 1, s + value[t]
+            self.visits[t, node], self.total[t, node] = n, s
+            self.delta[t, node] = np.maximum(self.delta[t, node], np.abs(s / n - before))
+
+    def round(self, number: int, batch: int, scored: Callable[[np.ndarray], np.ndarray]) -> None:
+        """``batch`` walks of each tree, their scores, and the way up of these."""
+        rngs = [random.Random(f"{k}.{number}") for k in self.keys]
+        seen, worth, paths, subsets = self.visits.copy(), self.total.copy(), [], []
+        for _ in range(batch):
+            path, places = self.walk(rngs, seen, worth)
+            paths.append(path)
+            subsets.append(self.filled(places, rngs))
+        scores = scored(np.concatenate(subsets)).reshape(batch, -1)
+        self.delta[:] = 0.0
+        for path, subset, score in zip(paths, subsets, scores):
+            self.back_up(path, score)
+            for t in np.flatnonzero(score > self.best):
+                self.best[t], self.top[t] = score[t], subset[t][subset[t] >= 0].tolist()
+
+
+def searched(spark: SparkSession, seeds: DataFrame, grams: Grams, order: list[int], names: list[str], rounds: int = 20, batch: int = 50, size: int = 8, c: float = 1.4, share: float = 0.8, prior: list[float] | None = None, loss: float = 1.0, damping: float = 1.0, least: int = 10, threshold: float = 0.01) -> DataFrame:
+    """``summary`` of the forest that ``grown`` grows, without its table of nodes: a task takes TOGETHER trees through all rounds, and nothing is written.
+
+    A tree's nodes live as long as its search, so a forest that is to be resumed needs ``grown``.
+    """
+    ranks, p = np.array(order, dtype=np.int64), np.array(prior if prior is not None else [0.0] * len(order), dtype=float)
+    shared = spark.sparkContext.broadcast(grams)
+
+    def scored(subsets: np.ndarray) -> np.ndarray:
+        """Scores of rows of ranks, -1 beyond their sizes."""
+        sizes, out = (subsets >= 0).sum(axis=1), np.zeros(len(subsets))
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            out[at] = shared.value.scores(np.sort(ranks[subsets[at, :n]], axis=1) if n else np.zeros((len(at), 0), dtype=np.int64))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, TOGETHER):
+                keys = b.column(0).slice(lo, TOGETHER).to_pylist()
+                forest = Lockstep(keys, 1 + rounds * batch, size, c, share, loss, damping, p)
+                for k in range(rounds):
+                    forest.round(k, batch, scored)
+                live = np.arange(forest.visits.shape[1]) < forest.used[:, None]
+                settled = ((forest.visits >= least) & (forest.delta < threshold) & live).sum(axis=1) / forest.used
+                selected = [[names[i] for i in s] if s else None for s in forest.top]
+                reward = [float(v) if s else None for v, s in zip(forest.best, forest.top)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(selected, pa.list_(pa.string())), pa.array(reward, pa.float64()), pa.array(forest.used), pa.array(settled)], names=["tree_id", "selected", "reward", "nodes", "converged"])
+
+    # the seeds are a small table but trees are work: as many tasks as the session has partitions, by ranges, since a hash that the seeds have already would be coalesced
+    dealt = seeds.select(F.col("tree_id").cast("long").alias("tree_id")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "tree_id")
+    return dealt.mapInArrow(run, "tree_id long, selected array<string>, reward double, nodes long, converged double")
+
+
 def summary(state: DataFrame, names: list[str]) -> DataFrame:
     """(tree_id, selected, reward, nodes, converged): each tree's best subset by name (in rank order of ``names``), its value, its nodes and the share of them that converged."""
     known = F.lit(names) if names else F.array().cast("array<string>")
