@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shared import stored
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -18,19 +26,88 @@ def merged(a: Column, b: Column, how: str) -> Column:
     return F.array_sort(op(a, b))
 
 
+#: Sets of a block, and pairs that are sent at a time; members whose columns of a block's matrix are in memory at a time.
+BLOCK, SENT, MEMBERS = 4096, 1 << 18, 1024
+
+
 def overlap_pairs(sets: DataFrame, key: str, features: str) -> DataFrame:
     """(a, b, jaccard) of every pair of keys that share a feature.
 
-    Shared members are counted by a join on the feature, so keys without a
-    common member form no row; their similarity is 0.
+    Keys without a common member form no row; their similarity is 0.  Where sets share little, common
+    members are counted by a join on the feature.  Where that would make more rows than there are
+    pairs, blocks of sets meet instead, each pair of blocks in one place, and pairs are made and sent a
+    slice at a time: what is shuffled are sets, once for each block, never pairs.
     """
     rows = sets.select(F.col(key).alias("k"), F.explode(features).alias("f"))
+    shared = rows.groupBy("f").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0)).alias("joined"))
+    one = shared.crossJoin(sets.agg(F.count(F.lit(1)).alias("n"))).first()  # one row each
+    if one["joined"] > one["n"] * (one["n"] - 1) / 2:
+        return block_pairs(sets, key, features, 1 + one["n"] // BLOCK)
     size = sets.select(F.col(key).alias("k"), F.size(features).alias("n"))
     both = rows.select(F.col("k").alias("a"), "f").join(rows.select(F.col("k").alias("b"), "f"), "f").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     j = both.join(size.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
     return j.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
 
 
+def block_pairs(sets: DataFrame, key: str, features: str, blocks: int) -> DataFrame:
+    """``overlap_pairs`` by pairs of ``blocks`` ranges of the keys."""
+    dealt = stored(sets.select(F.col(key).alias("k"), F.col(features).alias("f")).repartitionByRange(blocks, "k").withColumn("block", F.spark_partition_id()), "blocks")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    cells = dealt.withColumn("other", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "f")
+    cells = cells.repartition(blocks * (blocks + 1) // 2, "i", "j").sortWithinPartitions("i", "j", "block", "k")
+
+    def pairs(i: int, j: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(held).combine_chunks()
+        keys, lists, size = got.column("k").combine_chunks(), got.column("f").combine_chunks(), pc.list_value_length(got.column("f")).combine_chunks().to_numpy(zero_copy_only=False)
+        members = lists.flatten().dictionary_encode()
+        row, place = np.repeat(np.arange(len(keys)), np.nan_to_num(size).astype(np.int64)), members.indices.to_numpy(zero_copy_only=False)
+        known = ~np.isnan(place) if place.dtype.kind == "f" else np.ones(len(place), dtype=bool)
+        row, place = row[known], place[known].astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        cuts = np.searchsorted(place, np.arange(0, len(members.dictionary) + MEMBERS, MEMBERS))
+        block = got.column("block").to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        step = max(1, SENT // max(1, len(right)))
+
+        def matrix(k: int) -> np.ndarray:
+            has = np.zeros((len(keys), min(MEMBERS, len(members.dictionary))), dtype=np.float32)
+            has[row[cuts[k] : cuts[k + 1]], place[cuts[k] : cuts[k + 1]] % MEMBERS] = 1
+            return has
+
+        parts = len(cuts) - 1
+        first = matrix(0) if parts == 1 else None
+        for lo in range(0, len(left), step):
+            own = left[lo : lo + step]
+            common = np.zeros((len(own), len(right)), dtype=np.float32)
+            for k in range(parts):
+                has = matrix(k) if first is None else first
+                common += has[own] @ has[right].T
+            # keys rise within a block and from block to block; equal ones are no pair
+            u, v = np.nonzero((common > 0) & (own[:, None] < right))
+            a, b = own[u], right[v]
+            c = common[u, v].astype(np.float64)
+            out = pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(c / (size[a] + size[b] - c))], names=["a", "b", "jaccard"])
+            yield out.filter(pc.less(out.column("a"), out.column("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(i) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(i)]):
+                if held and now != (i[lo], j[lo]):
+                    yield from pairs(*now, held)
+                    held = []
+                now = (i[lo], j[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from pairs(*now, held)
+
+    kind = dealt.schema["k"].dataType
+    return cells.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("jaccard", T.DoubleType())]))
+
+
 def overlap_summary(sets: DataFrame, key: str, features: str) -> DataFrame:
     """One row: mean, largest and smallest Jaccard over all pairs, those without a common member included.
 
