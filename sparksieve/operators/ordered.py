@@ -23,7 +23,10 @@ def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
 
 
 def scanned(rows: DataFrame, by: list[str], order: list[str | Column], outputs: dict[str, tuple[Callable, Column, bool]]) -> DataFrame:
-    """rows of ``ranged(df, *by, *order)`` with running aggregates up to each row: name -> (F.sum, F.max or F.min, of, from the end)."""
+    """rows of ``ranged(df, *by, *order)`` with running aggregates up to each row: name -> (F.sum, F.max or F.min, of, from the end).
+
+    What runs from the end runs over the numbered rows backwards: a frame that ends at the last row is added up anew for each row, in quadratic time.
+    """
     unbounded = (Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = Window.partitionBy(RANGE, *by).orderBy(*order)
     keys = [f"__k{i}" for i in range(len(by))]
@@ -31,11 +34,13 @@ def scanned(rows: DataFrame, by: list[str], order: list[str | Column], outputs:
     ranges = Window.partitionBy(*keys).orderBy("__of_range")
     outside = {n: f(f"__t_{n}").over(ranges.rowsBetween(1, unbounded[1]) if back else ranges.rowsBetween(unbounded[0], -1)) for n, (f, _, back) in outputs.items()}
     offsets = totals.select("__of_range", *keys, *[c.alias(f"__o_{n}") for n, c in outside.items()])
-    inside = {f"__i_{n}": f(c).over(ahead.rowsBetween(0, unbounded[1]) if back else ahead.rowsBetween(unbounded[0], 0)) for n, (f, c, back) in outputs.items()}
+    backwards = Window.partitionBy(RANGE, *by).orderBy(F.desc("__n"))
+    inside = [{f"__i_{n}": f(c).over((backwards if back else ahead).rowsBetween(unbounded[0], 0)) for n, (f, c, back) in outputs.items() if back == turn} for turn in (False, True)]
+    numbered = rows.withColumns(inside[0] | ({"__n": F.row_number().over(ahead)} if inside[1] else {}))
     same = F.col(RANGE) == F.col("__of_range")
     for b, k in zip(by, keys):
         same &= F.col(b).eqNullSafe(F.col(k))
-    both = rows.withColumns(inside).join(offsets, same)
+    both = numbered.withColumns(inside[1]).join(offsets, same)
 
     def merged(n: str, f: Callable) -> Column:
         a, b = F.col(f"__i_{n}"), F.col(f"__o_{n}")
